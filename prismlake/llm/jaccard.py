@@ -2,12 +2,13 @@
 
 Texts become sorted arrays of hashed word shingles; texts with equal arrays are one
 node. Nodes that can be similar share one of their first shingles in a common global
-order (the prefix principle), so tiles are keyed by such a shingle and by a band of
-set sizes: only equal or neighbouring bands are compared. Within a tile the
-population counts of XORed parity bitmaps bound the overlap from above; pairs that
-pass are verified by exact intersection of their arrays. Tiles first try one edge
-from each node to the tile's smallest node; what that connects needs no further
-comparison, so a large group of near copies costs its size and not its square.
+order (the prefix principle), so a tile holds the nodes that share such shingles with
+its least node, cut by bands of set sizes where it is large: only equal or
+neighbouring bands are compared. Within a tile the population counts of XORed parity
+bitmaps bound the overlap from above; pairs that pass are verified by exact
+intersection of their arrays. Tiles first try one edge from each node to the least
+one; what that connects needs no further comparison, so that copies of one text cost
+their number and not its square.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ BLOCK = 512
 #: Node ids that a filter is broadcast for; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 #: Nodes that a task remembers, to give a copied text's array once.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -53,8 +54,8 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def _bitmap(array: np.ndarray) -> bytes:
-    """Parity of the hashes in each of a power of two of bits, about one for two shingles."""
-    bits = max(64, 1 << max(0, (len(array) - 1)).bit_length() >> 1)
+    """Parity of the hashes in each of a power of two of bits, four or more for a shingle."""
+    bits = max(64, 4 << (len(array) - 1).bit_length())
     counts = np.bincount((array >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits)
     return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
 
@@ -197,7 +198,7 @@ def _exact(num: int, den: int):
 def _tiles(num: int, den: int):
     """Pairs of a tile that the bitmaps allow; rows come sorted by tile."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    tile = ["shingle", "band", "i", "j"]
+    tile = ["low", "band", "i", "j"]
 
     def pairs(rows: list[dict]) -> Iterator[tuple]:
         i, j = rows[0]["i"], rows[0]["j"]
@@ -268,25 +269,30 @@ def links(features: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame
     classes = _classes(features)
     groups = arrays.mapInArrow(*_prefixes(classes, num, den)).groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = durable(groups.where("low <> high").select("shingle", "low"))
-    entries = durable(arrays.mapInArrow(*_prefixes(classes, num, den, _filter_of(shared))).join(shared, "shingle"))
-    stars = durable(entries.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
+    # A tile is a node and all that share a shingle with it as the least of the shingle's nodes.
+    entries = arrays.mapInArrow(*_prefixes(classes, num, den, _filter_of(shared))).join(shared, "shingle")
+    members = durable(entries.select("low", "node", "n").distinct())
+    stars = members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
     first = _verify(features, stars, num, den, bounded=False)
     found = connected_components(first, "a", "b")
-    # What is left: nodes of different components that share a shingle.
-    rooted = entries.drop("low").join(found.select(F.col("vertex").alias("node"), F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = durable(rooted.distinct())
-    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    left = rooted.join(mixed, "shingle")
+    # What is left: nodes of different components in one tile.
+    rooted = members.join(found.select(F.col("vertex").alias("node"), F.col("component").alias("root")), "node", "left")
+    rooted = durable(rooted.withColumn("root", F.coalesce("root", "node")))
+    roots = [F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")]
+    mixed = rooted.groupBy("low").agg(*roots).where("lo <> hi").select("low", "rows")
     step = math.log(den / num) * (1 + 1e-9)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("long")
-    housed = left.withColumn("bands", F.array(F.struct(band.alias("band"), F.lit(False).alias("visits")), F.struct((band + 1).alias("band"), F.lit(True).alias("visits"))))
-    housed = durable(housed.select("shingle", "node", "n", "root", F.inline("bands")))
-    tiles = housed.groupBy("shingle", "band").agg(F.count("*").alias("rows"), F.sum((~F.col("visits")).cast("int")).alias("homes"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("homes > 0 and lo <> hi")
-    split = housed.join(tiles, ["shingle", "band"]).withColumn("chunks", F.ceil(F.col("rows") / BLOCK).cast("long")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    # Small tiles hold all sizes; in larger ones a set is at home in its band and visits the next.
+    whole = F.array(F.struct(F.lit(-1).cast("long").alias("band"), F.lit(False).alias("visits")))
+    banded = F.array(F.struct(band.alias("band"), F.lit(False).alias("visits")), F.struct((band + 1).alias("band"), F.lit(True).alias("visits")))
+    housed = rooted.join(mixed, "low").select("low", "node", "n", "root", F.inline(F.when(F.col("rows") > BLOCK, banded).otherwise(whole)))
+    housed = durable(housed)
+    tiles = housed.groupBy("low", "band").agg(*roots, F.sum((~F.col("visits")).cast("int")).alias("homes")).where("homes > 0 and lo <> hi").drop("lo", "hi")
+    split = housed.join(tiles, ["low", "band"]).withColumn("chunks", F.ceil(F.col("rows") / BLOCK).cast("long")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    ids = split.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    signed = split.join(_wanted(features, ids, "bits").select("node", "bits"), "node").select("shingle", "band", "i", "j", "node", "n", "root", "chunk", "visits", "bits")
-    tile = ["shingle", "band", "i", "j"]
+    ids = housed.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    tile = ["low", "band", "i", "j"]
+    signed = split.join(_wanted(features, ids, "bits").select("node", "bits"), "node").select(*tile, "node", "n", "root", "chunk", "visits", "bits")
     candidates = durable(signed.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(*_tiles(num, den)).distinct())
     second = _verify(features, candidates, num, den, bounded=True)
     return first, second
