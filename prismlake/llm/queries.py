@@ -105,11 +105,11 @@ select doc_id, source, size, source_size, target, (whole * size + remain)::bigin
 from parts""",
     "op2_jaccard_join": r"""
 with recursive words as (
-  select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), x -> x <> '') as w
+  select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents),
 sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
-         else list_distinct(list_transform(range(1, len(w) - 1), i -> concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) end as s
+         else list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) end as s
   from words),
 items as (select doc_id, unnest(s) as x from sets),
 shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from items a join items b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
@@ -130,9 +130,9 @@ select page_id, host, path,
        coalesce((select verdict from rules where (host = h or host like concat('%.', h)) and starts_with(path, p) order by length(concat(h, p)) desc limit 1), 'allow') as verdict
 from parsed""",
     "op8_topk_search": r"""
-with codes as (select vec_id as id, list_transform(embedding, x -> x > 0) as c from embeddings),
+with codes as (select vec_id as id, list_transform(embedding, lambda x: x > 0) as c from embeddings),
 met as (
-  select q.id as query_id, n.id as neighbor_id, len(list_filter(range(1, 65), i -> q.c[i] <> n.c[i]))::integer as distance
+  select q.id as query_id, n.id as neighbor_id, len(list_filter(range(1, 65), lambda i: q.c[i] <> n.c[i]))::integer as distance
   from codes q join codes n on q.id % 50 = 0 and q.id <> n.id)
 select query_id, neighbor_id, distance, rank::integer as rank
 from (select *, row_number() over (partition by query_id order by distance, neighbor_id) as rank from met) where rank <= 10""",
