@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prismlake.functions import dates
 from prismlake.functions.paths import extension, file_name, media_kind, normal_extension
 from prismlake.functions.values import device_of
+from prismlake.operators.running import running_before
 
 # Fixed values.
 MONTHS = ["ENERO", "FEBRERO", "MARZO", "ABRIL", "MAYO", "JUNIO", "JULIO", "AGOSTO", "SEPTIEMBRE", "OCTUBRE", "NOVIEMBRE", "DICIEMBRE"]
@@ -101,7 +102,9 @@ def plan_organize(files: DataFrame, config: OrganizerConfig, existing: DataFrame
     raw = device_of(F.col("model"), F.col("product"), F.col("android"), file_name(F.col("path")))
     aliases = F.create_map(*[F.lit(x) for k, v in config.device_aliases.items() for x in (k.lower(), v)]) if config.device_aliases else None
     device = F.coalesce(F.get(F.array(aliases[F.lower(raw)]), F.lit(0)), raw) if aliases is not None else raw
-    named = dated.withColumn("device", device).withColumn("_uid", F.row_number().over(Window.orderBy("ord")) - 1)
+    # One counter over all files, by distributed ranks.
+    named = running_before(dated.withColumn("device", device).withColumn("_all", F.lit(0)), ["_all"], [F.col("ord")], F.lit(1), "_uid").drop("_all")
+    named = named.withColumn("_uid", F.col("_uid").cast("long"))
     named = named.withColumn("_stem", rename(config.rename_template, F.col("date_used"), F.col("file_kind"), F.col("_uid"))).where("_stem is not null")
     named = named.withColumn("new_filename", F.concat("_stem", F.lit("."), normal_extension(extension(F.col("path")))))
     base = F.regexp_extract("path", r"^(.*)[/\\][^/\\]*$", 1)

@@ -1,6 +1,455 @@
-"""All queries of the library and their SQL."""
+"""All queries of the library over a folder of tables, and SQL that gives the same rows.
+
+The tables hold no pictures, so assets, file lists and tags are made from documents,
+embeddings and events by the views below, which read the same in both dialects.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prismlake.functions import dates, paths, values
+from prismlake.operators import caching, duplicates, retention, views
+from prismlake.plans import organize
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+ASSETS = """
+select doc_id as asset_id,
+  concat('/lib/', source, '/', case
+    when doc_id % 4 = 0 then concat('IMG_', cast(2019 + doc_id % 5 as string), '0828_1329', lpad(cast(doc_id % 60 as string), 2, '0'), '_', lpad(cast(doc_id % 10000 as string), 4, '0'))
+    when doc_id % 4 = 1 then concat('Copy of ', cast(doc_id as string))
+    when doc_id % 4 = 2 then concat('PXL_20210828_1329', lpad(cast(doc_id % 60 as string), 2, '0'), cast(doc_id % 1000 as string))
+    else concat('photo ', cast(doc_id as string)) end,
+    case when doc_id % 3 = 0 then '.jpg' when doc_id % 3 = 1 then '.PNG' else '.heic' end) as path,
+  md5(text) as content_hash, n_chars as size_bytes,
+  cast(100 + doc_id % 7 * 10 as int) as width, cast(100 + doc_id % 5 * 20 as int) as height,
+  concat('20', cast(10 + doc_id % 13 as string), '-0', cast(1 + doc_id % 9 as string), '-1', cast(doc_id % 10 as string), 'T00:00:00+00:00') as modified,
+  case when doc_id % 3 = 1 then concat('2015-0', cast(1 + doc_id % 9 as string), '-01T00:00:00Z') end as date_taken,
+  case when doc_id % 2 = 0 then cast(doc_id % 11 as double) end as blur_score,
+  case when doc_id % 5 > 0 then concat('Cam ', cast(doc_id % 3 as string)) end as device,
+  case when doc_id % 4 > 1 then cast((doc_id % 180 - 90) as double) end as gps_latitude,
+  case when doc_id % 4 > 1 then cast((doc_id % 360 - 180) as double) end as gps_longitude,
+  case when doc_id % 4 = 3 then concat('Town ', cast(doc_id % 6 as string)) end as location
+from documents"""
+
+FILES = """
+select event_id as ord, concat('/in/u', cast(user_id % 7 as string), '/', case
+    when event_id % 7 = 0 then concat('IMG_', {compact}, '_A23C.jpg')
+    when event_id % 7 = 1 then concat('Shot ', {dashed}, '.png')
+    when event_id % 7 = 2 then concat({short}, '.jpeg')
+    when event_id % 7 = 3 then concat('IMG-', {day}, '-WA', lpad(cast(event_id % 10000 as string), 4, '0'), '.jpg')
+    when event_id % 7 = 4 then 'x20210230_121212.mp4'
+    when event_id % 7 = 5 then concat('IMG_', {day}, '_x', cast(event_id as string), '.mov')
+    else concat('photo ', cast(event_id as string), '.heic') end) as path,
+  case when event_id % 11 = 0 then {exif} when event_id % 11 = 1 then '0000:00:00 00:00:00' end as original,
+  case when event_id % 13 = 0 then '2025:02:30 10:00:00' end as created, cast(null as string) as modified_tag,
+  case when event_id % 5 = 0 then 'Pixel 7' end as model, cast(null as string) as product,
+  case when event_id % 5 = 1 then 'sm:a/1' end as android
+from events"""
+SPARK_FORMATS = {k: f"date_format(ts, '{v}')" for k, v in {"compact": "yyyyMMdd_HHmmss", "dashed": "yyyy-MM-dd-HH-mm-ss", "short": "yyyyMMdd_HHmm", "day": "yyyyMMdd", "exif": "yyyy:MM:dd HH:mm:ss"}.items()}
+DUCK_FORMATS = {k: f"strftime(ts, '{v}')" for k, v in {"compact": "%Y%m%d_%H%M%S", "dashed": "%Y-%m-%d-%H-%M-%S", "short": "%Y%m%d_%H%M", "day": "%Y%m%d", "exif": "%Y:%m:%d %H:%M:%S"}.items()}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def made(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    return spark.sql(sql.replace(f"from {name}", "from {made}"), made=table(spark, sf_dir, name))
+
+
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made(spark, sf_dir, ASSETS, "documents")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made(spark, sf_dir, FILES.format(**SPARK_FORMATS), "events")
+
+
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), values.sign_hash(F.col("embedding")).alias("phash"))
+
+
+def query(sql: str | None = None):
+    """Register a function as a query under its name, with its SQL if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+WITH = f"with assets as ({ASSETS}),"
+WITH_FILES = f"with files as ({FILES.format(**DUCK_FORMATS)}),"
+STEM = r"regexp_replace(regexp_extract(path, '([^/\\]*)$', 1), '^(.+)\.[^.]*$', '\1')"
+NAME = r"regexp_extract(path, '([^/\\]*)$', 1)"
+IS_COPY = f"(contains(lower({STEM}), 'copy') or contains(lower({STEM}), 'copia') or not regexp_full_match({STEM}, 'IMG_[0-9]{{8}}_[0-9]{{6}}_[A-Za-z0-9]{{4}}'))"
+GROUPS = f"""{WITH}
+sized as (select content_hash, count(*) as n, min(asset_id) as group_id from assets where content_hash is not null group by 1 having count(*) >= 2),
+members as (select group_id, 'exact' as kind, 100 as similarity, a.*, asset_id as ord, {IS_COPY} as is_copy from assets a join sized using (content_hash))"""
+ELECTED = "select group_id, asset_id, similarity, row_number() over (partition by group_id order by is_copy, {order}) = 1 as is_original from {source}"
+RESOLUTION = "size_bytes desc, width::bigint * height desc, ord desc"
+ORDERS = {
+    "highestResolution": RESOLUTION,
+    "oldestDate": "coalesce(date_taken, modified), ord",
+    "newestDate": "coalesce(date_taken, modified) desc, ord desc",
+    "filenamePattern": f"lower({STEM}) like 'img_2021%' desc, case when lower({STEM}) like 'img_2021%' then ord end nulls last, {RESOLUTION}",
+    "highestSharpness": f"(blur_score is not null) desc, blur_score desc nulls last, case when blur_score is not null then ord end desc nulls last, {RESOLUTION}",
+}
+
+
+def exact_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assets(spark, sf_dir)
+    return duplicates.exact_groups(found).join(found, "asset_id")
+
+
+def elected(spark: SparkSession, sf_dir: str, rule: str = "highestResolution") -> DataFrame:
+    return retention.elect(exact_members(spark, sf_dir), rule, "IMG_2021*")
+
+
+@query(f"{GROUPS} " + ELECTED.format(order=RESOLUTION, source="members"))
+def g1_exact_duplicates(spark, sf_dir):
+    return elected(spark, sf_dir).select("group_id", "asset_id", "similarity", "is_original")
+
+
+def _rule_query(rule: str):
+    def run(spark, sf_dir):
+        return elected(spark, sf_dir, rule).select("group_id", "asset_id", "similarity", "is_original")
+
+    run.__name__ = f"g6_{rule}"
+    query(f"{GROUPS} " + ELECTED.format(order=ORDERS[rule], source="members"))(run)
+
+
+for _rule in ORDERS:
+    _rule_query(_rule)
+
+
+@query(f"{GROUPS}, shown as (select * replace (row_number() over (partition by group_id order by modified, ord) - 1 as ord) from members) " + ELECTED.format(order=ORDERS["newestDate"], source="shown"))
+def g7_reapply_rule(spark, sf_dir):
+    return retention.reapply(exact_members(spark, sf_dir), "newestDate").select("group_id", "asset_id", "similarity", "is_original")
+
+
+@query(
+    f"""{GROUPS}, first as ({ELECTED.format(order=RESOLUTION, source="members").replace("select ", "select path, width, height, ord, ", 1)}),
+stay as (select *, count(*) over g as n, max(is_original::int) over g as has from first where asset_id % 3 <> 0 window g as (partition by group_id))
+select group_id, asset_id, case when has = 1 then is_original else row_number() over (partition by group_id order by width::bigint * height desc, ord) = 1 end as is_original from stay where n >= 2"""
+)
+def g8_prune_and_reelect(spark, sf_dir):
+    members = elected(spark, sf_dir)
+    return retention.prune_deleted(members, members.where("asset_id % 3 = 0")).select("group_id", "asset_id", "is_original")
+
+
+PAIRS = """
+select a.vec_id as a, b.vec_id as b, len(list_filter(range(1, 65), lambda i: (a.embedding[i] > 0) <> (b.embedding[i] > 0)))::int as distance
+from embeddings a join embeddings b on a.vec_id < b.vec_id"""
+
+
+@query(f"select * from ({PAIRS}) where distance <= 16")
+def j4_hamming_pairs(spark, sf_dir):
+    return duplicates.similar_pairs(hashes(spark, sf_dir), 16)
+
+
+@query(f"with h as (select vec_id, embedding[1:32] as e from embeddings), p as (select a.vec_id as a, b.vec_id as b, len(list_filter(range(1, 33), lambda i: (a.e[i] > 0) <> (b.e[i] > 0)))::int as distance from h a join h b on a.vec_id < b.vec_id) select * from p where distance <= 3")
+def j4_banded_pairs(spark, sf_dir):
+    low = hashes(spark, sf_dir).withColumn("phash", F.col("phash").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return duplicates.similar_pairs(low, 3)
+
+
+@query()
+def g2_similar_clusters(spark, sf_dir):
+    return duplicates.similar_groups(hashes(spark, sf_dir), 20)
+
+
+@query("with t as (select event_id, strftime(ts, '%Y%m%d_%H%M%S') as tag from events) select min(event_id) over (partition by tag) as group_id, event_id as asset_id, 'sameDate' as kind from t qualify count(*) over (partition by tag) >= 2")
+def g3_same_timestamp(spark, sf_dir):
+    tags = table(spark, sf_dir, "events").select(F.col("event_id").alias("asset_id"), F.date_format("ts", "yyyyMMdd_HHmmss").alias("ts_tag"), F.lit(None).cast("long").alias("phash"))
+    return duplicates.same_time_groups(tags).select("group_id", "asset_id", "kind")
+
+
+@query()
+def g4_cross_groups(spark, sf_dir):
+    h = hashes(spark, sf_dir).withColumn("ts_tag", F.concat(F.lit("20210828_13"), F.lpad((F.col("asset_id") % 50).cast("string"), 4, "0")))
+    return duplicates.cross_groups(duplicates.same_time_groups(h), h, 20)
+
+
+@query()
+def find_duplicates(spark, sf_dir):
+    found = assets(spark, sf_dir).join(hashes(spark, sf_dir), "asset_id", "left")
+    return duplicates.find_duplicates(found, 16).select("group_id", "kind", "similarity", "asset_id", "is_original")
+
+
+@query(rf"select page_id, {NAME.replace('path', 'url')} as name, regexp_extract(url, '^(.*)[/\\][^/\\]*$', 1) as folder, lower(regexp_extract(url, '([^.]*)$', 1)) as ext, {STEM.replace('path', 'url')} as stem from pages")
+def t1_paths(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", paths.file_name(u).alias("name"), paths.folder_path(u).alias("folder"), paths.display_extension(u).alias("ext"), paths.stem(u).alias("stem"))
+
+
+@query("select doc_id, case when n_chars < 1024 then concat(n_chars, ' B') when n_chars < 1048576 then concat((n_chars * 20 + 1024) // 2048 // 10, '.', (n_chars * 20 + 1024) // 2048 % 10, ' KB') else concat((n_chars * 20 + 1048576) // 2097152 // 10, '.', (n_chars * 20 + 1048576) // 2097152 % 10, ' MB') end as size_text, case when n_chars * 97 < 500 then null when round(n_chars * 97 / 1000.0) < 60 then concat(round(n_chars * 97 / 1000.0)::bigint, 's') when round(n_chars * 97 / 1000.0) < 3600 then concat(round(n_chars * 97 / 1000.0)::bigint // 60, 'm ', round(n_chars * 97 / 1000.0)::bigint % 60, 's') else concat(round(n_chars * 97 / 1000.0)::bigint // 3600, 'h ', round(n_chars * 97 / 1000.0)::bigint % 3600 // 60, 'm') end as duration_text from documents")
+def t4_formats(spark, sf_dir):
+    n = F.col("n_chars")
+    return table(spark, sf_dir, "documents").select("doc_id", paths.format_size(n).alias("size_text"), dates.format_duration(n * 97).alias("duration_text"))
+
+
+@query(rf"{WITH} s as (select asset_id, {STEM} as stem from assets) select asset_id, regexp_full_match(stem, 'IMG_[0-9]{{8}}_[0-9]{{6}}_[A-Za-z0-9]{{4}}') as canonical, (contains(lower(stem), 'copy') or not regexp_full_match(stem, 'IMG_[0-9]{{8}}_[0-9]{{6}}_[A-Za-z0-9]{{4}}')) as looks_copied, regexp_full_match(lower(stem), 'pxl_.*13295..*') as globbed, nullif(regexp_extract(stem, '([0-9]{{8}}_[0-9]{{6}})', 1), '') as ts_tag from s")
+def f13_names(spark, sf_dir):
+    s = paths.stem(F.col("path"))
+    return assets(spark, sf_dir).select("asset_id", paths.is_canonical_name(s).alias("canonical"), paths.is_copy_name(s).alias("looks_copied"), paths.glob_match(s, "PXL_*13295?*").alias("globbed"), dates.timestamp_tag(s).alias("ts_tag"))
+
+
+def _scan(pattern: str, fmt: str, width: int, guard: str = "true") -> str:
+    """DuckDB: the first substring at any place that matches and is a date."""
+    return f"""(list_filter(list_transform(list_filter(range(1, length(n) - {width - 2}), lambda i: regexp_full_match(n[i:i + {width - 1}], '{pattern}') and {guard}), lambda i: strftime(try_strptime(n[i:i + {width - 1}], '{fmt}'), '%Y:%m:%d %H:%M:%S')), lambda d: d is not null and d[1:4]::int between 1900 and 2100))[1]"""
+
+
+D7 = _scan("[0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9]{2}-[0-9]{2}-[0-9]{2}", "%Y-%m-%d-%H-%M-%S", 19)
+D8 = _scan("[0-9]{8}_[0-9]{6}", "%Y%m%d_%H%M%S", 15)
+D9 = _scan("[0-9]{8}_[0-9]{4}", "%Y%m%d_%H%M", 13, "not regexp_full_match(n[i + 13:i + 14], '[0-9]{2}')")
+KEYS = "nullif(regexp_extract(regexp_extract(upper(n), '^(?:.*?)IMG_(.*)$', 1), '^([0-9]{8})_', 1), '') as img_key, nullif(regexp_extract(upper(n), '-([0-9]{8})-WA', 1), '') as wa_key"
+
+
+@query(f"{WITH_FILES} named as (select ord, {NAME} as n from files) select ord, {D7} as dashed, {D8} as compact, {D9} as short, {KEYS} from named")
+def d7_filename_dates(spark, sf_dir):
+    n = paths.file_name(F.col("path"))
+    return files(spark, sf_dir).select("ord", dates.dashed_datetime(n).alias("dashed"), dates.compact_datetime(n).alias("compact"), dates.compact_without_seconds(n).alias("short"), dates.img_date_key(n).alias("img_key"), dates.messenger_date_key(n).alias("wa_key"))
+
+
+CONFIG = organize.OrganizerConfig(override_year=True, device_aliases={"Pixel 7": "Phone"})
+DATED = f"""{WITH_FILES} named as (select *, {NAME} as n, strftime(try_strptime(original, '%Y:%m:%d %H:%M:%S'), '%Y:%m:%d %H:%M:%S') as exif from files),
+found as (select *, coalesce({D7}, {D8}, {D9}) as own, {KEYS} from named),
+keyed as (select *, case when exif is null and own is null then coalesce(img_key, wa_key) end as k from found),
+counted as (select *, (row_number() over (partition by k order by ord) - 1) % 1440 as m from keyed),
+dated as (select *, case when exif is not null then 'exif' when own is not null then 'filename' when k is not null then 'key' else 'fallback' end as date_source,
+  coalesce(exif, own, concat(k[1:4], ':', k[5:6], ':', k[7:8], ' ', lpad((m // 60)::varchar, 2, '0'), ':', lpad((m % 60)::varchar, 2, '0'), ':00'), '2024:01:01 00:00:00') as d from counted),
+final as (select * replace (case when d like '2025%' then concat('2024', d[5:]) else d end as d) from dated)"""
+# concat skips nulls in DuckDB, so the key's date is guarded.
+DATED = DATED.replace("concat(k[1:4]", "case when k is not null then concat(k[1:4]").replace("':00'), '2024", "':00') end, '2024")
+
+
+@query(f"{DATED} select ord, d as date_used, date_source from final")
+def d13_best_dates(spark, sf_dir):
+    return organize.resolve_dates(files(spark, sf_dir), CONFIG).select("ord", "date_used", "date_source")
+
+
+@query(
+    f"""{DATED}, told as (select *, case when regexp_matches(lower(path), '[.](mp4|mov)$') then 'video' else 'image' end as file_kind,
+  coalesce(upper(coalesce(model, android)), case when contains(upper(n), '-WA') or contains(upper(n), 'WA-') then 'WHATSAPP' else 'DESCONOCIDO' end) as raw,
+  row_number() over (order by ord) - 1 as uid from final),
+placed as (select *, case when lower(raw) = 'pixel 7' then 'Phone' else raw end as device,
+  concat(case when file_kind = 'video' then 'VID' else 'IMG' end, '_', replace(d[1:10], ':', ''), '_', replace(d[12:19], ':', ''), '_', lpad(upper(hex(uid)), greatest(4, length(hex(uid))), '0'), '.', replace(lower(regexp_extract(n, '[.]([^.]*)$', 1)), 'jpeg', 'jpg')) as new_filename from told)
+select ord, path as original_path, new_filename, concat('/out/', d[1:4], '/', array_to_string(list_filter(string_split(upper(translate(device, '\\:*?"<>|', '________')), '/'), lambda x: trim(x) <> ''), '/'), '/', d[6:7], ' - ', (['ENERO','FEBRERO','MARZO','ABRIL','MAYO','JUNIO','JULIO','AGOSTO','SEPTIEMBRE','OCTUBRE','NOVIEMBRE','DICIEMBRE'])[d[6:7]::int], '/', new_filename) as new_path, d as date_used, date_source, device, file_kind from placed"""
+)
+def o_organize_plan(spark, sf_dir):
+    return organize.plan_organize(files(spark, sf_dir), CONFIG)
+
+
+@query(f"{WITH_FILES} kinds as (select case when regexp_matches(lower(path), '[.](mp4|mov)$') then 'video' else 'image' end as file_kind, lower(regexp_extract({NAME}, '[.]([^.]*)$', 1)) as ext from files) select file_kind, ext, count(*) as n from kinds group by rollup (file_kind, ext)")
+def g11_media_counts(spark, sf_dir):
+    return organize.media_counts(files(spark, sf_dir))
+
+
+@query(f"{DATED} select path, unnest(['DateTimeOriginal', 'CreateDate', 'ModifyDate']) as tag, d as value from final")
+def k9_date_rewrite(spark, sf_dir):
+    return organize.plan_date_rewrite(organize.resolve_dates(files(spark, sf_dir), CONFIG))
+
+
+@query(f"{DATED} select count(*) as total, count(*) filter (date_source <> 'fallback') as succeeded, count(*) filter (date_source = 'fallback') as failed from final")
+def g17_summary(spark, sf_dir):
+    return organize.summary(organize.resolve_dates(files(spark, sf_dir), CONFIG).withColumn("ok", F.col("date_source") != "fallback"))
+
+
+@query("""select event_id, nullif(trim(json_extract_string(props, '$.k')), '') as k_text, try_cast(string_split(trim(json_extract_string(props, '$.k')), ' ')[1] as double) as k_number, case when event_type like '% %' then event_type else concat('Cam ', event_type) end as device, split_part(concat('Cam ', event_type), ' ', 1) as make from events""")
+def t7_tags(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    device = values.join_device(F.lit(" Cam "), F.col("event_type"))
+    return e.select("event_id", values.tag_text(F.col("props"), "k").alias("k_text"), values.first_number(F.get_json_object("props", "$.k")).alias("k_number"), device.alias("device"), values.split_device(device)["make"].alias("make"))
+
+
+@query("select vec_id, bits as distance, round((64 - bits) / 64.0 * 100)::int as similarity, round(case when bits > 0 then greatest(least(ln(1 + bits) / ln(401.0) * 100, 100), 2) else 0 end, 6) as sharpness from (select vec_id, len(list_filter(range(1, 65), lambda i: embedding[i] > 0))::int as bits from embeddings)")
+def m1_distances(spark, sf_dir):
+    d = values.hamming(F.col("phash"), F.lit(0).cast("long"))
+    return hashes(spark, sf_dir).select(F.col("asset_id").alias("vec_id"), d.alias("distance"), values.similarity_percent(d).alias("similarity"), F.round(values.sharpness_percent(d.cast("double")), 6).alias("sharpness"))
+
+
+@query(
+    """select c_custkey, round(c_acctbal / 100, 6) as latitude, case when c_acctbal >= 0 then 'N' else 'S' end as ref,
+concat(t // 36000, '°', t % 36000 // 600, '''', t % 600 // 10, '.', t % 10, '"', case when c_acctbal >= 0 then 'N' else 'S' end) as dms, abs(c_acctbal / 100) <= 90 as valid
+from (select *, round(abs(round(c_acctbal / 100, 6)) * 36000)::bigint as t from customer)"""
+)
+def m12_positions(spark, sf_dir):
+    lat = F.round(F.col("c_acctbal") / 100, 6)
+    return table(spark, sf_dir, "customer").select("c_custkey", lat.alias("latitude"), values.position_ref(lat, "N", "S").alias("ref"), values.degrees_text(lat, "N", "S").alias("dms"), values.valid_position(lat, F.lit(0.0)).alias("valid"))
+
+
+@query("select p.lat_cell, p.lon_cell, count(*) as n, min(c_custkey) as first_key from (select c_custkey, round(c_acctbal)::int as lat_cell, round(c_nationkey * 100)::int as lon_cell from customer) p group by 1, 2")
+def g15_geo_cells(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.inline(F.array(values.geo_cell(F.round("c_acctbal") / 100, F.col("c_nationkey").cast("double")))))
+    return c.groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_key"))
+
+
+@query("select l_orderkey, case when count(distinct l_returnflag) = 1 then min(l_returnflag) else '__mixed__' end as l_returnflag, case when count(distinct l_linestatus) = 1 then min(l_linestatus) else '__mixed__' end as l_linestatus, case when count(distinct l_linenumber) = 1 then min(l_linenumber)::varchar else '__mixed__' end as l_linenumber from lineitem group by 1")
+def g13_mixed_values(spark, sf_dir):
+    return views.common_values(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_linestatus", "l_linenumber"])
+
+
+@query(f"{WITH} g as (select device, count(gps_latitude) as n, count(*) as t, min(gps_latitude) as lo, max(gps_latitude) as hi from assets group by 1) select device, case when n = 0 then 'none' when n < t then 'some' when lo = hi then 'equal' else 'mixed' end as state from g")
+def g14_position_state(spark, sf_dir):
+    return assets(spark, sf_dir).groupBy("device").agg(values.position_state(F.col("gps_latitude")).alias("state"))
+
+
+@query(f"{WITH} f as (select * from assets where contains(lower({NAME}), 'photo') and substr(coalesce(date_taken, modified), 1, 10) between '2012-01-01' and '2020-12-31' and coalesce(device, '') = 'Cam 1') select asset_id, location from f where location is not null")
+def f5_filter_assets(spark, sf_dir):
+    found = views.filter_assets(assets(spark, sf_dir), " Photo ", "2012-01-01", "2020-12-31", device="Cam 1")
+    return found.where("location is not null").select("asset_id", "location")
+
+
+@query(f"{GROUPS}, hit as (select distinct group_id from members where lower(regexp_extract(path, '([^.]*)$', 1)) = 'jpg'), named as (select distinct group_id from members where contains(lower({NAME}), 'pxl')) select group_id, asset_id from members where group_id in (from hit) and group_id in (from named)")
+def f3_filter_groups(spark, sf_dir):
+    members = views.with_kind(exact_members(spark, sf_dir), "exact")
+    return views.with_name(views.with_extension(members, "jpg"), "PXL").select("group_id", "asset_id")
+
+
+@query(f"{GROUPS}, first as ({ELECTED.format(order=RESOLUTION, source='members').replace('select ', 'select path, ord, ', 1)}) select group_id, asset_id, row_number() over (partition by group_id order by is_original desc, {NAME}, ord)::int as place from first")
+def w7_original_first(spark, sf_dir):
+    return views.original_first(elected(spark, sf_dir)).select("group_id", "asset_id", "place")
+
+
+@query(f"{GROUPS}, first as ({ELECTED.format(order=RESOLUTION, source='members').replace('select ', 'select size_bytes, ', 1)}) select group_id, count(*) as copies, sum(size_bytes)::bigint as bytes from first where not is_original group by 1")
+def f9_copies(spark, sf_dir):
+    return views.copies(elected(spark, sf_dir)).groupBy("group_id").agg(F.count("*").alias("copies"), F.sum("size_bytes").alias("bytes"))
+
+
+KINDS = "select vec_id as group_id, (['exact', 'similar', 'sameDate'])[1 + vec_id % 3] as kind, case when vec_id % 3 < 2 or vec_id % 2 = 0 then (75 + vec_id % 25)::int end as similarity from embeddings"
+
+
+@query(f"select count(*) as \"all\", count(*) filter (kind = 'exact') as exact, count(*) filter (kind = 'similar' or (kind = 'sameDate' and similarity is not null)) as similar, count(*) filter (kind = 'sameDate' and similarity is null) as \"sameDate\" from ({KINDS})")
+def g9_kind_counts(spark, sf_dir):
+    return views.kind_counts(_kinds(spark, sf_dir))
+
+
+@query(f"select group_id, row_number() over (order by case when kind = 'exact' then 0 when kind = 'similar' then 1 when similarity is not null then 2 else 3 end, case when kind = 'similar' or (kind = 'sameDate' and similarity is not null) then similarity end desc nulls last, group_id) as place from ({KINDS}) order by place limit 100")
+def o4_order_groups(spark, sf_dir):
+    from pyspark.sql import Window
+
+    ordered = views.order_groups(_kinds(spark, sf_dir)).limit(100)
+    key = F.desc_nulls_last(F.when(views.kind_rank().isin(1, 2), F.col("similarity")))
+    return ordered.select("group_id", F.row_number().over(Window.orderBy(views.kind_rank(), key, "group_id")).cast("long").alias("place"))
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("vec_id")
+    kind = F.element_at(F.array(F.lit("exact"), F.lit("similar"), F.lit("sameDate")), (v % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "embeddings").select(v.alias("group_id"), kind.alias("kind"), F.when((v % 3 < 2) | (v % 2 == 0), (F.lit(75) + v % 25).cast("int")).alias("similarity"))
+
+
+@query(f"{WITH} e as (select lower(regexp_extract(path, '([^.]*)$', 1)) as ext from assets) select ext, count(*) as n from e group by 1")
+def g10_extensions(spark, sf_dir):
+    return views.extension_histogram(assets(spark, sf_dir))
+
+
+@query(f"{WITH} d as (select distinct device from assets where coalesce(device, '') <> '') select device from d")
+def g12_devices(spark, sf_dir):
+    return views.facet(assets(spark, sf_dir), "device")
+
+
+@query(f"{WITH} o as (select asset_id, row_number() over (order by string_split(path, '/')) - 1 as place from assets) select asset_id, place from o")
+def o1_path_order(spark, sf_dir):
+    return duplicates.number_assets(assets(spark, sf_dir).withColumnRenamed("asset_id", "id")).select(F.col("id").alias("asset_id"), F.col("asset_id").alias("place"))
+
+
+CACHE = "select doc_id, case when doc_id % 10 > 0 then n_chars else n_chars + 1 end as size, case when doc_id % 4 > 0 then md5(substr(text, 1, 100)) end as header, cast(doc_id % 9 as string) as mtime from documents where doc_id % 5 > 0"
+
+
+@query(f"with cache as ({CACHE}), m as (select d.doc_id, coalesce(c.size = d.n_chars and case when c.header is not null then c.header = md5(substr(d.text, 1, 100)) else c.mtime = cast(d.doc_id % 8 as string) end, false) as hit from documents d left join cache c using (doc_id)) select count(*) filter (hit) as hits, count(*) filter (not hit) as misses, round(count(*) filter (hit) * 100 / count(*))::int as hit_percent from m")
+def j1_cache_hits(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    header = F.md5(F.substring("text", 1, 100))
+    now = docs.select(F.col("doc_id").cast("string").alias("cache_key"), F.col("n_chars").alias("size_bytes"), header.alias("header_hash"), (F.col("doc_id") % 8).cast("string").alias("mtime"))
+    cached = docs.where("doc_id % 5 > 0").select(
+        F.col("doc_id").cast("string").alias("cache_key"),
+        F.when(F.col("doc_id") % 10 > 0, F.col("n_chars")).otherwise(F.col("n_chars") + 1).alias("size_bytes"),
+        F.when(F.col("doc_id") % 4 > 0, header).alias("header_hash"),
+        (F.col("doc_id") % 9).cast("string").alias("mtime"),
+        F.md5("text").alias("content_hash"),
+        F.lit("0").alias("phash"),
+        F.lit(None).cast("string").alias("fast_phash"),
+    )
+    return caching.hit_stats(caching.match_cache(now, cached))
+
+
+@query("select doc_id as cache_key, case when doc_id % 3 = 0 then n_chars + 7 else n_chars end as size_bytes from documents where doc_id % 2 > 0 or doc_id % 3 = 0")
+def k1_upsert_and_evict(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cache_key"), F.col("n_chars").alias("size_bytes"))
+    old = caching.evict(docs, docs.where("cache_key % 2 = 0"))
+    return caching.upsert(old, docs.where("cache_key % 3 = 0").withColumn("size_bytes", F.col("size_bytes") + 7))
+
+
+@query("select source, md5(string_agg(md5(concat_ws('|', doc_id::varchar, n_chars::varchar)), '' order by doc_id)) as fingerprint from documents group by 1")
+def g18_fingerprint(spark, sf_dir):
+    return caching.fingerprint(table(spark, sf_dir, "documents"), ["doc_id", "n_chars"], ["source"])
+
+
+@query("with h as (select o_custkey as key, o_orderkey as id, o_orderdate as t from orders union all select 7, -1, timestamp '2100-01-01'), l as (select key, first(id order by t, id) as id, max(t) as t from h group by 1) select key, id from l order by t desc, key limit 5")
+def k11_recent_history(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
+    entry = spark.range(1).select(F.lit(7).cast("long").alias("key"), F.lit(-1).cast("long").alias("id"), F.lit("2100-01-01 00:00:00").cast(o.schema["at"].dataType).alias("at"))
+    return caching.recent(o, entry).select("key", "id")
+
+
+@query("select c_custkey, case when c_custkey % 3 = 0 then concat('new ', c_custkey) else c_name end as c_name from customer")
+def k12_patch(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    new = c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("new "), F.col("c_custkey").cast("string"))).alias("c_name"))
+    return caching.patch(c, new, "c_custkey", ["c_name"])
+
+
+@query(f"{WITH} u as (select path, date_taken, case when asset_id % 2 = 0 then 'Ann' end as artist, gps_latitude, gps_longitude from assets) select path, tag, value from (select path, unnest(['DateTimeOriginal', 'CreateDate', 'Artist', 'XMP:Creator', 'GPSLatitude', 'GPSLatitudeRef', 'GPSLongitude', 'GPSLongitudeRef']) as tag, unnest([date_taken, date_taken, artist, artist, printf('%.8f', abs(gps_latitude)), case when gps_latitude >= 0 then 'N' when gps_latitude < 0 then 'S' end, printf('%.8f', abs(gps_longitude)), case when gps_longitude >= 0 then 'E' when gps_longitude < 0 then 'W' end]) as value from u) where value is not null")
+def k7_metadata_tags(spark, sf_dir):
+    u = assets(spark, sf_dir).select("path", "date_taken", F.when(F.col("asset_id") % 2 == 0, "Ann").alias("artist"), "gps_latitude", "gps_longitude")
+    return organize.metadata_tags(u)
+
+
+@query("with w as (select event_id, user_id, ts, first(event_id) over s as first_id, first(ts) over s as first_ts from events window s as (partition by user_id order by epoch_us(ts), event_id range between 0 preceding and current row)), r as (select a.event_id, count(*) as n, min(epoch_us(b.ts)) as since from events a join events b on a.user_id = b.user_id and epoch_us(b.ts) between epoch_us(a.ts) - 10000000 and epoch_us(a.ts) group by 1) select event_id, n, since from r".replace("with w as (select event_id, user_id, ts, first(event_id) over s as first_id, first(ts) over s as first_ts from events window s as (partition by user_id order by epoch_us(ts), event_id range between 0 preceding and current row)), r as", "with r as"))
+def w4_rolling_window(spark, sf_dir):
+    from prismlake.streaming.progress import rolling_progress
+
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return rolling_progress(e, "user_id", "at", 10_000_000).select("event_id", "n", "since")
+
+
+@query("with f as (select event_id, user_id, event_type, coalesce(event_type <> lag(event_type) over w, true)::int as fresh from events window w as (partition by user_id order by event_id)) select event_id, sum(fresh) over (partition by user_id order by event_id)::bigint as segment from f")
+def w5_segments(spark, sf_dir):
+    from prismlake.streaming.progress import segments
+
+    return segments(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type").select("event_id", "segment")
+
+
+@query(
+    """with p as (select vec_id, i // 8 as y, i % 8 as x, round(embedding[i + 1] * 100)::bigint as v from embeddings, range(0, 64) t(i)),
+l as (select c.vec_id, (u.v + d.v + l.v + r.v - 4 * c.v) as z from p c join p u on u.vec_id = c.vec_id and u.y = c.y - 1 and u.x = c.x join p d on d.vec_id = c.vec_id and d.y = c.y + 1 and d.x = c.x
+ join p l on l.vec_id = c.vec_id and l.y = c.y and l.x = c.x - 1 join p r on r.vec_id = c.vec_id and r.y = c.y and r.x = c.x + 1)
+select vec_id, round(sum(z * z)::double / 36 - (sum(z)::double / 36) * (sum(z)::double / 36), 3) as sharpness from l group by 1"""
+)
+def m6_laplacian(spark, sf_dir):
+    from prismlake.functions.imaging import laplacian_variance
+
+    e = table(spark, sf_dir, "embeddings")
+    luma = F.transform("embedding", lambda x: F.round(x.cast("double") * 100))
+    return e.select("vec_id", F.round(laplacian_variance(luma, F.lit(8)), 3).alias("sharpness"))
+
+
+@query(f"{WITH} n as (select location, count(*) as n from assets group by 1) select coalesce(location, '__no_location__') as location, n from n")
+def j6_locations(spark, sf_dir):
+    return assets(spark, sf_dir).groupBy(F.coalesce("location", F.lit(values.NO_LOCATION)).alias("location")).agg(F.count("*").alias("n"))
+
+
+@query("select p_partkey, case when p_size % 4 = 0 then 'ok' when p_size % 4 = 1 then 'partial' else 'missing' end as status from part")
+def g24_folder_status(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    there = F.when(F.col("p_size") % 4 == 0, F.array(F.lit(True), F.lit(True))).when(F.col("p_size") % 4 == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False), F.lit(False)))
+    return caching.folder_status(p.select(F.col("p_partkey").alias("key"), F.explode(there).alias("there"))).withColumnRenamed("key", "p_partkey")
