@@ -241,7 +241,7 @@ def d13_best_dates(spark, sf_dir):
   coalesce(upper(coalesce(model, android)), case when contains(upper(n), '-WA') or contains(upper(n), 'WA-') then 'WHATSAPP' else 'DESCONOCIDO' end) as raw,
   row_number() over (order by ord) - 1 as uid from final),
 placed as (select *, case when lower(raw) = 'pixel 7' then 'Phone' else raw end as device,
-  concat(case when file_kind = 'video' then 'VID' else 'IMG' end, '_', replace(d[1:10], ':', ''), '_', replace(d[12:19], ':', ''), '_', lpad(upper(hex(uid)), greatest(4, length(hex(uid))), '0'), '.', replace(lower(regexp_extract(n, '[.]([^.]*)$', 1)), 'jpeg', 'jpg')) as new_filename from told)
+  concat(case when file_kind = 'video' then 'VID' else 'IMG' end, '_', replace(d[1:10], ':', ''), '_', replace(d[12:19], ':', ''), '_', lpad(upper(hex(uid)), greatest(4, length(hex(uid)))::int, '0'), '.', replace(lower(regexp_extract(n, '[.]([^.]*)$', 1)), 'jpeg', 'jpg')) as new_filename from told)
 select ord, path as original_path, new_filename, concat('/out/', d[1:4], '/', array_to_string(list_filter(string_split(upper(translate(device, '\\:*?"<>|', '________')), '/'), lambda x: trim(x) <> ''), '/'), '/', d[6:7], ' - ', (['ENERO','FEBRERO','MARZO','ABRIL','MAYO','JUNIO','JULIO','AGOSTO','SEPTIEMBRE','OCTUBRE','NOVIEMBRE','DICIEMBRE'])[d[6:7]::int], '/', new_filename) as new_path, d as date_used, date_source, device, file_kind from placed"""
 )
 def o_organize_plan(spark, sf_dir):
