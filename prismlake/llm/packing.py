@@ -9,14 +9,17 @@ their places by their distributed rank among those of their length.
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -25,9 +28,11 @@ from prismlake.operators.running import running_before
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
+#: The same vocabulary as ranks: encodes single words about five times as fast.
+RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 0
 #: Encoded chunks that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 # Where a text may be cut so that byte-level BPE gives the same tokens: before a lone space or line feed between other signs.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -41,11 +46,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = None
+        if path == public_tokenizers.path(TOKENIZER):
+            with open(public_tokenizers.path(RANKS), "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.words = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self.known) + len(chunks) > REMEMBERED:
             self.known.clear()
         new = [c for c in chunks if c not in self.known]
+        if self.words:
+            for chunk in new:
+                self.known[chunk] = array("I", self.words.encode_ordinary(chunk)).tobytes()
+            return
         for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[chunk] = np.array(found.ids, "<u4").tobytes()
 
