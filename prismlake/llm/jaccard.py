@@ -3,8 +3,7 @@
 Texts become sorted arrays of hashed word shingles; texts with equal arrays are one
 node. Nodes that can be similar share one of their first shingles in a common global
 order (the prefix principle), so a tile holds the nodes that share such shingles with
-its least node, cut by bands of set sizes where it is large: only equal or
-neighbouring bands are compared. Within a tile the population counts of XORed parity
+its least node, in one band of set sizes: only equal or neighbouring bands are compared. Within a tile the population counts of XORed parity
 bitmaps bound the overlap from above; pairs that pass are verified by exact
 intersection of their arrays. Tiles first try one edge from each node to the least
 one; what that connects needs no further comparison, so that copies of one text cost
@@ -195,21 +194,25 @@ def _exact(num: int, den: int):
     return run, "a long, b long, overlap long"
 
 
-def _tiles(num: int, den: int):
-    """Pairs of a tile that the bitmaps allow; rows come sorted by tile."""
+def _tiles(num: int, den: int, forest: bool):
+    """Pairs of a tile that the bitmaps allow, between different roots; rows come sorted by tile.
+
+    forest: only as many as would connect the tile's roots, the likeliest first.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     tile = ["low", "band", "i", "j"]
 
-    def pairs(rows: list[dict]) -> Iterator[tuple]:
+    def pairs(rows: list[dict]) -> list[tuple[int, int]]:
         i, j = rows[0]["i"], rows[0]["j"]
         homes = [r for r in rows if not r["visits"]]
         if not homes:
-            return
+            return []
         width = min(len(r["bits"]) for r in rows) // 8
         maps = {id(r): _fold(np.frombuffer(r["bits"], np.uint64), width) for r in rows}
         matrix = np.stack([maps[id(r)] for r in homes])
         sizes = np.array([r["n"] for r in homes])
         nodes, roots, chunks = (np.array([r[c] for r in homes]) for c in ("node", "root", "chunk"))
+        found = []
         for r in rows:
             distance = np.bitwise_count(matrix ^ maps[id(r)]).sum(axis=1, dtype=np.int64)
             fits = _may_match(sizes, r["n"], distance, num, den) & (roots != r["root"])
@@ -217,8 +220,23 @@ def _tiles(num: int, den: int):
                 fits &= chunks != r["chunk"]
             if not r["visits"]:
                 fits &= nodes < r["node"]
-            for x in np.flatnonzero(fits):
-                yield min(int(nodes[x]), r["node"]), max(int(nodes[x]), r["node"])
+            found += [(distance[x] / (sizes[x] + r["n"]), int(nodes[x]), r["node"], int(roots[x]), r["root"]) for x in np.flatnonzero(fits)]
+        if not forest:
+            return [(min(a, b), max(a, b)) for _, a, b, _, _ in found]
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        chosen = []
+        for _, a, b, ra, rb in sorted(found):
+            if find(ra) != find(rb):
+                parent[find(ra)] = find(rb)
+                chosen.append((min(a, b), max(a, b)))
+        return chosen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
@@ -263,39 +281,49 @@ def _verify(features: DataFrame, pairs: DataFrame, num: int, den: int, bounded:
     return pairs
 
 
-def links(features: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, overlap) among _featurize()d rows, in two tables that together connect all similar nodes."""
+def _tile_pairs(features: DataFrame, members: DataFrame, roots: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Candidates among the members (low, band, node, n, visits) of each tile whose roots (vertex, component) differ."""
+    rooted = members.join(roots.select(F.col("vertex").alias("node"), F.col("component").alias("root")), "node", "left")
+    rooted = durable(rooted.withColumn("root", F.coalesce("root", "node")))
+    spread = [F.count("*").alias("rows"), F.sum((~F.col("visits")).cast("int")).alias("homes"), F.min("root").alias("lo"), F.max("root").alias("hi")]
+    tiles = rooted.groupBy("low", "band").agg(*spread).where("homes > 0 and lo <> hi").select("low", "band", F.ceil(F.col("rows") / BLOCK).cast("long").alias("chunks"))
+    split = durable(rooted.join(tiles, ["low", "band"])).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    ids = split.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    # Rows of a large tile meet chunk by chunk.
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    tile = ["low", "band", "i", "j"]
+    signed = split.join(_wanted(features, ids, "bits").select("node", "bits"), "node").select(*tile, "node", "n", "root", "chunk", "visits", "bits")
+    return durable(signed.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(*_tiles(num, den, forest)).distinct())
+
+
+def links(features: DataFrame, num: int, den: int) -> list[DataFrame]:
+    """Verified links (a, b, overlap) among _featurize()d rows, in tables that together connect all similar nodes.
+
+    First each node with the least of its tile, then a likely forest of each tile, and
+    last all pairs that are still in different components.
+    """
     arrays = features.where("arr is not null").select("node", "n", "arr")
     classes = _classes(features)
     groups = arrays.mapInArrow(*_prefixes(classes, num, den)).groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = durable(groups.where("low <> high").select("shingle", "low"))
-    # A tile is a node and all that share a shingle with it as the least of the shingle's nodes.
+    shared = durable(groups.where("low <> high").select("shingle"))
     entries = arrays.mapInArrow(*_prefixes(classes, num, den, _filter_of(shared))).join(shared, "shingle")
-    members = durable(entries.select("low", "node", "n").distinct())
-    stars = members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
-    first = _verify(features, stars, num, den, bounded=False)
-    found = connected_components(first, "a", "b")
-    # What is left: nodes of different components in one tile.
-    rooted = members.join(found.select(F.col("vertex").alias("node"), F.col("component").alias("root")), "node", "left")
-    rooted = durable(rooted.withColumn("root", F.coalesce("root", "node")))
-    roots = [F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")]
-    mixed = rooted.groupBy("low").agg(*roots).where("lo <> hi").select("low", "rows")
+    # A set is at home in the band of its size and visits the next, so that similar ones meet where the larger is at home.
     step = math.log(den / num) * (1 + 1e-9)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("long")
-    # Small tiles hold all sizes; in larger ones a set is at home in its band and visits the next.
-    whole = F.array(F.struct(F.lit(-1).cast("long").alias("band"), F.lit(False).alias("visits")))
-    banded = F.array(F.struct(band.alias("band"), F.lit(False).alias("visits")), F.struct((band + 1).alias("band"), F.lit(True).alias("visits")))
-    housed = rooted.join(mixed, "low").select("low", "node", "n", "root", F.inline(F.when(F.col("rows") > BLOCK, banded).otherwise(whole)))
-    housed = durable(housed)
-    tiles = housed.groupBy("low", "band").agg(*roots, F.sum((~F.col("visits")).cast("int")).alias("homes")).where("homes > 0 and lo <> hi").drop("lo", "hi")
-    split = housed.join(tiles, ["low", "band"]).withColumn("chunks", F.ceil(F.col("rows") / BLOCK).cast("long")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    ids = housed.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    tile = ["low", "band", "i", "j"]
-    signed = split.join(_wanted(features, ids, "bits").select("node", "bits"), "node").select(*tile, "node", "n", "root", "chunk", "visits", "bits")
-    candidates = durable(signed.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(*_tiles(num, den)).distinct())
-    second = _verify(features, candidates, num, den, bounded=True)
-    return first, second
+    bands = F.array(F.struct(band.alias("band"), F.lit(False).alias("visits")), F.struct((band + 1).alias("band"), F.lit(True).alias("visits")))
+    housed = durable(entries.select("shingle", "node", "n", F.inline(bands)))
+    # A tile is a node and all of a band that share a shingle with it as the least of the shingle's nodes there.
+    least = housed.groupBy("shingle", "band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("visits").alias("empty")).where("low <> high and not empty")
+    members = durable(housed.join(least, ["shingle", "band"]).select("low", "band", "node", "n", "visits").distinct())
+    stars = durable(members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
+    found = [_verify(features, stars, num, den, bounded=False)]
+    for forest in (True, False):
+        edges = found[0].select("a", "b")
+        for more in found[1:]:
+            edges = edges.unionByName(more.select("a", "b"))
+        roots = connected_components(edges, "a", "b")
+        found.append(_verify(features, _tile_pairs(features, members, roots, num, den, forest), num, den, bounded=True))
+    return found
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -310,9 +338,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     """
     features = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(*_featurize(k)))
     rows = features.where("kind = 0").select("doc_id", "n", "node")
-    first, second = links(features, num, den)
+    found = links(features, num, den)
     nodes = durable(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")))
-    edges = first.select("a", "b").unionByName(second.select("a", "b"))
+    edges = found[0].unionByName(found[1]).unionByName(found[2]).select("a", "b")
     least = nodes.select("node", F.coalesce("least", F.lit(2**63 - 1)).alias("least"))
     ends = edges.join(least.select(F.col("node").alias("a"), F.col("least").alias("u")), "a").join(least.select(F.col("node").alias("b"), F.col("least").alias("v")), "b")
     # Vertices are the nodes' smallest documents, so a component's label is its smallest doc_id.

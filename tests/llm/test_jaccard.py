@@ -55,7 +55,7 @@ def make(seed, families):
 
 @pytest.mark.parametrize(("seed", "k", "num"), [(1, 3, 90), (2, 5, 80)])
 def test_equals_brute_force(spark, seed, k, num):
-    rows = make(seed, 150)
+    rows = make(seed, 60)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "doc_id")
     expected, sets = brute(rows, k, num, 100)
     found = jaccard_components(docs.selectExpr("*", "'x' as node", "1 as n"), k, num, 100).collect()
