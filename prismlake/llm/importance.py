@@ -22,7 +22,7 @@ from prismlake.session import durable
 BUCKETS = 10_000
 #: Labelled target documents to fit on at most, those of the smallest hashes.
 MOST_TARGETS = 50_000
-#: Added to a bucket's count, in expected counts under the raw model.
+#: Mean count that the raw model adds to a bucket of the target's, a quarter of the target's at most.
 PRIOR = 20.0
 #: Nats by which the raw model may explain a document better before it stops counting as target text.
 MARGIN = 4.0
@@ -77,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_targets: int = MOST_TARGETS) ->
     if not target.sum():
         return np.zeros(BUCKETS), 1.0
     p_raw = (raw + 1) / (raw + 1).sum()
-    weight = PRIOR * BUCKETS
+    weight = min(PRIOR * BUCKETS, target.sum() / 4)
     p_target = (target + weight * p_raw) / (target.sum() + weight)
     return np.log(p_target) - np.log(p_raw), float(rates)
 
