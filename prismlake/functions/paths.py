@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,9 +94,6 @@ def under_root(path: Column, roots: list[str]) -> Column:
 
 def cache_key(path: Column) -> Column:
     """NFC and lower case."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def nfc(values: pd.Series) -> pd.Series:
