@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.llm.importance import _CLASS
+from prismlake.llm.memory import lean
 from prismlake.llm.words import _FOLD, _VALUE, hash_runs, mix, raw_slices, runs
 
 #: Labelled documents to learn from at most, those of the smallest hashes.
@@ -236,7 +237,7 @@ def _tag(model: Model):
             others = [(c, batch.column(c)) for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[x for _, x in others], pa.array(scores), pa.array(spans, SPANS)], names=[*[n for n, _ in others], "score", "spans"])
 
-    return run
+    return lean(run)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: tuple[int, int] = (3, 1), most: int = MOST_LABELLED) -> DataFrame:

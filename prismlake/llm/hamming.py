@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismlake.llm.memory import lean
 from prismlake.session import durable
 
 BITS = 64
@@ -85,6 +86,7 @@ class MultiIndex:
         return sorted(out)[:k]
 
 
+@lean
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sign bits of vectors; those of another length than BITS are first projected by a fixed random matrix."""
     matrices: dict[int, np.ndarray] = {}

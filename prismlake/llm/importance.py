@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismlake.llm.memory import lean
 from prismlake.llm.words import _FOLD, _IS_SPACE, _VALUE, hash_runs, mix, raw_slices, runs
 from prismlake.operators.running import running_before
 from prismlake.session import durable
@@ -48,6 +49,7 @@ def gram_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield i, j, (grams % np.uint64(BUCKETS)).astype(np.int32), bounds * 2
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of buckets in this task's raw and target texts."""
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -96,7 +98,7 @@ def _score(ratio: np.ndarray):
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.round(sums, 6)), pa.array(counts)], names=[*names, *schema.names])
 
-    return run
+    return lean(run)
 
 
 def resample(docs: DataFrame, labels: DataFrame, most_targets: int = MOST_TARGETS, seed: int = SEED) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismlake.llm.memory import lean
 from prismlake.llm.words import mix, word_slices
 from prismlake.operators.components import connected_components
 from prismlake.session import durable
@@ -94,7 +95,7 @@ def _featurize(k: int):
                 schema=schema,
             )
 
-    return run, "kind byte, doc_id long, n long, node long, arr binary, bits binary"
+    return lean(run), "kind byte, doc_id long, n long, node long, arr binary, bits binary"
 
 
 def _classes(features: DataFrame) -> np.ndarray:
@@ -136,7 +137,7 @@ def _prefixes(classes: np.ndarray, num: int, den: int, shared: np.ndarray | None
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int64), counts))], schema=schema
                 )
 
-    return run, "shingle long, node long, n long"
+    return lean(run), "shingle long, node long, n long"
 
 
 def _filter_of(shingles: DataFrame) -> np.ndarray:
@@ -174,7 +175,7 @@ def _bounded(num: int, den: int):
                 keep.append(bool(_may_match(na, nb, int(np.bitwise_count(_fold(x, width) ^ _fold(y, width)).sum()), num, den)))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return run, "a long, b long"
+    return lean(run), "a long, b long"
 
 
 def _exact(num: int, den: int):
@@ -191,7 +192,7 @@ def _exact(num: int, den: int):
                     rows.append((a, b, overlap))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], schema=schema)
 
-    return run, "a long, b long, overlap long"
+    return lean(run), "a long, b long, overlap long"
 
 
 def _tiles(num: int, den: int, forest: bool):
@@ -256,7 +257,7 @@ def _tiles(num: int, den: int, forest: bool):
             found += pairs(rows)
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], schema=schema)
 
-    return run, "a long, b long"
+    return lean(run), "a long, b long"
 
 
 def _wanted(features: DataFrame, pairs: DataFrame, column: str) -> DataFrame:

@@ -10,6 +10,7 @@ their places by their distributed rank among those of their length.
 from __future__ import annotations
 
 import base64
+import functools
 import re
 import zlib
 from array import array
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from prismlake.llm.memory import lean
 from prismlake.operators.running import running_before
 
 CAPACITY = 2048
@@ -32,7 +34,7 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 0
 #: Encoded chunks that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 # Where a text may be cut so that byte-level BPE gives the same tokens: before a lone space or line feed between other signs.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -43,7 +45,7 @@ class Encoder:
     """Token ids as little-endian 32-bit bytes; equal chunks are encoded once."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.known: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = None
@@ -51,6 +53,11 @@ class Encoder:
             with open(public_tokenizers.path(RANKS), "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.words = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            del self.tokenizer  # made again for a text that needs it
+
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self.known) + len(chunks) > REMEMBERED:
@@ -112,7 +119,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=names)
 
-    return run
+    return lean(run)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -235,7 +242,7 @@ def _assign(places: np.ndarray):
             names = [n for n in batch.schema.names if n != "rank"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], names=[*names, "sequence_id", "offset"])
 
-    return run
+    return lean(run)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismlake.llm.memory import lean
 from prismlake.llm.urls import host_of
 from prismlake.session import durable
 
@@ -221,6 +222,7 @@ def _in_article(element: Element | None) -> bool:
     return False
 
 
+@lean
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, found = [], []
@@ -260,7 +262,7 @@ def _extract(known: np.ndarray | None):
                 texts.append(main_text(page, template))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return run
+    return lean(run)
 
 
 def _key(host: str, digest: int) -> int:
@@ -288,6 +290,7 @@ def extract_pages(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share:
     return keyed.join(mine, ["host", "page"], "left").select("page_id", "url", "host", "html", "own").mapInArrow(_extract(None), ddl)
 
 
+@lean
 def _page_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = [subtrees(page) for page in batch.column("html").to_pylist()]

@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismlake.llm.memory import lean
+
 #: Bits for each listed entry; over 10 keep false positives under 1 %.
 BITS_PER_ENTRY = 16
 #: A filter has at most so many blocks of 64 bytes (64 MB); a longer list means more false positives, which the join removes.
@@ -89,7 +91,7 @@ def _probe(words: np.ndarray, lengths: list[int]):
                 urls, entries = ([x for x, keep in zip(xs, hit, strict=True) if keep] for xs in (urls, entries))
             yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(entries, pa.string())], names=["url", "entry"])
 
-    return run
+    return lean(run)
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFrame:
