@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.session import durable
+from prismlake.session import discard, durable
 
 #: Edges that one task holds at a time while it contracts its own part.
 CONTRACT_ROWS = 500_000
@@ -66,9 +66,11 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        stars = durable(
+        shrunk = durable(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).where("u <> v").distinct()
         )
+        discard(stars)
+        stars = shrunk
         after = _state(stars)
         if after == before:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismlake.session import durable, partitions
+from prismlake.session import discard, durable, partitions
 
 
 def running_before(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
@@ -20,7 +20,9 @@ def running_before(df: DataFrame, group: list[str], order: list[Column], value:
     n = partitions(df.sparkSession)
     at = f"{name}_part"
     # Written first, as drawing the bounds reads all rows once more.
-    ranged = durable(durable(df).repartitionByRange(n, *[F.col(c) for c in group], *order).withColumn(at, F.spark_partition_id()).withColumn(f"{name}_value", value))
+    written = durable(df)
+    ranged = durable(written.repartitionByRange(n, *[F.col(c) for c in group], *order).withColumn(at, F.spark_partition_id()).withColumn(f"{name}_value", value))
+    discard(written)
     totals = ranged.groupBy(at, *group).agg(F.sum(f"{name}_value").alias(f"{name}_total"))
     earlier = Window.partitionBy(*group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(at, *group, F.coalesce(F.sum(f"{name}_total").over(earlier), F.lit(0)).alias(f"{name}_offset"))
