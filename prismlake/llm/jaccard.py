@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from prismlake.llm.memory import lean
 from prismlake.llm.words import mix, word_slices
 from prismlake.operators.components import connected_components
-from prismlake.session import durable
+from prismlake.session import discard, durable
 
 #: Counters of the shingle-frequency sketch, fixed in size; it only steers the global order.
 SKETCH = 1 << 18
@@ -278,7 +278,10 @@ def _verify(features: DataFrame, pairs: DataFrame, num: int, den: int, bounded:
         for end in ("a", "b"):
             own = of.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col(column).alias(f"{column}_{end}"))
             pairs = pairs.join(own, end)
-        pairs = durable(pairs.mapInArrow(*call))
+        found = durable(pairs.mapInArrow(*call))
+        if column == "arr" and not bounded:
+            discard(likely)
+        pairs = likely = found
     return pairs
 
 
@@ -288,13 +291,16 @@ def _tile_pairs(features: DataFrame, members: DataFrame, roots: DataFrame, num:
     rooted = durable(rooted.withColumn("root", F.coalesce("root", "node")))
     spread = [F.count("*").alias("rows"), F.sum((~F.col("visits")).cast("int")).alias("homes"), F.min("root").alias("lo"), F.max("root").alias("hi")]
     tiles = rooted.groupBy("low", "band").agg(*spread).where("homes > 0 and lo <> hi").select("low", "band", F.ceil(F.col("rows") / BLOCK).cast("long").alias("chunks"))
-    split = durable(rooted.join(tiles, ["low", "band"])).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    written = durable(rooted.join(tiles, ["low", "band"]))
+    split = written.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     ids = split.select(F.col("node").alias("a"), F.col("node").alias("b"))
     # Rows of a large tile meet chunk by chunk.
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
     tile = ["low", "band", "i", "j"]
     signed = split.join(_wanted(features, ids, "bits").select("node", "bits"), "node").select(*tile, "node", "n", "root", "chunk", "visits", "bits")
-    return durable(signed.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(*_tiles(num, den, forest)).distinct())
+    found = durable(signed.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(*_tiles(num, den, forest)).distinct())
+    discard(rooted, written)
+    return found
 
 
 def links(features: DataFrame, num: int, den: int) -> list[DataFrame]:
@@ -318,12 +324,16 @@ def links(features: DataFrame, num: int, den: int) -> list[DataFrame]:
     members = durable(housed.join(least, ["shingle", "band"]).select("low", "band", "node", "n", "visits").distinct())
     stars = durable(members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
     found = [_verify(features, stars, num, den, bounded=False)]
+    discard(shared, housed, stars)
     for forest in (True, False):
         edges = found[0].select("a", "b")
         for more in found[1:]:
             edges = edges.unionByName(more.select("a", "b"))
         roots = connected_components(edges, "a", "b")
-        found.append(_verify(features, _tile_pairs(features, members, roots, num, den, forest), num, den, bounded=True))
+        pairs = _tile_pairs(features, members, roots, num, den, forest)
+        found.append(_verify(features, pairs, num, den, bounded=True))
+        discard(pairs)
+    discard(members)
     return found
 
 
@@ -338,8 +348,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     as equal when their 64-bit hashes do. Extra columns are left out.
     """
     features = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(*_featurize(k)))
-    rows = features.where("kind = 0").select("doc_id", "n", "node")
+    rows = durable(features.where("kind = 0").select("doc_id", "n", "node"))
     found = links(features, num, den)
+    discard(features)
     nodes = durable(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")))
     edges = found[0].unionByName(found[1]).unionByName(found[2]).select("a", "b")
     least = nodes.select("node", F.coalesce("least", F.lit(2**63 - 1)).alias("least"))
