@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that deletes a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_own: dict[str, str] = {}
+
 
 def session(app: str = "prismlake", cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings that results rely on (UTC, adaptive plans)."""
@@ -29,8 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="prismlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        # The setting is fixed once a session runs, so our own folder is kept here.
+        found = _own.setdefault("folder", "") or "file://" + tempfile.mkdtemp(prefix="prismlake-")
+        _own["folder"] = found
     return found.rstrip("/")
 
 
@@ -38,11 +43,17 @@ def durable(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs no recomputation, keeps
-    columns prunable, and fixes what a non-deterministic plan has decided.
+    columns prunable, and fixes what a non-deterministic plan has decided. The shuffle
+    files of the write are deleted with its end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.durable_path = path
     return table
