@@ -34,7 +34,7 @@ FILTER_BITS = 25
 BLOCK = 512
 #: Node ids that a filter is broadcast for; beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
-#: Nodes that a task remembers, to give a copied text's array once.
+#: Nodes or texts that a task remembers, to give a copied one once.
 REMEMBERED = 200_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -54,54 +54,97 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def _bitmap(array: np.ndarray) -> bytes:
-    """Parity of the hashes in each of a power of two of bits, four or more for a shingle."""
-    bits = max(64, 4 << (len(array) - 1).bit_length())
+    """Parity of the hashes in each of a power of two of bits, one or two for a shingle."""
+    bits = max(64, 1 << (len(array) - 1).bit_length())
     counts = np.bincount((array >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits)
     return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
 
 
-def _featurize(k: int):
-    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("arr", pa.binary()), ("bits", pa.binary())])
+def _node(array: np.ndarray) -> int:
+    return int.from_bytes(blake2b(array.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+class _Seen(set):
+    """The keys that a task has met, forgotten when they are too many."""
+
+    def new(self, key: int) -> bool:
+        if key in self:
+            return False
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self.add(key)
+        return True
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
+
+
+def _sketch(k: int):
+    """(counter, n) of the counters that stand out in a task's part, and the sum of all under counter -1; a text's copies count once."""
+    schema = pa.schema([("counter", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = _Seen()
         sketch = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            keys = batch.column("key").to_pylist()
+            for part in word_slices(batch.column("text")):
+                hashes = [shingle_hashes(part.words[part.offsets[r] : part.offsets[r + 1]], k) for r in range(part.last - part.first) if seen.new(keys[part.first + r])]
+                if hashes:
+                    sketch += np.bincount((np.concatenate(hashes) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        heavy = np.flatnonzero(sketch > max(3, 3 * sketch.mean()))
+        if total := int(sketch.sum()):
+            yield _batch([(-1, total), *zip(heavy.tolist(), sketch[heavy].tolist(), strict=True)], schema)
+
+    return lean(run), "counter long, n long"
+
+
+def _featurize(k: int, num: int, den: int, classes: np.ndarray):
+    """A row per document; a node's bitmap and prefix (its first shingles in the global order of class and hash) once per task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("key", pa.int64()), ("prefix", pa.binary()), ("bits", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for batch in batches:
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
             for part in word_slices(batch.column("text")):
                 rows = []
                 for r in range(part.last - part.first):
+                    doc, key = ids[part.first + r], keys[part.first + r]
                     array = np.unique(shingle_hashes(part.words[part.offsets[r] : part.offsets[r + 1]], k))
-                    if not len(array):
-                        rows.append((0, ids[part.first + r], 0, None, None, None))
+                    n = len(array)
+                    node = _node(array) if n else None
+                    if not n or not seen.new(node):
+                        rows.append((doc, n, node, key, None, None))
                         continue
-                    raw = array.tobytes()
-                    node = int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True)
-                    new = node not in seen
-                    if new:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen.add(node)
-                        sketch += np.bincount((array & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(array) > 20_000 else 0
-                        if len(array) <= 20_000:
-                            np.add.at(sketch, (array & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                    rows.append((0, ids[part.first + r], len(array), node, raw if new else None, _bitmap(array) if new else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-        heavy = np.flatnonzero(sketch > max(3, 3 * sketch.mean()))
-        # Counters that stand out here travel as rows of another kind: n is the count, node the counter.
-        if total := int(sketch.sum()):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(([1] * (len(heavy) + 1), [None] * (len(heavy) + 1), [*sketch[heavy].tolist(), total], [*heavy.tolist(), -1], [None] * (len(heavy) + 1), [None] * (len(heavy) + 1)), schema.types, strict=True)],
-                schema=schema,
-            )
+                    rank = classes[(array & np.uint64(SKETCH - 1)).astype(np.int64)]
+                    first = array[np.argsort(rank, kind="stable")[: n - -(-num * n // den) + 1]]
+                    rows.append((doc, n, node, key, first.tobytes(), _bitmap(array)))
+                yield _batch(rows, schema)
 
-    return lean(run), "kind byte, doc_id long, n long, node long, arr binary, bits binary"
+    return lean(run), "doc_id long, n long, node long, key long, prefix binary, bits binary"
 
 
-def _classes(features: DataFrame) -> np.ndarray:
+def _arrays(k: int):
+    """(node, n, arr) of texts, each text once per task."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("arr", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for batch in batches:
+            new = batch.filter(pa.array([seen.new(x) for x in batch.column("key").to_pylist()], pa.bool_()))
+            for part in word_slices(new.column("text")):
+                arrays = [np.unique(shingle_hashes(part.words[part.offsets[r] : part.offsets[r + 1]], k)) for r in range(part.last - part.first)]
+                yield _batch([(_node(x), len(x), x.tobytes()) for x in arrays if len(x)], schema)
+
+    return lean(run), "node long, n long, arr binary"
+
+
+def _classes(texts: DataFrame, k: int) -> np.ndarray:
     """Log-frequency classes of the sketch's counters, 0 for ordinary ones; at most SKETCH rows are collected."""
-    rows = features.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).collect()
-    counts = {r["node"]: r["n"] for r in rows}
+    rows = texts.select("text", "key").mapInArrow(*_sketch(k)).groupBy("counter").agg(F.sum("n").alias("n")).collect()
+    counts = {r["counter"]: r["n"] for r in rows}
     mean = max(1.0, counts.pop(-1, 0) / SKETCH)
     classes = np.zeros(SKETCH, np.uint8)
     for counter, n in counts.items():
@@ -114,28 +157,23 @@ def min_overlap(na: int, nb: int, num: int, den: int) -> int:
     return -(-num * (na + nb) // (den + num))
 
 
-def _prefixes(classes: np.ndarray, num: int, den: int, shared: np.ndarray | None = None):
-    """(shingle, node, n) of the first shingles of each array in the global order (class, hash); with shared, only those its bits let pass."""
+def _entries(shared: np.ndarray | None = None):
+    """(shingle, node, n) of prefixes; with shared, only the shingles that its bits let pass."""
     schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nodes, sizes = [], [], []
-            for node, n, raw in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("arr"), strict=True):
-                array = np.frombuffer(raw.as_buffer(), np.uint64)
-                rank = classes[(array & np.uint64(SKETCH - 1)).astype(np.int64)]
-                first = array[np.argsort(rank, kind="stable")[: n - -(-num * n // den) + 1]]
+            keys = []
+            for raw in batch.column("prefix"):
+                first = np.frombuffer(raw.as_buffer(), np.uint64)
                 if shared is not None:
                     slot = first >> np.uint64(64 - FILTER_BITS)
                     first = first[(shared[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0]
                 keys.append(first)
-                nodes.append(node)
-                sizes.append(n)
             counts = [len(x) for x in keys]
             if sum(counts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int64), counts))], schema=schema
-                )
+                own = [pa.array(np.repeat(batch.column(c).to_numpy(), counts)) for c in ("node", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *own], schema=schema)
 
     return lean(run), "shingle long, node long, n long"
 
@@ -198,12 +236,14 @@ def _exact(num: int, den: int):
 def _tiles(num: int, den: int, forest: bool):
     """Pairs of a tile that the bitmaps allow, between different roots; rows come sorted by tile.
 
-    forest: only as many as would connect the tile's roots, the likeliest first.
+    forest: only as many as would connect the tile's roots, the likeliest first; where
+    there are more, a row without a and b names the tile.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("low", "band", "a", "b")])
     tile = ["low", "band", "i", "j"]
 
-    def pairs(rows: list[dict]) -> list[tuple[int, int]]:
+    def pairs(rows: list[dict]) -> list[tuple]:
+        at = rows[0]["low"], rows[0]["band"]
         i, j = rows[0]["i"], rows[0]["j"]
         homes = [r for r in rows if not r["visits"]]
         if not homes:
@@ -223,7 +263,7 @@ def _tiles(num: int, den: int, forest: bool):
                 fits &= nodes < r["node"]
             found += [(distance[x] / (sizes[x] + r["n"]), int(nodes[x]), r["node"], int(roots[x]), r["root"]) for x in np.flatnonzero(fits)]
         if not forest:
-            return [(min(a, b), max(a, b)) for _, a, b, _, _ in found]
+            return [(*at, min(a, b), max(a, b)) for _, a, b, _, _ in found]
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -236,8 +276,8 @@ def _tiles(num: int, den: int, forest: bool):
         for _, a, b, ra, rb in sorted(found):
             if find(ra) != find(rb):
                 parent[find(ra)] = find(rb)
-                chosen.append((min(a, b), max(a, b)))
-        return chosen
+                chosen.append((*at, min(a, b), max(a, b)))
+        return chosen + [(*at, None, None)] if len(found) > len(chosen) else chosen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
@@ -251,69 +291,79 @@ def _tiles(num: int, den: int, forest: bool):
                     now, rows = key, []
                 rows.append(r)
             if len(found) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], schema=schema)
+                yield _batch(found, schema)
                 found = []
         if len(rows) > 1:
             found += pairs(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], schema=schema)
+        yield _batch(found, schema)
 
-    return lean(run), "a long, b long"
+    return lean(run), "low long, band long, a long, b long"
+
+
+def _semi(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """rows whose column is in ids, which are distinct."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
 
 
-def _wanted(features: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
-    """node, n and column of the nodes in pairs, one row each."""
-    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    rows = features.where(F.col(column).isNotNull()).select("node", "n", column)
-    small = ids.count() <= BROADCAST_IDS
-    kept = rows.join(F.broadcast(ids) if small else ids, "node", "left_semi")
-    return kept.groupBy("node").agg(F.first("n").alias("n"), F.first(column).alias(column))
-
-
-def _verify(features: DataFrame, pairs: DataFrame, num: int, den: int, bounded: bool) -> DataFrame:
-    """Links among candidate pairs (a, b): bitmaps first unless done, then exact."""
-    for column, call in (("bits", _bounded(num, den)), ("arr", _exact(num, den))):
-        if column == "bits" and bounded:
-            continue
-        of = _wanted(features, pairs, column)
-        for end in ("a", "b"):
-            own = of.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col(column).alias(f"{column}_{end}"))
-            pairs = pairs.join(own, end)
-        found = durable(pairs.mapInArrow(*call))
-        if column == "arr" and not bounded:
-            discard(likely)
-        pairs = likely = found
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _bitmaps(features: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, n and bits of the nodes in ids, one row each."""
+    kept = _semi(features.where("bits is not null").select("node", "n", "bits"), ids, "node")
+    return kept.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+
+def _sets(texts: DataFrame, features: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """node, n and arr of the nodes in ids, one row each, made again from the texts, so that no table holds all arrays."""
+    keys = durable(_semi(features.select("node", "key"), ids, "node").groupBy("node").agg(F.min("key").alias("key")).select("key").distinct())
+    made = _semi(texts.select("text", "key"), keys, "key").mapInArrow(*_arrays(k))
+    return made.groupBy("node").agg(F.first("n").alias("n"), F.first("arr").alias("arr"))
+
+
+def _joined(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    for end in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col(column).alias(f"{column}_{end}")), end)
     return pairs
 
 
+def _verify(texts: DataFrame, features: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links among candidate pairs (a, b), by exact intersection."""
+    of = durable(_sets(texts, features, _ends(pairs), k))
+    found = durable(_joined(pairs, of, "arr").mapInArrow(*_exact(num, den)))
+    discard(of)
+    return found
+
+
 def _tile_pairs(features: DataFrame, members: DataFrame, roots: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Candidates among the members (low, band, node, n, visits) of each tile whose roots (vertex, component) differ."""
+    """_tiles() of the members (low, band, node, n, visits) whose roots (vertex, component) differ; tiles of two are done, as each node has met the least one."""
     rooted = members.join(roots.select(F.col("vertex").alias("node"), F.col("component").alias("root")), "node", "left")
     rooted = durable(rooted.withColumn("root", F.coalesce("root", "node")))
     spread = [F.count("*").alias("rows"), F.sum((~F.col("visits")).cast("int")).alias("homes"), F.min("root").alias("lo"), F.max("root").alias("hi")]
-    tiles = rooted.groupBy("low", "band").agg(*spread).where("homes > 0 and lo <> hi").select("low", "band", F.ceil(F.col("rows") / BLOCK).cast("long").alias("chunks"))
+    tiles = rooted.groupBy("low", "band").agg(*spread).where("rows > 2 and homes > 0 and lo <> hi").select("low", "band", F.ceil(F.col("rows") / BLOCK).cast("long").alias("chunks"))
     written = durable(rooted.join(tiles, ["low", "band"]))
     split = written.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    ids = split.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    signed = _bitmaps(features, written.select("node").distinct())
     # Rows of a large tile meet chunk by chunk.
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
     tile = ["low", "band", "i", "j"]
-    signed = split.join(_wanted(features, ids, "bits").select("node", "bits"), "node").select(*tile, "node", "n", "root", "chunk", "visits", "bits")
+    signed = split.join(signed.select("node", "bits"), "node").select(*tile, "node", "n", "root", "chunk", "visits", "bits")
     found = durable(signed.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(*_tiles(num, den, forest)).distinct())
     discard(rooted, written)
     return found
 
 
-def links(features: DataFrame, num: int, den: int) -> list[DataFrame]:
-    """Verified links (a, b, overlap) among _featurize()d rows, in tables that together connect all similar nodes.
+def links(texts: DataFrame, features: DataFrame, k: int, num: int, den: int) -> list[DataFrame]:
+    """Verified links (a, b, overlap) among _featurize()d rows of texts (text, key), in tables that together connect all similar nodes.
 
     First each node with the least of its tile, then a likely forest of each tile, and
     last all pairs that are still in different components.
     """
-    arrays = features.where("arr is not null").select("node", "n", "arr")
-    classes = _classes(features)
-    groups = arrays.mapInArrow(*_prefixes(classes, num, den)).groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    prefixes = features.where("prefix is not null").select("node", "n", "prefix")
+    groups = prefixes.mapInArrow(*_entries()).groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = durable(groups.where("low <> high").select("shingle"))
-    entries = arrays.mapInArrow(*_prefixes(classes, num, den, _filter_of(shared))).join(shared, "shingle")
+    entries = prefixes.mapInArrow(*_entries(_filter_of(shared))).join(shared, "shingle")
     # A set is at home in the band of its size and visits the next, so that similar ones meet where the larger is at home.
     step = math.log(den / num) * (1 + 1e-9)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("long")
@@ -323,16 +373,23 @@ def links(features: DataFrame, num: int, den: int) -> list[DataFrame]:
     least = housed.groupBy("shingle", "band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("visits").alias("empty")).where("low <> high and not empty")
     members = durable(housed.join(least, ["shingle", "band"]).select("low", "band", "node", "n", "visits").distinct())
     stars = durable(members.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct())
-    found = [_verify(features, stars, num, den, bounded=False)]
+    likely = durable(_joined(stars, _bitmaps(features, _ends(stars)), "bits").mapInArrow(*_bounded(num, den)))
     discard(shared, housed, stars)
+    found = [_verify(texts, features, likely, k, num, den)]
+    discard(likely)
     for forest in (True, False):
         edges = found[0].select("a", "b")
         for more in found[1:]:
             edges = edges.unionByName(more.select("a", "b"))
         roots = connected_components(edges, "a", "b")
-        pairs = _tile_pairs(features, members, roots, num, den, forest)
-        found.append(_verify(features, pairs, num, den, bounded=True))
-        discard(pairs)
+        met = _tile_pairs(features, members, roots, num, den, forest)
+        found.append(_verify(texts, features, met.where("a is not null").select("a", "b").distinct(), k, num, den))
+        if forest:
+            # Only tiles in which the bitmaps allow more pairs than the forest took can hold further links.
+            further = durable(members.join(met.where("a is null").select("low", "band").distinct(), ["low", "band"], "left_semi"))
+            discard(members)
+            members = further
+        discard(met)
     discard(members)
     return found
 
@@ -344,12 +401,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     shingles (A-Z lower-cased; a shorter text is one shingle). component_id is the
     smallest doc_id reachable by links. Null and empty texts have an empty set and
     link with nothing. Rows of one doc_id count as one document; rows without a
-    doc_id are kept, and name a component only together with others. Shingles count
-    as equal when their 64-bit hashes do. Extra columns are left out.
+    doc_id are kept, and name a component only together with others. Shingles and
+    texts count as equal when their 64-bit hashes do. Extra columns are left out. docs is read more than
+    once (its arrays are made again for candidates instead of being kept), so what is
+    costly or differs between readings should be written first.
     """
-    features = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(*_featurize(k)))
-    rows = durable(features.where("kind = 0").select("doc_id", "n", "node"))
-    found = links(features, num, den)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    features = durable(texts.mapInArrow(*_featurize(k, num, den, _classes(texts, k))))
+    rows = durable(features.select("doc_id", "n", "node"))
+    found = links(texts, features, k, num, den)
     discard(features)
     nodes = durable(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")))
     edges = found[0].unionByName(found[1]).unionByName(found[2]).select("a", "b")
