@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions.paths import display_extension, file_name
 from prismlake.functions.values import MIXED, NO_LOCATION, mixed_value
+from prismlake.operators.running import running_before
 
 
 def with_kind(groups: DataFrame, kind: str) -> DataFrame:
@@ -68,6 +69,13 @@ def order_groups(groups: DataFrame, by: str = "kind", descending: bool = False)
     return groups.orderBy(*keys[by], "group_id")
 
 
+def group_places(groups: DataFrame) -> DataFrame:
+    """Every group with `place`, its rank by kind as order_groups sorts; ranges are numbered apart, so no task sees all groups."""
+    key = F.desc_nulls_last(F.when(kind_rank().isin(1, 2), F.col("similarity")))
+    whole = groups.withColumn("all", F.lit(0))
+    return running_before(whole, ["all"], [F.asc(kind_rank()), key, F.asc("group_id")], F.lit(1), "place").withColumn("place", F.col("place") + 1).drop("all")
+
+
 def order_assets(assets: DataFrame, by: str = "date", descending: bool = False) -> DataFrame:
     """Assets by date, location or device; what has none comes last either way, but a position without a name comes before names when ascending."""
     way = (lambda c: F.desc_nulls_last(c)) if descending else (lambda c: F.asc_nulls_last(c))
@@ -106,4 +114,4 @@ def common_values(rows: DataFrame, keys: list[str], columns: list[str], zero_is_
     return rows.groupBy(*keys).agg(*[mixed_value(value(c)).alias(c) for c in columns])
 
 
-__all__ = ["MIXED", "NO_LOCATION", "common_values", "copies", "extension_histogram", "facet", "filter_assets", "kind_counts", "order_assets", "order_groups", "original_first", "with_extension", "with_kind", "with_name"]
+__all__ = ["MIXED", "NO_LOCATION", "common_values", "copies", "extension_histogram", "facet", "filter_assets", "group_places", "kind_counts", "order_assets", "order_groups", "original_first", "with_extension", "with_kind", "with_name"]

@@ -341,6 +341,11 @@ def o4_order_groups(spark, sf_dir):
     return ordered.select("group_id", F.row_number().over(Window.orderBy(views.kind_rank(), key, "group_id")).cast("long").alias("place"))
 
 
+@query(f"select group_id, row_number() over (order by case when kind = 'exact' then 0 when kind = 'similar' then 1 when similarity is not null then 2 else 3 end, case when kind = 'similar' or (kind = 'sameDate' and similarity is not null) then similarity end desc nulls last, group_id) as place from ({KINDS})")
+def o4_order_all_groups(spark, sf_dir):
+    return views.group_places(_kinds(spark, sf_dir)).select("group_id", F.col("place").cast("long").alias("place"))
+
+
 def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
     kind = F.element_at(F.array(F.lit("exact"), F.lit("similar"), F.lit("sameDate")), (v % 3 + 1).cast("int"))

@@ -135,3 +135,15 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_every_group_has_a_place(spark):
+    import __spark_entry__ as entry
+    from prismlake.plans.registry import _kinds
+
+    name, folder = "o4_order_all_groups", "/root/testdata/sf0.01"
+    found = sorted(entry.queries()[name](spark, folder).collect(), key=lambda r: r["place"])
+    rank = lambda r: {"exact": 0, "similar": 1}.get(r["kind"], 3 if r["similarity"] is None else 2)
+    rows = sorted(_kinds(spark, folder).collect(), key=lambda r: (rank(r), -r["similarity"] if rank(r) in (1, 2) else 0, r["group_id"]))
+    assert len(rows) > 100 and [tuple(r) for r in found] == [(r["group_id"], i + 1) for i, r in enumerate(rows)]
+    assert "limit" not in entry.oracle_sql()[name]
