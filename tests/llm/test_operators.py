@@ -158,6 +158,28 @@ def test_quality_rules(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in found) and keep_clean(empty).count() == 0
 
 
+def test_quality_rules_find_encoded_and_looped_parts(spark):
+    import base64
+
+    from prismlake.llm.compression import compression_rules
+
+    draw = random.Random(8)
+    letters = "etaoinshrdlucmfwypvbgk"
+    words = ["".join(draw.choices(letters, weights=range(len(letters), 0, -1), k=draw.randrange(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(draw.choices(words, k=n))[:n].ljust(n, "x")
+    split = lambda x, n: " ".join(x[i : i + 8] for i in range(0, len(x), 8))[:n]
+    coded = lambda n: split(base64.b64encode(draw.randbytes(n)).decode(), n)
+    hexed = lambda n: split(draw.randbytes(n).hex(), n)
+    clean = [prose(n) for n in (300, 700, 1500, 3000, 6000, 20000)]
+    loop = "over and over again we say this "
+    bad = [coded(n) for n in (300, 700, 1500, 3000, 6000, 20000)] + [hexed(n) for n in (3000, 6000, 20000)]
+    # Parts of long texts: one chunk of five, and the rest after the last full chunk.
+    bad += [prose(8192) + x + prose(8192) for x in (coded(4096), hexed(4096), loop * 128)] + [prose(16384) + x for x in (coded(3000), hexed(3000), loop * 60)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(clean + bad)], "doc_id long, text string")
+    found = {r["doc_id"]: r["kept"] for r in compression_rules(docs).collect()}
+    assert [found[i] for i in range(len(found))] == [True] * len(clean) + [False] * len(bad)
+
+
 def test_search(spark):
     from prismlake.llm import hamming
 
