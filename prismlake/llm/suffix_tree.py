@@ -1,11 +1,12 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-Symbols are the most frequent words, one for all others and one for the ends of texts.
-Contexts of one and two symbols are states if a divergence test keeps them: their
-next-symbol distribution must differ from their parent's (the context without its
-oldest symbol) by more than chance and a least gain. Each token is scored in the
-longest context that is a state; other words share their symbol's probability by
-their own counts.
+Contexts are runs of whole words before a token (the start of a text counts as one).
+They grow word by word: those of n + 1 words are counted only where their last n words
+are a state, and become states if their next-word distribution differs from their
+parent's (the context without its oldest word) by a fixed number of nats. Growth ends
+when no context passes. Counts, states and their distributions are tables; tasks hold
+a filter of states and the commonest values, the rest is joined. Each token is scored
+in its longest context that is a state.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -22,21 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.llm.memory import lean
-from prismlake.llm.words import word_slices
-from prismlake.session import durable
+from prismlake.llm.words import BASE, GOLDEN, M1, Slice, mix, word_slices
+from prismlake.session import discard, durable
 
-#: Symbols: 0 for all other words, SYMBOLS - 1 for ends (before a text it stands for its start).
-SYMBOLS = 1024
-END = SYMBOLS - 1
 #: Words whose counts every task holds; the rest are joined.
 COMMON = 1 << 18
-#: Nats that a state must gain over its parent for each token of the corpus. States' shares of the
-#: tokens sum to 1 and no gain is above log(SYMBOLS), so at most log(SYMBOLS) / LEAST_GAIN states
-#: of each length exist, whatever the corpus.
-LEAST_GAIN = 2e-4
+#: Values of states and of their next words that every task may hold; the rest are joined.
+COMMON_VALUES = 1 << 20
+#: Nats that a state must gain over its parent, each occurrence being predicted from the others.
+LEAST_NATS = 10.0
+#: Most bits of the filter of states, which every stage sends to all executors. Its false hits cost work only, as what is counted or scored is joined with the states.
+FILTER_BITS = 1 << 26
 PSEUDO = 0.1
-#: The end token's key among word hashes.
+#: The end token's key among word hashes; as a context's oldest word it is the start of a text.
 END_KEY = -(2**62) + 12345
+ROOT = np.uint64(0x632BE59BD9B4E019)
 
 
 def is_training(doc_id: int | None, folds: int) -> bool:
@@ -63,129 +65,186 @@ def _count_words(folds: int):
 
 
 class Vocabulary(NamedTuple):
-    """Sorted hashes of the commonest words, their counts, the symbol of each; N, V of all training tokens."""
+    """Sorted hashes of the commonest words and their counts; tokens, distinct ones and ends of all training texts."""
 
     words: np.ndarray
     counts: np.ndarray
-    symbols: np.ndarray
     tokens: int
     distinct: int
     ends: int
 
 
-def _lookup(vocabulary: Vocabulary, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(count, symbol, is common) of words."""
-    if not len(vocabulary.words):
-        return np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-    at = np.minimum(np.searchsorted(vocabulary.words, words), len(vocabulary.words) - 1)
-    known = vocabulary.words[at] == words
-    return np.where(known, vocabulary.counts[at], 0), np.where(known, vocabulary.symbols[at], 0), known
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value or 0, is known) by sorted keys."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    known = keys[at] == wanted
+    return np.where(known, values[at], 0), known
 
 
-def _sequence(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, previous, the one before, place of each word) of texts in a row, each with its end."""
-    texts = len(offsets) - 1
-    place = np.arange(len(symbols)) + np.repeat(np.arange(texts), np.diff(offsets))
-    line = np.full(len(symbols) + texts, END, np.int64)
-    line[place] = symbols
-    one = np.concatenate([[END], line[:-1]])
-    two = np.where(one == END, END, np.concatenate([[END], one[:-1]]))
-    return line, one, two, place
+def _extend(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of context with one more word before it."""
+    return mix(context * BASE + word)
 
 
-def _count_contexts(vocabulary: Vocabulary, folds: int):
+def _entry(context: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """The key of a next word in a context."""
+    return mix((context ^ GOLDEN) * M1 + following)
+
+
+def _levels(part: Slice, states: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, context, prior, entry) for contexts of 1 to depth words whose parents may be states; prior is the entry in the parent.
+
+    Places count each text's words and its end.
+    """
+    texts = len(part.offsets) - 1
+    sizes = np.diff(part.offsets) + 1
+    line = np.full(len(part.words) + texts + 1, np.int64(END_KEY).view(np.uint64), np.uint64)
+    line[1 + np.arange(len(part.words)) + np.repeat(np.arange(texts), sizes - 1)] = part.words
+    begin = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+    place = np.arange(len(begin))
+    context, entry = np.full(len(begin), ROOT), line[1:]
+    for n in range(1, depth + 1):
+        more = place + 1 - n >= begin[place]
+        if n > 1:
+            bit = context & np.uint64(len(states) * 64 - 1)
+            more &= (states[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
+        place, prior = place[more], entry[more]
+        context = _extend(context[more], line[place + 1 - n])
+        entry = _entry(context, line[place + 1])
+        yield place, context, prior, entry
+
+
+def _count_contexts(states: np.ndarray, level: int, folds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = _training(batch, folds)
-            for part in word_slices(batch.column("text")):
-                _, symbols, _ = _lookup(vocabulary, part.words.view(np.int64))
-                line, one, two, _ = _sequence(symbols, part.offsets)
-                keys, counts = np.unique((two * SYMBOLS + one) * SYMBOLS + line, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "c"])
+            for part in word_slices(_training(batch, folds).column("text")):
+                *_, (_, context, prior, entry) = _levels(part, states, level)
+                keys, first, counts = np.unique(entry, return_index=True, return_counts=True)
+                columns = [x.view(np.int64) for x in (keys, context[first], prior[first])]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(counts.astype(np.int64))], names=["key", "context", "prior", "c"])
 
     return lean(run)
 
 
-class Tree(NamedTuple):
-    """State of each context of one symbol (SYMBOLS) and of two (SYMBOLS squared), 0 for none; log10 P(next | state) by row, row 0 the root's."""
+class Level(NamedTuple):
+    """States of one length (context, size, kinds), and their next words (key, context, prior, c, p, before)."""
+
+    states: DataFrame
+    entries: DataFrame
+
 
-    one: np.ndarray
-    two: np.ndarray
-    log10: np.ndarray
+class Tree(NamedTuple):
+    """Levels from one word on, the filter of all states' contexts, the table of all training words and how many tokens and words it has."""
 
+    levels: list[Level]
+    filter: np.ndarray
+    counted: DataFrame
+    tokens: int
+    distinct: int
 
-def _states(counts: DataFrame, parent: DataFrame, total: int) -> DataFrame:
-    """Contexts of counts (context, next, c) that diverge from parent (context's parent, next, p), with their counts."""
-    # Likelihood-ratio gain in nats, less what chance alone would give: half of each free next symbol, twice over.
-    gains = counts.join(F.broadcast(parent), ["parent", "next"]).withColumn("size", F.lit(None).cast("long"))
-    sums = counts.groupBy("context").agg(F.sum("c").alias("size"), F.count("*").alias("kinds"))
-    cross = gains.groupBy("context").agg(F.sum(F.col("c") * (F.log("c") - F.log("p"))).alias("part"))
-    tested = sums.join(cross, "context").withColumn("gain", F.col("part") - F.col("size") * F.log("size") - F.col("kinds"))
-    return tested.where(F.col("gain") >= F.lit(LEAST_GAIN * total)).select("context", "size")
+    @property
+    def log10(self) -> np.ndarray:
+        """log10 P(next | state), row 0 the root's, over all training words and one unknown; dense, so for small tables only."""
+        table = self.counted.toArrow()
+        words = table["word"].to_numpy().view(np.uint64)
+        base = self.tokens + PSEUDO * (self.distinct + 1)
+        rows, at, owner = [(np.append(table["c"].to_numpy(), 0) + PSEUDO) / base], {}, {}
+        for level in self.levels:
+            entries = level.entries.select("key", "context", "prior", "c").toArrow().to_pylist()
+            counts = {e["key"]: e["c"] for e in entries}
+            parents = {e["context"]: owner.get(e["prior"]) for e in entries}
+            for s in level.states.toArrow().to_pylist():
+                keys = _entry(np.full(len(words), np.int64(s["context"]).view(np.uint64)), words).view(np.int64).tolist()
+                own = np.array([*(counts.get(k, 0) for k in keys), 0])
+                rows.append((own + s["kinds"] * rows[at.get(parents[s["context"]], 0)]) / (s["size"] + s["kinds"]))
+                at[s["context"]] = len(rows) - 1
+            owner = {e["key"]: e["context"] for e in entries}
+        return np.log10(np.stack(rows))
+
+
+def _grow(texts: DataFrame, parent: DataFrame, states: np.ndarray, level: int, folds: int) -> Level:
+    """The states of so many words, from the parent's probabilities (prior, before)."""
+    counts = durable(texts.mapInArrow(_count_contexts(states, level, folds), "key long, context long, prior long, c long").groupBy("key").agg(F.first("context").alias("context"), F.first("prior").alias("prior"), F.sum("c").alias("c")))
+    # A context seen once tells nothing of others.
+    sums = counts.groupBy("context").agg(F.sum("c").alias("size"), F.count("*").alias("kinds")).where("size > 1")
+    # False hits of the filter have no prior among the states' entries and go here.
+    known = durable(counts.join(sums, "context").join(parent, "prior"))
+    discard(counts)
+    # Each occurrence is predicted from the others, with as much weight for the parent as there are different next words.
+    others = (F.col("c") - 1 + F.col("kinds") * F.col("before")) / (F.col("size") - 1 + F.col("kinds"))
+    gains = known.groupBy("context", "size", "kinds").agg(F.sum(F.col("c") * F.log(others / F.col("before"))).alias("gain"))
+    kept = durable(gains.where(F.col("gain") >= LEAST_NATS).select("context", "size", "kinds"))
+    p = (F.col("c") + F.col("kinds") * F.col("before")) / (F.col("size") + F.col("kinds"))
+    entries = durable(known.join(kept.select("context"), "context", "left_semi").select("key", "context", "prior", "c", "size", "kinds", p.alias("p"), "before"))
+    discard(known)
+    return Level(kept, entries)
+
+
+def _mark(states: np.ndarray, contexts: DataFrame) -> np.ndarray:
+    """The filter with further contexts; what is collected is bounded by FILTER_BITS."""
+    bit = F.col("context").bitwiseAND(F.lit(len(states) * 64 - 1))
+    one = F.expr("shiftleft(1L, cast(context & 63L as int))")
+    words = contexts.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    states = states.copy()
+    states[words["at"].to_numpy()] |= words["bits"].to_numpy().view(np.uint64)
+    return states
 
 
 def learn(docs: DataFrame, folds: int = 10) -> tuple[Vocabulary, Tree, DataFrame]:
     """Vocabulary, tree and the table of all training words (word, c), from rows whose crc32(doc_id as text) mod folds is not 0.
 
     Counts cover all training texts and are summed by shuffles; what is collected is
-    bounded: COMMON words, SYMBOLS squared pairs, and the states' distributions.
+    bounded: COMMON words and the filter of states.
     """
-    spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     counted = durable(texts.mapInArrow(_count_words(folds), "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
     whole = counted.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == END_KEY, F.col("c")))).first()
     total, distinct, ends = (int(x or 0) for x in whole)
     top = counted.where(F.col("word") != END_KEY).orderBy(F.desc("c"), "word").limit(COMMON).toArrow()
     words, counts = top["word"].to_numpy(), top["c"].to_numpy()
-    rank = np.arange(1, len(words) + 1)
     order = np.argsort(words)
-    vocabulary = Vocabulary(words[order], counts[order], np.where(rank < END, rank, 0)[order], total, distinct, ends)
-    own = np.full(SYMBOLS, 0.0)
-    own[1 : min(len(words), END - 1) + 1] = counts[: END - 1]
-    own[END] = ends
-    own[0] = total - own.sum()
-    root = (own + PSEUDO) / (own + PSEUDO).sum()
-    none = Tree(np.zeros(SYMBOLS, np.int32), np.zeros(SYMBOLS**2, np.int32), np.log10(root)[None, :].astype(np.float32))
-    if not total:
-        return vocabulary, none, counted
-    triples = durable(texts.mapInArrow(_count_contexts(vocabulary, folds), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
-    pairs = durable(triples.groupBy((F.col("key") % SYMBOLS**2).alias("key")).agg(F.sum("c").alias("c")))
-    next_ = (F.col("key") % SYMBOLS).cast("int")
-    ones = pairs.select(F.floor(F.col("key") / SYMBOLS).cast("int").alias("context"), F.lit(0).alias("parent"), next_.alias("next"), "c")
-    base = spark.createDataFrame([(0, i, float(p)) for i, p in enumerate(root)], "parent int, next int, p double")
-    one = _states(ones, base, total)
-    # A context's own smoothed distribution is the parent of those of two symbols: at most SYMBOLS squared rows.
-    sizes = ones.groupBy("context").agg(F.sum("c").alias("size"))
-    mids = ones.join(sizes, "context").select(F.col("context").alias("parent"), "next", (F.col("c") / F.col("size")).alias("p"))
-    twos = triples.select(F.floor(F.col("key") / SYMBOLS).cast("int").alias("context"), (F.floor(F.col("key") / SYMBOLS) % SYMBOLS).cast("int").alias("parent"), next_.alias("next"), "c")
-    two = _states(twos, mids, total)
-    rows, levels = [np.log10(root)], []
-    probability = [root]
-    for kept, table in ((one, ones), (two, twos)):
-        levels.append(table.join(F.broadcast(kept.select("context")), "context").select("context", "next", "c").toArrow().sort_by([("context", "ascending"), ("next", "ascending")]))
-    index_one, index_two = np.zeros(SYMBOLS, np.int32), np.zeros(SYMBOLS**2, np.int32)
-    for level, index in zip(levels, (index_one, index_two), strict=True):
-        context, following, c = (level[x].to_numpy() for x in ("context", "next", "c"))
-        names, first = np.unique(context, return_index=True)
-        for name, a, b in zip(names, first, [*first[1:], len(context)], strict=True):
-            parent = probability[index_one[name % SYMBOLS]] if index is index_two else root
-            # As much weight for the parent as there are different next symbols.
-            mixed = parent * (b - a)
-            mixed[following[a:b]] += c[a:b]
-            mixed = mixed / mixed.sum()
-            index[name] = len(rows)
-            rows.append(np.log10(mixed))
-            if index is index_one:
-                probability.append(mixed)
-    return vocabulary, Tree(index_one, index_two, np.stack(rows).astype(np.float32)), counted
-
-
-def _score(vocabulary: Vocabulary, tree: Tree, folds: int):
+    vocabulary = Vocabulary(words[order], counts[order], total, distinct, ends)
+    states, levels = np.zeros(min(FILTER_BITS, 1 << max(12, (2 * total).bit_length())) >> 6, np.uint64), []
+    parent = counted.select(F.col("word").alias("prior"), ((F.col("c") + PSEUDO) / (total + PSEUDO * (distinct + 1))).alias("before"))
+    while total:
+        level = _grow(texts, parent, states, len(levels) + 1, folds)
+        if level.states.isEmpty():
+            break
+        levels.append(level)
+        states = _mark(states, level.states)
+        parent = level.entries.select(F.col("key").alias("prior"), F.col("p").alias("before"))
+    return vocabulary, Tree(levels, states, counted, total, distinct), counted
+
+
+def _values(tree: Tree) -> DataFrame | None:
+    """(key, v, n): what a state as such (by context) and a next word seen in it (by entry) add to log10 P; n orders by frequency."""
+    if not tree.levels:
+        return None
+    back = F.log10(F.col("kinds") / (F.col("size") + F.col("kinds")))
+    parts = []
+    for states, entries in tree.levels:
+        parts.append(states.select(F.col("context").alias("key"), back.alias("v"), F.col("size").alias("n")))
+        parts.append(entries.select("key", (F.log10(F.col("p") / F.col("before")) - back).alias("v"), F.col("c").alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _common(values: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted keys and values of the commonest, at most COMMON_VALUES, and the n from which they are in."""
+    sizes = values.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toArrow()
+    fits = np.cumsum(sizes["rows"].to_numpy()) <= COMMON_VALUES
+    if not fits.any():
+        return np.zeros(0, np.int64), np.zeros(0), 2**62
+    least = int(sizes["n"].to_numpy()[fits].min())
+    top = values.where(F.col("n") >= least).select("key", "v").toArrow().sort_by("key")
+    return top["key"].to_numpy(), top["v"].to_numpy(), least
+
+
+def _score(vocabulary: Vocabulary, tree: Tree, common: tuple[np.ndarray, np.ndarray], folds: int):
     v = vocabulary
     base = v.tokens + PSEUDO * (v.distinct + 1)
-    ranked = v.symbols > 0
-    other_tokens = v.tokens - v.ends - int(v.counts[ranked].sum())
-    other = other_tokens + PSEUDO * (max(0, v.distinct - (v.ends > 0)) - int(ranked.sum()) + 1)
+    states, depth = tree.filter, len(tree.levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
@@ -194,35 +253,40 @@ def _score(vocabulary: Vocabulary, tree: Tree, folds: int):
             for part in word_slices(batch.column("text")):
                 texts = part.last - part.first
                 words = part.words.view(np.int64)
-                counts, symbols, common = _lookup(v, words)
-                line, one, two, place = _sequence(symbols, part.offsets)
-                state = tree.two[two * SYMBOLS + one]
-                state = np.where(state > 0, state, tree.one[one])
-                p = tree.log10[state, line].astype(np.float64)
+                counts, known = _find(v.words, v.counts, words)
+                sizes = np.diff(part.offsets) + 1
+                owner = np.repeat(np.arange(texts), sizes)
                 # Common words are done here; of the others, only the joined count's logarithm is missing.
-                mine = np.where(common, np.log10(counts + PSEUDO), 0.0)
-                flat = np.full(len(line), math.log10((v.ends + PSEUDO) / base))
-                flat[place] = mine - math.log10(base)
-                p[place] += np.where(symbols == 0, mine - math.log10(other), 0.0)
-                bounds = part.offsets + np.arange(texts + 1)
+                mine = np.where(known, np.log10(counts + PSEUDO), 0.0) - math.log10(base)
+                flat = np.bincount(owner[np.arange(len(words)) + np.repeat(np.arange(texts), sizes - 1)], mine, texts) + math.log10((v.ends + PSEUDO) / base)
+                more, keys, rows_of = np.zeros(texts), [], []
+                for place, context, _, entry in _levels(part, states, depth):
+                    for wanted in (context.view(np.int64), entry.view(np.int64)):
+                        value, hit = _find(*common, wanted)
+                        more += np.bincount(owner[place], value, texts)
+                        keys.append(wanted[~hit])
+                        rows_of.append(owner[place][~hit])
+                keys, rows_of = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (keys, rows_of))
+                keys = keys[np.argsort(rows_of, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rows_of, minlength=texts))]).astype(np.int32)
                 rows = np.arange(row, row + texts)
                 row += texts
-                rare = np.flatnonzero(~common)
+                rare = np.flatnonzero(~known)
                 at = np.searchsorted(rare, part.offsets).astype(np.int32)
-                known = np.add.reduceat(np.append(common, False).astype(np.int64), np.minimum(part.offsets[:-1], len(common))) * (np.diff(part.offsets) > 0) + (v.ends > 0)
                 chosen = ids[part.first : part.last]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rows),
                         pa.array(chosen, pa.int64()),
                         pa.array([not is_training(x, folds) for x in chosen]),
-                        pa.array(np.diff(bounds)),
-                        pa.array(known),
-                        pa.array(np.add.reduceat(flat, bounds[:-1])),
-                        pa.array(np.add.reduceat(p, bounds[:-1])),
+                        pa.array(sizes.astype(np.int64)),
+                        pa.array(sizes - 1 - np.diff(at) + (v.ends > 0)),
+                        pa.array(flat),
+                        pa.array(more),
                         pa.ListArray.from_arrays(pa.array(at), pa.array(words[rare])),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)),
                     ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"],
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "more", "rare", "keys"],
                 )
 
     return lean(run)
@@ -238,13 +302,21 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     """
     vocabulary, tree, counted = learn(docs, folds)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ddl = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<long>"
-    scored = durable(slim.mapInArrow(_score(vocabulary, tree, folds), ddl))
+    values = _values(tree)
+    keys, own, least = (np.zeros(0, np.int64), np.zeros(0), 0) if values is None else _common(values)
+    ddl = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, more double, rare array<long>, keys array<long>"
+    scored = durable(slim.mapInArrow(_score(vocabulary, tree, (keys, own), folds), ddl))
     rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
     found = rare.join(counted, "word", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    sums = found.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + PSEUDO)).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"))
-    whole = scored.drop("rare").join(sums, "row", "left")
-    rest, more = F.coalesce("rest", F.lit(0.0)), F.coalesce("more", F.lit(0))
+    sums = found.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + PSEUDO)).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
+    whole = scored.drop("rare", "keys").join(sums, "row", "left")
+    gain = F.col("more")
+    if values is not None:
+        # Keys that are in no table are false hits of the filter, or next words not seen in their state.
+        met = scored.select("row", F.explode("keys").alias("key")).join(values.where(F.col("n") < least).select("key", "v"), "key")
+        whole = whole.join(met.groupBy("row").agg(F.sum("v").alias("joined")), "row", "left")
+        gain = gain + F.coalesce("joined", F.lit(0.0))
+    base_score = F.col("base") + F.coalesce("rest", F.lit(0.0))
     return whole.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("model") + rest).alias("score")
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + gain).alias("score")
     )

@@ -105,6 +105,79 @@ def test_suffix_tree_distributions_sum_to_one(docs):
     assert np.allclose((10 ** tree.log10.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_suffix_tree_grows_with_the_corpus(spark):
+    from prismlake.llm.suffix_tree import learn, suffix_tree_scores
+
+    draw = random.Random(9)
+    common = [f"c{i}" for i in range(1500)]
+
+    def corpus(n):
+        # Each ten documents have a phrase of their own, whose words are all rarer than the 1,500 common ones.
+        return [(i, " ".join(draw.choices(common, k=40) + [f"p{i // 10}x{j}" for j in range(4)] + draw.choices(common, k=40))) for i in range(n)]
+
+    states = [sum(x.states.count() for x in learn(spark.createDataFrame(corpus(n), "doc_id long, text string"))[1].levels) for n in (300, 3000)]
+    assert states[1] > 5 * states[0] >= 5 * 80
+    # The word after "a b" is another than after "c b", and depends on the word before "a b".
+    rows = [(i, " ".join(f"{x} a b {x}{x} c b z" for x in draw.choices("klmnopqr", k=12))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, tree, _ = learn(docs)
+    assert len(tree.levels) >= 3 and np.allclose((10**tree.log10).sum(axis=1), 1)
+    assert all(r["score"] > r["base_score"] for r in suffix_tree_scores(docs).collect())
+
+
+def test_suffix_tree_scores_equal_brute_force(spark):
+    from prismlake.llm import suffix_tree
+
+    draw = random.Random(10)
+    rows = [(i, " ".join([f"{x} a b {x}{x} c b z" for x in draw.choices("klmn", k=8)] + draw.choices("uvwxyzab", k=5))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = {i: ["^", *text.split(), "$"] for i, text in rows}
+    ends = lambda line, n: [(tuple(line[i - n : i]), line[i]) for i in range(n, len(line))]
+    train = [x for i, x in lines.items() if suffix_tree.is_training(i, 10)]
+    words = collections.Counter(w for x in train for w in x[1:])
+    base = sum(words.values()) + 0.1 * (len(words) + 1)
+    states, n = {(): None}, 0
+
+    def p(context, w):
+        if not context:
+            return (words[w] + 0.1) / base
+        if context not in states:
+            return p(context[1:], w)
+        c = states[context]
+        return (c[w] + len(c) * p(context[1:], w)) / (c.total() + len(c))
+
+    while True:
+        n += 1
+        tables = collections.defaultdict(collections.Counter)
+        for line in train:
+            for context, w in ends(line, n):
+                if context[1:] in states:
+                    tables[context][w] += 1
+        gain = lambda t, c: sum(m * math.log((m - 1 + len(c) * p(t[1:], w)) / (c.total() - 1 + len(c)) / p(t[1:], w)) for w, m in c.items())
+        kept = {t: c for t, c in tables.items() if c.total() > 1 and gain(t, c) >= suffix_tree.LEAST_NATS}
+        if not kept:
+            break
+        states |= kept
+
+    def score(line):
+        total = 0.0
+        for i in range(1, len(line)):
+            context = ()
+            while len(context) < i and (line[i - len(context) - 1], *context) in states:
+                context = (line[i - len(context) - 1], *context)
+            total += math.log10(p(context, line[i]))
+        return total
+
+    assert n > 3
+    for most in (suffix_tree.COMMON_VALUES, 40, 0):
+        suffix_tree.COMMON_VALUES, before = most, suffix_tree.COMMON_VALUES
+        try:
+            found = {r["doc_id"]: r["score"] for r in suffix_tree.suffix_tree_scores(docs).collect()}
+        finally:
+            suffix_tree.COMMON_VALUES = before
+        assert all(math.isclose(found[i], score(x), abs_tol=1e-6) for i, x in lines.items())
+
+
 def test_url_filter(spark):
     from prismlake.llm.queries import URL_RULES
     from prismlake.llm.urls import judge_urls
