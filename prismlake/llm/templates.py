@@ -1,9 +1,11 @@
 """Main text of web pages by site template removal.
 
 Each element's subtree is hashed; Spark counts on how many pages of a host a hash is
-found, and subtrees that many pages of that host share are its template and go. An
-article is no template, however often it is copied: where a page has one, its text is
-what is kept, and counts decide over what is outside any article. Elements that are
+found, and subtrees that many pages of that host share are its template and go. Inside
+articles, distinct article bodies are counted instead of pages, so that an article is no
+template, however often it is copied; one that consists for the most part of what others
+have too is a near copy and stays whole. On hosts with too few pages to count, the text
+is that of the first container the page has. Elements that are
 never main text by their tag, role or class (menus, headers, footers, sidebars,
 notices, adverts, forms, comments of readers) go wherever they stand.
 """
@@ -28,6 +30,10 @@ from prismlake.session import durable
 LEAST_PAGES = 5
 #: ... and at least this share of the host's pages.
 LEAST_SHARE = 0.2
+#: An article stays whole if more than this share of its text is in recurring subtrees.
+MOST_RECURRING = 0.5
+#: Hashes that count a host's pages and its distinct article bodies; in a template, PAGES says that the host's pages are enough to count.
+PAGES, BODIES = 0, 1
 #: Templates that every task may hold as 64-bit hashes; beyond, hits are joined page by page.
 BROADCAST_TEMPLATES = 2_000_000
 
@@ -157,23 +163,45 @@ def _hidden(element: Element | None) -> bool:
     return False
 
 
-def subtrees(page: str) -> list[int]:
-    """Distinct hashes of subtrees with text outside articles; an element that goes anyway is not looked into."""
+def _within(digest: int) -> int:
+    """The hash of a subtree inside an article, as it is another than outside."""
+    return xxhash.xxh3_64_intdigest(b"in" + digest.to_bytes(8, "little"))
+
+
+def subtrees(page: str) -> list[tuple[int, int]]:
+    """Distinct (hash, body) of subtrees with text; body is the hash of the article around them, 0 outside. An element that goes anyway is not looked into."""
     root = parse(page)
     elements = _walk(root)
     _digest(elements)
-    found, stack = set(), [root]
+    found, stack = {(PAGES, 0)}, [(root, 0)]
     while stack:
-        element = stack.pop()
-        if element.tag == "article":
+        element, body = stack.pop()
+        if element.never:
             continue
-        if element.tag not in ("", "html", "body", "main") and not element.never and any(not isinstance(x, str) or x.strip() for x in element.parts):
-            found.add(element.digest)
-        if not element.never:
-            stack += [x for x in element.parts if not isinstance(x, str)]
+        if element.tag == "article" and not body:
+            body = element.digest
+            found.add((BODIES, body))
+        elif element.tag not in ("", "html", "body", "main") and any(not isinstance(x, str) or x.strip() for x in element.parts):
+            found.add((_within(element.digest), body) if body else (element.digest, 0))
+        stack += [(x, body) for x in element.parts if not isinstance(x, str)]
     return list(found)
 
 
+def _copied(article: Element, template: set[int]) -> bool:
+    """Whether most of an article's visible text is in recurring subtrees."""
+    whole = recurring = 0
+    stack = [(article, False)]
+    while stack:
+        element, known = stack.pop()
+        if element.never:
+            continue
+        known = known or (element is not article and _within(element.digest) in template)
+        size = sum(len(_SPACE.sub(" ", x).strip()) for x in element.parts if isinstance(x, str))
+        whole, recurring = whole + size, recurring + size * known
+        stack += [(x, known) for x in element.parts if not isinstance(x, str)]
+    return recurring > MOST_RECURRING * whole
+
+
 def main_text(page: str, template: set[int] | None = None) -> str:
     """The main text of a page without subtrees in template: blocks joined by line feeds."""
     root = parse(page)
@@ -181,6 +209,10 @@ def main_text(page: str, template: set[int] | None = None) -> str:
     if template:
         _digest(elements)
     tags = _container(elements)
+    if template and PAGES in template and any(e.tag == "body" for e in elements):
+        tags = ("body",)
+    elif template and PAGES in template:
+        tags = ("",)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -190,17 +222,21 @@ def main_text(page: str, template: set[int] | None = None) -> str:
             blocks.append(text)
         line.clear()
 
-    # (part, inside a container, closes a block)
-    stack: list[tuple[str | Element | None, bool, bool]] = [(root, tags == ("",), False)]
+    # (part, inside a container, closes a block, in an article, that stays whole)
+    stack: list[tuple[str | Element | None, bool, bool, bool, bool]] = [(root, tags == ("",), False, False, False)]
     while stack:
-        part, inside, closes = stack.pop()
+        part, inside, closes, article, stays = stack.pop()
         if closes:
             flush()
         elif isinstance(part, str):
             if inside:
                 line.append(part)
         else:
-            if part.never or (template and part.tag not in ("", "html", "body", "main", "article") and part.digest in template and not _in_article(part)):
+            if part.never:
+                continue
+            if template and part.tag == "article" and not article:
+                article, stays = True, _copied(part, template)
+            elif template and (not stays and _within(part.digest) in template if article else part.tag not in ("", "html", "body", "main") and part.digest in template):
                 continue
             within = inside or part.tag in tags
             if part.tag == "br":
@@ -208,37 +244,33 @@ def main_text(page: str, template: set[int] | None = None) -> str:
             block = part.tag in BLOCKS
             if block:
                 flush()
-                stack.append((None, within, True))
-            stack += [(x, within, False) for x in reversed(part.parts)]
+                stack.append((None, within, True, article, stays))
+            stack += [(x, within, False, article, stays) for x in reversed(part.parts)]
     flush()
     return "\n".join(blocks)
 
 
-def _in_article(element: Element | None) -> bool:
-    while element is not None:
-        if element.tag == "article":
-            return True
-        element = element.parent
-    return False
-
-
 @lean
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, found = [], []
+        hosts, found, bodies = [], [], []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             own = subtrees(page)
-            hosts += [host] * (len(own) + 1)
-            found += [0, *own]  # 0 counts the page
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(found, np.uint64).view(np.int64))], names=["host", "hash"])
+            hosts += [host] * len(own)
+            found += [x for x, _ in own]
+            bodies += [x for _, x in own]
+        columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (found, bodies)]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *columns], names=["host", "hash", "body"])
 
 
 def site_templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hash) of subtrees that recur across pages of a host, from rows (host, html)."""
-    counts = pages.mapInArrow(_hashes, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("pages"))
-    often = durable(counts.where((F.col("hash") == 0) | (F.col("pages") >= least_pages)))
-    whole = often.where("hash = 0").select("host", F.col("pages").alias("all_pages"))
-    return often.where("hash <> 0").join(whole, "host").where(F.col("pages") >= F.col("all_pages") * least_share).select("host", "hash")
+    """(host, hash) of subtrees that recur across pages of a host, inside articles across its distinct article bodies, from rows (host, html); PAGES for hosts with least_pages."""
+    rows = pages.mapInArrow(_hashes, "host string, hash long, body long").groupBy("host", "hash", "body").agg(F.count("*").alias("pages"))
+    # Outside there is one body, 0, and pages count; inside each body counts once, however many pages have it.
+    counts = rows.groupBy("host", "hash").agg(F.sum(F.when(F.col("body") == 0, F.col("pages")).otherwise(1)).alias("pages"), (F.max(F.when(F.col("body") == 0, 0).otherwise(1)) > 0).alias("inside"))
+    often = durable(counts.where(F.col("hash").isin(PAGES, BODIES) | (F.col("pages") >= least_pages)))
+    whole = often.where(F.col("hash").isin(PAGES, BODIES)).select("host", "inside", F.col("pages").alias("all_pages"))
+    return often.where((F.col("hash") != BODIES) & (F.col("pages") >= least_pages)).join(whole, ["host", "inside"]).where(F.col("pages") >= F.col("all_pages") * least_share).select("host", "hash")
 
 
 def _extract(known: np.ndarray | None):
@@ -253,10 +285,10 @@ def _extract(known: np.ndarray | None):
                 if known is None:
                     template = {x % (1 << 64) for x in mine or ()}
                 elif len(known):
-                    found = subtrees(page)
+                    found = [x for x, _ in subtrees(page)]
                     keys = np.array([_key(host, x) for x in found], np.uint64)
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    template = {x for x, hit in zip(found, known[at] == keys, strict=True) if hit} if found else set()
+                    template = {x for x, hit in zip(found, known[at] == keys, strict=True) if hit}
                 else:
                     template = set()
                 texts.append(main_text(page, template))
@@ -293,7 +325,7 @@ def extract_pages(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share:
 @lean
 def _page_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [subtrees(page) for page in batch.column("html").to_pylist()]
+        own = [[x for x, _ in subtrees(page)] for page in batch.column("html").to_pylist()]
         index = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
         found = np.array([x for xs in own for x in xs], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("host").take(index), batch.column("page").take(index), pa.array(found)], names=["host", "page", "hash"])

@@ -213,6 +213,27 @@ def test_html_extraction(spark):
         assert {r["page_id"]: r["text"] for r in found} == expected and all(r["n_chars"] == len(r["text"]) for r in found)
 
 
+def test_html_extraction_counts_inside_and_beside_articles(spark):
+    from prismlake.llm import templates
+
+    box = "<div><p>Join our list</p></div>"
+    long = "<h1>Same</h1><p>Copied text that stands on many pages as a whole</p>"
+    pages = [(i, f"http://h.com/{i}", f"<body><div>Bar</div><article><p>Text {i} is longer than the box</p>{box}</article><main><p>Beside {i}</p></main></body>") for i in range(8)]
+    pages += [(i, f"http://c.com/{i}", f"<body><article>{long}</article></body>") for i in range(8, 16)]
+    # Near copies: all but a last word is the same.
+    pages += [(i, f"http://n.com/{i}", f"<body><article>{long}<p>{i}</p></article></body>") for i in range(16, 24)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    copy = "Same\nCopied text that stands on many pages as a whole"
+    expected = {i: f"Text {i} is longer than the box\nBeside {i}" for i in range(8)} | dict.fromkeys(range(8, 16), copy) | {i: f"{copy}\n{i}" for i in range(16, 24)}
+    for limit in (templates.BROADCAST_TEMPLATES, 0):
+        templates.BROADCAST_TEMPLATES, before = limit, templates.BROADCAST_TEMPLATES
+        try:
+            found = {r["page_id"]: r["text"] for r in templates.extract_pages(table).collect()}
+        finally:
+            templates.BROADCAST_TEMPLATES = before
+        assert found == expected
+
+
 def test_quality_rules(docs, rows, empty):
     from prismlake.llm.compression import compression_rules, keep_clean
 
