@@ -4,9 +4,15 @@ Contexts are runs of whole words before a token (the start of a text counts as o
 They grow word by word: those of n + 1 words are counted only where their last n words
 are a state, and become states if their next-word distribution differs from their
 parent's (the context without its oldest word) by a fixed number of nats. Growth ends
-when no context passes. Counts, states and their distributions are tables; tasks hold
-a filter of states and the commonest values, the rest is joined. Each token is scored
-in its longest context that is a state.
+when no context passes. Each token is scored in its longest context that is a state.
+
+Distributions are smoothed by absolute discounting: one occurrence of each next word of
+a state counts for its parent. So next words that a state has met once need no row, and
+a text is not predicted from itself.
+
+Contexts are counted in parts of their hashes, one part at a time, so that the disk
+holds a part of them only. Tasks send packed arrays instead of rows, routed by context;
+contexts of very common words alone are routed by next word, so none meets in one task.
 """
 
 from __future__ import annotations
@@ -25,20 +31,33 @@ from pyspark.sql import functions as F
 
 from prismlake.llm.memory import lean
 from prismlake.llm.words import BASE, GOLDEN, M1, Slice, mix, word_slices
-from prismlake.session import discard, durable
+from prismlake.session import discard, durable, partitions
 
-#: Words whose counts every task holds; the rest are joined.
+#: Words whose counts every task holds, at most; the rest are asked for.
 COMMON = 1 << 18
-#: Values of states and of their next words that every task may hold; the rest are joined.
+#: Values of states and of their next words that every task may hold; the rest are asked for.
 COMMON_VALUES = 1 << 20
 #: Nats that a state must gain over its parent, each occurrence being predicted from the others.
 LEAST_NATS = 10.0
-#: Most bits of the filter of states, which every stage sends to all executors. Its false hits cost work only, as what is counted or scored is joined with the states.
+#: Most bits of the filters of states and of their next words, which every stage sends to all executors. Their false hits cost work only, as what is counted or scored is joined with the states.
 FILTER_BITS = 1 << 26
+#: Parts in which all places of the corpus are counted, one after the other, and in which they are scored.
+PARTS, SCORE_PARTS = 3, 2
+#: Words of at least this share of all tokens are very common: their own contexts are spread by next word.
+HOT_SHARE = 1 / 4096
+#: Places that a task collects before it sends them, and that a task receives, about.
+SENT, RECEIVED = 1 << 20, 1 << 20
+#: Texts that a task remembers, to score a copied one once.
+REMEMBERED = 200_000
 PSEUDO = 0.1
 #: The end token's key among word hashes; as a context's oldest word it is the start of a text.
 END_KEY = -(2**62) + 12345
 ROOT = np.uint64(0x632BE59BD9B4E019)
+BLOBS = "bucket int, kind int, src long, data binary"
+_BLOBS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("src", pa.int64()), ("data", pa.binary())])
+_KEY, _COUNT, _VALUE = np.dtype("<u8"), np.dtype("<u4"), np.dtype("<f8")
+# Kinds of blobs: words and values asked for, a task's texts, known words, known values; words and values answered.
+ASK_WORD, ASK_VALUE, TEXTS, WORDS, VALUES, WORD_SUMS, VALUE_SUMS = range(7)
 
 
 def is_training(doc_id: int | None, folds: int) -> bool:
@@ -49,6 +68,40 @@ def _training(batch: pa.RecordBatch, folds: int) -> pa.RecordBatch:
     return batch.filter(pa.array([is_training(x, folds) for x in batch.column("doc_id").to_pylist()], pa.bool_()))
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+def _unpack(blobs: list, types: tuple[np.dtype, ...]) -> list[np.ndarray]:
+    """The columns of packed blobs, one after the other."""
+    width = sum(t.itemsize for t in types)
+    found: list[list[np.ndarray]] = [[] for _ in types]
+    for blob in blobs:
+        data = np.frombuffer(blob.as_buffer(), np.uint8)
+        n, at = len(data) // width, 0
+        for i, t in enumerate(types):
+            found[i].append(data[at : at + n * t.itemsize].view(t))
+            at += n * t.itemsize
+    return [np.concatenate([np.zeros(0, t), *x]) for x, t in zip(found, types, strict=True)]
+
+
+def _send(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _BLOBS, strict=True)], schema=_BLOBS)
+
+
+def _deal(route: np.ndarray, buckets: int, kind: int, src: int, *columns: np.ndarray) -> list[tuple]:
+    """Rows of BLOBS: the columns dealt to buckets by mixed hashes."""
+    bucket = (route % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    columns = tuple(c[order] for c in columns)
+    return [(b, kind, src, _pack(*(c[cuts[b] : cuts[b + 1]] for c in columns))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def _mine(route: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return (route >> np.uint64(40)) % np.uint64(parts) == part
+
+
 def _count_words(folds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = 0
@@ -65,13 +118,14 @@ def _count_words(folds: int):
 
 
 class Vocabulary(NamedTuple):
-    """Sorted hashes of the commonest words and their counts; tokens, distinct ones and ends of all training texts."""
+    """Sorted hashes of the commonest words and their counts; tokens, distinct ones and ends of all training texts; sorted hashes of very common words."""
 
     words: np.ndarray
     counts: np.ndarray
     tokens: int
     distinct: int
     ends: int
+    hot: np.ndarray
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,58 +142,117 @@ def _extend(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * BASE + word)
 
 
-def _entry(context: np.ndarray, following: np.ndarray) -> np.ndarray:
-    """The key of a next word in a context."""
-    return mix((context ^ GOLDEN) * M1 + following)
+def _entry(context: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The key of a next word in a context, from its key in the parent (the word itself in the empty one)."""
+    return mix((context ^ GOLDEN) * M1 + prior)
+
 
+def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(len(bits) * 64 - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
 
-def _levels(part: Slice, states: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(place, context, prior, entry) for contexts of 1 to depth words whose parents may be states; prior is the entry in the parent.
 
-    Places count each text's words and its end.
+def _levels(part: Slice, states: np.ndarray, depth: int, hot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place, context, prior, entry, salted) for contexts of 1 to depth words whose parents may be states.
+
+    Places count each text's words and its end; prior is the entry in the parent;
+    salted are contexts of very common words alone.
     """
     texts = len(part.offsets) - 1
     sizes = np.diff(part.offsets) + 1
     line = np.full(len(part.words) + texts + 1, np.int64(END_KEY).view(np.uint64), np.uint64)
     line[1 + np.arange(len(part.words)) + np.repeat(np.arange(texts), sizes - 1)] = part.words
+    common = _find(hot, hot, line)[1]
     begin = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
     place = np.arange(len(begin))
-    context, entry = np.full(len(begin), ROOT), line[1:]
+    context, entry, salted = np.full(len(begin), ROOT), line[1:], np.ones(len(begin), bool)
     for n in range(1, depth + 1):
         more = place + 1 - n >= begin[place]
         if n > 1:
-            bit = context & np.uint64(len(states) * 64 - 1)
-            more &= (states[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)) > 0
+            more &= _may_hold(states, context)
         place, prior = place[more], entry[more]
         context = _extend(context[more], line[place + 1 - n])
-        entry = _entry(context, line[place + 1])
-        yield place, context, prior, entry
+        salted = salted[more] & common[place + 1 - n]
+        entry = _entry(context, prior)
+        yield place, context, prior, entry, salted
+
 
+def _send_contexts(states: np.ndarray, level: int, folds: int, hot: np.ndarray, part: int, parts: int, buckets: int):
+    """Counts of next words in contexts of this part, as blobs of (context, prior, c); kind 1 for salted ones."""
 
-def _count_contexts(states: np.ndarray, level: int, folds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> pa.RecordBatch:
+            context, prior, entry, salted, route = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            _, first, counts = np.unique(entry, return_index=True, return_counts=True)
+            rows = []
+            for kind in (0, 1):
+                own = salted[first] == bool(kind)
+                at = first[own]
+                rows += _deal(route[at], buckets, kind, 0, context[at], prior[at], counts[own].astype(_COUNT))
+            return _send(rows)
+
         for batch in batches:
-            for part in word_slices(_training(batch, folds).column("text")):
-                *_, (_, context, prior, entry) = _levels(part, states, level)
-                keys, first, counts = np.unique(entry, return_index=True, return_counts=True)
-                columns = [x.view(np.int64) for x in (keys, context[first], prior[first])]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(counts.astype(np.int64))], names=["key", "context", "prior", "c"])
+            for texts in word_slices(_training(batch, folds).column("text")):
+                *_, (_, context, prior, entry, salted) = _levels(texts, states, level, hot)
+                mixed = mix(context)
+                mine, route = _mine(mixed, part, parts), np.where(salted, mix(entry), mixed)
+                held.append(tuple(x[mine] for x in (context, prior, entry, salted, route)))
+                if sum(len(x[0]) for x in held) >= SENT:
+                    yield packed()
+        if held:
+            yield packed()
 
     return lean(run)
 
 
+@lean
+def _sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(context, key, prior, c) of next words met twice or more, and (context, size, kinds) of the contexts that may have such."""
+    sent: tuple[list, list] = ([], [])
+    for batch in batches:
+        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+            sent[kind].append(blob)
+    plain, spread = (_unpack(x, (_KEY, _KEY, _COUNT)) for x in sent)
+    salted = np.repeat([False, True], [len(plain[0]), len(spread[0])])
+    context, prior, c = (np.concatenate(x) for x in zip(plain, spread, strict=True))
+    if not len(context):
+        return
+    key = _entry(context, prior)
+    order = np.argsort(key)
+    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    c = np.add.reduceat(c[order].astype(np.int64), first)
+    at = order[first]
+    context, prior, key, salted = context[at], prior[at], key[at], salted[at]
+    signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+    twice = np.flatnonzero(c > 1)
+    none = lambda n: pa.nulls(n, pa.int64())
+    names = ["context", "key", "prior", "c", "size", "kinds"]
+    yield pa.RecordBatch.from_arrays([signed(context[twice]), signed(key[twice]), signed(prior[twice]), pa.array(c[twice]), none(len(twice)), none(len(twice))], names=names)
+    by = np.argsort(context, kind="stable")
+    begin = np.flatnonzero(np.append(True, np.diff(context[by]) != 0))
+    size, kinds = np.add.reduceat(c[by], begin), np.diff(np.append(begin, len(by)))
+    # All next words of a context that is not salted are here; if each was met once, it cannot pass.
+    kept = (size > kinds) | salted[by[begin]]
+    n = int(kept.sum())
+    yield pa.RecordBatch.from_arrays([signed(context[by[begin]][kept]), none(n), none(n), none(n), pa.array(size[kept]), pa.array(kinds[kept])], names=names)
+
+
 class Level(NamedTuple):
-    """States of one length (context, size, kinds), and their next words (key, context, prior, c, p, before)."""
+    """States of one length (context, parent, size, kinds), and their next words met twice or more (key, context, c, p, v); v is what one adds to log10 P."""
 
     states: DataFrame
     entries: DataFrame
 
 
 class Tree(NamedTuple):
-    """Levels from one word on, the filter of all states' contexts, the table of all training words and how many tokens and words it has."""
+    """Levels from one word on, the filters of all states' contexts and of their next words, the table of all training words and how many tokens and words it has."""
 
     levels: list[Level]
     filter: np.ndarray
+    entry_filter: np.ndarray
     counted: DataFrame
     tokens: int
     distinct: int
@@ -150,173 +263,264 @@ class Tree(NamedTuple):
         table = self.counted.toArrow()
         words = table["word"].to_numpy().view(np.uint64)
         base = self.tokens + PSEUDO * (self.distinct + 1)
-        rows, at, owner = [(np.append(table["c"].to_numpy(), 0) + PSEUDO) / base], {}, {}
+        rows = [(np.append(table["c"].to_numpy(), 0) + PSEUDO) / base]
+        known = {int(ROOT.view(np.int64)): (rows[0], words)}
         for level in self.levels:
-            entries = level.entries.select("key", "context", "prior", "c").toArrow().to_pylist()
-            counts = {e["key"]: e["c"] for e in entries}
-            parents = {e["context"]: owner.get(e["prior"]) for e in entries}
+            counts = {e["key"]: e["c"] for e in level.entries.toArrow().to_pylist()}
             for s in level.states.toArrow().to_pylist():
-                keys = _entry(np.full(len(words), np.int64(s["context"]).view(np.uint64)), words).view(np.int64).tolist()
-                own = np.array([*(counts.get(k, 0) for k in keys), 0])
-                rows.append((own + s["kinds"] * rows[at.get(parents[s["context"]], 0)]) / (s["size"] + s["kinds"]))
-                at[s["context"]] = len(rows) - 1
-            owner = {e["key"]: e["context"] for e in entries}
+                before, prior = known[s["parent"]]
+                keys = _entry(np.full(len(words), np.int64(s["context"]).view(np.uint64)), prior)
+                own = np.array([*(max(0, counts.get(k, 0) - 1) for k in keys.view(np.int64).tolist()), 0])
+                rows.append((own + s["kinds"] * before) / s["size"])
+                known[s["context"]] = rows[-1], keys
         return np.log10(np.stack(rows))
 
 
-def _grow(texts: DataFrame, parent: DataFrame, states: np.ndarray, level: int, folds: int) -> Level:
-    """The states of so many words, from the parent's probabilities (prior, before)."""
-    counts = durable(texts.mapInArrow(_count_contexts(states, level, folds), "key long, context long, prior long, c long").groupBy("key").agg(F.first("context").alias("context"), F.first("prior").alias("prior"), F.sum("c").alias("c")))
+def _exchange(rows: DataFrame, places: int) -> DataFrame:
+    """Blobs by bucket, in partitions of about RECEIVED places."""
+    return rows.repartition(max(partitions(rows.sparkSession), -(-places // RECEIVED)), "bucket")
+
+
+def _buckets(df: DataFrame, places: int) -> int:
+    """Several for each partition, so that partitions are alike."""
+    return 8 * max(partitions(df.sparkSession), -(-places // RECEIVED))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _grow(texts: DataFrame, parent: DataFrame, states: np.ndarray, level: int, folds: int, hot: np.ndarray, part: int, parts: int, places: int) -> Level:
+    """A part of the states of so many words, from the parent's probabilities (prior, before, parent)."""
+    sent = texts.mapInArrow(_send_contexts(states, level, folds, hot, part, parts, _buckets(texts, places)), BLOBS)
+    counts = durable(_exchange(sent, places).mapInArrow(_sum_contexts, "context long, key long, prior long, c long, size long, kinds long"))
     # A context seen once tells nothing of others.
-    sums = counts.groupBy("context").agg(F.sum("c").alias("size"), F.count("*").alias("kinds")).where("size > 1")
+    sums = counts.where("key is null").groupBy("context").agg(F.sum("size").alias("size"), F.sum("kinds").alias("kinds")).where("size > 1")
     # False hits of the filter have no prior among the states' entries and go here.
-    known = durable(counts.join(sums, "context").join(parent, "prior"))
+    known = durable(counts.where("key is not null").select("context", "key", "prior", "c").join(sums, "context").join(parent, "prior"))
     discard(counts)
     # Each occurrence is predicted from the others, with as much weight for the parent as there are different next words.
-    others = (F.col("c") - 1 + F.col("kinds") * F.col("before")) / (F.col("size") - 1 + F.col("kinds"))
-    gains = known.groupBy("context", "size", "kinds").agg(F.sum(F.col("c") * F.log(others / F.col("before"))).alias("gain"))
-    kept = durable(gains.where(F.col("gain") >= LEAST_NATS).select("context", "size", "kinds"))
-    p = (F.col("c") + F.col("kinds") * F.col("before")) / (F.col("size") + F.col("kinds"))
-    entries = durable(known.join(kept.select("context"), "context", "left_semi").select("key", "context", "prior", "c", "size", "kinds", p.alias("p"), "before"))
+    kinds, size, c, before = (F.col(x) for x in ("kinds", "size", "c", "before"))
+    others = (c - 1 + kinds * before) / (size - 1 + kinds)
+    gains = known.groupBy("context", "parent", "size", "kinds").agg(F.sum(c * F.log(others / before)).alias("gain"), F.count("*").alias("twice"))
+    once = (kinds - F.col("twice")) * F.log(kinds / (size - 1 + kinds))
+    kept = durable(gains.where(F.col("gain") + once >= LEAST_NATS).select("context", "parent", "size", "kinds"))
+    p = (c - 1 + kinds * before) / size
+    v = F.log10(p / before) - F.log10(kinds / size)
+    entries = durable(known.join(kept.select("context"), "context", "left_semi").select("key", "context", "c", p.alias("p"), v.alias("v")))
     discard(known)
     return Level(kept, entries)
 
 
-def _mark(states: np.ndarray, contexts: DataFrame) -> np.ndarray:
-    """The filter with further contexts; what is collected is bounded by FILTER_BITS."""
-    bit = F.col("context").bitwiseAND(F.lit(len(states) * 64 - 1))
-    one = F.expr("shiftleft(1L, cast(context & 63L as int))")
-    words = contexts.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
-    states = states.copy()
-    states[words["at"].to_numpy()] |= words["bits"].to_numpy().view(np.uint64)
-    return states
+def _mark(bits: np.ndarray, keys: DataFrame, column: str) -> np.ndarray:
+    """The filter with further keys; what is collected is bounded by FILTER_BITS."""
+    at = F.shiftright(F.col(column).bitwiseAND(F.lit(len(bits) * 64 - 1)), 6)
+    one = F.expr(f"shiftleft(1L, cast({column} & 63L as int))")
+    words = keys.groupBy(at.alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    bits = bits.copy()
+    bits[words["at"].to_numpy()] |= words["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _commonest(rows: DataFrame, key: str, value: str, n: str, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted keys and values of the rows of greatest n, at most so many, and the n from which they are in."""
+    sizes = rows.groupBy(F.least(n, F.lit(100_000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toArrow()
+    fits = np.cumsum(sizes["rows"].to_numpy()) <= most
+    if not fits.any():
+        return np.zeros(0, np.uint64), np.zeros(0), 2**62
+    least = int(sizes["n"].to_numpy()[fits].min())
+    top = rows.where(F.col(n) >= least).select(F.col(key).alias("key"), F.col(value).alias("value")).toArrow()
+    keys = top["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], top["value"].to_numpy()[order], least
 
 
 def learn(docs: DataFrame, folds: int = 10) -> tuple[Vocabulary, Tree, DataFrame]:
     """Vocabulary, tree and the table of all training words (word, c), from rows whose crc32(doc_id as text) mod folds is not 0.
 
     Counts cover all training texts and are summed by shuffles; what is collected is
-    bounded: COMMON words and the filter of states.
+    bounded: COMMON words, 1 / HOT_SHARE very common ones and the filters.
     """
     texts = docs.select("doc_id", "text")
     counted = durable(texts.mapInArrow(_count_words(folds), "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
     whole = counted.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == END_KEY, F.col("c")))).first()
     total, distinct, ends = (int(x or 0) for x in whole)
-    top = counted.where(F.col("word") != END_KEY).orderBy(F.desc("c"), "word").limit(COMMON).toArrow()
-    words, counts = top["word"].to_numpy(), top["c"].to_numpy()
-    order = np.argsort(words)
-    vocabulary = Vocabulary(words[order], counts[order], total, distinct, ends)
-    states, levels = np.zeros(min(FILTER_BITS, 1 << max(12, (2 * total).bit_length())) >> 6, np.uint64), []
-    parent = counted.select(F.col("word").alias("prior"), ((F.col("c") + PSEUDO) / (total + PSEUDO * (distinct + 1))).alias("before"))
-    while total:
-        level = _grow(texts, parent, states, len(levels) + 1, folds)
-        if level.states.isEmpty():
-            break
-        levels.append(level)
-        states = _mark(states, level.states)
-        parent = level.entries.select(F.col("key").alias("prior"), F.col("p").alias("before"))
-    return vocabulary, Tree(levels, states, counted, total, distinct), counted
-
-
-def _values(tree: Tree) -> DataFrame | None:
-    """(key, v, n): what a state as such (by context) and a next word seen in it (by entry) add to log10 P; n orders by frequency."""
-    if not tree.levels:
-        return None
-    back = F.log10(F.col("kinds") / (F.col("size") + F.col("kinds")))
+    words, counts, _ = _commonest(counted.where(F.col("word") != END_KEY), "word", "c", "c", COMMON)
+    hot = np.sort(counted.where(F.col("c") > total * HOT_SHARE).select("word").toArrow()["word"].to_numpy().view(np.uint64))
+    bits = min(FILTER_BITS, 1 << max(12, (2 * total).bit_length()))
+    states, entries, levels = np.zeros(bits >> 6, np.uint64), np.zeros(bits >> 6, np.uint64), []
+    root = F.lit(int(ROOT.view(np.int64)))
+    parent = counted.select(F.col("word").alias("prior"), ((F.col("c") + PSEUDO) / (total + PSEUDO * (distinct + 1))).alias("before"), root.alias("parent"))
+    places = total
+    while places:
+        parts = -(-PARTS * places // total)
+        grown = [_grow(texts, parent, states, len(levels) + 1, folds, hot, i, parts, -(-places // parts)) for i in range(parts)]
+        level = Level(*(_union(list(x)) for x in zip(*grown, strict=True)))
+        places = int(level.states.agg(F.sum("size")).first()[0] or 0)
+        if places:
+            levels.append(level)
+            states, entries = _mark(states, level.states, "context"), _mark(entries, level.entries, "key")
+            parent = level.entries.select(F.col("key").alias("prior"), F.col("p").alias("before"), F.col("context").alias("parent"))
+    return Vocabulary(words, counts, total, distinct, ends, hot), Tree(levels, states, entries, counted, total, distinct), counted
+
+
+def _values(tree: Tree) -> DataFrame:
+    """(key, v, n): what a state as such (by context) and a next word met twice in it (by entry) add to log10 P; n orders by frequency."""
     parts = []
     for states, entries in tree.levels:
-        parts.append(states.select(F.col("context").alias("key"), back.alias("v"), F.col("size").alias("n")))
-        parts.append(entries.select("key", (F.log10(F.col("p") / F.col("before")) - back).alias("v"), F.col("c").alias("n")))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(states.select(F.col("context").alias("key"), F.log10(F.col("kinds") / F.col("size")).alias("v"), F.col("size").alias("n")))
+        parts.append(entries.select("key", "v", F.col("c").alias("n")))
+    return _union(parts)
 
 
-def _common(values: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted keys and values of the commonest, at most COMMON_VALUES, and the n from which they are in."""
-    sizes = values.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).toArrow()
-    fits = np.cumsum(sizes["rows"].to_numpy()) <= COMMON_VALUES
-    if not fits.any():
-        return np.zeros(0, np.int64), np.zeros(0), 2**62
-    least = int(sizes["n"].to_numpy()[fits].min())
-    top = values.where(F.col("n") >= least).select("key", "v").toArrow().sort_by("key")
-    return top["key"].to_numpy(), top["v"].to_numpy(), least
+def _send_values(kind: int, part: int, parts: int, buckets: int):
+    """Rows (key, value) of this part as blobs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            route = mix(keys)
+            mine = _mine(route, part, parts)
+            yield _send(_deal(route[mine], buckets, kind, 0, keys[mine], batch.column(1).to_numpy().astype(_VALUE)[mine]))
+
+    return lean(run)
 
 
-def _score(vocabulary: Vocabulary, tree: Tree, common: tuple[np.ndarray, np.ndarray], folds: int):
-    v = vocabulary
-    base = v.tokens + PSEUDO * (v.distinct + 1)
-    states, depth = tree.filter, len(tree.levels)
+#: A task's texts: key, n_tokens, n_known, base, gain, number.
+_TEXT_COLUMNS = (_KEY, _VALUE, _VALUE, _VALUE, _VALUE, _COUNT)
+
+
+def _ask(vocabulary: Vocabulary, tree: Tree, common: tuple[np.ndarray, np.ndarray], part: int, parts: int, buckets: int):
+    """A task's texts (key, n_tokens, n_known, base, gain) as far as it knows, and the words and values of this part that it must ask for, with the text's number."""
+    v, depth = vocabulary, len(tree.levels)
+    base, states, entry_filter = v.tokens + PSEUDO * (v.distinct + 1), tree.filter, tree.entry_filter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
+        src, done, seen = TaskContext.get().partitionId(), 0, set()
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for part in word_slices(batch.column("text")):
-                texts = part.last - part.first
-                words = part.words.view(np.int64)
-                counts, known = _find(v.words, v.counts, words)
-                sizes = np.diff(part.offsets) + 1
-                owner = np.repeat(np.arange(texts), sizes)
-                # Common words are done here; of the others, only the joined count's logarithm is missing.
-                mine = np.where(known, np.log10(counts + PSEUDO), 0.0) - math.log10(base)
-                flat = np.bincount(owner[np.arange(len(words)) + np.repeat(np.arange(texts), sizes - 1)], mine, texts) + math.log10((v.ends + PSEUDO) / base)
-                more, keys, rows_of = np.zeros(texts), [], []
-                for place, context, _, entry in _levels(part, states, depth):
-                    for wanted in (context.view(np.int64), entry.view(np.int64)):
-                        value, hit = _find(*common, wanted)
-                        more += np.bincount(owner[place], value, texts)
-                        keys.append(wanted[~hit])
-                        rows_of.append(owner[place][~hit])
-                keys, rows_of = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (keys, rows_of))
-                keys = keys[np.argsort(rows_of, kind="stable")]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(rows_of, minlength=texts))]).astype(np.int32)
-                rows = np.arange(row, row + texts)
-                row += texts
-                rare = np.flatnonzero(~known)
-                at = np.searchsorted(rare, part.offsets).astype(np.int32)
-                chosen = ids[part.first : part.last]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rows),
-                        pa.array(chosen, pa.int64()),
-                        pa.array([not is_training(x, folds) for x in chosen]),
-                        pa.array(sizes.astype(np.int64)),
-                        pa.array(sizes - 1 - np.diff(at) + (v.ends > 0)),
-                        pa.array(flat),
-                        pa.array(more),
-                        pa.ListArray.from_arrays(pa.array(at), pa.array(words[rare])),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "more", "rare", "keys"],
-                )
+            fresh = []
+            for key in batch.column("key").to_pylist():
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                fresh.append(key not in seen)
+                seen.add(key)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            text_keys = batch.column("key").to_numpy().view(np.uint64)
+            for texts in word_slices(batch.column("text")):
+                n = texts.last - texts.first
+                sizes = np.diff(texts.offsets) + 1
+                owner = np.repeat(np.arange(n), sizes)
+                asked: list[tuple[list, list]] = [([], []), ([], [])]
+
+                def look(kind: int, table: tuple, keys: np.ndarray, at: np.ndarray, asked=asked) -> tuple[np.ndarray, ...]:
+                    """(value, is known, text) of this part's keys; the others are asked for."""
+                    mine = _mine(mix(keys), part, parts)
+                    keys, at = keys[mine], at[mine]
+                    value, known = _find(*table, keys)
+                    asked[kind][0].append(keys[~known])
+                    asked[kind][1].append(at[~known].astype(_COUNT) + np.uint32(done))
+                    return value, known, at
+
+                counts, known, at = look(ASK_WORD, (v.words, v.counts), texts.words, np.repeat(np.arange(n), sizes - 1))
+                flat = np.bincount(at, np.where(known, np.log10(counts + PSEUDO), math.log10(PSEUDO)), n)
+                n_known = np.bincount(at[known], minlength=n).astype(float)
+                gain, tokens = np.zeros(n), np.zeros(n)
+                if not part:
+                    tokens += sizes
+                    n_known += v.ends > 0
+                    flat += math.log10(v.ends + PSEUDO) - sizes * math.log10(base)
+                for place, context, _, entry, _ in _levels(texts, states, depth, v.hot):
+                    for keys, bits in ((context, states), (entry, entry_filter)):
+                        hit = _may_hold(bits, keys)
+                        value, _, at = look(ASK_VALUE, common, keys[hit], owner[place[hit]])
+                        gain += np.bincount(at, value, n)
+                rows = [(src % buckets, TEXTS, src, _pack(text_keys[texts.first : texts.last], tokens, n_known, flat, gain, np.arange(done, done + n, dtype=_COUNT)))]
+                for kind in (ASK_WORD, ASK_VALUE):
+                    keys, at = (np.concatenate(x) for x in asked[kind]) if asked[kind][0] else (np.zeros(0, _KEY), np.zeros(0, _COUNT))
+                    rows += _deal(mix(keys), buckets, kind, src, keys, at)
+                done += n
+                yield _send(rows)
 
     return lean(run)
 
 
+@lean
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by text of what was asked for, to the tasks that asked; their texts are passed on."""
+    sent: dict[int, list] = {kind: [] for kind in range(7)}
+    asked: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        for kind, src, blob in zip(batch.column("kind").to_pylist(), batch.column("src").to_pylist(), batch.column("data"), strict=True):
+            if kind == TEXTS:
+                yield _send([(0, kind, src, blob.as_py())])
+            elif kind in (ASK_WORD, ASK_VALUE):
+                asked.setdefault((kind, src), []).append(blob)
+            else:
+                sent[kind].append(blob)
+    tables = {}
+    for ask, kind in ((ASK_WORD, WORDS), (ASK_VALUE, VALUES)):
+        keys, values = _unpack(sent[kind], (_KEY, _VALUE))
+        order = np.argsort(keys)
+        tables[ask] = keys[order], values[order]
+    for (kind, src), blobs in asked.items():
+        keys, at = _unpack(blobs, (_KEY, _COUNT))
+        value, known = _find(*tables[kind], keys)
+        keys, value, at = keys[known], value[known], at[known]
+        if len(at):
+            texts, back = np.unique(at, return_inverse=True)
+            if kind == ASK_WORD:
+                # A word was taken as unknown before.
+                value = np.log10(value + PSEUDO) - math.log10(PSEUDO)
+            yield _send([(0, kind + WORD_SUMS, src, _pack(texts.astype(_COUNT), np.bincount(back).astype(_VALUE), np.bincount(back, value)))])
+
+
+@lean
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n_tokens, n_known, base, gain) of the texts of tasks."""
+    tasks: dict[int, dict[int, list]] = {}
+    for batch in batches:
+        for kind, src, blob in zip(batch.column("kind").to_pylist(), batch.column("src").to_pylist(), batch.column("data"), strict=True):
+            tasks.setdefault(src, {}).setdefault(kind, []).append(blob)
+    for found in tasks.values():
+        *columns, number = _unpack(found.get(TEXTS, []), _TEXT_COLUMNS)
+        order = np.argsort(number)
+        keys, tokens, known, base, gain = (c[order] for c in columns)
+        for kind in (WORD_SUMS, VALUE_SUMS):
+            at, n, value = _unpack(found.get(kind, []), (_COUNT, _VALUE, _VALUE))
+            total = np.bincount(at, value, len(keys))
+            if kind == WORD_SUMS:
+                known, base = known + np.bincount(at, n, len(keys)), base + total
+            else:
+                gain = gain + total
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(gain)], names=["key", "n_tokens", "n_known", "base", "gain"])
+
+
 def suffix_tree_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words (A-Z lower-cased) and an end. Null and empty texts are an end
-    alone; a null doc_id counts as the empty text, whose remainder is 0. Repeated rows
-    are scored each for itself. Without training rows every token is unknown and the
-    scores are those of an empty count. Extra columns are left out.
+    alone; a null doc_id counts as the empty text, whose remainder is 0. A text is
+    scored once however many rows have it (texts are equal when their 64-bit hashes
+    are), and each row gets its own. Without training rows every token is unknown and
+    the scores are those of an empty count. Extra columns are left out; an empty table
+    gives an empty one.
     """
     vocabulary, tree, counted = learn(docs, folds)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    values = _values(tree)
-    keys, own, least = (np.zeros(0, np.int64), np.zeros(0), 0) if values is None else _common(values)
-    ddl = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, more double, rare array<long>, keys array<long>"
-    scored = durable(slim.mapInArrow(_score(vocabulary, tree, (keys, own), folds), ddl))
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
-    found = rare.join(counted, "word", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    sums = found.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + PSEUDO)).alias("rest"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("seen"))
-    whole = scored.drop("rare", "keys").join(sums, "row", "left")
-    gain = F.col("more")
-    if values is not None:
-        # Keys that are in no table are false hits of the filter, or next words not seen in their state.
-        met = scored.select("row", F.explode("keys").alias("key")).join(values.where(F.col("n") < least).select("key", "v"), "key")
-        whole = whole.join(met.groupBy("row").agg(F.sum("v").alias("joined")), "row", "left")
-        gain = gain + F.coalesce("joined", F.lit(0.0))
-    base_score = F.col("base") + F.coalesce("rest", F.lit(0.0))
-    return whole.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + gain).alias("score")
-    )
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
+    places = -(-vocabulary.tokens // SCORE_PARTS)
+    buckets = _buckets(docs, places)
+    values = _values(tree) if tree.levels else None
+    keys, own, least = (np.zeros(0, np.uint64), np.zeros(0), 0) if values is None else _commonest(values, "key", "v", "n", COMMON_VALUES)
+    sums = []
+    for part in range(SCORE_PARTS):
+        sent = [texts.mapInArrow(_ask(vocabulary, tree, (keys, own), part, SCORE_PARTS, buckets), BLOBS), counted.where(F.col("word") != END_KEY).select("word", F.col("c").cast("double")).mapInArrow(_send_values(WORDS, part, SCORE_PARTS, buckets), BLOBS)]
+        if values is not None:
+            sent.append(values.where(F.col("n") < least).select("key", "v").mapInArrow(_send_values(VALUES, part, SCORE_PARTS, buckets), BLOBS))
+        answered = _exchange(_union(sent), places).mapInArrow(_answer, BLOBS)
+        found = answered.repartition(partitions(docs.sparkSession), "src").mapInArrow(_add_up, "key long, n_tokens long, n_known long, base double, gain double")
+        # Several tasks may have scored a copied text, all alike.
+        sums.append(durable(found.groupBy("key").agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")])))
+    scored = _union(sums).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")])
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds)) == 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).join(scored, "key")
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))

@@ -144,7 +144,7 @@ def test_suffix_tree_scores_equal_brute_force(spark):
         if context not in states:
             return p(context[1:], w)
         c = states[context]
-        return (c[w] + len(c) * p(context[1:], w)) / (c.total() + len(c))
+        return (max(0, c[w] - 1) + len(c) * p(context[1:], w)) / c.total()
 
     while True:
         n += 1
