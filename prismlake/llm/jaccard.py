@@ -394,35 +394,67 @@ def links(texts: DataFrame, features: DataFrame, k: int, num: int, den: int) ->
     return found
 
 
+def _linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, node, key) of docs, and the verified links (a, b) of their nodes."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    features = durable(texts.mapInArrow(*_featurize(k, num, den, _classes(texts, k))))
+    rows = durable(features.select("doc_id", "n", "node", "key"))
+    if num < den:
+        first, *more = links(texts, features, k, num, den)
+        edges = first.select("a", "b")
+        for x in more:
+            edges = edges.unionByName(x.select("a", "b"))
+    else:  # only equal sets are alike, and those are one node
+        edges = rows.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    discard(features)
+    return rows, edges
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
     Texts link when den * intersection >= num * union of their sets of k-word
     shingles (A-Z lower-cased; a shorter text is one shingle). component_id is the
     smallest doc_id reachable by links. Null and empty texts have an empty set and
-    link with nothing. Rows of one doc_id count as one document; rows without a
-    doc_id are kept, and name a component only together with others. Shingles and
-    texts count as equal when their 64-bit hashes do. Extra columns are left out. docs is read more than
-    once (its arrays are made again for candidates instead of being kept), so what is
-    costly or differs between readings should be written first.
+    link with nothing. Rows of one doc_id count as one document, which links through
+    each of its texts; rows without a doc_id are kept, and a component without any
+    doc_id has none. Shingles and texts count as equal when their 64-bit hashes do.
+    Extra columns are left out. docs is read more than once (its arrays are made again
+    for candidates instead of being kept), so what is costly or differs between
+    readings should be written first.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    features = durable(texts.mapInArrow(*_featurize(k, num, den, _classes(texts, k))))
-    rows = durable(features.select("doc_id", "n", "node"))
-    found = links(texts, features, k, num, den)
-    discard(features)
-    nodes = durable(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")))
-    edges = found[0].unionByName(found[1]).unionByName(found[2]).select("a", "b")
-    least = nodes.select("node", F.coalesce("least", F.lit(2**63 - 1)).alias("least"))
-    ends = edges.join(least.select(F.col("node").alias("a"), F.col("least").alias("u")), "a").join(least.select(F.col("node").alias("b"), F.col("least").alias("v")), "b")
-    # Vertices are the nodes' smallest documents, so a component's label is its smallest doc_id.
-    merged = connected_components(ends, "u", "v")
-    named = nodes.join(merged.select(F.col("vertex").alias("least"), "component"), "least", "left").select("node", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows, edges = _linked(docs, k, num, den)
+    # Documents with several texts, or with empty ones beside others; few, if any.
+    nodes_of = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("node").alias("some"), F.count("*").alias("every"))
+    odd = durable(nodes_of.where("a <> z or (some > 0 and some < every)"))
+    edges = edges.unionByName(rows.where("node is not null").join(odd.where("a <> z").select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")))
+    groups = connected_components(edges, "a", "b").withColumnRenamed("vertex", "node")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(groups, "node", "left")
+    nodes = durable(nodes.select("node", "least", F.coalesce("component", "node").alias("component")))
+    # Components are named by their least node so far; their own name is the least document's.
+    named = nodes.join(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    own = odd.where("some < every").select("doc_id", F.col("a").alias("node")).join(named, "node").select("doc_id", F.col("component_id").alias("own"))
+    found = rows.join(named, "node", "left").join(own, "doc_id", "left")
+    component = F.when(F.col("node").isNull(), F.coalesce("own", "doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """docs with one document of each group, the smallest doc_id; rows without an id stay, repeated rows of a kept one are merged."""
-    kept = jaccard_components(docs, k, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+    """docs with one text of each group of linked ones: that of the smallest doc_id, whatever else has this id.
+
+    Groups are of texts, not of ids: a second, different text under the same id has a
+    group of its own, and is not lost. Of repeated rows one stays; rows without a
+    doc_id all stay; of null or empty texts one for each doc_id stays, as they link
+    with nothing. Extra columns stay, under any names; an empty table gives an empty one.
+    """
+    rows, edges = _linked(docs, k, num, den)
+    owned = rows.where("doc_id is not null")
+    groups = connected_components(edges, "a", "b").withColumnRenamed("vertex", "node")
+    grouped = owned.where("node is not null").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Null texts hash to a constant, so that their key is one like any other.
+    first = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.doc_id", "first.key")
+    kept = durable(first.unionByName(owned.where("node is null").select("doc_id", "key")).distinct())
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    hidden = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), whole.alias("row"))
+    found = hidden.where("doc_id is not null").join(kept, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    return found.unionByName(hidden.where("doc_id is null")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismlake.operators.running import running_before
+from prismlake.session import durable
 
 #: A source is repeated so many times at most.
 MOST_EPOCHS = 3
@@ -63,10 +64,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOC
     each takes its own place, so which of two equal rows comes first makes no
     difference; an empty table gives an empty one. Other columns are left out.
     """
-    slim = docs.select(
-        F.col("doc_id"),
-        F.col("source"),
-        word_count("text").alias("size"),
+    return _mix(docs.select("doc_id", "source", word_count("text").alias("size")), weights, most, seed).drop("row_id")
+
+
+def _mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
+    """mix() of rows (doc_id, source, size), with their row_id if they have one."""
+    named = sized if "row_id" in sized.columns else sized.withColumn("row_id", F.lit(None).cast("long"))
+    slim = named.select(
+        "row_id",
+        "doc_id",
+        "source",
+        "size",
         F.coalesce("source", F.lit("")).alias("src"),
         F.col("source").isNull().alias("src_null"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
@@ -81,6 +89,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOC
     cut = joined.withColumn("whole", whole).withColumn("left", left)
     again = (F.col("size") > 0) & (F.col("left") == F.col("size"))
     return cut.select(
+        "row_id",
         "doc_id",
         "source",
         "size",
@@ -96,19 +105,21 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs' columns, a row for each time that a document is taken.
 
     A cut copy is its first words joined by spaces; n_chars follows where docs has it.
-    Documents without words carry nothing and are not in it. Rows that share a
-    doc_id are told apart by source, text and order, each taken once for its own place.
+    Documents without words, null texts included, carry nothing and are not in it.
+    Rows get a number of their own when they are written, so repeated rows and null
+    ids are taken each for its own place and columns may have any names; what is taken
+    is joined by that number, and no text is sorted. An empty table gives an empty one.
     """
-    ordinal = lambda *by: F.row_number().over(Window.partitionBy(F.col("doc_id")).orderBy(*by))
-    takes = mix(docs, **options).select("doc_id", F.col("source").alias("_source"), F.col("size").alias("_size"), "epochs", "part")
-    takes = takes.withColumn("_nth", ordinal("_source", "_size", F.desc("epochs"), F.desc("part"))).drop("_source", "_size")
-    numbered = docs.withColumn("_size", word_count("text")).withColumn("_nth", ordinal("source", "_size", "text"))
-    both = numbered.alias("d").join(takes.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._nth") == F.col("t._nth")))
-    times = F.col("t.epochs") + (F.col("t.part") > 0).cast("long")
-    copies = both.where(times > 0).select(*[F.col(f"d.{c}") for c in docs.columns], "t.epochs", "t.part", F.explode(F.sequence(F.lit(1), times.cast("int"))).alias("_copy"))
-    cut = F.col("_copy") > F.col("epochs")
-    first = F.expr(rf"array_join(slice(regexp_extract_all(text, '([^\\x20\\x09-\\x0D]+)', 1), 1, cast(part as int)), ' ')")
-    changed = {"text": F.when(cut, first).otherwise(F.col("text"))}
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = durable(docs.select(whole.alias("row")).withColumn("row_id", F.monotonically_increasing_id()))
+    takes = _mix(held.select("row_id", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), word_count("row.text").alias("size")), **options)
+    times = (F.col("epochs") + (F.col("part") > 0).cast("long")).cast("int")
+    some = takes.select("row_id", "epochs", "part", times.alias("times")).where("times > 0")
+    copies = held.join(some, "row_id").select("row", "epochs", "part", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    cut = F.col("copy") > F.col("epochs")
+    first = F.expr(rf"array_join(slice(regexp_extract_all(row.text, '([^\\x20\\x09-\\x0D]+)', 1), 1, cast(part as int)), ' ')")
+    changed = {c: F.col("row").getField(c) for c in docs.columns}
+    changed["text"] = F.when(cut, first).otherwise(changed["text"])
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(cut, F.length(first)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return copies.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.when(cut, F.length(first)).otherwise(changed["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return copies.select(*[x.alias(c) for c, x in changed.items()])

@@ -43,8 +43,10 @@ LEAST_NATS = 10.0
 FILTER_BITS = 1 << 26
 #: Parts in which all places of the corpus are counted, one after the other, and in which they are scored.
 PARTS, SCORE_PARTS = 3, 2
-#: Words of at least this share of all tokens are very common: their own contexts are spread by next word.
-HOT_SHARE = 1 / 4096
+#: Where fewer than one of so many places can still grow, contexts of so many lengths are counted at once.
+FEW, AT_ONCE = 8, 3
+#: Words of more than this share of all tokens are very common, and with them those that share their bits in a filter of this size: their own contexts are spread by next word.
+HOT_SHARE, HOT_BITS = 1 / 4096, 1 << 18
 #: Places that a task collects before it sends them, and that a task receives, about.
 SENT, RECEIVED = 1 << 20, 1 << 20
 #: Texts that a task remembers, to score a copied one once.
@@ -91,7 +93,7 @@ def _send(rows: list[tuple]) -> pa.RecordBatch:
 
 def _deal(route: np.ndarray, buckets: int, kind: int, src: int, *columns: np.ndarray) -> list[tuple]:
     """Rows of BLOBS: the columns dealt to buckets by mixed hashes."""
-    bucket = (route % np.uint64(buckets)).astype(np.int32)
+    bucket = (route % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     columns = tuple(c[order] for c in columns)
@@ -102,15 +104,32 @@ def _mine(route: np.ndarray, part: int, parts: int) -> np.ndarray:
     return (route >> np.uint64(40)) % np.uint64(parts) == part
 
 
+def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts keys, where in it each distinct one begins, how often it is there); much faster than a stable sort."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(keys) else order
+    return order, begin, np.diff(np.append(begin, len(keys)))
+
+
 def _count_words(folds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = 0
+        texts, held = 0, []
+
+        def counted() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held).view(np.int64), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["word", "c"])
+
         for batch in batches:
             batch = _training(batch, folds)
             texts += len(batch)
             for part in word_slices(batch.column("text")):
-                keys, counts = np.unique(part.words.view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["word", "c"])
+                held.append(part.words)
+                if sum(map(len, held)) >= SENT:
+                    yield counted()
+        if held:
+            yield counted()
         if texts:
             yield pa.RecordBatch.from_arrays([pa.array([END_KEY]), pa.array([texts])], names=["word", "c"])
 
@@ -118,7 +137,7 @@ def _count_words(folds: int):
 
 
 class Vocabulary(NamedTuple):
-    """Sorted hashes of the commonest words and their counts; tokens, distinct ones and ends of all training texts; sorted hashes of very common words."""
+    """Sorted hashes of the commonest words and their counts; tokens, distinct ones and ends of all training texts; a filter of very common words."""
 
     words: np.ndarray
     counts: np.ndarray
@@ -132,7 +151,10 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.
     """(value or 0, is known) by sorted keys."""
     if not len(keys):
         return np.zeros(len(wanted), values.dtype), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    # Sorted needles are found several times as fast, sorting included.
+    order = np.argsort(wanted)
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
     known = keys[at] == wanted
     return np.where(known, values[at], 0), known
 
@@ -152,23 +174,23 @@ def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
 
 
-def _levels(part: Slice, states: np.ndarray, depth: int, hot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(place, context, prior, entry, salted) for contexts of 1 to depth words whose parents may be states.
+def _levels(part: Slice, states: np.ndarray, depth: int, hot: np.ndarray, known: int = 1 << 30) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place, context, prior, entry, salted) for contexts of 1 to depth words whose parents may be states; the filter holds those shorter than `known` words.
 
     Places count each text's words and its end; prior is the entry in the parent;
-    salted are contexts of very common words alone.
+    salted are contexts of words alone that the filter takes as very common.
     """
     texts = len(part.offsets) - 1
     sizes = np.diff(part.offsets) + 1
     line = np.full(len(part.words) + texts + 1, np.int64(END_KEY).view(np.uint64), np.uint64)
     line[1 + np.arange(len(part.words)) + np.repeat(np.arange(texts), sizes - 1)] = part.words
-    common = _find(hot, hot, line)[1]
+    common = _may_hold(hot, line)
     begin = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
     place = np.arange(len(begin))
     context, entry, salted = np.full(len(begin), ROOT), line[1:], np.ones(len(begin), bool)
     for n in range(1, depth + 1):
         more = place + 1 - n >= begin[place]
-        if n > 1:
+        if 1 < n <= known:
             more &= _may_hold(states, context)
         place, prior = place[more], entry[more]
         context = _extend(context[more], line[place + 1 - n])
@@ -177,67 +199,72 @@ def _levels(part: Slice, states: np.ndarray, depth: int, hot: np.ndarray) -> Ite
         yield place, context, prior, entry, salted
 
 
-def _send_contexts(states: np.ndarray, level: int, folds: int, hot: np.ndarray, part: int, parts: int, buckets: int):
-    """Counts of next words in contexts of this part, as blobs of (context, prior, c); kind 1 for salted ones."""
+def _send_contexts(states: np.ndarray, levels: range, folds: int, hot: np.ndarray, part: int, parts: int, buckets: int):
+    """Counts of next words in contexts of these lengths and this part, as blobs of (context, prior, c); src is the length, kind 1 for salted ones.
+
+    Contexts longer than the first length are taken below all that are counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {n: [] for n in levels}
 
-        def packed() -> pa.RecordBatch:
-            context, prior, entry, salted, route = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            _, first, counts = np.unique(entry, return_index=True, return_counts=True)
-            rows = []
+        def packed(n: int) -> pa.RecordBatch:
+            context, prior, entry, salted, route = (np.concatenate(x) for x in zip(*held[n], strict=True))
+            held[n].clear()
+            order, begin, counts = _unique(entry)
+            first, rows = order[begin], []
             for kind in (0, 1):
                 own = salted[first] == bool(kind)
                 at = first[own]
-                rows += _deal(route[at], buckets, kind, 0, context[at], prior[at], counts[own].astype(_COUNT))
+                rows += _deal(route[at], buckets, kind, n, context[at], prior[at], counts[own].astype(_COUNT))
             return _send(rows)
 
         for batch in batches:
             for texts in word_slices(_training(batch, folds).column("text")):
-                *_, (_, context, prior, entry, salted) = _levels(texts, states, level, hot)
-                mixed = mix(context)
-                mine, route = _mine(mixed, part, parts), np.where(salted, mix(entry), mixed)
-                held.append(tuple(x[mine] for x in (context, prior, entry, salted, route)))
-                if sum(len(x[0]) for x in held) >= SENT:
-                    yield packed()
-        if held:
-            yield packed()
+                for n, (_, context, prior, entry, salted) in enumerate(_levels(texts, states, levels.stop - 1, hot, levels.start), 1):
+                    if n not in held:
+                        continue
+                    mixed = mix(context)
+                    mine, route = _mine(mixed, part, parts), np.where(salted, mix(entry), mixed)
+                    held[n].append(tuple(x[mine] for x in (context, prior, entry, salted, route)))
+                    if sum(len(x[0]) for x in held[n]) >= SENT:
+                        yield packed(n)
+        for n in levels:
+            if held[n]:
+                yield packed(n)
 
     return lean(run)
 
 
 @lean
 def _sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, key, prior, c) of next words met twice or more, and (context, size, kinds) of the contexts that may have such."""
-    sent: tuple[list, list] = ([], [])
+    """(level, context, key, prior, c, size, kinds) of next words met twice or more. Salted contexts have next words elsewhere; their size and kinds here are in rows without a key."""
+    sent: dict[tuple[int, int], list] = {}
     for batch in batches:
-        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
-            sent[kind].append(blob)
-    plain, spread = (_unpack(x, (_KEY, _KEY, _COUNT)) for x in sent)
-    salted = np.repeat([False, True], [len(plain[0]), len(spread[0])])
-    context, prior, c = (np.concatenate(x) for x in zip(plain, spread, strict=True))
-    if not len(context):
-        return
-    key = _entry(context, prior)
-    order = np.argsort(key)
-    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-    c = np.add.reduceat(c[order].astype(np.int64), first)
-    at = order[first]
-    context, prior, key, salted = context[at], prior[at], key[at], salted[at]
+        for n, kind, blob in zip(batch.column("src").to_pylist(), batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+            sent.setdefault((n, kind), []).append(blob)
     signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-    twice = np.flatnonzero(c > 1)
     none = lambda n: pa.nulls(n, pa.int64())
-    names = ["context", "key", "prior", "c", "size", "kinds"]
-    yield pa.RecordBatch.from_arrays([signed(context[twice]), signed(key[twice]), signed(prior[twice]), pa.array(c[twice]), none(len(twice)), none(len(twice))], names=names)
-    by = np.argsort(context, kind="stable")
-    begin = np.flatnonzero(np.append(True, np.diff(context[by]) != 0))
-    size, kinds = np.add.reduceat(c[by], begin), np.diff(np.append(begin, len(by)))
-    # All next words of a context that is not salted are here; if each was met once, it cannot pass.
-    kept = (size > kinds) | salted[by[begin]]
-    n = int(kept.sum())
-    yield pa.RecordBatch.from_arrays([signed(context[by[begin]][kept]), none(n), none(n), none(n), pa.array(size[kept]), pa.array(kinds[kept])], names=names)
+    names = ["level", "context", "key", "prior", "c", "size", "kinds"]
+    for (level, salted), blobs in sent.items():
+        context, prior, c = _unpack(blobs, (_KEY, _KEY, _COUNT))
+        blobs.clear()
+        key = _entry(context, prior)
+        order, begin, _ = _unique(key)
+        c = np.add.reduceat(c[order].astype(np.int64), begin)
+        at = order[begin]
+        context, prior, key = context[at], prior[at], key[at]
+        by, begin, kinds = _unique(context)
+        size = np.add.reduceat(c[by], begin)
+        if salted:
+            n = len(begin)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, level)), signed(context[by[begin]]), none(n), none(n), none(n), pa.array(size), pa.array(kinds)], names=names)
+        # Where each next word was met once there is no such row, and the context cannot pass.
+        of = np.empty(len(by), np.int64)
+        of[by] = np.repeat(np.arange(len(begin)), kinds)
+        twice = np.flatnonzero(c > 1)
+        whole = (none(len(twice)), none(len(twice))) if salted else (pa.array(size[of[twice]]), pa.array(kinds[of[twice]]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(twice), level)), signed(context[twice]), signed(key[twice]), signed(prior[twice]), pa.array(c[twice]), *whole], names=names)
 
 
 class Level(NamedTuple):
@@ -290,15 +317,19 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def _grow(texts: DataFrame, parent: DataFrame, states: np.ndarray, level: int, folds: int, hot: np.ndarray, part: int, parts: int, places: int) -> Level:
-    """A part of the states of so many words, from the parent's probabilities (prior, before, parent)."""
-    sent = texts.mapInArrow(_send_contexts(states, level, folds, hot, part, parts, _buckets(texts, places)), BLOBS)
-    counts = durable(_exchange(sent, places).mapInArrow(_sum_contexts, "context long, key long, prior long, c long, size long, kinds long"))
-    # A context seen once tells nothing of others.
-    sums = counts.where("key is null").groupBy("context").agg(F.sum("size").alias("size"), F.sum("kinds").alias("kinds")).where("size > 1")
-    # False hits of the filter have no prior among the states' entries and go here.
-    known = durable(counts.where("key is not null").select("context", "key", "prior", "c").join(sums, "context").join(parent, "prior"))
-    discard(counts)
+def _count(texts: DataFrame, states: np.ndarray, levels: range, folds: int, hot: np.ndarray, part: int, parts: int, places: int) -> DataFrame:
+    """Counts of a part of the contexts of these lengths, as _sum_contexts() has them."""
+    sent = texts.mapInArrow(_send_contexts(states, levels, folds, hot, part, parts, _buckets(texts, places)), BLOBS)
+    return durable(_exchange(sent, places).mapInArrow(_sum_contexts, "level long, context long, key long, prior long, c long, size long, kinds long"))
+
+
+def _grow(counts: DataFrame, level: int, parent: DataFrame) -> Level:
+    """The states of so many words among counted contexts, from the parent's probabilities (prior, before, parent)."""
+    counts = counts.where(F.col("level") == level).drop("level")
+    salted = counts.where("key is null").groupBy("context").agg(F.sum("size").alias("size"), F.sum("kinds").alias("kinds"))
+    rows = counts.where("key is not null and size is not null").unionByName(counts.where("key is not null and size is null").drop("size", "kinds").join(salted, "context"))
+    # Contexts below what is no state have no prior among the states' entries and go here.
+    known = durable(rows.join(parent, "prior").drop("prior"))
     # Each occurrence is predicted from the others, with as much weight for the parent as there are different next words.
     kinds, size, c, before = (F.col(x) for x in ("kinds", "size", "c", "before"))
     others = (c - 1 + kinds * before) / (size - 1 + kinds)
@@ -339,28 +370,35 @@ def learn(docs: DataFrame, folds: int = 10) -> tuple[Vocabulary, Tree, DataFrame
     """Vocabulary, tree and the table of all training words (word, c), from rows whose crc32(doc_id as text) mod folds is not 0.
 
     Counts cover all training texts and are summed by shuffles; what is collected is
-    bounded: COMMON words, 1 / HOT_SHARE very common ones and the filters.
+    bounded: COMMON words and the filters.
     """
     texts = docs.select("doc_id", "text")
     counted = durable(texts.mapInArrow(_count_words(folds), "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
     whole = counted.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == END_KEY, F.col("c")))).first()
     total, distinct, ends = (int(x or 0) for x in whole)
     words, counts, _ = _commonest(counted.where(F.col("word") != END_KEY), "word", "c", "c", COMMON)
-    hot = np.sort(counted.where(F.col("c") > total * HOT_SHARE).select("word").toArrow()["word"].to_numpy().view(np.uint64))
+    common = counted.where(F.col("c") > total * HOT_SHARE).select("word")
+    hot = _mark(np.zeros(HOT_BITS >> 6, np.uint64), common, "word")
     bits = min(FILTER_BITS, 1 << max(12, (2 * total).bit_length()))
     states, entries, levels = np.zeros(bits >> 6, np.uint64), np.zeros(bits >> 6, np.uint64), []
     root = F.lit(int(ROOT.view(np.int64)))
     parent = counted.select(F.col("word").alias("prior"), ((F.col("c") + PSEUDO) / (total + PSEUDO * (distinct + 1))).alias("before"), root.alias("parent"))
     places = total
     while places:
+        # What few places can still grow is counted for several lengths at once.
+        lengths = range(len(levels) + 1, len(levels) + (1 + AT_ONCE if places * FEW < total else 2))
         parts = -(-PARTS * places // total)
-        grown = [_grow(texts, parent, states, len(levels) + 1, folds, hot, i, parts, -(-places // parts)) for i in range(parts)]
-        level = Level(*(_union(list(x)) for x in zip(*grown, strict=True)))
-        places = int(level.states.agg(F.sum("size")).first()[0] or 0)
-        if places:
+        counted_parts = [_count(texts, states, lengths, folds, hot, i, parts, -(-places * len(lengths) // parts)) for i in range(parts)]
+        for n in lengths:
+            grown = [_grow(x, n, parent) for x in counted_parts]
+            level = Level(*(_union(list(x)) for x in zip(*grown, strict=True)))
+            places = int(level.states.agg(F.sum("size")).first()[0] or 0)
+            if not places:
+                break
             levels.append(level)
             states, entries = _mark(states, level.states, "context"), _mark(entries, level.entries, "key")
             parent = level.entries.select(F.col("key").alias("prior"), F.col("p").alias("before"), F.col("context").alias("parent"))
+        discard(*counted_parts)
     return Vocabulary(words, counts, total, distinct, ends, hot), Tree(levels, states, entries, counted, total, distinct), counted
 
 

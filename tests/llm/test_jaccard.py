@@ -92,3 +92,24 @@ def test_min_overlap():
         for b in range(1, 40):
             o = min_overlap(a, b, 90, 100)
             assert 100 * o >= 90 * (a + b - o) and not 100 * (o - 1) >= 90 * (a + b - o + 1)
+
+
+def test_several_texts_under_one_id_and_none(spark):
+    a, b, c = "a b c d e f", "k l m n o p", "r s t u v w x"
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, None), (None, c), (9, c), (None, b + " z"), (None, ""), (8, None)]
+    docs = spark.createDataFrame([(d, t, i, "x") for i, (d, t) in enumerate(rows)], "doc_id long, text string, `a b.c` int, key string")
+    found = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect()]
+    assert sorted((x for x in found if x[0] is not None)) == [(1, 4, 1), (5, 4, 1), (5, 4, 1), (7, 0, 1), (7, 4, 1), (8, 0, 8), (9, 5, 9)]
+    # Texts without an id that resemble different documents do not join these.
+    assert sorted(((x[1], x[2]) for x in found if x[0] is None), key=str) == [(0, None), (5, 9), (5, None)]
+    # No text goes: each group keeps that of its least id, and rows without an id stay.
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (7, None), (None, c), (9, c), (None, b + " z"), (None, ""), (8, None)], key=str)
+    assert keep_one(docs.limit(0)).count() == 0
+
+
+def test_equal_sets_only(spark):
+    rows = [(3, "a b c d"), (2, "A b c D"), (4, "a b c d e"), (1, None)]
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 100, 100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2, 3: 2, 4: 4}

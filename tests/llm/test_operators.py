@@ -66,6 +66,20 @@ def test_mixing(docs, rows, empty):
     assert mix(empty).count() == 0
 
 
+def test_mixed_texts_take_any_columns_and_rows(spark):
+    from prismlake.llm.compression import keep_clean
+    from prismlake.llm.mixing import mix, mixed_texts
+
+    schema = "doc_id long, text string, source string, n_chars int, part string, epochs double, row_id int, `my col` string, `a-b.c` int, _size int"
+    rows = [(None if i % 3 else i, " ".join(f"w{j}" for j in range(30 + i % 7)), f"s{i % 2}", 7, f"p{i}", 0.5, i, "m", i, -i) for i in range(40)]
+    docs = spark.createDataFrame([*rows, *rows[:3], (50, None, "s0", 0, None, None, None, None, None, None)], schema)
+    found = mixed_texts(docs).collect()
+    assert sum(len(r["text"].split()) for r in found) == sum(r["taken"] for r in mix(docs).collect())
+    assert mixed_texts(docs).columns == docs.columns and all(r["part"] == f"p{r['row_id']}" and r["_size"] == -r["row_id"] for r in found)
+    assert mixed_texts(docs.limit(0)).count() == 0
+    assert keep_clean(docs).columns == docs.columns and keep_clean(docs).count() == 43
+
+
 def test_quality_classifier(spark, empty):
     from prismlake.llm.importance import keep_sampled, resample
 
