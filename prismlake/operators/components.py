@@ -55,7 +55,9 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     Vertices are longs. Self-loops and repeated edges are fine, edges with a null
     end are no edges, an empty table gives an empty table. Each round is two
     aggregations and joins on the vertex (partial sums first, so a hub costs no
-    single task its whole neighbourhood) and is written to the shared folder.
+    single task its whole neighbourhood) and is written to the shared folder. Rounds
+    grow about as the logarithm of the longest path; if they run out before nothing
+    changes any more, that is an error, as components would be torn.
     """
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     stars = durable(pairs.mapInPandas(_contract, "u long, v long").distinct())
@@ -75,5 +77,8 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components are not settled after {rounds} rounds")
     found = stars.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return found.unionByName(found.select(F.col("component").alias("vertex"), "component").distinct())

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting that deletes a query's shuffle files as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
+#: Tables that durable() wrote and nobody has deleted.
+_written: dict[str, DataFrame] = {}
 
 
 def session(app: str = "prismlake", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -30,9 +33,15 @@ def session(app: str = "prismlake", cores: int | str = "*", **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, else the session's own checkpoint folder.
+
+    Where neither is set, a local session, as in tests, gets a folder of this machine;
+    on a cluster that is an error, as each executor would write to its own disk.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # The setting is fixed once a session runs, so our own folder is kept here.
         found = _own.setdefault("folder", "") or "file://" + tempfile.mkdtemp(prefix="prismlake-")
         _own["folder"] = found
@@ -56,6 +65,7 @@ def durable(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.durable_path = path
+    _written[path] = table
     return table
 
 
@@ -65,6 +75,15 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.durable_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.pop(table.durable_path, None)
+
+
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """durable(build()); the tables that build wrote on its way are deleted, as only its result read them."""
+    before = set(_written)
+    table = durable(build())
+    discard(*[t for path, t in list(_written.items()) if path not in before and path != table.durable_path])
+    return table
 
 
 def partitions(spark: SparkSession) -> int:
