@@ -48,12 +48,14 @@ FEW, AT_ONCE = 8, 3
 #: Words of more than this share of all tokens are very common, and with them those that share their bits in a filter of this size: their own contexts are spread by next word.
 HOT_SHARE, HOT_BITS = 1 / 4096, 1 << 18
 #: Places that a task collects before it sends them, and that a task receives, about.
-SENT, RECEIVED = 1 << 20, 1 << 20
+SENT, RECEIVED = 1 << 19, 1 << 19
 #: Texts that a task remembers, to score a copied one once.
 REMEMBERED = 200_000
 PSEUDO = 0.1
 #: The end token's key among word hashes; as a context's oldest word it is the start of a text.
 END_KEY = -(2**62) + 12345
+#: Where a key's second bit in a filter is taken from.
+SECOND = np.uint64(30)
 ROOT = np.uint64(0x632BE59BD9B4E019)
 BLOBS = "bucket int, kind int, src long, data binary"
 _BLOBS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("src", pa.int64()), ("data", pa.binary())])
@@ -170,8 +172,12 @@ def _entry(context: np.ndarray, prior: np.ndarray) -> np.ndarray:
 
 
 def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(len(bits) * 64 - 1)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
+    """Whether a filter holds keys: two bits each."""
+    found = np.ones(len(keys), bool)
+    for part in (keys, keys >> SECOND):
+        at = part & np.uint64(len(bits) * 64 - 1)
+        found &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
+    return found
 
 
 def _levels(part: Slice, states: np.ndarray, depth: int, hot: np.ndarray, known: int = 1 << 30) -> Iterator[tuple[np.ndarray, ...]]:
@@ -345,9 +351,10 @@ def _grow(counts: DataFrame, level: int, parent: DataFrame) -> Level:
 
 def _mark(bits: np.ndarray, keys: DataFrame, column: str) -> np.ndarray:
     """The filter with further keys; what is collected is bounded by FILTER_BITS."""
-    at = F.shiftright(F.col(column).bitwiseAND(F.lit(len(bits) * 64 - 1)), 6)
-    one = F.expr(f"shiftleft(1L, cast({column} & 63L as int))")
-    words = keys.groupBy(at.alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    both = keys.select(F.explode(F.array(F.col(column), F.shiftrightunsigned(column, int(SECOND)))).alias("part"))
+    at = F.shiftright(F.col("part").bitwiseAND(F.lit(len(bits) * 64 - 1)), 6)
+    one = F.expr("shiftleft(1L, cast(part & 63L as int))")
+    words = both.groupBy(at.alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
     bits = bits.copy()
     bits[words["at"].to_numpy()] |= words["bits"].to_numpy().view(np.uint64)
     return bits
