@@ -332,16 +332,45 @@ def test_toxicity(spark, empty):
 def test_crf_marginals_equal_enumeration():
     from itertools import product
 
-    from prismlake.llm.crf import marginals
+    from prismlake.llm.crf import Texts, marginals, slope
 
-    odds, steps = np.array([[0.5, -1.0, 2.0]]), (-0.7, 0.3, 0.9)
-    total, own = 0.0, np.zeros(3)
+    draw = np.random.default_rng(4)
+    odds, steps = draw.normal(0, 2, 11), (-0.7, 0.3, 0.9)
+    # Texts of 3, 0, 1 and 7 tokens.
+    bounds = np.array([0, 3, 3, 4, 11])
     gain = {(0, 0): 0.0, (0, 1): steps[0], (1, 0): steps[1], (1, 1): steps[2]}
-    for y in product((0, 1), repeat=3):
-        line = (0, *y, 0)
-        w = math.exp(sum(o for o, t in zip(odds[0], y, strict=True) if t) + sum(gain[x] for x in zip(line, line[1:], strict=False)))
-        total, own = total + w, own + w * np.array(y)
-    assert np.allclose(marginals(odds, steps, np.ones((1, 3), bool))[0][0], own / total)
+    expected, moved = np.zeros(11), np.zeros(3)
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        total, own, went = 0.0, np.zeros(b - a), np.zeros(3)
+        for y in product((0, 1), repeat=int(b - a)):
+            line = (0, *y, 0)
+            pairs = list(zip(line, line[1:], strict=False))
+            w = math.exp(sum(o for o, t in zip(odds[a:b], y, strict=True) if t) + sum(gain[x] for x in pairs))
+            total, own = total + w, own + w * np.array(y)
+            went += w * np.array([pairs.count((0, 1)), pairs.count((1, 0)), pairs.count((1, 1))])
+        expected[a:b], moved = own / total, moved + went / total
+    p, found = marginals(odds, bounds, steps)
+    assert np.allclose(p, expected) and np.allclose(found, moved)
+    # The gradient against differences of the log likelihood, with one mark and a toxic text.
+    features = draw.integers(0, 1 << 18, (11, 4)).astype(np.int32)
+    marks = np.zeros(1 << 18, bool)
+    marks[features[[1, 5, 6, 9], 0]] = True
+    texts = Texts(features, bounds, np.array([1, 0, 0, 1]))
+    truth = marks[features].any(axis=1) & np.repeat([True, False, False, True], np.diff(bounds))
+
+    def likelihood(theta):
+        own, at = theta[:-4][features].sum(axis=1) + theta[-4], tuple(theta[-3:])
+        step = {(0, 0): 0.0, (0, 1): at[0], (1, 0): at[1], (1, 1): at[2]}
+        value = lambda y, a, b: sum(o for o, t in zip(own[a:b], y, strict=True) if t) + sum(step[x] for x in zip((0, *y), (*y, 0), strict=True))
+        return sum(value(tuple(truth[a:b].astype(int)), a, b) - math.log(sum(math.exp(value(y, a, b)) for y in product((0, 1), repeat=int(b - a)))) for a, b in zip(bounds, bounds[1:], strict=False))
+
+    theta = np.zeros((1 << 18) + 4)
+    theta[-4:] = (-1.0, -0.7, 0.3, 0.9)
+    way = slope(texts, marks, theta)
+    for i in (features[1, 0], features[7, 2], -4, -3, -2, -1):
+        other = theta.copy()
+        other[i] += 1e-5
+        assert math.isclose((likelihood(other) - likelihood(theta)) / 1e-5, way[i], abs_tol=1e-3)
 
 
 def test_packing(docs, rows, empty):
