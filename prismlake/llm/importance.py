@@ -25,8 +25,6 @@ BUCKETS = 10_000
 MOST_TARGETS = 50_000
 #: Mean count that the raw model adds to a bucket of the target's, a quarter of the target's at most.
 PRIOR = 20.0
-#: Nats by which the raw model may explain a document better before it stops counting as target text.
-MARGIN = 4.0
 SEED = 7
 
 # Tokens are runs of letters, digits and bytes over 127, or runs of other signs.
@@ -62,14 +60,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(raw), pa.array(target)], names=["bucket", "raw", "target"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_targets: int = MOST_TARGETS) -> tuple[np.ndarray, float]:
-    """(log ratio of each bucket, share of good documents among labelled ones).
+def fit(docs: DataFrame, labels: DataFrame, most_targets: int = MOST_TARGETS) -> tuple[np.ndarray, int, int]:
+    """(log ratio of each bucket, labelled documents of quality 1, labelled documents).
 
     Raw counts cover all of docs; the target's are those of at most most_targets
     documents with quality 1. BUCKETS rows are collected.
     """
     rated = labels.where("doc_id is not null and quality is not null")
-    rates = rated.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+    good, every = rated.agg(F.count_if(F.col("quality") == 1), F.count("*")).first()
     targets = rated.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_targets).withColumn("is_target", F.lit(True))
     flagged = docs.select("doc_id", "text").join(F.broadcast(targets), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     rows = flagged.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
@@ -77,11 +75,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_targets: int = MOST_TARGETS) ->
     for r in rows:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.sum():
-        return np.zeros(BUCKETS), 1.0
+        return np.zeros(BUCKETS), 1, 1
     p_raw = (raw + 1) / (raw + 1).sum()
     weight = min(PRIOR * BUCKETS, target.sum() / 4)
     p_target = (target + weight * p_raw) / (target.sum() + weight)
-    return np.log(p_target) - np.log(p_raw), float(rates)
+    return np.log(p_target) - np.log(p_raw), good, every
 
 
 def _score(ratio: np.ndarray):
@@ -104,25 +102,28 @@ def _score(ratio: np.ndarray):
 def resample(docs: DataFrame, labels: DataFrame, most_targets: int = MOST_TARGETS, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, n_grams, log_weight, gumbel_key, kept.
 
-    k, the number kept, is the expected number of target documents: the sum over all
-    documents of min(1, share * weight * e^MARGIN), share being that of quality 1
-    among the labelled. Gumbel noise is a hash of doc_id and the text's, so reruns agree; ties
+    k, the number kept, is the labelled share of quality 1 times the number of rows,
+    rounded. Gumbel noise is a hash of doc_id and the text's, so reruns agree; ties
     go to the smaller doc_id. Texts without tokens, null ones included, have weight
     1. Without target labels every weight is 1 and all are kept. Repeated rows are
     sampled each for itself with equal keys; null ids hash as -1; extra columns are
     left out.
     """
-    ratio, share = fit(docs, labels, most_targets)
+    ratio, good, every = fit(docs, labels, most_targets)
     slim = docs.select("doc_id", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))).alias("noise"), "text")
     scored = durable(slim.mapInArrow(_score(ratio), "doc_id long, noise long, log_weight double, n_grams long"))
     uniform = (F.shiftrightunsigned("noise", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     keyed = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
-    k = keyed.agg(F.sum(F.least(F.lit(1.0), F.lit(share) * F.exp(F.least(F.col("log_weight") + MARGIN, F.lit(50.0)))))).first()[0] or 0.0
+    k = (2 * good * keyed.count() + every) // (2 * every)
     ranked = running_before(keyed.withColumn("one", F.lit(0)), ["one"], [F.desc("gumbel_key"), F.asc("doc_id")], F.lit(1), "rank")
-    return ranked.select("doc_id", "n_grams", "log_weight", "gumbel_key", (F.col("rank") < F.lit(int(np.ceil(k)))).alias("kept"))
+    return ranked.select("doc_id", "n_grams", "log_weight", "gumbel_key", (F.col("rank") < k).alias("kept"))
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the sample keeps; rows that share an id are kept if one of them is."""
-    kept = resample(docs, labels, **options).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    """The rows of docs that the sample keeps, with docs' columns, whatever their names.
+
+    Rows that share an id, null ones included, are kept if one of them is; null and
+    empty texts are sampled with weight 1; an empty table gives an empty one.
+    """
+    kept = resample(docs, labels, **options).where("kept").select(F.col("doc_id").alias("sampled")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["sampled"]), "left_semi")

@@ -92,9 +92,39 @@ def test_quality_classifier(spark, empty):
     assert len(found) == 201 and all(found[i] == (i % 5 > 0) for i in range(200))
     assert sorted(found.items(), key=str) == sorted(((r["doc_id"], r["kept"]) for r in resample(docs, labels).collect()), key=str)
     assert keep_sampled(docs, labels).columns == docs.columns
+    clashing = docs.selectExpr("*", "1 as sampled", "2 as `my col`", "3 as kept")
+    assert keep_sampled(clashing, labels).columns == clashing.columns
     assert resample(docs, labels.limit(0)).where("not kept").count() == 0 and resample(empty, labels).count() == 0
 
 
+def test_importance_weights_and_sample_are_exact(spark):
+    import pyarrow as pa
+
+    from prismlake.llm import importance
+
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(draw.choices(words[: 100 + i], k=draw.choice((0, 3, 40))))) for i in range(150)]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 150, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = importance.resample(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    # Tokens of letters and digits, and pairs of them, one after the other; the last token stands for its pair.
+    grams = {i: [g for _, _, grams, _ in importance.gram_slices(pa.array([text])) for g in grams.tolist()] for i, text in rows}
+    assert all(len(grams[i]) == 2 * len(text.split()) for i, text in rows)
+    raw, target = collections.Counter(g for x in grams.values() for g in x), collections.Counter(g for i, q in labels if q for g in grams[i])
+    n_raw, n_target = sum(raw.values()) + importance.BUCKETS, sum(target.values())
+    prior = min(importance.PRIOR * importance.BUCKETS, n_target / 4)
+    p = lambda g: (raw[g] + 1) / n_raw
+    weight = {i: sum(math.log((target[g] + prior * p(g)) / (n_target + prior) / p(g)) for g in x) for i, x in grams.items()}
+    assert all(math.isclose(r["log_weight"], weight[r["doc_id"]], abs_tol=1e-5) and r["n_grams"] == len(grams[r["doc_id"]]) for r in found)
+    k = round(sum(q for _, q in labels) / len(labels) * len(rows))
+    best = sorted(found, key=lambda r: (-r["gumbel_key"], r["doc_id"]))[:k]
+    assert {r["doc_id"] for r in found if r["kept"]} == {r["doc_id"] for r in best}
+    # The noise is Gumbel's: mean 0.577, variance pi ** 2 / 6.
+    noise = np.array([r["gumbel_key"] - r["log_weight"] for r in importance.resample(spark.range(4000).selectExpr("id as doc_id", "'' as text"), spark.createDataFrame([], "doc_id long, quality int")).collect()])
+    assert abs(noise.mean() - 0.5772) < 0.07 and abs(noise.var() - math.pi**2 / 6) < 0.2
+
+
 def test_lm_scoring(docs, rows, empty):
     from prismlake.llm.suffix_tree import is_training, suffix_tree_scores
 
@@ -297,16 +327,19 @@ def test_search(spark):
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(500, None), (None, [1.0]), (3, vectors[3].tolist())], "vec_id long, embedding array<double>")
     codes = hamming.sign_codes(table)
     own = {r["id"]: r["code"] for r in codes.collect() if r["id"] is not None and r["code"] is not None}
-    for size in (hamming.BLOCK_CODES, 90):
-        hamming.BLOCK_CODES, before = size, hamming.BLOCK_CODES
+    for size in (hamming.CHUNK_CODES, 1):
+        hamming.CHUNK_CODES, before = size, hamming.CHUNK_CODES
         found = collections.defaultdict(list)
         for r in hamming.hamming_top_k(codes, codes.where("id % 50 = 0"), 7).collect():
             found[r["query_id"]].append((r["rank"], r["distance"], r["neighbor_id"]))
-        hamming.BLOCK_CODES = before
+        hamming.CHUNK_CODES = before
         for q in range(0, 400, 50):
             near = sorted((bin((own[q] ^ c) & (2**64 - 1)).count("1"), i) for i, c in own.items() if i != q)[:7]
             assert [x[1:] for x in sorted(found[q])] == near
     assert hamming.hamming_top_k(codes.limit(0), codes, 7).count() == 0
+    # Fewer codes than are asked for, and clashing names.
+    few = codes.where("id < 3 or id = 101").selectExpr("*", "'x' as query", "1 as s", "2 as rank")
+    assert sorted(r["rank"] for r in hamming.hamming_top_k(few, few.where("id = 0"), 7).collect()) == [1, 2, 3]
 
 
 def test_toxicity(spark, empty):
