@@ -1,10 +1,10 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments; a table for each segment lists the codes by its value.
-For a query, all values within radius 0, 1, 2, ... of its segments are looked up and
-the codes found are verified. After radius r in all of m segments every code within
-m * (r + 1) - 1 bits has been found, so the search ends once the k-th verified
-distance is no greater.
+A code is cut into segments; a table for each segment lists the codes by its value, as
+rows dealt by segment and value. For a query, all values within radius 0, 1, 2, ... of
+its segments are looked up and the codes found are verified. After radius r in all of m
+segments every code within m * (r + 1) - 1 bits has been found, so a query ends once its
+k-th verified distance is no greater; the others go on to the next radius.
 """
 
 from __future__ import annotations
@@ -13,78 +13,20 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismlake.llm.memory import lean
-from prismlake.session import durable
+from prismlake.session import discard, durable
 
 BITS = 64
 SEGMENTS = 4
 WIDTH = BITS // SEGMENTS
-#: Distinct codes and queries that meet in one task.
-BLOCK_CODES = 250_000
-BLOCK_QUERIES = 2_000
+#: Codes that a list of a segment's value holds; those of a value that more codes share are dealt to chunks.
+CHUNK_CODES = 4096
 SALTS = 64
 
-_MASKS: list[np.ndarray] = []
-
-
-def _masks(radius: int) -> np.ndarray:
-    """All values of a segment with so many bits."""
-    while len(_MASKS) <= radius:
-        _MASKS.append(np.array([sum(1 << b for b in chosen) for chosen in combinations(range(WIDTH), len(_MASKS))], np.int64))
-    return _MASKS[radius]
-
-
-class MultiIndex:
-    """Segment tables of distinct codes, each with the ids that bear it."""
-
-    def __init__(self, codes: np.ndarray, ids: list):
-        self.codes, self.ids = codes.astype(np.int64).view(np.uint64), ids
-        self.many = np.array([len(x) for x in ids], np.int64)
-        self.segments = [((self.codes >> np.uint64(s * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64) for s in range(SEGMENTS)]
-        self.orders = [np.argsort(s, kind="stable") for s in self.segments]
-        self.starts = [np.searchsorted(s[o], np.arange((1 << WIDTH) + 1)) for s, o in zip(self.segments, self.orders, strict=True)]
-        self.seen = np.full(len(codes), -1, np.int64)
-
-    def nearest(self, query: int, number: int, k: int) -> list[tuple[int, int]]:
-        """The k smallest (distance, id)."""
-        q = np.int64(query).view(np.uint64)
-        rows, distances = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for radius in range(WIDTH + 1):
-            fresh = [rows[:0]]
-            for s in range(SEGMENTS):
-                values = int((q >> np.uint64(s * WIDTH)) & np.uint64((1 << WIDTH) - 1)) ^ _masks(radius)
-                a, b = self.starts[s][values], self.starts[s][values + 1]
-                lengths = b - a
-                full = lengths > 0
-                a, lengths = a[full], lengths[full]
-                if len(a):
-                    at = np.repeat(a - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-                    found = self.orders[s][at]
-                    found = found[self.seen[found] != number]
-                    self.seen[found] = number
-                    fresh.append(found)
-            found = np.concatenate(fresh)
-            rows = np.concatenate([rows, found])
-            distances = np.concatenate([distances, np.bitwise_count(self.codes[found] ^ q).astype(np.int64)])
-            covered = SEGMENTS * (radius + 1) - 1
-            if self.many[rows[distances <= covered]].sum() >= k or len(rows) == len(self.codes):
-                break
-        near = rows[np.argsort(distances, kind="stable")]
-        spread = np.sort(distances)
-        out: list[tuple[int, int]] = []
-        last = None
-        for row, d in zip(near, spread, strict=True):
-            if len(out) >= k and d != last:
-                break
-            last = d
-            out += [(int(d), int(x)) for x in self.ids[row]]
-        return sorted(out)[:k]
-
 
 @lean
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,34 +59,76 @@ def _first_ids(codes: DataFrame, n: int) -> DataFrame:
     return whole.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def _segment(code: Column, i: int) -> Column:
+    return F.shiftrightunsigned(code, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+
+
+def _lists(codes: DataFrame) -> DataFrame:
+    """Rows (code, s, v): the value of each of a code's segments."""
+    return codes.withColumn("at", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), _segment(F.col("code"), i).alias("v")) for i in range(SEGMENTS)]))).select(*codes.columns, "at.*")
+
+
+def _probe(held: np.ndarray, radius: int):
+    """(query, s, v, chunk): the lists that a query's segments reach at exactly this radius; held: chunks of each list, 0 for none."""
+    schema = pa.schema([("query", pa.int64()), ("s", pa.int32()), ("v", pa.int32()), ("chunk", pa.int32())])
+    masks = np.array([sum(1 << b for b in chosen) for chosen in combinations(range(WIDTH), radius)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for code in batch.column("query").to_numpy():
+                out = []
+                for s in range(SEGMENTS):
+                    values = int(code.view(np.uint64) >> np.uint64(s * WIDTH)) & ((1 << WIDTH) - 1) ^ masks
+                    chunks = held[s, values]
+                    values = np.repeat(values, chunks)
+                    first = np.cumsum(chunks) - chunks
+                    out.append((np.full(len(values), s), values, np.arange(len(values)) - np.repeat(first, chunks)))
+                at, values, chunk = (np.concatenate(x).astype(np.int32) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), code)), pa.array(at), pa.array(values), pa.array(chunk)], schema=schema)
+
+    return lean(run), "query long, s int, v int, chunk int"
+
+
 def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k rows of codes nearest to each query: query_id, neighbor_id, distance, rank.
 
     codes and queries: (id, code). Order is distance, then id; a row is no neighbour of
     itself (equal id). Null ids and codes neither ask nor answer; repeated rows count
     once; fewer than k others give as many as there are; empty tables give none.
-    Queries of equal code are searched once. Queries and codes meet in blocks of
-    bounded size; each block's answer is exact, and the k best of all are kept.
+    Queries of equal code are searched once. Only queries whose answer is not yet
+    proven go on to a larger radius; the number of lists that hold anything is bounded
+    by the segments' values, so tasks know them and ask for no others.
     """
     index = durable(_first_ids(codes.where("id is not null and code is not null").select("id", "code"), k + 1))
     asked = durable(queries.where("id is not null and code is not null").select("id", "code").distinct())
-    wanted = asked.select("code").distinct()
-    n_codes, n_wanted = index.count(), wanted.count()
-    columns, lines = max(1, -(-n_codes // BLOCK_CODES)), max(1, -(-n_wanted // BLOCK_QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = wanted.withColumn("line", F.pmod(F.xxhash64("code"), F.lit(lines)).cast("int")).withColumn("column", every(columns))
-    right = index.withColumn("column", F.pmod(F.xxhash64("code"), F.lit(columns)).cast("int")).withColumn("line", every(lines))
-
-    def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(mine) and len(theirs):
-            tables = MultiIndex(theirs["code"].to_numpy(), theirs["ids"].tolist())
-            for number, code in enumerate(mine["code"].tolist()):
-                rows += [(code, i, d) for d, i in tables.nearest(code, number, k + 1)]
-        return pd.DataFrame(rows, columns=["code", "neighbor_id", "distance"])
-
-    met = left.groupBy("line", "column").cogroup(right.groupBy("line", "column")).applyInPandas(search, "code long, neighbor_id long, distance int")
-    best = met.withColumn("nth", F.row_number().over(Window.partitionBy("code").orderBy("distance", "neighbor_id"))).where(F.col("nth") <= k + 1).drop("nth")
-    own = asked.withColumnRenamed("id", "query_id").join(best, "code").where("neighbor_id <> query_id")
+    counted = _lists(index.select("code")).groupBy("s", "v").agg(F.ceil(F.count("*") / CHUNK_CODES).cast("int").alias("chunks"))
+    # At most SEGMENTS times 65,536 rows.
+    rows = counted.toArrow()
+    held = np.zeros((SEGMENTS, 1 << WIDTH), np.int64)
+    held[rows["s"].to_numpy(), rows["v"].to_numpy()] = rows["chunks"].to_numpy()
+    chunks = F.broadcast(counted)
+    lists = durable(_lists(index).join(chunks, ["s", "v"]).withColumn("chunk", F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int")).select("s", "v", "chunk", "code", "ids"))
+    enough = min(k + 1, index.agg(F.sum(F.size("ids"))).first()[0] or 0)
+    open_ = asked.select(F.col("code").alias("query")).distinct()
+    best = None
+    for radius in range(WIDTH + 1):
+        probes = open_.mapInArrow(*_probe(held, radius))
+        met = probes.join(lists, ["s", "v", "chunk"]).withColumn("differ", F.col("query").bitwiseXOR(F.col("code")))
+        # A code is met once for each of its near segments; only the nearest, the first of equals, counts.
+        far = F.array(*[F.bit_count(_segment(F.col("differ"), i)) for i in range(SEGMENTS)])
+        met = met.where((F.array_min(far) == radius) & (F.array_position(far, F.lit(radius)) == F.col("s") + 1))
+        found = met.select("query", F.bit_count("differ").alias("distance"), F.explode("ids").alias("neighbor_id"))
+        found = found.unionByName(best.join(open_, "query", "left_semi")) if best is not None else found
+        nearest = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor_id"))
+        now = durable(found.withColumn("nth", nearest).where(F.col("nth") <= k + 1).drop("nth"))
+        proven = F.count_if(F.col("distance") <= SEGMENTS * (radius + 1) - 1) >= enough
+        done = now.groupBy("query").agg(proven.alias("done")).where("done").select("query")
+        settled = best.join(open_, "query", "left_anti") if best is not None else None
+        best = durable(now.unionByName(settled)) if settled is not None else now
+        open_ = durable(open_.join(done, "query", "left_anti"))
+        if open_.isEmpty():
+            break
+    own = asked.withColumnRenamed("id", "query_id").join(best.withColumnRenamed("query", "code"), "code").where("neighbor_id <> query_id")
     ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id")))
+    discard(lists)
     return ranked.where(F.col("rank") <= k).select("query_id", "neighbor_id", "distance", "rank")
