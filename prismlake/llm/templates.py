@@ -5,15 +5,17 @@ found, and subtrees that many pages of that host share are its template and go.
 articles, distinct article bodies are counted instead of pages, so that an article is no
 template, however often it is copied; one that consists for the most part of what others
 have too is a near copy and stays whole. On hosts with too few pages to count, the text
-is that of the first container the page has. Elements that are
-never main text by their tag, role or class (menus, headers, footers, sidebars,
-notices, adverts, forms, comments of readers) go wherever they stand.
+is that of the first container the page has. What pages do not share cannot be counted,
+so elements that are never main text by their tag or role (menus, headers, footers,
+sidebars, forms, scripts) go wherever they stand, and so do those whose class or id says
+so (notices, adverts, comments of readers), unless that would take most of an article.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,79 +47,106 @@ CLOSES_P = BLOCKS - frozenset("body head html caption legend option optgroup sum
 NEVER = frozenset("nav header footer aside form script style noscript template iframe svg math button select textarea input head menu dialog object embed canvas audio video".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 WITHIN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|cookie|cookies|consent|notice|newsletter|subscribe|popup|modal|comment|comments|reply|replies|disqus|share|sharing|social|related|footer|masthead|alert|widget|login|signup|toolbar|gdpr|recommended)(?:$|[\s_-])",
-    re.I,
-)
+# Names of classes and ids for what is not main text; STRONG ones count as the first or last part of a name too (`ad-slot`, `site-footer`).
+STRONG = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sidebar nav navbar navigation breadcrumb breadcrumbs cookie cookies consent newsletter subscribe popup modal comment comments disqus footer masthead gdpr".split())
+MARKED = STRONG | frozenset("banner promo side-bar menu notice reply replies share sharing social related alert widget login signup toolbar recommended".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+# Quotes count only after an equals sign, so that an apostrophe in a bare value ends nothing.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_PARTS = re.compile(r"[-_]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: An element in an article that its class alone marks stays if it holds more than this share of the article's text.
+MOST_MARKED = 0.5
+
+
 class Element:
-    __slots__ = ("digest", "never", "parent", "parts", "tag")
+    __slots__ = ("article", "digest", "marked", "never", "parts", "size", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, never: bool):
-        self.tag, self.parent, self.never = tag, parent, never
+    def __init__(self, tag: str, parent: Element | None, never: bool, marked: bool):
+        self.tag, self.marked = tag, marked
+        self.never = never or (parent is not None and parent.never)
+        #: The article around it, itself included.
+        self.article: Element | None = parent.article if parent is not None and parent.article is not None else self if tag == "article" else None
         self.parts: list[str | Element] = []
-        self.digest = 0
+        self.digest = self.size = 0
 
 
-def _is_never(tag: str, attributes: str) -> bool:
-    if tag in NEVER:
-        return True
-    if not attributes:
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'")
-        if name.lower() in ("class", "id") and tag not in ("article", "main", "body", "html") and MARKED.search(value):
-            return True
-        if name.lower() == "role" and value.lower() in ROLES:
-            return True
-        if name.lower() == "hidden" and not value:
+def _named(value: str) -> bool:
+    """Whether a class or id names what is not main text."""
+    for name in value.lower().split():
+        parts = _PARTS.split(name)
+        if name in MARKED or parts[0] in STRONG or parts[-1] in STRONG:
             return True
     return False
 
 
+def _judge(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is never main text by its tag, role or hidden, and whether its class or id says so."""
+    if tag in NEVER:
+        return True, False
+    marked = False
+    if attributes:
+        for name, value in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), value.strip("\"'")
+            if name in ("class", "id"):
+                marked = marked or (tag not in ("article", "main", "body", "html") and _named(value))
+            elif (name == "role" and value.lower() in ROLES) or (name == "hidden" and value.lower() in ("", "hidden")):
+                return True, marked
+    return False, marked
+
+
 def parse(page: str) -> Element:
-    """The tree of a page; unclosed and stray tags are taken as browsers mostly do. No recursion, as pages may nest deeply."""
-    root = now = Element("", None, False)
+    """The tree of a page; unclosed and stray tags are taken as browsers mostly do.
+
+    No recursion, as pages may nest deeply, and no walk to the root for a tag that is
+    not open, so the work grows with the page.
+    """
+    root = Element("", None, False, False)
+    line, opened = [root], Counter()
     at, size = 0, len(page)
+
+    def close(depth: int) -> None:
+        opened.subtract(e.tag for e in line[depth:])
+        del line[depth:]
+
     while at < size:
         m = _TOKEN.search(page, at)
         if not m:
-            now.parts.append(page[at:])
+            line[-1].parts.append(page[at:])
             break
         if m.start() > at:
-            now.parts.append(page[at : m.start()])
+            line[-1].parts.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
+        depth = len(line) - 1
         if m[1]:
-            up = now
-            # A block's end closes what is open within; an inline end does not pass a block.
-            while up.parent is not None and up.tag != tag and (tag in BLOCKS or up.tag not in BLOCKS):
-                up = up.parent
-            if up.parent is not None and up.tag == tag:
-                now = up.parent
+            if opened[tag]:
+                # A block's end closes what is open within; an inline end does not pass a block.
+                while depth and line[depth].tag != tag and (tag in BLOCKS or line[depth].tag not in BLOCKS):
+                    depth -= 1
+                if depth and line[depth].tag == tag:
+                    close(depth)
             continue
-        if tag in CLOSES_P:
-            up = now
-            while up.parent is not None and up.tag != "p" and up.tag not in BLOCKS:
-                up = up.parent
-            if up.tag == "p":
-                now = up.parent
-        if tag in SIBLINGS:
-            up = now
-            while up.parent is not None and up.tag not in SIBLINGS[tag] and up.tag not in WITHIN[tag]:
-                up = up.parent
-            while up.parent is not None and up.tag in SIBLINGS[tag]:
-                now = up = up.parent
-        element = Element(tag, now, _is_never(tag, m[3]))
-        now.parts.append(element)
+        if tag in CLOSES_P and opened["p"]:
+            while depth and line[depth].tag != "p" and line[depth].tag not in BLOCKS:
+                depth -= 1
+            if line[depth].tag == "p":
+                close(depth)
+        if tag in SIBLINGS and any(opened[x] for x in SIBLINGS[tag]):
+            depth = len(line) - 1
+            while depth and line[depth].tag not in SIBLINGS[tag] and line[depth].tag not in WITHIN[tag]:
+                depth -= 1
+            while depth and line[depth].tag in SIBLINGS[tag]:
+                close(depth)
+                depth -= 1
+        element = Element(tag, line[-1], *_judge(tag, m[3]))
+        line[-1].parts.append(element)
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in RAW:
@@ -125,7 +154,8 @@ def parse(page: str) -> Element:
             element.parts.append(page[at : end.start() if end else size])
             at = end.end() if end else size
             continue
-        now = element
+        line.append(element)
+        opened[tag] += 1
     return root
 
 
@@ -137,43 +167,45 @@ def _walk(root: Element) -> list[Element]:
     return found
 
 
-def _digest(elements: list[Element]) -> None:
+def read(page: str) -> list[Element]:
+    """The elements of a page, children after their parents, with digests and, for what class names mark, its say."""
+    elements = _walk(parse(page))
     for element in reversed(elements):
         state = xxhash.xxh3_64(element.tag)
+        size = 0
         for x in element.parts:
             if isinstance(x, str):
                 if text := _SPACE.sub(" ", x).strip():
                     state.update("\0t" + text)
+                    size += len(text)
             else:
                 state.update(b"\0e" + x.digest.to_bytes(8, "little"))
-        element.digest = state.intdigest()
+                size += 0 if x.never else x.size
+        element.digest, element.size = state.intdigest(), size
+    for element in elements:
+        if element.marked and (element.article is None or element.size <= MOST_MARKED * element.article.size):
+            element.never = True
+        if element.never:
+            for x in element.parts:
+                if not isinstance(x, str):
+                    x.never = True
+    return elements
 
 
 def _container(elements: list[Element]) -> tuple[str, ...]:
     """The tags whose elements hold the main text: the first of these that the page has."""
-    tags = {e.tag for e in elements if not _hidden(e)}
+    tags = {e.tag for e in elements if not e.never}
     return next(((t,) for t in ("article", "main", "body") if t in tags), ("",))
 
 
-def _hidden(element: Element | None) -> bool:
-    while element is not None:
-        if element.never:
-            return True
-        element = element.parent
-    return False
-
-
 def _within(digest: int) -> int:
     """The hash of a subtree inside an article, as it is another than outside."""
     return xxhash.xxh3_64_intdigest(b"in" + digest.to_bytes(8, "little"))
 
 
-def subtrees(page: str) -> list[tuple[int, int]]:
+def subtrees(elements: list[Element]) -> list[tuple[int, int]]:
     """Distinct (hash, body) of subtrees with text; body is the hash of the article around them, 0 outside. An element that goes anyway is not looked into."""
-    root = parse(page)
-    elements = _walk(root)
-    _digest(elements)
-    found, stack = {(PAGES, 0)}, [(root, 0)]
+    found, stack = {(PAGES, 0)}, [(elements[0], 0)]
     while stack:
         element, body = stack.pop()
         if element.never:
@@ -202,12 +234,9 @@ def _copied(article: Element, template: set[int]) -> bool:
     return recurring > MOST_RECURRING * whole
 
 
-def main_text(page: str, template: set[int] | None = None) -> str:
+def main_text(elements: list[Element], template: set[int] | None = None) -> str:
     """The main text of a page without subtrees in template: blocks joined by line feeds."""
-    root = parse(page)
-    elements = _walk(root)
-    if template:
-        _digest(elements)
+    root = elements[0]
     tags = _container(elements)
     if template and PAGES in template and any(e.tag == "body" for e in elements):
         tags = ("body",)
@@ -255,7 +284,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, found, bodies = [], [], []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            own = subtrees(page)
+            own = subtrees(read(page))
             hosts += [host] * len(own)
             found += [x for x, _ in own]
             bodies += [x for _, x in own]
@@ -282,16 +311,17 @@ def _extract(known: np.ndarray | None):
             hosts, pages = batch.column("host").to_pylist(), batch.column("html").to_pylist()
             own = [None] * len(batch) if known is not None else batch.column("own").to_pylist()
             for host, page, mine in zip(hosts, pages, own, strict=True):
+                elements = read(page)
                 if known is None:
                     template = {x % (1 << 64) for x in mine or ()}
                 elif len(known):
-                    found = [x for x, _ in subtrees(page)]
+                    found = [x for x, _ in subtrees(elements)]
                     keys = np.array([_key(host, x) for x in found], np.uint64)
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     template = {x for x, hit in zip(found, known[at] == keys, strict=True) if hit}
                 else:
                     template = set()
-                texts.append(main_text(page, template))
+                texts.append(main_text(elements, template))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return lean(run)
@@ -325,7 +355,7 @@ def extract_pages(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share:
 @lean
 def _page_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [[x for x, _ in subtrees(page)] for page in batch.column("html").to_pylist()]
+        own = [[x for x, _ in subtrees(read(page))] for page in batch.column("html").to_pylist()]
         index = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
         found = np.array([x for xs in own for x in xs], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("host").take(index), batch.column("page").take(index), pa.array(found)], names=["host", "page", "hash"])

@@ -278,6 +278,56 @@ def test_html_extraction_counts_inside_and_beside_articles(spark):
         assert found == expected
 
 
+def test_html_extraction_of_odd_pages(spark):
+    import time
+
+    from prismlake.llm.templates import extract_pages, main_text, read
+
+    cases = {
+        "<p title=it's>Hello</p><p>World</p>": "Hello\nWorld",
+        "<article><p>A<div class='social share-price notice'>Share price rose by a tenth, and more</div><p>B</article>": "A\nShare price rose by a tenth, and more\nB",
+        "<article><p>A long enough paragraph of the text</p><div class=\"x notice\">Mind this</div><div id=comment-list><p>First!</p></div><p class=share-price>Up</p></article>": "A long enough paragraph of the text\nUp",
+        "<article><p title='the hidden gem'>Seen</p><p hidden>Not</p><p data-x=hidden>Too</p></article>": "Seen\nToo",
+        "<article>a < b &amp;lt; c <b>d</i></b> e</article>": "a < b &lt; c d e",
+        "<p>unclosed <a href='x": "unclosed",
+        "": "",
+        "<!-- only -->": "",
+    }
+    pages = [(i, f"http://h{i}.com/", page) for i, page in enumerate(cases)]
+    table = spark.createDataFrame(pages + pages[:2], "page_id long, url string, html string").selectExpr("*", "'x' as host", "1 as own")
+    found = extract_pages(table).collect()
+    assert len(found) == len(pages) + 2 and {r["page_id"]: r["text"] for r in found} == dict(enumerate(cases.values()))
+    assert extract_pages(table.limit(0)).count() == 0
+    took = []
+    for n in (2000, 16000):
+        began = time.process_time()
+        for page in ("<div>" * n + "</i>" * n, "<b>" * n + "</i>" * n + "<hr>" * n, "<p>x" * n + "<li>" * n, "<i><div>" * n + "</i>" * n):
+            main_text(read(page))
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0]
+
+
+def test_html_template_counts_equal_brute_force(spark):
+    from prismlake.llm import templates
+
+    draw = random.Random(13)
+    boxes = [f"<div><p>Box {i}</p></div>" for i in range(12)]
+    pages = [(f"h{i % 3}", "<body>" + "".join(draw.sample(boxes, 3)) + f"<article><p>Own {i}</p>{draw.choice(boxes)}</article></body>") for i in range(60)]
+    found = {(r["host"], r["hash"] % 2**64) for r in templates.site_templates(spark.createDataFrame(pages, "host string, html string")).collect()}
+    outside, inside, bodies = collections.Counter(), collections.defaultdict(set), collections.defaultdict(set)
+    for host, page in pages:
+        for digest, body in set(templates.subtrees(templates.read(page))):
+            if digest == templates.BODIES:
+                bodies[host].add(body)
+            elif body:
+                inside[host, digest].add(body)
+            else:
+                outside[host, digest] += 1
+    every = collections.Counter(host for host, _ in pages)
+    expected = {x for x, n in outside.items() if n >= 5 and n >= 0.2 * every[x[0]]} | {x for x, b in inside.items() if len(b) >= 5 and len(b) >= 0.2 * len(bodies[x[0]])}
+    assert found == expected and len(found) > 10
+
+
 def test_quality_rules(docs, rows, empty):
     from prismlake.llm.compression import compression_rules, keep_clean
 
