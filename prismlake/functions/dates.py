@@ -21,13 +21,20 @@ def valid_date(text: Column, pattern: str) -> Column:
 
 
 def parse_exif_date(text: Column) -> Column:
-    """Tag dates: `Y:m:d H:M:S` or with a T and dashes, zone stripped; zeros are none."""
-    plain = F.regexp_replace(F.trim(text), r"(?:Z|[+-][0-9]{2}:?[0-9]{2})$", "")
-    iso = F.regexp_extract(plain, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2}:[0-9]{2})(?:\.[0-9]+)?$", 0)
-    exif = F.regexp_extract(plain, r"^[0-9]{4}:[0-9]{2}:[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$", 0)
-    iso_text = F.translate(F.regexp_replace(iso, r"\.[0-9]+$", ""), "T", " ")
-    found = F.coalesce(valid_date(F.nullif(exif, F.lit("")), "yyyy:MM:dd HH:mm:ss"), valid_date(F.nullif(iso_text, F.lit("")), "yyyy-MM-dd HH:mm:ss"))
-    return F.when(~text.startswith("0000"), found)
+    """Tag dates: `Y:m:d H:M:S` up to a + or Z, or plain `Y-m-dTH:M:S`; zeros are none, and so is any other rest."""
+    trimmed = F.trim(text)
+    plain = F.trim(F.regexp_extract(trimmed, r"^([^+Z]*)", 1))
+    colons = F.when(plain.rlike(r"^[0-9]{4}:[0-9]{1,2}:[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"), plain)
+    dashes = F.when(trimmed.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"), trimmed)
+    found = F.coalesce(valid_date(colons, "yyyy:M:d H:m:s"), valid_date(dashes, "yyyy-M-d'T'H:m:s"))
+    return F.when(~trimmed.startswith("0000"), found)
+
+
+def file_date(text: Column) -> Column:
+    """A file's own time tag: its first 19 signs as a date of any year."""
+    first = F.substring(text, 1, 19)
+    at = F.try_to_timestamp(F.when(first.rlike(r"^[0-9]{4}:[0-9]{1,2}:[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"), first), F.lit("yyyy:M:d H:m:s"))
+    return F.date_format(at, DATE_FORMAT)
 
 
 def oldest_of(*texts: Column) -> Column:
@@ -81,11 +88,39 @@ def override_year(date: Column, year: int) -> Column:
 
 
 def exif_to_iso(text: Column) -> Column:
-    return F.regexp_replace(text, r"^([0-9]{4}):([0-9]{2}):([0-9]{2}) ", "$1-$2-$3T")
+    """`Y:m:d H...` with dashes and a T; other texts stay."""
+    return F.regexp_replace(text, r"^(.{4}):(..):(..) (.{8,})$", "$1-$2-$3T$4")
 
 
 def iso_to_exif(text: Column) -> Column:
-    return F.regexp_replace(text, r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[T ]", "$1:$2:$3 ")
+    """`Y-m-dTH:M:S`, zone marks Z and what follows the seconds cut; other texts stay."""
+    plain = F.regexp_replace(text, r"Z+$", "")
+    return F.regexp_replace(plain, r"^(.{4})-(..).(..).(.{8}).*$", "$1:$2:$3 $4")
+
+
+def capture_date(tag: Column, embedded: Column, modified: Column) -> Column:
+    """When a picture was taken: its name's timestamp tag, its embedded date, or the file's time."""
+    own = F.regexp_replace(tag, r"^(....)(..)(..)_(..)(..)(..)$", "$1-$2-$3T$4:$5:$6Z")
+    return F.coalesce(own, embedded, modified)
+
+
+def listed_date(name: Column, original: Column, created: Column, modified: Column, priority: str = "exif") -> Column:
+    """(date, source) of a media list by priority: tags (exif or create), then the file's time, then the name; or the name first. Null if none."""
+    tags = F.struct(F.coalesce(original, created).alias("date"), F.when(original.isNotNull(), "exif").otherwise("create").alias("source"))
+    choices = {"tags": tags, "modify": F.struct(modified.alias("date"), F.lit("modify").alias("source")), "name": F.struct(filename_date(name).alias("date"), F.lit("filename").alias("source"))}
+    order = ["name", "tags", "modify"] if priority == "filename" else ["tags", "modify", "name"]
+    return F.coalesce(*[F.when(choices[n]["date"].isNotNull(), choices[n]) for n in order])
+
+
+def datetime_local(text: Column) -> Column:
+    """An ISO date for an input field: to the second, seconds added where there are none; empty for none."""
+    plain = F.regexp_replace(text, "^([^Z]*)Z", "$1")
+    return F.when(F.coalesce(text, F.lit("")) == "", "").when(F.length(plain) >= 19, F.substring(plain, 1, 19)).otherwise(F.concat(F.substring(plain, 1, 16), F.lit(":00")))
+
+
+def datetime_local_to_iso(value: Column) -> Column:
+    """An input field's date with seconds; null for none."""
+    return F.when(F.length(value) == 16, F.concat(value, F.lit(":00"))).when(value != "", value)
 
 
 def modified_text(at: Column) -> Column:
@@ -94,14 +129,17 @@ def modified_text(at: Column) -> Column:
 
 
 def format_date(text: Column) -> Column:
-    """Day first; dates of 1970 stand for none."""
-    shown = F.regexp_replace(text, r"^([0-9]{4})[-:]([0-9]{2})[-:]([0-9]{2})[T ]([0-9:]{8}).*$", "$3/$2/$1 $4")
-    return F.when(text.isNotNull() & ~text.startswith("1970"), shown)
+    """Day first; null for dates of 1970, which stand for none, and for texts that begin with no date."""
+    pattern = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})T([0-9]{2}:[0-9]{2}:[0-9]{2})"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    return F.when(text.rlike(pattern) & ~text.startswith("1970"), F.concat(part(3), F.lit("/"), part(2), F.lit("/"), part(1), F.lit(" "), part(4)))
 
 
 def format_duration(ms: Column) -> Column:
-    """Milliseconds for people: seconds, minutes and seconds, hours and minutes; -1 is cancelled, less than 500 is null."""
+    """Milliseconds for people: seconds, minutes and seconds, hours and minutes, zero parts left out; -1 is cancelled, less than 500 is null."""
     s = F.floor(F.round(ms / F.lit(1000.0))).cast("long")
-    minutes = F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s"))
-    hours = F.concat(F.floor(s / 3600).cast("string"), F.lit("h "), F.floor((s % 3600) / 60).cast("string"), F.lit("m"))
-    return F.when(ms == -1, "cancelled").when(ms < 500, F.lit(None)).when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, minutes).otherwise(hours)
+    text = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(unit))
+    rest = lambda n, unit: F.when(n > 0, F.concat(F.lit(" "), text(n, unit))).otherwise("")
+    minutes = F.concat(text(s / 60, "m"), rest(s % 60, "s"))
+    hours = F.concat(text(s / 3600, "h"), rest(F.floor(s % 3600 / 60), "m"))
+    return F.when(ms == -1, "cancelled").when(ms < 500, F.lit(None)).when(s < 60, text(s, "s")).when(s < 3600, minutes).otherwise(hours)

@@ -13,9 +13,7 @@ LONGEST_SIDE = 256
 
 
 def laplacian(luma: np.ndarray) -> float:
-    """Variance of the four-neighbour Laplacian over inner pixels; 0 where there are none."""
-    if min(luma.shape) < 3:
-        return 0.0
+    """Variance of the four-neighbour Laplacian over inner pixels."""
     z = luma[:-2, 1:-1] + luma[2:, 1:-1] + luma[1:-1, :-2] + luma[1:-1, 2:] - 4 * luma[1:-1, 1:-1]
     return float((z * z).mean() - z.mean() ** 2)
 
@@ -27,6 +25,13 @@ def nearest(luma: np.ndarray, height: int, width: int) -> np.ndarray:
     return luma[rows][:, columns]
 
 
+def sharpness(picture: np.ndarray) -> float:
+    """laplacian() of a picture of at most LONGEST_SIDE and at least three pixels a side; others are sampled to that size first."""
+    scale = np.float32(min(1.0, LONGEST_SIDE / max(picture.shape)))
+    height, width = (max(3, int(np.float32(n) * scale)) for n in picture.shape)
+    return laplacian(picture if (height, width) == picture.shape else nearest(picture, height, width))
+
+
 def laplacian_variance(luma: Column, width: Column) -> Column:
     """Sharpness of pictures as rows of luma values and a width; pictures over LONGEST_SIDE are sampled down first."""
 
@@ -37,11 +42,7 @@ def laplacian_variance(luma: Column, width: Column) -> Column:
             if p is None or not w:
                 out.append(None)
                 continue
-            picture = np.asarray(p, float).reshape(-1, w)
-            scale = LONGEST_SIDE / max(picture.shape)
-            if scale < 1:
-                picture = nearest(picture, max(1, round(picture.shape[0] * scale)), max(1, round(w * scale)))
-            out.append(laplacian(picture))
+            out.append(sharpness(np.asarray(p, float).reshape(-1, w)))
         return pd.Series(out, dtype="float64")
 
     return run(luma, width)
@@ -54,6 +55,80 @@ def gradient_hash(luma: np.ndarray) -> int:
     return int(np.packbits((small[:, 1:] > small[:, :-1]).ravel(), bitorder="little").view(np.int64)[0])
 
 
+def dimensions_of(content: bytes | None) -> tuple[int, int]:
+    """(width, height) from a picture's header: PNG, GIF, BMP, JPEG, WebP, TIFF; (0, 0) for others and for broken ones."""
+    try:
+        return _dimensions(content or b"")
+    except (struct.error, IndexError):
+        return 0, 0
+
+
+def _dimensions(c: bytes) -> tuple[int, int]:
+    if c[:8] == b"\x89PNG\r\n\x1a\n":
+        return struct.unpack_from(">II", c, 16)
+    if c[:6] in (b"GIF87a", b"GIF89a"):
+        return struct.unpack_from("<HH", c, 6)
+    if c[:2] == b"BM":
+        width, height = struct.unpack_from("<ii", c, 18)
+        return width, abs(height)
+    if c[:4] == b"RIFF" and c[8:12] == b"WEBP":
+        if c[12:16] == b"VP8X":
+            return 1 + int.from_bytes(c[24:27], "little"), 1 + int.from_bytes(c[27:30], "little")
+        if c[12:16] == b"VP8L":
+            bits = int.from_bytes(c[21:25], "little")
+            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        width, height = struct.unpack_from("<HH", c, 26)
+        return width & 0x3FFF, height & 0x3FFF
+    if c[:4] in (b"II*\0", b"MM\0*"):
+        order = "<" if c[:2] == b"II" else ">"
+        entries, _ = _directory(c, struct.unpack_from(order + "I", c, 4)[0], order)
+        return tuple(struct.unpack(order + ("H" if entries[t][0] == 3 else "I"), entries[t][2][: 2 if entries[t][0] == 3 else 4])[0] if t in entries else 0 for t in (0x0100, 0x0101))
+    if c[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(c):
+            if c[at] != 0xFF:
+                return 0, 0
+            marker = c[at + 1]
+            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                height, width = struct.unpack_from(">HH", c, at + 5)
+                return width, height
+            at += 1 if marker == 0xFF else 2 + struct.unpack_from(">H", c, at + 2)[0]
+    return 0, 0
+
+
+def luma_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """Brightness of a picture's rows of blue, green and red values, as the image source gives them."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(float)
+    return pixels[:, :, 0] if channels == 1 else np.floor(pixels[:, :, :3] @ np.array([0.0722, 0.7152, 0.2126]))
+
+
+def picture_features(image: Column) -> Column:
+    """(phash, blur_score) of decoded pictures, as the image source gives them; null for null."""
+
+    @F.pandas_udf("phash long, blur_score double")
+    def run(images: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for data, height, width, channels in zip(images["data"], images["height"], images["width"], images["nChannels"], strict=True):
+            if data is None or not height or not width or height < 0:
+                rows.append((None, None))
+                continue
+            luma = luma_of(bytes(data), int(height), int(width), int(channels))
+            rows.append((gradient_hash(luma), sharpness(luma)))
+        return pd.DataFrame({"phash": pd.array([r[0] for r in rows], dtype="Int64"), "blur_score": [r[1] for r in rows]})
+
+    return run(image)
+
+
+def header_facts(content: Column) -> Column:
+    """(width, height) of pictures by their headers, 0 where unknown."""
+
+    @F.pandas_udf("width int, height int")
+    def run(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([dimensions_of(None if c is None else bytes(c)) for c in contents], columns=["width", "height"]).astype("int32")
+
+    return run(content)
+
+
 def orient(picture: np.ndarray, orientation: int) -> np.ndarray:
     """A picture turned and mirrored as its orientation tag (1 to 8) says."""
     turned = {3: 2, 4: 2, 5: -1, 6: -1, 7: 1, 8: 1}.get(orientation, 0)

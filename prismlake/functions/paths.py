@@ -64,9 +64,11 @@ def path_order(path: Column) -> Column:
 
 
 def short_path(path: Column) -> Column:
-    """First and last three parts of a path of more than four."""
+    """First and last three parts of a path of more than four, with its own separators; a network path keeps its two leading ones."""
     parts = F.filter(F.split(path, r"[/\\]"), lambda p: p != "")
-    shown = F.concat_ws("/", F.slice(parts, 1, 1), F.lit("…"), F.slice(parts, -3, 3))
+    sep = F.when(path.contains("\\"), "\\").otherwise("/")
+    lead = F.when(path.startswith("\\\\") | path.startswith("//"), F.concat(sep, sep)).otherwise("")
+    shown = F.concat(lead, F.get(parts, F.lit(0)), sep, F.lit("…"), sep, F.array_join(F.zip_with(F.slice(parts, -3, 3), F.array(F.lit(""), sep, sep), lambda p, s: F.concat(s, p)), ""))
     return F.when(F.size(parts) <= 4, path).otherwise(shown)
 
 

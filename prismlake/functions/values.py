@@ -30,10 +30,10 @@ def split_device(device: Column) -> Column:
 
 
 def device_of(model: Column, product: Column, android: Column, name: Column) -> Column:
-    """A device's name in capitals, else the messenger's or unknown."""
+    """A device's name in capitals, blank ones aside, else the messenger's or unknown."""
     upper = F.upper(name)
     guess = F.when(upper.contains("WA-") | upper.contains("-WA"), "WHATSAPP").otherwise("DESCONOCIDO")
-    return F.coalesce(F.upper(F.coalesce(model, product, android)), guess)
+    return F.coalesce(F.upper(F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (model, product, android)])), guess)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -70,32 +70,69 @@ def hash_for_mode(precise: Column, fast: Column, use_fast: bool) -> Column:
     return fast if use_fast else precise
 
 
+def hundredths(value: Column) -> Column:
+    """A double as hundredths, rounded from its exact binary value, half away from zero.
+
+    The double is split in two halves of 26 bits, whose products with 200 are exact, so
+    that 1.115, which is a little less, gives 111.
+    """
+    x = F.abs(value)
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    low = x - high
+    n = F.floor(x * 100).cast("double")
+    up = (high * 200 - (2 * n + 1)) + low * 200 >= 0
+    return (F.when(value < 0, -1).otherwise(1) * (n + up.cast("int"))).cast("int")
+
+
 def geo_cell(latitude: Column, longitude: Column) -> Column:
-    """Cells of a hundredth of a degree, as two integers."""
-    return F.struct(F.round(latitude * 100).cast("int").alias("lat_cell"), F.round(longitude * 100).cast("int").alias("lon_cell"))
+    """Cells of a hundredth of a degree, as two integers and as the key of a place cache (`-0.00` for small negatives)."""
+    cell = lambda c: hundredths(c)
+    text = lambda c: F.concat(F.when(c < 0, "-").otherwise(""), F.floor(F.abs(cell(c)) / 100).cast("string"), F.lit("."), F.lpad((F.abs(cell(c)) % 100).cast("string"), 2, "0"))
+    return F.struct(cell(latitude).alias("lat_cell"), cell(longitude).alias("lon_cell"), F.concat(text(latitude), F.lit(","), text(longitude)).alias("geo_cell"))
 
 
 def valid_position(latitude: Column, longitude: Column) -> Column:
-    return latitude.between(-90, 90) & longitude.between(-180, 180)
+    """Whether both are given and in range; null if neither is."""
+    return F.when(latitude.isNotNull() | longitude.isNotNull(), F.coalesce(latitude.between(-90, 90) & longitude.between(-180, 180), F.lit(False)))
 
 
-def parse_position(text: Column) -> Column:
-    """Decimal degrees, or degrees, minutes and seconds with a direction; null if neither."""
-    pattern = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*°\s*(?:([0-9]+(?:\.[0-9]+)?)\s*['′]\s*)?(?:([0-9]+(?:\.[0-9]+)?)\s*[\"″]\s*)?([NSEWnsew])?\s*$"
+# The notation: degrees, then optionally minutes, then optionally seconds, then a direction.
+_NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
+_DEGREES = _NUMBER + r"\s*[°d]\s*(?:" + _NUMBER + r"\s*['′]\s*(?:" + _NUMBER + r"\s*[\"″]\s*)?)?"
+
+
+def _degrees(text: Column, pattern: str) -> Column:
+    """Signed decimal degrees of a text that matches the pattern, whose fourth group is the direction."""
     part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).try_cast("double"), F.lit(0.0))
     sign = F.when(F.upper(F.regexp_extract(text, pattern, 4)).isin("S", "W"), -1.0).otherwise(1.0)
-    decimal = F.regexp_extract(text, r"^\s*(-?[0-9]+(?:\.[0-9]+)?)\s*$", 1)
-    return F.when(text.rlike(pattern), sign * (part(1) + part(2) / 60 + part(3) / 3600)).otherwise(F.nullif(decimal, F.lit("")).try_cast("double"))
+    return sign * (part(1) + part(2) / 60 + part(3) / 3600)
+
+
+def parse_position(text: Column) -> Column:
+    """Decimal degrees, or degrees, minutes and seconds with or without a direction; null if neither."""
+    trimmed = F.trim(text)
+    pattern = "^" + _DEGREES + "([NSEWnsew])?$"
+    return F.when(trimmed.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), trimmed.try_cast("double")).when(trimmed.rlike(pattern), _degrees(trimmed, pattern))
 
 
 def parse_pair(text: Column) -> Column:
-    """(latitude, longitude) of a decimal pair within range, or of two texts of degrees; null if neither."""
-    pair = r"^\s*(-?[0-9]+(?:\.[0-9]+)?)\s*[,;\s]\s*(-?[0-9]+(?:\.[0-9]+)?)\s*$"
-    lat, lon = (F.nullif(F.regexp_extract(text, pair, i), F.lit("")).try_cast("double") for i in (1, 2))
-    parts = F.regexp_extract_all(text, F.lit(r"([0-9.]+\s*°[^NSEWnsew]*[NSEWnsew])"), F.lit(1))
-    a, b = parse_position(F.get(parts, F.lit(0))), parse_position(F.get(parts, F.lit(1)))
+    """(latitude, longitude) of a decimal pair in range, or of texts of degrees with directions, which say what is which; the last of each counts. Null if one is missing."""
+    trimmed = F.trim(text)
+    pair = r"^(-?[0-9]+(?:\.[0-9]+)?)\s*[,\s]\s*(-?[0-9]+(?:\.[0-9]+)?)$"
+    lat, lon = (F.nullif(F.regexp_extract(trimmed, pair, i), F.lit("")).try_cast("double") for i in (1, 2))
+    pattern = _DEGREES + "([NSEWnsew])"
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    last = lambda signs: F.get(F.reverse(F.transform(F.filter(found, lambda x: F.upper(F.right(x, F.lit(1))).isin(*signs)), lambda x: _degrees(x, "^" + pattern + "$"))), F.lit(0))
+    north, east = last("NS"), last("EW")
     made = lambda x, y: F.struct(x.alias("latitude"), y.alias("longitude"))
-    return F.when(text.rlike(pair) & valid_position(lat, lon), made(lat, lon)).when(~text.rlike(pair) & (F.size(parts) >= 2) & valid_position(a, b), made(a, b))
+    return F.when(trimmed.rlike(pair) & valid_position(lat, lon), made(lat, lon)).when(north.isNotNull() & east.isNotNull(), made(north, east))
+
+
+def gps_text(latitude: Column, longitude: Column) -> Column:
+    """Degrees with five decimals and directions."""
+    part = lambda v, plus, minus: F.concat(F.format_string("%.5f", F.abs(v)), F.lit("° "), F.when(v >= 0, plus).otherwise(minus))
+    return F.concat(part(latitude, "N", "S"), F.lit(", "), part(longitude, "E", "W"))
 
 
 def degrees_text(value: Column, positive: str, negative: str) -> Column:
@@ -125,10 +162,17 @@ def mixed_value(column: Column) -> Column:
     return F.when(same, F.min(text)).otherwise(F.lit(MIXED))
 
 
-def position_state(latitude: Column) -> Column:
-    """An aggregate: none, some, equal or mixed."""
+def position_state(latitude: Column, longitude: Column) -> Column:
+    """An aggregate: none (no row has a latitude), some, equal (all are at one place) or mixed."""
     n, total = F.count(latitude), F.count("*")
-    return F.when(n == 0, "none").when(n < total, "some").when(F.min(latitude) == F.max(latitude), "equal").otherwise("mixed")
+    at = F.struct(latitude.alias("a"), longitude.alias("o"))
+    return F.when(n == 0, "none").when(n < total, "some").when(F.min(at).eqNullSafe(F.max(at)), "equal").otherwise("mixed")
+
+
+def shared_position(latitude: Column, longitude: Column) -> Column:
+    """An aggregate: (mixed, latitude, longitude) of a selection; the position only where all rows share one."""
+    state = position_state(latitude, longitude)
+    return F.struct(state.isin("some", "mixed").alias("mixed"), F.when(state == "equal", F.min(latitude)).alias("latitude"), F.when(state == "equal", F.min(longitude)).alias("longitude"))
 
 
 def sign_hash(vector: Column) -> Column:

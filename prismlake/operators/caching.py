@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,25 +45,94 @@ def keep_slot(cache: DataFrame, fast: bool, new_hash: Column) -> DataFrame:
     return cache.withColumn("fast_phash" if fast else "phash", F.coalesce(new_hash, F.col("fast_phash" if fast else "phash")))
 
 
+#: The columns of the cache of features, and its layout's number.
+CACHE_COLUMNS = {"cache_key": "string", "size_bytes": "long", "mtime": "string", "content_hash": "string", "phash": "string", "fast_phash": "string", "header_hash": "string", "width": "int", "height": "int", "modified": "string", "blur_score": "double"}
+LAYOUT = 5
+
+
+def migrated(cache: DataFrame, layout: int) -> DataFrame:
+    """cache in the present layout: columns that an older one lacks are null, sizes 0 and times empty; hashes from before layout 5 are dropped, as they were made otherwise."""
+    empty = {"width": F.lit(0), "height": F.lit(0), "modified": F.lit("")}
+    columns = []
+    for name, kind in CACHE_COLUMNS.items():
+        value = F.col(name) if name in cache.columns else F.lit(None)
+        value = F.coalesce(value, empty[name]) if name in empty else value
+        columns.append((F.lit(None) if layout < LAYOUT and name in ("phash", "fast_phash") else value).cast(kind).alias(name))
+    return cache.select(*columns)
+
+
+def stored_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """files and bytes of all that is below a folder; contents are not read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("length")
+    return rows.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def clear(spark: SparkSession, folder: str) -> bool:
+    """Delete a cache's folder; whether there was one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def save_pairs(pairs: DataFrame, fingerprint: str, fast: bool, folder: str) -> None:
+    """Keep the pairs of a set of hashes under its fingerprint and mode; saved again, they replace the former ones."""
+    pairs.write.mode("overwrite").parquet(f"{folder}/{fingerprint}/{'fast' if fast else 'precise'}")
+
+
+def load_pairs(spark: SparkSession, fingerprint: str, fast: bool, folder: str) -> DataFrame | None:
+    """Pairs that were kept for this set and mode, else None."""
+    place = f"{folder}/{fingerprint}/{'fast' if fast else 'precise'}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return spark.read.parquet(place) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+
+
 def fingerprint(rows: DataFrame, by: list[str], group: list[str] | None = None) -> DataFrame:
-    """A hash over rows in the order of the first column, one for each group.
+    """A hash over the set of rows, one for each group, whatever their order.
 
-    Rows are hashed each for itself and the sorted short digests are hashed again, so
-    what meets in a task is 16 bytes a row; for a whole table of any size, group by a
-    range of the key first.
+    Rows are hashed each for itself and dealt by the first three digits of their hash;
+    each of the 4,096 parts is hashed in the order of its rows' hashes, and so are the
+    parts. So no task holds more than a part of a group, however large it is.
     """
+    group = group or []
     line = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in by]))
-    first = F.col(by[0])
-    hashed = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(first.alias("k"), line.alias("h")))), lambda x: x["h"]), ""))
-    return rows.groupBy(*(group or [])).agg(hashed.alias("fingerprint"))
+    lines = rows.select(*group, line.alias("line"))
+    parts = lines.groupBy(*group, F.substring("line", 1, 3).alias("part")).agg(F.md5(F.array_join(F.array_sort(F.collect_list("line")), "")).alias("digest"))
+    whole = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: x["digest"]), ""))
+    return parts.groupBy(*group).agg(whole.alias("fingerprint"))
 
 
 def recent(history: DataFrame, entry: DataFrame, cap: int = 5) -> DataFrame:
-    """history (key, at, ...) after an entry: one row a key, the newest first, `cap` of them; a key that was there keeps its first id."""
-    all_rows = history.unionByName(entry)
-    by = Window.partitionBy("key")
-    latest = all_rows.withColumn("id", F.min_by("id", "at").over(by)).withColumn("_n", F.row_number().over(by.orderBy(F.desc("at")))).where("_n = 1").drop("_n")
-    return latest.orderBy(F.desc("at"), "key").limit(cap)
+    """history (key, id, at, duration, ...) after an entry, the newest first, `cap` of them.
+
+    An entry of a known key replaces that, but keeps its id, its time and, if it has
+    one, its duration: they tell of the first run. So it keeps its place too; a new key
+    comes first, and the oldest goes. Both tables have each key once.
+    """
+    old = history.select("key", *[F.col(c).alias(f"_{c}") for c in ("id", "at", "duration")])
+    kept = [F.coalesce(f"_{c}", c).alias(c) if c in ("id", "at", "duration") else F.col(c) for c in history.columns]
+    new = entry.join(old, "key", "left").select(*kept)
+    rest = history.join(entry.select("key"), "key", "left_anti")
+    return rest.unionByName(new).orderBy(F.desc("at"), "key").limit(cap)
+
+
+def cached_result(results: DataFrame, key: str, fingerprint: str, version: int | None = None) -> DataFrame:
+    """The entry of results (key, fingerprint, rows, version) that may stand for a new run: same key and fingerprint, not empty, and of this version if one is asked for."""
+    found = results.where((F.col("key") == key) & (F.col("fingerprint") == fingerprint) & (F.col("rows") > 0))
+    return found if version is None else found.where(F.col("version") == version)
+
+
+def place_cache_stats(names: DataFrame) -> DataFrame:
+    """entries and bytes, as one JSON object, of a cache (geo_cell, name)."""
+    pair = F.octet_length(F.to_json(F.create_map("geo_cell", F.coalesce("name", F.lit(""))))) - 2
+    n = F.count("*")
+    return names.agg(n.alias("entries"), (F.coalesce(F.sum(pair), F.lit(0)) + F.greatest(n - 1, F.lit(0)) + 2).alias("bytes"))
+
+
+def failed_files(results: DataFrame) -> DataFrame:
+    """(path, kind) of rows (path, error) that failed: a name of views.FAILURES where the error says so, else IO_ERROR."""
+    text = F.upper("error")
+    kinds = {"PERMISSION_DENIED": "PERMISSION|ACCESS DENIED", "NOT_FOUND": "NOT.?FOUND|NO SUCH FILE", "UNSUPPORTED_FORMAT": "UNSUPPORTED", "CORRUPTED_FILE": "CORRUPT"}
+    kind = F.coalesce(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in kinds.items()], F.lit("IO_ERROR"))
+    return results.where("error is not null").select("path", kind.alias("kind"))
 
 
 def patch(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -74,6 +143,6 @@ def patch(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]) ->
 
 
 def folder_status(folders: DataFrame) -> DataFrame:
-    """Per history key: ok, missing or partial, from rows (key, folder, there)."""
+    """Per history key: ok, missing (its only folder is) or partial, from rows (key, folder, there)."""
     missing = F.count_if(~F.col("there"))
-    return folders.groupBy("key").agg(F.when(missing == 0, "ok").when(missing == F.count("*"), "missing").otherwise("partial").alias("status"))
+    return folders.groupBy("key").agg(F.when(missing == 0, "ok").when(F.count("*") == 1, "missing").otherwise("partial").alias("status"))

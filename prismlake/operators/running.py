@@ -33,3 +33,9 @@ def running_before(df: DataFrame, group: list[str], order: list[Column], value:
         .withColumn(name, F.col(name) + F.col(f"{name}_offset"))
         .drop(at, f"{name}_offset", f"{name}_value")
     )
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
+    """df with `name`, every row's number in an order over the whole table, by ranges."""
+    ranked = running_before(df.withColumn("_all", F.lit(0)), ["_all"], order, F.lit(1), name).drop("_all")
+    return ranked.withColumn(name, F.col(name).cast("long") + start)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.functions.paths import display_extension, file_name
-from prismlake.functions.values import MIXED, NO_LOCATION, mixed_value
-from prismlake.operators.running import running_before
+from prismlake.functions.paths import display_extension, file_name, path_order, under_root
+from prismlake.functions.values import NO_LOCATION, geo_cell, mixed_value
+from prismlake.operators.running import numbered, running_before
+
+# Why files are passed over, and what is shown for it.
+FAILURES = {"PERMISSION_DENIED": "Permission denied", "NOT_FOUND": "File not found", "UNSUPPORTED_FORMAT": "Unsupported format", "CORRUPTED_FILE": "Corrupted file", "IO_ERROR": "I/O error"}
 
 
 def with_kind(groups: DataFrame, kind: str) -> DataFrame:
@@ -53,7 +56,7 @@ def filter_assets(assets: DataFrame, search: str = "", first: str | None = None,
         found = found.where(F.coalesce("location", F.lit("")) == "")
     elif location:
         found = found.where(F.col("location") == location)
-    if device is not None:
+    if device:
         found = found.where(F.coalesce("device", F.lit("")) == device)
     return found
 
@@ -63,34 +66,52 @@ def kind_rank() -> Column:
 
 
 def order_groups(groups: DataFrame, by: str = "kind", descending: bool = False) -> DataFrame:
-    """Groups (kind, similarity, title, date) with `place`, their rank in the order."""
-    way = (lambda c: F.desc_nulls_last(c)) if descending else (lambda c: F.asc_nulls_last(c))
-    keys = {"kind": [way(kind_rank()), F.desc_nulls_last(F.when(kind_rank().isin(1, 2), F.col("similarity")))], "title": [way(F.lower("title"))], "date": [way(F.col("date"))]}
-    return groups.orderBy(*keys[by], "group_id")
+    """Groups (kind, similarity, title, date) with `place` by kind, title or date; by ranges, so no task sees all groups.
+
+    Kinds go exact, similar, same date with a similarity, same date; descending turns
+    this round, but within a kind the more similar come first either way. Groups
+    without a title or date count as empty ones; equal groups go by group_id.
+    """
+    way = (lambda c: c.desc()) if descending else (lambda c: c.asc())
+    closest = F.desc_nulls_last(F.when(kind_rank().isin(1, 2), F.col("similarity")))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    keys = {"kind": lambda: [way(kind_rank()), closest], "title": lambda: [way(text(F.lower("title")))], "date": lambda: [way(text(F.col("date")))]}
+    return numbered(groups, [*keys[by](), F.asc("group_id")], "place")
 
 
-def group_places(groups: DataFrame) -> DataFrame:
-    """Every group with `place`, its rank by kind as order_groups sorts; ranges are numbered apart, so no task sees all groups."""
-    key = F.desc_nulls_last(F.when(kind_rank().isin(1, 2), F.col("similarity")))
-    whole = groups.withColumn("all", F.lit(0))
-    return running_before(whole, ["all"], [F.asc(kind_rank()), key, F.asc("group_id")], F.lit(1), "place").withColumn("place", F.col("place") + 1).drop("all")
+def natural_key(text: Column) -> Column:
+    """A key that compares texts without regard to case and accents, and runs of digits as numbers."""
+    parts = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    padded = F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 30, "0")).otherwise(x))
+    return F.collate(F.array_join(padded, ""), "UNICODE_CI_AI")
 
 
 def order_assets(assets: DataFrame, by: str = "date", descending: bool = False) -> DataFrame:
-    """Assets by date, location or device; what has none comes last either way, but a position without a name comes before names when ascending."""
-    way = (lambda c: F.desc_nulls_last(c)) if descending else (lambda c: F.asc_nulls_last(c))
+    """Assets with `place` by date, location or device, by ranges; equal ones go by path.
+
+    Without a location (null without a position, or empty) or a device an asset comes
+    last either way; a position without a name yet comes before names when ascending.
+    Names compare without case and accents, their digits as numbers. No date counts as
+    an empty text.
+    """
+    way = (lambda c: c.desc()) if descending else (lambda c: c.asc())
     if by == "location":
         unnamed = F.col("gps_latitude").isNotNull() & F.col("location").isNull()
-        keys = [F.asc(F.when(unnamed, 0 if not descending else 2).when(F.col("location").isNotNull(), 1).otherwise(3)), way(F.collate("location", "UNICODE_CI_AI"))]
+        rank = F.when(unnamed, 2 if descending else 0).when(F.coalesce("location", F.lit("")) != "", 1).otherwise(3)
+        keys = [rank.asc(), way(natural_key(F.when(rank == 1, F.col("location"))))]
+    elif by == "device":
+        none = F.coalesce("device", F.lit("")) == ""
+        keys = [none.asc(), way(natural_key(F.when(~none, F.col("device"))))]
     else:
-        keys = [way(F.coalesce("date_taken", "modified") if by == "date" else F.col("device"))]
-    return assets.orderBy(*keys, "path")
+        keys = [way(F.coalesce("date_taken", "modified", F.lit("")))]
+    return numbered(assets, [*keys, F.asc("path")], "place")
 
 
 def original_first(members: DataFrame) -> DataFrame:
-    """Members with `place` in their group: the original, then copies by name in exact groups and by date in others."""
-    key = F.when(F.col("kind") == "exact", file_name(F.col("path"))).otherwise(F.col("modified"))
-    return members.withColumn("place", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("is_original"), key, "ord")))
+    """Members with `place` in their group: the original, then copies by name (case and accents aside) in exact groups and by date in others; equal ones by date and their former order. By ranges, so a group may have any size."""
+    name = F.collate(F.when((F.col("kind") == "exact") & ~F.col("is_original"), file_name(F.col("path"))).otherwise(F.lit("")), "UNICODE_CI_AI")
+    placed = running_before(members, ["group_id"], [F.desc("is_original"), name.asc(), F.asc("modified"), F.asc("ord")], F.lit(1), "place")
+    return placed.withColumn("place", F.col("place").cast("int") + 1)
 
 
 def kind_counts(groups: DataFrame) -> DataFrame:
@@ -108,10 +129,69 @@ def facet(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(F.coalesce(F.col(column), F.lit("")) != "").select(column).distinct().orderBy(column)
 
 
+def with_custom(found: DataFrame, custom: DataFrame, column: str) -> DataFrame:
+    """Distinct values of found and of custom (both: column), each with is_custom, where it was not found but added by hand."""
+    values = found.select(column, F.lit(0).alias("custom")).unionByName(custom.select(F.trim(column).alias(column), F.lit(1).alias("custom")))
+    return values.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy(column).agg((F.min("custom") == 1).alias("is_custom"))
+
+
+def place_names(assets: DataFrame, names: DataFrame) -> DataFrame:
+    """assets with location: the name of their cell in a cache (geo_cell, name), null where they have no position or the cache no name yet."""
+    cell = geo_cell(F.col("gps_latitude"), F.col("gps_longitude"))["geo_cell"]
+    known = names.select(F.col("geo_cell").alias("_cell"), F.col("name").alias("_name"))
+    columns = [c for c in assets.columns if c != "location"]
+    return assets.select(*columns, cell.alias("_cell")).join(known, "_cell", "left").select(*columns, F.col("_name").alias("location"))
+
+
+def cells(assets: DataFrame) -> DataFrame:
+    """(geo_cell, latitude, longitude, n): the cells of assets with a position, with that of their first asset by path; paths stay with the assets, where the cell finds them again."""
+    at = assets.where("gps_latitude is not null and gps_longitude is not null")
+    cell = geo_cell(F.col("gps_latitude"), F.col("gps_longitude"))["geo_cell"]
+    first = F.min_by(F.struct("gps_latitude", "gps_longitude"), F.struct("path", "gps_latitude", "gps_longitude"))
+    return at.groupBy(cell.alias("geo_cell")).agg(first.alias("at"), F.count("*").alias("n")).select("geo_cell", F.col("at.gps_latitude").alias("latitude"), F.col("at.gps_longitude").alias("longitude"), "n")
+
+
+def pending_cells(assets: DataFrame, names: DataFrame) -> DataFrame:
+    """cells() that a cache (geo_cell, name) does not know."""
+    return cells(assets).join(names.select("geo_cell").distinct(), "geo_cell", "left_anti")
+
+
+def selected(assets: DataFrame, paths: DataFrame) -> DataFrame:
+    """The shown assets that are selected, by path."""
+    return assets.join(paths.select("path").distinct(), "path", "left_semi")
+
+
+def without_value(rows: DataFrame, column: str, value: str) -> DataFrame:
+    """rows with a value taken out of a column: the rows stay, without it."""
+    return rows.withColumn(column, F.when(~F.col(column).eqNullSafe(F.lit(value)), F.col(column)))
+
+
+def newest(assets: DataFrame, n: int = 3) -> DataFrame:
+    """The n assets modified last (path, mtime), ties by path."""
+    return assets.orderBy(F.desc("mtime"), "path").limit(n)
+
+
+def deletion_plan(assets: DataFrame, roots: list[str]) -> DataFrame:
+    """(path, network): what is to be deleted, blank paths aside, each once; network says that a path is under one of the roots, where there is no bin."""
+    path = F.trim("path")
+    return assets.where(F.coalesce(path, F.lit("")) != "").select(path.alias("path")).distinct().withColumn("network", under_root(F.col("path"), roots))
+
+
+def deletion_preview(plan: DataFrame, n: int = 10) -> DataFrame:
+    """The first n paths of a deletion plan, and how many there are in all."""
+    return plan.orderBy(path_order(F.col("path"))).limit(n).crossJoin(F.broadcast(plan.agg(F.count("*").alias("total"))))
+
+
+def kind_label(kind: Column) -> Column:
+    labels = {"exact": "Exact duplicate", "similar": "Similar", "sameDate": "Same date"}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in labels.items() for x in p]), kind), kind)
+
+
+def failure_label(kind: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in FAILURES.items() for x in p]), kind), F.lit("Unknown error"))
+
+
 def common_values(rows: DataFrame, keys: list[str], columns: list[str], zero_is_none: tuple[str, ...] = ()) -> DataFrame:
     """Per key, each column's one value, or a mark where rows differ."""
     value = lambda c: F.nullif(F.col(c), F.lit(0)) if c in zero_is_none else F.col(c)
     return rows.groupBy(*keys).agg(*[mixed_value(value(c)).alias(c) for c in columns])
-
-
-__all__ = ["MIXED", "NO_LOCATION", "common_values", "copies", "extension_histogram", "facet", "filter_assets", "group_places", "kind_counts", "order_assets", "order_groups", "original_first", "with_extension", "with_kind", "with_name"]

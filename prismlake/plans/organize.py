@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.functions import dates
-from prismlake.functions.paths import extension, file_name, media_kind, normal_extension
-from prismlake.functions.values import device_of
-from prismlake.operators.running import running_before
+from prismlake.functions.paths import VIDEO_EXTENSIONS, extension, file_name, media_kind, normal_extension
+from prismlake.functions.values import MIXED, device_of, join_device, parse_pair, split_device
+from prismlake.operators.running import numbered, running_before
+from prismlake.session import durable
 
-# Fixed values.
+# Names of months, signs that paths may not hold, default templates, tags.
 MONTHS = ["ENERO", "FEBRERO", "MARZO", "ABRIL", "MAYO", "JUNIO", "JULIO", "AGOSTO", "SEPTIEMBRE", "OCTUBRE", "NOVIEMBRE", "DICIEMBRE"]
 RESERVED_SIGNS = '\\:*?"<>|'
+DEFAULT_RENAME = "{type}_{date}_{time}_{4hex_uid}"
+DEFAULT_FOLDER = "{year}/{device}/{month_dir}"
+DATE_TAGS = ("DateTimeOriginal", "CreateDate", "DateTimeDigitized")
+TEXT_TAGS = {"description": ("ImageDescription", "XMP:Description"), "artist": ("Artist", "XMP:Creator"), "copyright": ("Copyright", "XMP:Rights")}
+DEVICE_TAGS = ("All:Make", "All:Model", "IFD0:Make", "IFD0:Model", "IFD1:Make", "IFD1:Model", "EXIF:Make", "EXIF:Model", "XMP:Make", "XMP:Model", "XMP-tiff:Make", "XMP-tiff:Model", "UserData:Make", "UserData:Model", "Keys:Make", "Keys:Model")
+#: Names that a file is tried under.
+ATTEMPTS = 16
 
 
 @dataclass(frozen=True)
@@ -26,106 +35,203 @@ class OrganizerConfig:
     override_year: bool = False
     year_if_not_date: int = 2024
     output_directory: str | None = "/out"
-    rename_template: str = "{type}_{date}_{time}_{4hex_uid}"
-    folder_template: str = "{year}/{device}/{month_dir}"
+    rename_template: str = DEFAULT_RENAME
+    folder_template: str = DEFAULT_FOLDER
     device_aliases: dict[str, str] = field(default_factory=dict)
     now: str = "01:01 00:00:00"
 
 
 def resolve_dates(files: DataFrame, config: OrganizerConfig) -> DataFrame:
-    """files (ord, path, original, created, modified_tag) with date_used and date_source.
+    """files (ord, path, original, created, media_created, file_modified) with date_used and date_source.
 
-    By the priority exif: tags' oldest, then the name; by filename the other way
-    round. Then the day keys in names, each with a minute of its own by order among
-    the rows that get so far, then the fallback year at the run's time.
+    By the priority exif: the tags' oldest, the file's own time, then a full date in the
+    name; by filename the name first. Then a date without seconds in the name and the
+    day keys in names, each with a minute of its own by order among the rows that get
+    so far; all these count as filename. Last the fallback year at the run's time.
+    What names and tags say is worked out once, written, and only rows with a day key
+    are ranked, by ranges, so a day that many rows share is no single task.
     """
     name = file_name(F.col("path"))
-    exif, own = dates.oldest_of(F.col("original"), F.col("created"), F.col("modified_tag")), dates.filename_date(name)
-    order = [("exif", exif), ("filename", own)] if config.date_priority == "exif" else [("filename", own), ("exif", exif)]
-    found = files.withColumn("_first", order[0][1]).withColumn("_second", order[1][1])
+    tags = dates.oldest_of(F.col("original"), F.col("created"), F.col("media_created"))
+    own = F.coalesce(dates.dashed_datetime(name), dates.compact_datetime(name))
+    choice = lambda date, source: F.struct(date.alias("date"), F.lit(source).alias("source"))
+    named, modified = choice(own, "filename"), choice(dates.file_date(F.col("file_modified")), "modify")
+    order = [choice(tags, "exif"), modified, named] if config.date_priority == "exif" else [named, choice(tags, "exif"), modified]
+    order.append(choice(dates.compact_without_seconds(name), "filename"))
+    columns = files.columns
+    found = files.withColumn("_found", F.get(F.filter(F.array(*order), lambda c: c["date"].isNotNull()), F.lit(0)))
     key = F.coalesce(dates.img_date_key(name), dates.messenger_date_key(name))
-    open_ = F.col("_first").isNull() & F.col("_second").isNull()
-    found = found.withColumn("_key", F.when(open_, key))
-    counter = F.row_number().over(Window.partitionBy("_key").orderBy("ord")) - 1
-    counted = found.where("_key is not null").withColumn("_n", counter)
-    found = counted.unionByName(found.where("_key is null").withColumn("_n", F.lit(0)))
-    fallback = F.lit(f"{config.year_if_not_date}:{config.now}")
-    used = F.coalesce("_first", "_second", F.when(F.col("_key").isNotNull(), dates.key_date(F.col("_key"), F.col("_n"))), fallback)
-    source = F.when(F.col("_first").isNotNull(), order[0][0]).when(F.col("_second").isNotNull(), order[1][0]).when(F.col("_key").isNotNull(), "key").otherwise("fallback")
-    used = dates.override_year(used, config.year_if_not_date) if config.override_year else used
-    return found.withColumn("date_used", used).withColumn("date_source", source).drop("_first", "_second", "_key", "_n")
+    found = durable(found.withColumn("_key", F.when(F.col("_found").isNull(), key)))
+    keyed = running_before(found.where("_key is not null"), ["_key"], [F.col("ord")], F.lit(1), "_n")
+    whole = keyed.select(*found.columns, F.col("_n").cast("long").alias("_n")).unionByName(found.where("_key is null").withColumn("_n", F.lit(0).cast("long")))
+    fallback = F.lit(f"{config.year_if_not_date:04d}:{config.now}")
+    used = F.coalesce("_found.date", F.when(F.col("_key").isNotNull(), dates.key_date(F.col("_key"), F.col("_n"))))
+    used = F.coalesce(dates.override_year(used, config.year_if_not_date) if config.override_year else used, fallback)
+    source = F.coalesce("_found.source", F.when(F.col("_key").isNotNull(), "filename"), F.lit("fallback"))
+    return whole.select(*columns, used.alias("date_used"), source.alias("date_source"))
 
 
-def rename(template: str, date: Column, kind: Column, uid: Column) -> Column:
-    """A template's stem in capitals; null without a full date."""
-    import re
+_TOKEN = re.compile(r"(\{[^{}]*\})")
+_HEX = re.compile(r"\{([0-9]*)hex_uid\}")
+_CRYPTO = re.compile(r"\{([0-9]+)crypto_uid\}")
+#: Numbers of digits in templates that are too large to be read count as this.
+UNREAD, LARGEST = 4, 2**64
+
+
+def _digits(text: str, most: int) -> int:
+    n = int(text) if text else UNREAD
+    return min(max(n if n < LARGEST else UNREAD, 1), most)
+
 
-    parts = {"type": F.when(kind == "video", "VID").otherwise("IMG"), "date": F.translate(F.substring(date, 1, 10), ":", ""), "time": F.translate(F.substring(date, 12, 8), ":", "")}
-    parts |= {n: F.substring(date, i, k) for n, i, k in (("year", 1, 4), ("month", 6, 2), ("day", 9, 2), ("hour", 12, 2), ("min", 15, 2), ("sec", 18, 2))}
+def uid_tokens(template: str) -> int:
+    """How many counted numbers a name by this template takes."""
+    return len(_HEX.findall(template or DEFAULT_RENAME))
+
+
+def rename(template: str, date: Column, kind: Column, uid: Column) -> Column:
+    """A template's stem in capitals; null without a full date. uid is the first of its numbers; each further token takes the next."""
+    parts = {"{type}": F.when(kind == "video", "VID").otherwise("IMG"), "{date}": F.translate(F.substring(date, 1, 10), ":", ""), "{time}": F.translate(F.substring(date, 12, 8), ":", "")}
+    parts |= {"{" + n + "}": F.substring(date, i, k) for n, i, k in (("year", 1, 4), ("month", 6, 2), ("day", 9, 2), ("hour", 12, 2), ("min", 15, 2), ("sec", 18, 2))}
     pieces: list[Column] = []
-    for text in re.split(r"(\{[^{}]*\})", template):
-        token = text[1:-1] if text.startswith("{") else None
-        if token in parts:
-            pieces.append(parts[token])
-        elif token and (m := re.fullmatch(r"([0-9]*)hex_uid", token)) and 1 <= int(m[1] or 4) <= 32:
-            digits = F.hex(uid)
-            pieces.append(F.when(F.length(digits) >= int(m[1] or 4), digits).otherwise(F.lpad(digits, int(m[1] or 4), "0")))
-        elif token and (m := re.fullmatch(r"([0-9]+)crypto_uid", token)) and 1 <= int(m[1]) <= 64:
-            pieces.append(F.randstr(int(m[1])))
+    taken = 0
+    for text in _TOKEN.split(template or DEFAULT_RENAME):
+        if text in parts:
+            pieces.append(parts[text])
+        elif m := _HEX.fullmatch(text):
+            width, digits = _digits(m[1], 32), F.hex(uid + F.lit(taken))
+            pieces.append(F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0")))
+            taken += 1
+        elif m := _CRYPTO.fullmatch(text):
+            pieces.append(F.upper(F.randstr(_digits(m[1], 64))))
         elif text:
             pieces.append(F.lit(text))
     return F.when(F.length(date) >= 19, F.upper(F.concat(*pieces)))
 
 
 def folder(config: OrganizerConfig, date: Column, device: Column) -> Column:
-    """The target folder; blank segments go; null without an output directory."""
+    """The target folder; blank segments go, others are trimmed; null without an output directory or a month."""
     if not config.output_directory:
         return F.lit(None).cast("string")
-    month = F.substring(date, 6, 2)
-    name = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.coalesce(month.try_cast("int"), F.lit(1)))
+    number = F.substring(date, 6, 2).try_cast("int")
+    month = F.lpad(number.cast("string"), 2, "0")
+    name = F.get(F.array(*[F.lit(m) for m in MONTHS]), number - 1)
     safe = F.translate(device, RESERVED_SIGNS, "_" * len(RESERVED_SIGNS))
-    text: Column = F.lit(config.folder_template)
-    for token, value in {"month_name": name, "month_dir": F.concat(month, F.lit(" - "), name), "year": F.substring(date, 1, 4), "month": month, "day": F.substring(date, 9, 2), "device": safe}.items():
+    text: Column = F.lit(config.folder_template or DEFAULT_FOLDER)
+    for token, value in {"year": F.substring(date, 1, 4), "month": month, "month_name": name, "month_dir": F.concat(month, F.lit(" - "), name), "device": safe, "day": F.substring(date, 9, 2)}.items():
         text = F.replace(text, F.lit("{" + token + "}"), value)
-    parts = F.filter(F.split(F.upper(text), "/"), lambda p: F.trim(p) != "")
-    return F.concat_ws("/", F.lit(config.output_directory), F.array_join(parts, "/"))
+    parts = F.filter(F.transform(F.split(F.upper(text), "/"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.when(number.between(1, 12), F.concat_ws("/", F.lit(config.output_directory), F.array_join(parts, "/")))
+
+
+def resolve_device(files: DataFrame, config: OrganizerConfig) -> Column:
+    """A file's device: the alias of its make and model, either alone if the other is blank, else what device_of() says."""
+    raw = device_of(F.col("model"), F.col("product"), F.col("android"), file_name(F.col("path")))
+    if not config.device_aliases:
+        return raw
+    wanted = F.lower(join_device(F.col("make"), F.col("model")))
+    aliases: dict[str, str] = {}
+    for name, alias in config.device_aliases.items():
+        aliases.setdefault(name.lower(), alias)
+    chosen = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return F.coalesce(F.try_element_at(chosen, wanted), raw)
 
 
 def plan_organize(files: DataFrame, config: OrganizerConfig, existing: DataFrame | None = None) -> DataFrame:
     """One row per file that gets a name: ord, original_path, new_filename, new_path, date_used, date_source, device, file_kind.
 
-    files: ord, path, original, created, modified_tag, model, product, android. Names
-    count up in input order; of equal targets the first keeps it, and what is there
-    already is left alone.
+    files: ord, path, original, created, media_created, file_modified, make, model,
+    product, android. Names count up in input order. A target that exists already
+    (existing: path) or that an earlier file has taken is tried again under ATTEMPTS - 1
+    further names: colliding files get, in input order, that many numbers each after
+    those given so far, and take the first name that is free; names without numbers
+    stay as they are, so of equal targets the first file keeps it. Without an output
+    directory or a month a file's new path is its name alone.
     """
-    dated = resolve_dates(files, config).withColumn("file_kind", media_kind(F.col("path"))).where("file_kind is not null")
-    raw = device_of(F.col("model"), F.col("product"), F.col("android"), file_name(F.col("path")))
-    aliases = F.create_map(*[F.lit(x) for k, v in config.device_aliases.items() for x in (k.lower(), v)]) if config.device_aliases else None
-    device = F.coalesce(F.get(F.array(aliases[F.lower(raw)]), F.lit(0)), raw) if aliases is not None else raw
-    # One counter over all files, by distributed ranks.
-    named = running_before(dated.withColumn("device", device).withColumn("_all", F.lit(0)), ["_all"], [F.col("ord")], F.lit(1), "_uid").drop("_all")
-    named = named.withColumn("_uid", F.col("_uid").cast("long"))
-    named = named.withColumn("_stem", rename(config.rename_template, F.col("date_used"), F.col("file_kind"), F.col("_uid"))).where("_stem is not null")
-    named = named.withColumn("new_filename", F.concat("_stem", F.lit("."), normal_extension(extension(F.col("path")))))
+    dated = resolve_dates(files, config).withColumn("file_kind", media_kind(F.col("path"))).where("file_kind is not null").where(F.length("date_used") >= 19)
+    step = uid_tokens(config.rename_template)
     base = F.regexp_extract("path", r"^(.*)[/\\][^/\\]*$", 1)
-    target = base if config.only_rename else F.coalesce(folder(config, F.col("date_used"), F.col("device")), base)
-    placed = named.withColumn("new_path", F.concat_ws("/", target, "new_filename"))
-    if existing is not None:
-        placed = placed.join(existing.select(F.col("path").alias("new_path")).distinct(), "new_path", "left_anti")
-    first = F.row_number().over(Window.partitionBy("new_path").orderBy("ord"))
-    return placed.withColumn("_n", first).where("_n = 1").select("ord", F.col("path").alias("original_path"), "new_filename", "new_path", "date_used", "date_source", "device", "file_kind")
+    target = base if config.only_rename else folder(config, F.col("date_used"), F.col("device"))
+    output = ["ord", F.col("path").alias("original_path"), "new_filename", "new_path", "date_used", "date_source", "device", "file_kind"]
+    random = bool(_CRYPTO.search(config.rename_template or ""))
+
+    def numbered_by(rows: DataFrame, each: int) -> DataFrame:
+        # One counter over all files, by distributed ranks.
+        counted = running_before(rows.withColumn("_all", F.lit(0)), ["_all"], [F.col("ord")], F.lit(each), "_uid").drop("_all")
+        return counted.withColumn("_uid", F.col("_uid").cast("long"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        stem = rename(config.rename_template, F.col("date_used"), F.col("file_kind"), F.col("_uid"))
+        named = rows.withColumn("new_filename", F.concat(stem, F.lit("."), normal_extension(extension(F.col("path")))))
+        return named.withColumn("new_path", F.when(target.isNotNull(), F.concat_ws("/", target, "new_filename")).otherwise(F.col("new_filename")))
+
+    def free(rows: DataFrame, *there: DataFrame | None) -> DataFrame:
+        for taken in there:
+            rows = rows if taken is None else rows.join(taken.select(F.col(taken.columns[0]).alias("new_path")).distinct(), "new_path", "left_anti")
+        return rows
+
+    there = None if existing is None else existing.select("path")
+    # Written, as names may be random and are read more than once.
+    tried = durable(placed(numbered_by(dated.withColumn("device", resolve_device(files, config)), step)))
+    kept = free(tried, there).groupBy("new_path").agg(F.min("ord").alias("ord"))
+    done = durable(tried.join(kept, ["new_path", "ord"], "left_semi"))
+    left = tried.join(done.select("ord"), "ord", "left_anti")
+    if not (step or random) or left.isEmpty():
+        return done.select(*output)
+    most = tried.agg(F.max("_uid")).first()[0]
+    again = numbered_by(left.drop("_uid", "new_filename", "new_path"), step * (ATTEMPTS - 1))
+    again = again.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 2)))).withColumn("_uid", F.col("_uid") + most + step + F.col("_try") * step)
+    further = durable(free(durable(placed(again)), there, done.select("new_path")))
+    first = further.groupBy("ord").agg(F.min("_try").alias("_try"))
+    found = durable(further.join(first, ["ord", "_try"], "left_semi"))
+    # Only random names can meet now.
+    found = found.join(found.groupBy("new_path").agg(F.min("ord").alias("ord")), ["new_path", "ord"], "left_semi")
+    return done.select(*output).unionByName(found.select(*output))
+
+
+def preview_of(files: DataFrame, plan: DataFrame) -> DataFrame:
+    """files (path, ...) with new_filename, new_path and date_used of a plan, nulls where it has none; separators count as equal."""
+    norm = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
+    rows = plan.select(norm(F.col("original_path")).alias("_path"), "new_filename", "new_path", "date_used").dropDuplicates(["_path"])
+    return files.withColumn("_path", norm(F.col("path"))).join(rows, "_path", "left").drop("_path")
+
+
+def organizer_order(files: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
+    """Files (path, date_taken) with `place`: by type (image before video) or date, then by name, case aside; by ranges, so no task sorts all."""
+    name = file_name(F.col("path"))
+    kind = F.when(F.lower(F.regexp_extract(name, r"([^.]*)$", 1)).isin(VIDEO_EXTENSIONS), "video").otherwise("image")
+    keys = {"name": [], "type": [kind], "date": [F.coalesce("date_taken", F.lit(""))]}[by] + [F.lower(name)]
+    return numbered(files, [k.desc() if descending else k.asc() for k in keys] + [F.col("path").asc()], "place")
+
+
+def media_order(files: DataFrame) -> DataFrame:
+    """A media list with `place`: by names, case aside, then paths."""
+    return numbered(files, [F.lower(file_name(F.col("path"))).asc(), F.col("path").asc()], "place")
+
+
+def media_list(files: DataFrame, tags: DataFrame, priority: str = "exif") -> DataFrame:
+    """files (path) with date_taken, date_source and place: what their tags (source_file, original, created, file_modified) or names say. Files without tags have no date."""
+    norm = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
+    at = dates.listed_date(file_name(F.col("_key")), F.col("original"), F.col("created"), F.col("file_modified"), priority)
+    known = tags.withColumn("_key", norm(F.col("source_file"))).select("_key", at.alias("_date")).where("_date is not null").dropDuplicates(["_key"])
+    dated = files.withColumn("_key", norm(F.col("path"))).join(known, "_key", "left")
+    return media_order(dated.select(*files.columns, F.col("_date.date").alias("date_taken"), F.col("_date.source").alias("date_source")))
 
 
 def plan_date_rewrite(dated: DataFrame) -> DataFrame:
     """The three date tags of each file as rows (path, tag, value)."""
-    return dated.select("path", F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.col("date_used").alias("value")) for t in ("DateTimeOriginal", "CreateDate", "ModifyDate")])).alias("t")).select("path", "t.tag", "t.value")
+    return dated.select("path", F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.col("date_used").alias("value")) for t in DATE_TAGS])).alias("t")).select("path", "t.tag", "t.value")
 
 
 def summary(done: DataFrame) -> DataFrame:
-    """total, succeeded, failed of rows (path, ok)."""
+    """total, succeeded, failed of rows (path, ok). The failed paths are failures() of the same rows, a table of their own, as there may be any number."""
     return done.agg(F.count("*").alias("total"), F.count_if(F.col("ok")).alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"))
 
 
+def failures(done: DataFrame) -> DataFrame:
+    """The paths of rows (path, ok) that failed."""
+    return done.where(~F.col("ok")).select("path")
+
+
 def media_counts(files: DataFrame) -> DataFrame:
     """(file_kind, ext, n) with totals by kind (null ext) and in all."""
     known = files.withColumn("file_kind", media_kind(F.col("path"))).where("file_kind is not null")
@@ -133,11 +239,51 @@ def media_counts(files: DataFrame) -> DataFrame:
 
 
 def metadata_tags(updates: DataFrame) -> DataFrame:
-    """(path, tag, value): what is written for each non-null field of a patch; an empty device deletes both its tags."""
-    fields = [("date_taken", ("DateTimeOriginal", "CreateDate")), ("description", ("ImageDescription", "XMP:Description")), ("artist", ("Artist", "XMP:Creator")), ("copyright", ("Copyright", "XMP:Rights")), ("make", ("Make",)), ("model", ("Model",))]
-    rows = [F.struct(F.lit(t).alias("tag"), F.col(c).cast("string").alias("value")) for c, tags in fields if c in updates.columns for t in tags]
-    if {"gps_latitude", "gps_longitude"} <= set(updates.columns):
-        for c, ref, plus, minus in (("gps_latitude", "GPSLatitudeRef", "N", "S"), ("gps_longitude", "GPSLongitudeRef", "E", "W")):
-            rows.append(F.struct(F.lit(ref[:-3]).alias("tag"), F.when(F.col(c).isNotNull(), F.format_string("%.8f", F.abs(F.col(c)))).alias("value")))
-            rows.append(F.struct(F.lit(ref).alias("tag"), F.when(F.col(c).isNotNull(), F.when(F.col(c) >= 0, plus).otherwise(minus)).alias("value")))
+    """(path, tag, value): what is written for each non-null field of a patch.
+
+    Fields: date_taken (ISO), description, artist, copyright, make, model,
+    delete_device, gps_latitude, gps_longitude; those that the patch lacks are null.
+    Dates are written in the tags' notation, positions signed with their reference;
+    delete_device empties a device's tags in all their places instead of setting them.
+    """
+    has = lambda c: F.col(c) if c in updates.columns else F.lit(None)
+    gone = F.coalesce(has("delete_device").cast("boolean"), F.lit(False))
+    tag = lambda name, value: F.struct(F.lit(name).alias("tag"), value.cast("string").alias("value"))
+    taken = dates.iso_to_exif(has("date_taken").cast("string"))
+    rows = [tag(t, taken) for t in ("DateTimeOriginal", "CreateDate")]
+    rows += [tag(t, has(c)) for c, tags in TEXT_TAGS.items() for t in tags]
+    rows += [tag(t, F.when(gone, "")) for t in DEVICE_TAGS]
+    rows += [tag(t, F.when(~gone, has(t.lower()))) for t in ("Make", "Model")]
+    for c, name, plus, minus in (("gps_latitude", "GPSLatitude", "N", "S"), ("gps_longitude", "GPSLongitude", "E", "W")):
+        value = has(c).cast("double")
+        rows.append(tag(name, F.when(value.isNotNull(), F.format_string("%.8f", value))))
+        rows.append(tag(name + "Ref", F.when(value >= 0, plus).when(value < 0, minus)))
     return updates.select("path", F.explode(F.array(*rows)).alias("t")).where("t.value is not null").select("path", "t.tag", "t.value")
+
+
+def patch_of_form(forms: DataFrame) -> DataFrame:
+    """Patches as metadata_tags() takes them, from an edit form's texts and the selection's shared values.
+
+    forms: path, date_taken, description, artist, copyright, device, position (texts),
+    shared_make, shared_model (MIXED where the selection differs). Empty texts change
+    nothing. A null device, or one equal to the shared one, changes nothing; an empty
+    one deletes it; others are split at the first space. position that is no pair of
+    coordinates makes the form invalid, and it gives no row.
+    """
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    mixed = (F.coalesce("shared_make", F.lit("")) == MIXED) | (F.coalesce("shared_model", F.lit("")) == MIXED)
+    shared = F.when(~mixed, F.concat_ws(" ", text("shared_make"), text("shared_model")))
+    changed = F.col("device").isNotNull() & ~F.col("device").eqNullSafe(shared)
+    split = split_device(F.col("device"))
+    new = F.when(changed & (F.col("device") != ""), split)
+    at = parse_pair(F.col("position"))
+    given = F.trim(F.coalesce("position", F.lit(""))) != ""
+    return forms.where(~given | at.isNotNull()).select(
+        "path",
+        *[text(c).alias(c) for c in ("date_taken", "description", "artist", "copyright")],
+        F.nullif(new["make"], F.lit("")).alias("make"),
+        F.nullif(new["model"], F.lit("")).alias("model"),
+        (changed & (F.col("device") == "")).alias("delete_device"),
+        F.when(given, at["latitude"]).alias("gps_latitude"),
+        F.when(given, at["longitude"]).alias("gps_longitude"),
+    )

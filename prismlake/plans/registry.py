@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import dates, paths, values
 from prismlake.operators import caching, duplicates, retention, views
-from prismlake.plans import organize
+from prismlake.plans import metadata, organize
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,13 +41,15 @@ select event_id as ord, concat('/in/u', cast(user_id % 7 as string), '/', case
     when event_id % 7 = 1 then concat('Shot ', {dashed}, '.png')
     when event_id % 7 = 2 then concat({short}, '.jpeg')
     when event_id % 7 = 3 then concat('IMG-', {day}, '-WA', lpad(cast(event_id % 10000 as string), 4, '0'), '.jpg')
-    when event_id % 7 = 4 then 'x20210230_121212.mp4'
+    when event_id % 7 = 4 then concat('x20210230_121212 ', cast(event_id as string), '.mp4')
     when event_id % 7 = 5 then concat('IMG_', {day}, '_x', cast(event_id as string), '.mov')
     else concat('photo ', cast(event_id as string), '.heic') end) as path,
-  case when event_id % 11 = 0 then {exif} when event_id % 11 = 1 then '0000:00:00 00:00:00' end as original,
-  case when event_id % 13 = 0 then '2025:02:30 10:00:00' end as created, cast(null as string) as modified_tag,
-  case when event_id % 5 = 0 then 'Pixel 7' end as model, cast(null as string) as product,
-  case when event_id % 5 = 1 then 'sm:a/1' end as android
+  case when event_id % 11 = 0 then {exif} when event_id % 11 = 1 then '0000:00:00 00:00:00' when event_id % 11 = 2 then concat({exif}, '+02:00') when event_id % 11 = 3 then concat({exif}, '-05:00') end as original,
+  case when event_id % 13 = 0 then '2025:02:30 10:00:00' when event_id % 13 = 1 then '2015-03-04T05:06:07' when event_id % 13 = 2 then '2015-03-04T05:06:07.5' end as created,
+  case when event_id % 22 = 0 then '2016:01:02 03:04:05Z' end as media_created,
+  case when event_id % 17 = 0 then '1850:01:02 03:04:05+01:00' end as file_modified,
+  case when event_id % 5 = 0 then ' Pixel 7 ' when event_id % 5 = 2 then ' ' end as model, case when event_id % 10 = 0 then 'Make' end as make,
+  case when event_id % 15 = 2 then 'Prod' end as product, case when event_id % 5 = 1 then 'sm:a/1' end as android
 from events"""
 SPARK_FORMATS = {k: f"date_format(ts, '{v}')" for k, v in {"compact": "yyyyMMdd_HHmmss", "dashed": "yyyy-MM-dd-HH-mm-ss", "short": "yyyyMMdd_HHmm", "day": "yyyyMMdd", "exif": "yyyy:MM:dd HH:mm:ss"}.items()}
 DUCK_FORMATS = {k: f"strftime(ts, '{v}')" for k, v in {"compact": "%Y%m%d_%H%M%S", "dashed": "%Y-%m-%d-%H-%M-%S", "short": "%Y%m%d_%H%M", "day": "%Y%m%d", "exif": "%Y:%m:%d %H:%M:%S"}.items()}
@@ -145,20 +147,34 @@ def g8_prune_and_reelect(spark, sf_dir):
     return retention.prune_deleted(members, members.where("asset_id % 3 = 0")).select("group_id", "asset_id", "is_original")
 
 
-PAIRS = """
-select a.vec_id as a, b.vec_id as b, len(list_filter(range(1, 65), lambda i: (a.embedding[i] > 0) <> (b.embedding[i] > 0)))::int as distance
-from embeddings a join embeddings b on a.vec_id < b.vec_id"""
+# Vectors of equal signs are one class, named by its least member.
+SIGNS = "with s as (select min(vec_id) as rep, sign from (select vec_id, list_transform(range(1, 65), lambda i: coalesce({0}, false)) as sign from embeddings) group by sign)"
+PAIRS = "select * from (select a.rep as a, b.rep as b, len(list_filter(range(1, 65), lambda i: a.sign[i] <> b.sign[i]))::int as distance from s a join s b on a.rep < b.rep) where distance <= "
 
 
-@query(f"select * from ({PAIRS}) where distance <= 16")
+@query(f"{SIGNS.format('embedding[i] > 0')} {PAIRS} 16")
 def j4_hamming_pairs(spark, sf_dir):
     return duplicates.similar_pairs(hashes(spark, sf_dir), 16)
 
 
-@query(f"with h as (select vec_id, embedding[1:32] as e from embeddings), p as (select a.vec_id as a, b.vec_id as b, len(list_filter(range(1, 33), lambda i: (a.e[i] > 0) <> (b.e[i] > 0)))::int as distance from h a join h b on a.vec_id < b.vec_id) select * from p where distance <= 3")
-def j4_banded_pairs(spark, sf_dir):
-    low = hashes(spark, sf_dir).withColumn("phash", F.col("phash").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return duplicates.similar_pairs(low, 3)
+# Signs of eight neighbours each, so that many are near and some are equal.
+BLURRED = "list_sum(embedding[(i - 1) // 8 * 8 + 1:(i - 1) // 8 * 8 + 8]) > 0"
+
+
+def blurred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(F.slice("embedding", (F.floor(i / 8) * 8 + 1).cast("int"), 8), F.lit(0.0), lambda x, y: x + y))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), values.sign_hash(sums).alias("phash"))
+
+
+@query(f"{SIGNS.format(BLURRED)} {PAIRS} 8")
+def j4_near_classes(spark, sf_dir):
+    return duplicates.similar_pairs(blurred(spark, sf_dir), 8)
+
+
+@query(f"with s as (select vec_id, list_transform(range(1, 65), lambda i: coalesce({BLURRED}, false)) as sign from embeddings) select vec_id as asset_id, min(vec_id) over (partition by sign) as rep, count(*) over (partition by sign) as n from s")
+def j4_hash_classes(spark, sf_dir):
+    rows = blurred(spark, sf_dir)
+    return rows.join(duplicates.hash_classes(rows), "phash").select("asset_id", "rep", "n")
 
 
 @query()
@@ -166,22 +182,43 @@ def g2_similar_clusters(spark, sf_dir):
     return duplicates.similar_groups(hashes(spark, sf_dir), 20)
 
 
+@query()
+def g2_near_clusters(spark, sf_dir):
+    return duplicates.similar_groups(blurred(spark, sf_dir), 8)
+
+
 @query("with t as (select event_id, strftime(ts, '%Y%m%d_%H%M%S') as tag from events) select min(event_id) over (partition by tag) as group_id, event_id as asset_id, 'sameDate' as kind from t qualify count(*) over (partition by tag) >= 2")
 def g3_same_timestamp(spark, sf_dir):
     tags = table(spark, sf_dir, "events").select(F.col("event_id").alias("asset_id"), F.date_format("ts", "yyyyMMdd_HHmmss").alias("ts_tag"), F.lit(None).cast("long").alias("phash"))
     return duplicates.same_time_groups(tags).select("group_id", "asset_id", "kind")
 
 
+def tagged_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets with a tag for every two, and hashes that are the same, near, far or missing."""
+    tag = F.concat(F.lit("20210828_"), F.lpad(F.floor(F.col("asset_id") / 2).cast("string"), 6, "0"))
+    return blurred(spark, sf_dir).select("asset_id", tag.alias("ts_tag"), F.when(F.col("asset_id") % 11 > 0, F.col("phash")).alias("phash"))
+
+
+@query(
+    f"""with s as (select vec_id, vec_id // 2 as tag, case when vec_id % 11 > 0 then list_transform(range(1, 65), lambda i: coalesce({BLURRED}, false)) end as sign from embeddings),
+g as (select tag, min(vec_id) as group_id, count(*) as n, count(sign) as hashed from s group by 1 having count(*) >= 2),
+p as (select a.tag, max(len(list_filter(range(1, 65), lambda i: a.sign[i] <> b.sign[i]))) as most from s a join s b on a.tag = b.tag and a.vec_id < b.vec_id group by 1)
+select group_id, vec_id as asset_id, case when n = hashed and most <= 16 then round((64 - most) / 64.0 * 100)::int end as similarity from g join p using (tag) join s using (tag)"""
+)
+def g3_similar_timestamps(spark, sf_dir):
+    return duplicates.same_time_groups(tagged_hashes(spark, sf_dir)).select("group_id", "asset_id", "similarity")
+
+
 @query()
 def g4_cross_groups(spark, sf_dir):
-    h = hashes(spark, sf_dir).withColumn("ts_tag", F.concat(F.lit("20210828_13"), F.lpad((F.col("asset_id") % 50).cast("string"), 4, "0")))
-    return duplicates.cross_groups(duplicates.same_time_groups(h), h, 20)
+    h = tagged_hashes(spark, sf_dir)
+    return duplicates.cross_groups(duplicates.same_time_groups(h), h)
 
 
 @query()
 def find_duplicates(spark, sf_dir):
     found = assets(spark, sf_dir).join(hashes(spark, sf_dir), "asset_id", "left")
-    return duplicates.find_duplicates(found, 16).select("group_id", "kind", "similarity", "asset_id", "is_original")
+    return duplicates.find_duplicates(found).select("group_id", "kind", "similarity", "asset_id", "is_original", "place", "group_place")
 
 
 @query(rf"select page_id, {NAME.replace('path', 'url')} as name, regexp_extract(url, '^(.*)[/\\][^/\\]*$', 1) as folder, lower(regexp_extract(url, '([^.]*)$', 1)) as ext, {STEM.replace('path', 'url')} as stem from pages")
@@ -190,7 +227,7 @@ def t1_paths(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", paths.file_name(u).alias("name"), paths.folder_path(u).alias("folder"), paths.display_extension(u).alias("ext"), paths.stem(u).alias("stem"))
 
 
-@query("select doc_id, case when n_chars < 1024 then concat(n_chars, ' B') when n_chars < 1048576 then concat((n_chars * 20 + 1024) // 2048 // 10, '.', (n_chars * 20 + 1024) // 2048 % 10, ' KB') else concat((n_chars * 20 + 1048576) // 2097152 // 10, '.', (n_chars * 20 + 1048576) // 2097152 % 10, ' MB') end as size_text, case when n_chars * 97 < 500 then null when round(n_chars * 97 / 1000.0) < 60 then concat(round(n_chars * 97 / 1000.0)::bigint, 's') when round(n_chars * 97 / 1000.0) < 3600 then concat(round(n_chars * 97 / 1000.0)::bigint // 60, 'm ', round(n_chars * 97 / 1000.0)::bigint % 60, 's') else concat(round(n_chars * 97 / 1000.0)::bigint // 3600, 'h ', round(n_chars * 97 / 1000.0)::bigint % 3600 // 60, 'm') end as duration_text from documents")
+@query("select doc_id, case when n_chars < 1024 then concat(n_chars, ' B') when n_chars < 1048576 then concat((n_chars * 20 + 1024) // 2048 // 10, '.', (n_chars * 20 + 1024) // 2048 % 10, ' KB') else concat((n_chars * 20 + 1048576) // 2097152 // 10, '.', (n_chars * 20 + 1048576) // 2097152 % 10, ' MB') end as size_text, case when n_chars * 97 < 500 then null when round(n_chars * 97 / 1000.0) < 60 then concat(round(n_chars * 97 / 1000.0)::bigint, 's') when round(n_chars * 97 / 1000.0) < 3600 then concat(round(n_chars * 97 / 1000.0)::bigint // 60, 'm', case when round(n_chars * 97 / 1000.0)::bigint % 60 > 0 then concat(' ', round(n_chars * 97 / 1000.0)::bigint % 60, 's') else '' end) else concat(round(n_chars * 97 / 1000.0)::bigint // 3600, 'h', case when round(n_chars * 97 / 1000.0)::bigint % 3600 // 60 > 0 then concat(' ', round(n_chars * 97 / 1000.0)::bigint % 3600 // 60, 'm') else '' end) end as duration_text from documents")
 def t4_formats(spark, sf_dir):
     n = F.col("n_chars")
     return table(spark, sf_dir, "documents").select("doc_id", paths.format_size(n).alias("size_text"), dates.format_duration(n * 97).alias("duration_text"))
@@ -219,16 +256,20 @@ def d7_filename_dates(spark, sf_dir):
     return files(spark, sf_dir).select("ord", dates.dashed_datetime(n).alias("dashed"), dates.compact_datetime(n).alias("compact"), dates.compact_without_seconds(n).alias("short"), dates.img_date_key(n).alias("img_key"), dates.messenger_date_key(n).alias("wa_key"))
 
 
-CONFIG = organize.OrganizerConfig(override_year=True, device_aliases={"Pixel 7": "Phone"})
-DATED = f"""{WITH_FILES} named as (select *, {NAME} as n, strftime(try_strptime(original, '%Y:%m:%d %H:%M:%S'), '%Y:%m:%d %H:%M:%S') as exif from files),
-found as (select *, coalesce({D7}, {D8}, {D9}) as own, {KEYS} from named),
-keyed as (select *, case when exif is null and own is null then coalesce(img_key, wa_key) end as k from found),
+CONFIG = organize.OrganizerConfig(override_year=True, device_aliases={"Make Pixel 7": "Phone", "MAKE": "Other"})
+# The reference's order: tags (cut at + or Z, or plain ISO), the file's own time, full dates in names; then names without seconds, then day keys.
+TAG = """case when not starts_with(trim({0}), '0000') then coalesce(
+  strftime(try_strptime(case when regexp_full_match(trim(regexp_extract(trim({0}), '^([^+Z]*)', 1)), '[0-9]{{4}}:[0-9]{{1,2}}:[0-9]{{1,2}} [0-9]{{1,2}}:[0-9]{{1,2}}:[0-9]{{1,2}}') then trim(regexp_extract(trim({0}), '^([^+Z]*)', 1)) end, '%Y:%m:%d %H:%M:%S'), '%Y:%m:%d %H:%M:%S'),
+  strftime(try_strptime(case when regexp_full_match(trim({0}), '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}T[0-9]{{1,2}}:[0-9]{{1,2}}:[0-9]{{1,2}}') then trim({0}) end, '%Y-%m-%dT%H:%M:%S'), '%Y:%m:%d %H:%M:%S')) end"""
+DATED = f"""{WITH_FILES} named as (select *, {NAME} as n, {TAG.format('original')} as t1, {TAG.format('created')} as t2, {TAG.format('media_created')} as t3, strftime(try_strptime(file_modified[1:19], '%Y:%m:%d %H:%M:%S'), '%Y:%m:%d %H:%M:%S') as modify from files),
+found as (select *, list_min(list_filter([t1, t2, t3], lambda t: t is not null and t[1:4]::int between 1900 and 2100)) as exif, coalesce({D7}, {D8}) as own, {D9} as short, {KEYS} from named),
+keyed as (select *, case when coalesce(FIRST, short) is null then coalesce(img_key, wa_key) end as k from found),
 counted as (select *, (row_number() over (partition by k order by ord) - 1) % 1440 as m from keyed),
-dated as (select *, case when exif is not null then 'exif' when own is not null then 'filename' when k is not null then 'key' else 'fallback' end as date_source,
-  coalesce(exif, own, concat(k[1:4], ':', k[5:6], ':', k[7:8], ' ', lpad((m // 60)::varchar, 2, '0'), ':', lpad((m % 60)::varchar, 2, '0'), ':00'), '2024:01:01 00:00:00') as d from counted),
+dated as (select *, SOURCE as date_source,
+  coalesce(FIRST, short, case when k is not null then concat(k[1:4], ':', k[5:6], ':', k[7:8], ' ', lpad((m // 60)::varchar, 2, '0'), ':', lpad((m % 60)::varchar, 2, '0'), ':00') end, '2024:01:01 00:00:00') as d from counted),
 final as (select * replace (case when d like '2025%' then concat('2024', d[5:]) else d end as d) from dated)"""
-# concat skips nulls in DuckDB, so the key's date is guarded.
-DATED = DATED.replace("concat(k[1:4]", "case when k is not null then concat(k[1:4]").replace("':00'), '2024", "':00') end, '2024")
+BY_NAME = DATED.replace("FIRST", "own, exif, modify").replace("SOURCE", "case when own is not null then 'filename' when exif is not null then 'exif' when modify is not null then 'modify' when short is not null or k is not null then 'filename' else 'fallback' end")
+DATED = DATED.replace("FIRST", "exif, modify, own").replace("SOURCE", "case when exif is not null then 'exif' when modify is not null then 'modify' when own is not null or short is not null or k is not null then 'filename' else 'fallback' end")
 
 
 @query(f"{DATED} select ord, d as date_used, date_source from final")
@@ -236,13 +277,19 @@ def d13_best_dates(spark, sf_dir):
     return organize.resolve_dates(files(spark, sf_dir), CONFIG).select("ord", "date_used", "date_source")
 
 
+@query(f"{BY_NAME} select ord, d as date_used, date_source from final")
+def d13_best_dates_by_name(spark, sf_dir):
+    config = organize.OrganizerConfig(date_priority="filename", override_year=True)
+    return organize.resolve_dates(files(spark, sf_dir), config).select("ord", "date_used", "date_source")
+
+
 @query(
     f"""{DATED}, told as (select *, case when regexp_matches(lower(path), '[.](mp4|mov)$') then 'video' else 'image' end as file_kind,
-  coalesce(upper(coalesce(model, android)), case when contains(upper(n), '-WA') or contains(upper(n), 'WA-') then 'WHATSAPP' else 'DESCONOCIDO' end) as raw,
-  row_number() over (order by ord) - 1 as uid from final),
-placed as (select *, case when lower(raw) = 'pixel 7' then 'Phone' else raw end as device,
+  coalesce(upper(coalesce(nullif(trim(model), ''), nullif(trim(product), ''), nullif(trim(android), ''))), case when contains(upper(n), '-WA') or contains(upper(n), 'WA-') then 'WHATSAPP' else 'DESCONOCIDO' end) as raw,
+  lower(concat_ws(' ', nullif(trim(make), ''), nullif(trim(model), ''))) as wanted, row_number() over (order by ord) - 1 as uid from final),
+placed as (select *, case wanted when 'make pixel 7' then 'Phone' when 'make' then 'Other' else raw end as device,
   concat(case when file_kind = 'video' then 'VID' else 'IMG' end, '_', replace(d[1:10], ':', ''), '_', replace(d[12:19], ':', ''), '_', lpad(upper(hex(uid)), greatest(4, length(hex(uid)))::int, '0'), '.', replace(lower(regexp_extract(n, '[.]([^.]*)$', 1)), 'jpeg', 'jpg')) as new_filename from told)
-select ord, path as original_path, new_filename, concat('/out/', d[1:4], '/', array_to_string(list_filter(string_split(upper(translate(device, '\\:*?"<>|', '________')), '/'), lambda x: trim(x) <> ''), '/'), '/', d[6:7], ' - ', (['ENERO','FEBRERO','MARZO','ABRIL','MAYO','JUNIO','JULIO','AGOSTO','SEPTIEMBRE','OCTUBRE','NOVIEMBRE','DICIEMBRE'])[d[6:7]::int], '/', new_filename) as new_path, d as date_used, date_source, device, file_kind from placed"""
+select ord, path as original_path, new_filename, concat('/out/', d[1:4], '/', array_to_string(list_filter(list_transform(string_split(upper(translate(device, '\\:*?"<>|', '________')), '/'), lambda x: trim(x)), lambda x: x <> ''), '/'), '/', d[6:7], ' - ', (['ENERO','FEBRERO','MARZO','ABRIL','MAYO','JUNIO','JULIO','AGOSTO','SEPTIEMBRE','OCTUBRE','NOVIEMBRE','DICIEMBRE'])[d[6:7]::int], '/', new_filename) as new_path, d as date_used, date_source, device, file_kind from placed"""
 )
 def o_organize_plan(spark, sf_dir):
     return organize.plan_organize(files(spark, sf_dir), CONFIG)
@@ -253,7 +300,7 @@ def g11_media_counts(spark, sf_dir):
     return organize.media_counts(files(spark, sf_dir))
 
 
-@query(f"{DATED} select path, unnest(['DateTimeOriginal', 'CreateDate', 'ModifyDate']) as tag, d as value from final")
+@query(f"{DATED} select path, unnest(['DateTimeOriginal', 'CreateDate', 'DateTimeDigitized']) as tag, d as value from final")
 def k9_date_rewrite(spark, sf_dir):
     return organize.plan_date_rewrite(organize.resolve_dates(files(spark, sf_dir), CONFIG))
 
@@ -286,10 +333,14 @@ def m12_positions(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", lat.alias("latitude"), values.position_ref(lat, "N", "S").alias("ref"), values.degrees_text(lat, "N", "S").alias("dms"), values.valid_position(lat, F.lit(0.0)).alias("valid"))
 
 
-@query("select p.lat_cell, p.lon_cell, count(*) as n, min(c_custkey) as first_key from (select c_custkey, round(c_acctbal)::int as lat_cell, round(c_nationkey * 100)::int as lon_cell from customer) p group by 1, 2")
+# printf rounds a double's exact value; only exact halves, here eighths, it rounds to even.
+CELL = "case when abs({0}) * 8 = floor(abs({0}) * 8) then floor(abs({0}) * 100 + 0.5) else replace(printf('%.2f', abs({0})), '.', '')::bigint end::int"
+
+
+@query(f"with c as (select c_custkey, c_acctbal / 100 as lat, c_nationkey / 8.0 as lon from customer where c_custkey % 2 = 0), k as (select c_custkey, {CELL.format('lat')} as a, lat < 0 as below, {CELL.format('lon')} as lon_cell from c) select case when below then -a else a end as lat_cell, lon_cell, concat(case when below then '-' else '' end, a // 100, '.', lpad((a % 100)::varchar, 2, '0'), ',', lon_cell // 100, '.', lpad((lon_cell % 100)::varchar, 2, '0')) as geo_cell, count(*) as n, min(c_custkey) as first_key from k group by all")
 def g15_geo_cells(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.inline(F.array(values.geo_cell(F.round("c_acctbal") / 100, F.col("c_nationkey").cast("double")))))
-    return c.groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_key"))
+    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.inline(F.array(values.geo_cell(F.col("c_acctbal") / 100, F.col("c_nationkey") / F.lit(8.0)))))
+    return c.groupBy("lat_cell", "lon_cell", "geo_cell").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_key"))
 
 
 @query("select l_orderkey, case when count(distinct l_returnflag) = 1 then min(l_returnflag) else '__mixed__' end as l_returnflag, case when count(distinct l_linestatus) = 1 then min(l_linestatus) else '__mixed__' end as l_linestatus, case when count(distinct l_linenumber) = 1 then min(l_linenumber)::varchar else '__mixed__' end as l_linenumber from lineitem group by 1")
@@ -297,9 +348,10 @@ def g13_mixed_values(spark, sf_dir):
     return views.common_values(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
-@query(f"{WITH} g as (select device, count(gps_latitude) as n, count(*) as t, min(gps_latitude) as lo, max(gps_latitude) as hi from assets group by 1) select device, case when n = 0 then 'none' when n < t then 'some' when lo = hi then 'equal' else 'mixed' end as state from g")
+@query(f"{WITH} g as (select device, asset_id % 360 as o, count(gps_latitude) as n, count(*) as t, count(distinct (gps_latitude, gps_longitude)) filter (gps_latitude is not null) as places, min(gps_latitude) as lat, min(gps_longitude) as lon from assets group by 1, 2) select device, o, case when n = 0 then 'none' when n < t then 'some' when places = 1 then 'equal' else 'mixed' end as state, (n > 0 and n < t) or (n = t and places > 1) as mixed, case when n = t and places = 1 then lat end as latitude, case when n = t and places = 1 then lon end as longitude from g")
 def g14_position_state(spark, sf_dir):
-    return assets(spark, sf_dir).groupBy("device").agg(values.position_state(F.col("gps_latitude")).alias("state"))
+    lat, lon = F.col("gps_latitude"), F.col("gps_longitude")
+    return assets(spark, sf_dir).groupBy("device", (F.col("asset_id") % 360).alias("o")).agg(values.position_state(lat, lon).alias("state"), values.shared_position(lat, lon).alias("p")).select("device", "o", "state", "p.*")
 
 
 @query(f"{WITH} f as (select * from assets where contains(lower({NAME}), 'photo') and substr(coalesce(date_taken, modified), 1, 10) between '2012-01-01' and '2020-12-31' and coalesce(device, '') = 'Cam 1') select asset_id, location from f where location is not null")
@@ -314,7 +366,7 @@ def f3_filter_groups(spark, sf_dir):
     return views.with_name(views.with_extension(members, "jpg"), "PXL").select("group_id", "asset_id")
 
 
-@query(f"{GROUPS}, first as ({ELECTED.format(order=RESOLUTION, source='members').replace('select ', 'select path, ord, ', 1)}) select group_id, asset_id, row_number() over (partition by group_id order by is_original desc, {NAME}, ord)::int as place from first")
+@query(f"{GROUPS}, first as ({ELECTED.format(order=RESOLUTION, source='members').replace('select ', 'select path, ord, modified, ', 1)}) select group_id, asset_id, row_number() over (partition by group_id order by is_original desc, case when not is_original then {NAME} end collate nocase.noaccent, modified, ord)::int as place from first")
 def w7_original_first(spark, sf_dir):
     return views.original_first(elected(spark, sf_dir)).select("group_id", "asset_id", "place")
 
@@ -332,18 +384,42 @@ def g9_kind_counts(spark, sf_dir):
     return views.kind_counts(_kinds(spark, sf_dir))
 
 
-@query(f"select group_id, row_number() over (order by case when kind = 'exact' then 0 when kind = 'similar' then 1 when similarity is not null then 2 else 3 end, case when kind = 'similar' or (kind = 'sameDate' and similarity is not null) then similarity end desc nulls last, group_id) as place from ({KINDS}) order by place limit 100")
+KIND_RANK = "case when kind = 'exact' then 0 when kind = 'similar' then 1 when similarity is not null then 2 else 3 end"
+CLOSEST = "case when kind = 'similar' or (kind = 'sameDate' and similarity is not null) then similarity end desc nulls last"
+
+
+@query(f"select group_id, row_number() over (order by {KIND_RANK}, {CLOSEST}, group_id) as place from ({KINDS})")
 def o4_order_groups(spark, sf_dir):
-    from pyspark.sql import Window
+    return views.order_groups(_kinds(spark, sf_dir)).select("group_id", "place")
+
+
+@query(f"select group_id, row_number() over (order by {KIND_RANK} desc, {CLOSEST}, group_id) as place from ({KINDS})")
+def o4_order_groups_descending(spark, sf_dir):
+    return views.order_groups(_kinds(spark, sf_dir), descending=True).select("group_id", "place")
+
+
+def _order_query(name: str, order: str, run) -> None:
+    run.__name__ = name
+    query(f"{WITH} o as (select asset_id, row_number() over (order by {order}) as place from assets) select asset_id, place from o")(run)
+
+
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets(spark, sf_dir).select(F.col("asset_id").alias("group_id"), F.lit("exact").alias("kind"), F.lit(100).alias("similarity"), paths.file_name(F.col("path")).alias("title"), F.coalesce("date_taken", "modified").alias("date"))
 
-    ordered = views.order_groups(_kinds(spark, sf_dir)).limit(100)
-    key = F.desc_nulls_last(F.when(views.kind_rank().isin(1, 2), F.col("similarity")))
-    return ordered.select("group_id", F.row_number().over(Window.orderBy(views.kind_rank(), key, "group_id")).cast("long").alias("place"))
 
+_order_query("o5_groups_by_title", f"lower({NAME}) desc, asset_id", lambda spark, sf_dir: views.order_groups(_titled(spark, sf_dir), "title", True).select(F.col("group_id").alias("asset_id"), "place"))
+_order_query("o5_groups_by_date", "coalesce(date_taken, modified), asset_id", lambda spark, sf_dir: views.order_groups(_titled(spark, sf_dir), "date").select(F.col("group_id").alias("asset_id"), "place"))
+_order_query("o6_assets_by_date", "coalesce(date_taken, modified) desc, path", lambda spark, sf_dir: views.order_assets(assets(spark, sf_dir), "date", True).select("asset_id", "place"))
+# Names are `Town 0` to `Town 5` and `Cam 0` to `Cam 2`, whose last digit is their number.
+_order_query("o6_assets_by_location", "case when gps_latitude is not null and location is null then 0 when location is not null then 1 else 3 end, location[6:]::int, path", lambda spark, sf_dir: views.order_assets(assets(spark, sf_dir), "location").select("asset_id", "place"))
+_order_query("o6_assets_by_device", "device is null, device[5:]::int desc, path", lambda spark, sf_dir: views.order_assets(assets(spark, sf_dir), "device", True).select("asset_id", "place"))
+_order_query("o8_media_order", f"lower({NAME}), path", lambda spark, sf_dir: organize.media_order(assets(spark, sf_dir)).select("asset_id", "place"))
+_order_query("o7_organizer_by_date", f"coalesce(date_taken, '') desc, lower({NAME}) desc, path", lambda spark, sf_dir: organize.organizer_order(assets(spark, sf_dir), "date", True).select("asset_id", "place"))
 
-@query(f"select group_id, row_number() over (order by case when kind = 'exact' then 0 when kind = 'similar' then 1 when similarity is not null then 2 else 3 end, case when kind = 'similar' or (kind = 'sameDate' and similarity is not null) then similarity end desc nulls last, group_id) as place from ({KINDS})")
-def o4_order_all_groups(spark, sf_dir):
-    return views.group_places(_kinds(spark, sf_dir)).select("group_id", F.col("place").cast("long").alias("place"))
+
+@query(f"{WITH_FILES} o as (select ord, row_number() over (order by case when regexp_matches(lower(path), '[.](mp4|mov)$') then 'video' else 'image' end, lower({NAME}), path) as place from files) select ord, place from o")
+def o7_organizer_by_type(spark, sf_dir):
+    return organize.organizer_order(files(spark, sf_dir).withColumn("date_taken", F.lit(None).cast("string")), "type").select("ord", "place")
 
 
 def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,13 +443,13 @@ def o1_path_order(spark, sf_dir):
     return duplicates.number_assets(assets(spark, sf_dir).withColumnRenamed("asset_id", "id")).select(F.col("id").alias("asset_id"), F.col("asset_id").alias("place"))
 
 
-CACHE = "select doc_id, case when doc_id % 10 > 0 then n_chars else n_chars + 1 end as size, case when doc_id % 4 > 0 then md5(substr(text, 1, 100)) end as header, cast(doc_id % 9 as string) as mtime from documents where doc_id % 5 > 0"
+CACHE = "select doc_id, case when doc_id % 10 > 0 then n_chars else n_chars + 1 end as size, case when doc_id % 4 > 0 then md5(substr(text, 1, 4096)) end as header, cast(doc_id % 9 as string) as mtime from documents where doc_id % 5 > 0"
 
 
-@query(f"with cache as ({CACHE}), m as (select d.doc_id, coalesce(c.size = d.n_chars and case when c.header is not null then c.header = md5(substr(d.text, 1, 100)) else c.mtime = cast(d.doc_id % 8 as string) end, false) as hit from documents d left join cache c using (doc_id)) select count(*) filter (hit) as hits, count(*) filter (not hit) as misses, round(count(*) filter (hit) * 100 / count(*))::int as hit_percent from m")
+@query(f"with cache as ({CACHE}), m as (select d.doc_id, coalesce(c.size = d.n_chars and case when c.header is not null then c.header = md5(substr(d.text, 1, 4096)) else c.mtime = cast(d.doc_id % 8 as string) end and (c.doc_id % 7 > 1 or c.doc_id % 7 = 0), false) as hit from documents d left join cache c using (doc_id)) select count(*) filter (hit) as hits, count(*) filter (not hit) as misses, round(count(*) filter (hit) * 100 / count(*))::int as hit_percent from m")
 def j1_cache_hits(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    header = F.md5(F.substring("text", 1, 100))
+    header = F.md5(F.substring("text", 1, 4096))
     now = docs.select(F.col("doc_id").cast("string").alias("cache_key"), F.col("n_chars").alias("size_bytes"), header.alias("header_hash"), (F.col("doc_id") % 8).cast("string").alias("mtime"))
     cached = docs.where("doc_id % 5 > 0").select(
         F.col("doc_id").cast("string").alias("cache_key"),
@@ -381,8 +457,9 @@ def j1_cache_hits(spark, sf_dir):
         F.when(F.col("doc_id") % 4 > 0, header).alias("header_hash"),
         (F.col("doc_id") % 9).cast("string").alias("mtime"),
         F.md5("text").alias("content_hash"),
-        F.lit("0").alias("phash"),
-        F.lit(None).cast("string").alias("fast_phash"),
+        F.when(F.col("doc_id") % 7 > 1, F.lit("0")).alias("phash"),
+        # Where only the other mode's hash is there, a row does not serve; where neither is, it does.
+        F.when(F.col("doc_id") % 7 == 1, F.lit("1")).alias("fast_phash"),
     )
     return caching.hit_stats(caching.match_cache(now, cached))
 
@@ -394,16 +471,26 @@ def k1_upsert_and_evict(spark, sf_dir):
     return caching.upsert(old, docs.where("cache_key % 3 = 0").withColumn("size_bytes", F.col("size_bytes") + 7))
 
 
-@query("select source, md5(string_agg(md5(concat_ws('|', doc_id::varchar, n_chars::varchar)), '' order by doc_id)) as fingerprint from documents group by 1")
+@query("with l as (select source, md5(concat_ws('|', doc_id::varchar, n_chars::varchar)) as line from documents), p as (select source, line[1:3] as part, md5(string_agg(line, '' order by line)) as digest from l group by 1, 2) select source, md5(string_agg(digest, '' order by part)) as fingerprint from p group by 1")
 def g18_fingerprint(spark, sf_dir):
     return caching.fingerprint(table(spark, sf_dir, "documents"), ["doc_id", "n_chars"], ["source"])
 
 
-@query("with h as (select o_custkey as key, o_orderkey as id, o_orderdate as t from orders union all select 7, -1, timestamp '2100-01-01'), l as (select key, first(id order by t, id) as id, max(t) as t from h group by 1) select key, id from l order by t desc, key limit 5")
+HISTORY = """select o_custkey as key, min(o_orderkey) as id, max(o_orderdate) as "at", case when o_custkey % 2 = 0 then max(o_orderkey) end as duration, count(*) as n from orders group by 1"""
+
+
+@query(
+    f"""with h as ({HISTORY}), top as (select key from h order by "at" desc, key limit 3), e as (select max(key) as key from top union all select -1),
+n as (select e.key, coalesce(h.id, 0) as id, coalesce(h."at", timestamp '2100-01-01') as "at", coalesce(h.duration, 9) as duration, 99 as n from e left join h using (key))
+select * from (from n union all by name select * from h where key not in (select key from e)) order by "at" desc, key limit 5"""
+)
 def k11_recent_history(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
-    entry = spark.range(1).select(F.lit(7).cast("long").alias("key"), F.lit(-1).cast("long").alias("id"), F.lit("2100-01-01 00:00:00").cast(o.schema["at"].dataType).alias("at"))
-    return caching.recent(o, entry).select("key", "id")
+    o = table(spark, sf_dir, "orders")
+    history = o.groupBy(F.col("o_custkey").alias("key")).agg(F.min("o_orderkey").alias("id"), F.max("o_orderdate").alias("at"), F.max(F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderkey"))).alias("duration"), F.count("*").alias("n"))
+    known = history.orderBy(F.desc("at"), "key").limit(3).agg(F.max("key").alias("key"))
+    new = F.lit("2100-01-01 00:00:00").cast(history.schema["at"].dataType)
+    entry = known.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("key"))).select("key", F.lit(0).cast("long").alias("id"), new.alias("at"), F.lit(9).cast("long").alias("duration"), F.lit(99).cast("long").alias("n"))
+    return caching.recent(history, entry)
 
 
 @query("select c_custkey, case when c_custkey % 3 = 0 then concat('new ', c_custkey) else c_name end as c_name from customer")
@@ -413,9 +500,19 @@ def k12_patch(spark, sf_dir):
     return caching.patch(c, new, "c_custkey", ["c_name"])
 
 
-@query(f"{WITH} u as (select path, date_taken, case when asset_id % 2 = 0 then 'Ann' end as artist, gps_latitude, gps_longitude from assets) select path, tag, value from (select path, unnest(['DateTimeOriginal', 'CreateDate', 'Artist', 'XMP:Creator', 'GPSLatitude', 'GPSLatitudeRef', 'GPSLongitude', 'GPSLongitudeRef']) as tag, unnest([date_taken, date_taken, artist, artist, printf('%.8f', abs(gps_latitude)), case when gps_latitude >= 0 then 'N' when gps_latitude < 0 then 'S' end, printf('%.8f', abs(gps_longitude)), case when gps_longitude >= 0 then 'E' when gps_longitude < 0 then 'W' end]) as value from u) where value is not null")
+DEVICE_TAGS = ", ".join(f"'{group}:{tag}'" for group in ("All", "IFD0", "IFD1", "EXIF", "XMP", "XMP-tiff", "UserData", "Keys") for tag in ("Make", "Model"))
+
+
+@query(
+    f"""{WITH} u as (select path, strftime(try_strptime(date_taken, '%Y-%m-%dT%H:%M:%SZ'), '%Y:%m:%d %H:%M:%S') as taken, case when asset_id % 2 = 0 then 'Ann' end as artist, gps_latitude as lat, gps_longitude as lon, case when asset_id % 3 > 0 then 'Mk' end as make, asset_id % 5 = 0 as gone from assets),
+t as (select path, unnest(['DateTimeOriginal', 'CreateDate', 'Artist', 'XMP:Creator', 'Make', 'GPSLatitude', 'GPSLatitudeRef', 'GPSLongitude', 'GPSLongitudeRef']) as tag,
+  unnest([taken, taken, artist, artist, case when not gone then make end, printf('%.8f', lat), case when lat >= 0 then 'N' when lat < 0 then 'S' end, printf('%.8f', lon), case when lon >= 0 then 'E' when lon < 0 then 'W' end]) as value from u
+  union all select path, unnest([{DEVICE_TAGS}]), '' from u where gone)
+select path, tag, value from t where value is not null"""
+)
 def k7_metadata_tags(spark, sf_dir):
-    u = assets(spark, sf_dir).select("path", "date_taken", F.when(F.col("asset_id") % 2 == 0, "Ann").alias("artist"), "gps_latitude", "gps_longitude")
+    i = F.col("asset_id")
+    u = assets(spark, sf_dir).select("path", "date_taken", F.when(i % 2 == 0, "Ann").alias("artist"), "gps_latitude", "gps_longitude", F.when(i % 3 > 0, "Mk").alias("make"), (i % 5 == 0).alias("delete_device"))
     return organize.metadata_tags(u)
 
 
@@ -449,12 +546,210 @@ def m6_laplacian(spark, sf_dir):
 
 
 @query(f"{WITH} n as (select location, count(*) as n from assets group by 1) select coalesce(location, '__no_location__') as location, n from n")
-def j6_locations(spark, sf_dir):
+def f7_locations(spark, sf_dir):
     return assets(spark, sf_dir).groupBy(F.coalesce("location", F.lit(values.NO_LOCATION)).alias("location")).agg(F.count("*").alias("n"))
 
 
-@query("select p_partkey, case when p_size % 4 = 0 then 'ok' when p_size % 4 = 1 then 'partial' else 'missing' end as status from part")
+@query(f"{WITH} f as (select asset_id, coalesce(location, '') = '' as unnamed from assets where coalesce(location, '') = '' or location = 'Town 3') select asset_id, unnamed from f")
+def f7_location_filter(spark, sf_dir):
+    a = assets(spark, sf_dir)
+    none, one = views.filter_assets(a, location=values.NO_LOCATION), views.filter_assets(a, location="Town 3")
+    return none.select("asset_id", F.lit(True).alias("unnamed")).unionByName(one.select("asset_id", F.lit(False).alias("unnamed")))
+
+
+# Positions are whole degrees here, so cells are plain.
+WITH_CELLS = WITH + " cells as (select concat(gps_latitude::int, '.00,', gps_longitude::int, '.00') as geo_cell, * from assets where gps_latitude is not null), names as (select distinct geo_cell, concat('Place ', geo_cell) as name from cells where gps_latitude::int % 3 = 0)"
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = views.cells(assets(spark, sf_dir)).where("cast(latitude as int) % 3 = 0")
+    return found.select("geo_cell", F.concat(F.lit("Place "), "geo_cell").alias("name"))
+
+
+@query(f"{WITH_CELLS} select asset_id, name as location from assets left join cells using (asset_id) left join names on names.geo_cell = cells.geo_cell")
+def j6_place_names(spark, sf_dir):
+    return views.place_names(assets(spark, sf_dir), _names(spark, sf_dir)).select("asset_id", "location")
+
+
+@query(f"{WITH_CELLS} select geo_cell, min(gps_latitude) as latitude, min(gps_longitude) as longitude, count(*) as n from cells where geo_cell not in (select geo_cell from names) group by 1")
+def j10_pending_cells(spark, sf_dir):
+    return views.pending_cells(assets(spark, sf_dir), _names(spark, sf_dir))
+
+
+@query(f"{WITH_CELLS} select count(*) as entries, (sum(strlen(geo_cell) + strlen(name) + 5) + count(*) - 1 + 2)::bigint as bytes from names")
+def g22_place_cache(spark, sf_dir):
+    return caching.place_cache_stats(_names(spark, sf_dir))
+
+
+TAGS = """select event_id, concat('/in\\', cast(event_id as string), case when event_id % 4 = 0 then '.HEIC' else '.jpg' end) as path, 1000 + event_id as size_bytes, concat('2020-01-0', cast(1 + event_id % 9 as string)) as modified,
+  concat('{"SourceFile":"/in/', cast(event_id as string), case when event_id % 4 = 0 then '.HEIC' else '.jpg' end, '","Make":"', case when event_id % 3 = 0 then ' Mk ' else '' end, '","Model":"', case when event_id % 5 > 0 then 'Md' else '' end,
+  '","ImageWidth":', cast(event_id % 700 as string), case when event_id % 2 = 0 then concat(',"ExifImageHeight":', cast(event_id % 500 as string)) else '' end,
+  ',"DateTimeOriginal":"', case when event_id % 7 = 0 then 'bad' else concat('2021:0', cast(1 + event_id % 9 as string), ':05 01:02:03') end, '","GPSLatitude":', cast(event_id % 90 as string), ',"ISO":"', cast(event_id % 800 as string), ' x","FNumber":1.8}') as tags
+from events"""
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Assets, tags of all but every ninth, and corrections of every eighth."""
+    rows = made(spark, sf_dir, TAGS.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}"), "events")
+    late = rows.where("event_id % 8 = 0").select("path", F.when(F.col("event_id") % 16 == 0, 77).otherwise(0).alias("width"), F.lit(55).alias("height"), F.when(F.col("event_id") % 24 > 0, F.lit("2019-01-01T00:00:00Z")).alias("date_taken"))
+    return rows.select("event_id", "path", "size_bytes", "modified"), rows.where("event_id % 9 > 0").select("tags"), late
+
+
+READ = f"""with t as ({TAGS}), a as (select *, event_id % 9 > 0 as tagged, event_id % 8 = 0 as late, event_id % 16 = 0 as sized, case when event_id % 24 > 0 then '2019-01-01T00:00:00Z' end as late_date from t),
+r as (select *, case when tagged then case when event_id % 7 = 0 then 'bad' else concat('2021-0', 1 + event_id % 9, '-05T01:02:03') end end as date,
+  case when late and sized then 77 when tagged then event_id % 700 else 0 end::int as width, case when late and sized then 55 when tagged and event_id % 2 = 0 then event_id % 500 else 0 end::int as height,
+  case when tagged and event_id % 3 = 0 then 'Mk' end as make, case when tagged and event_id % 5 > 0 then 'Md' end as model, case when tagged then (event_id % 90)::double end as gps_latitude from a)"""
+
+
+@query(f"{READ} select path, width, height, modified, case when late and (sized or late_date is not null) then late_date else date end as date_taken, gps_latitude, case when make is null then model else concat_ws(' ', make, model) end as device, row_number() over (order by string_split(path, '/')) as place from r")
+def s13_scan_for_metadata(spark, sf_dir):
+    a, t, late = _tagged(spark, sf_dir)
+    return metadata.scan_for_metadata(a, t, late).select("path", "width", "height", "modified", "date_taken", "gps_latitude", "device", "place")
+
+
+@query(f"{READ} select path, size_bytes as file_size, width, height, case when event_id % 4 = 0 then 'HEIC' else 'JPG' end as format, case when late then late_date else date end as date_time_original, case when tagged then (event_id % 800)::int end as iso_speed, make, model, case when tagged then '1.8' end as f_number, gps_latitude from r")
+def s12_read_metadata(spark, sf_dir):
+    a, t, late = _tagged(spark, sf_dir)
+    return metadata.read_metadata(a, t, late).select("path", "file_size", "width", "height", "format", "date_time_original", "iso_speed", "make", "model", "f_number", "gps_latitude")
+
+
+@query(f"{READ} select path, 'Aperture' as label, '1.8' as value from r where tagged union all select path, 'ISO', (event_id % 800)::varchar from r where tagged and event_id % 800 > 0")
+def t18_exposure_rows(spark, sf_dir):
+    a, t, late = _tagged(spark, sf_dir)
+    return metadata.exposure_rows(metadata.read_metadata(a, t, late))
+
+
+LISTED = f"{WITH_FILES} n as (select ord, path, {NAME} as n, original, created, file_modified from files where ord % 3 > 0), d as (select *, coalesce({D7}, {D8}, {D9}) as own, coalesce(original, created) as tag from n), l as (select ord, CHOICE from d)"
+
+
+def _listed(priority: str):
+    def run(spark, sf_dir):
+        f = files(spark, sf_dir)
+        found = organize.media_list(f.select("ord", "path"), f.where("ord % 3 > 0").select(F.col("path").alias("source_file"), "original", "created", "file_modified"), priority)
+        return found.select("ord", "date_taken", "date_source")
+
+    run.__name__ = f"d14_listed_dates_{priority}"
+    choice = "coalesce(own, tag, file_modified) as date_taken, case when own is not null then 'filename' when original is not null then 'exif' when tag is not null then 'create' when file_modified is not null then 'modify' end as date_source"
+    if priority == "exif":
+        choice = "coalesce(tag, file_modified, own) as date_taken, case when original is not null then 'exif' when tag is not null then 'create' when file_modified is not null then 'modify' when own is not null then 'filename' end as date_source"
+    query(LISTED.replace("CHOICE", choice) + " select files.ord, date_taken, date_source from files left join l using (ord)")(run)
+
+
+for _priority in ("exif", "filename"):
+    _listed(_priority)
+
+
+@query(f"{DATED} select ord, case when ord % 2 = 0 then d end as date_used from final")
+def j8_preview_join(spark, sf_dir):
+    f = files(spark, sf_dir)
+    plan = organize.resolve_dates(f, CONFIG).where("ord % 2 = 0").select(F.replace("path", F.lit("/"), F.lit("\\")).alias("original_path"), F.lit("n").alias("new_filename"), F.lit("p").alias("new_path"), "date_used")
+    return organize.preview_of(f.select("ord", "path"), plan).select("ord", "date_used")
+
+
+@query(f"{WITH} f as (select asset_id, path, case when asset_id % 4 = 0 then '' when asset_id % 4 = 1 then 'Cam 1' when asset_id % 4 = 2 then 'New Model X' end as dev from assets) select path, case when asset_id % 2 = 0 then 'Ann' end as artist, case when asset_id % 4 = 2 then 'New' end as make, case when asset_id % 4 = 2 then 'Model X' end as model, coalesce(asset_id % 4 = 0, false) as delete_device, case when asset_id % 3 = 0 then 40.5 end as gps_latitude, case when asset_id % 3 = 0 then -3.25 end as gps_longitude from f where asset_id % 3 < 2")
+def k15_patch_of_form(spark, sf_dir):
+    i = F.col("asset_id")
+    empty = [F.lit("").alias(c) for c in ("date_taken", "description", "copyright")]
+    device = F.when(i % 4 == 0, "").when(i % 4 == 1, "Cam 1").when(i % 4 == 2, "New Model X")
+    forms = assets(spark, sf_dir).select("path", *empty, F.when(i % 2 == 0, "Ann").otherwise("").alias("artist"), device.alias("device"), F.when(i % 3 == 0, "40.5, -3.25").when(i % 3 == 1, " ").otherwise("nowhere").alias("position"), F.lit("Cam").alias("shared_make"), F.lit("1").alias("shared_model"))
+    return organize.patch_of_form(forms).select("path", "artist", "make", "model", "delete_device", "gps_latitude", "gps_longitude")
+
+
+@query(f"{WITH} r as (select asset_id, case when device is distinct from 'Cam 1' then device end as device from assets where asset_id % 2 = 0 and device is not null) select asset_id, device from r")
+def k13_remove_device(spark, sf_dir):
+    a = assets(spark, sf_dir)
+    chosen = views.selected(a.where("device is not null"), a.where("asset_id % 2 = 0"))
+    return views.without_value(chosen, "device", "Cam 1").select("asset_id", "device")
+
+
+@query(f"{WITH} v as (select device as name, 0 as c from assets where device is not null union all select unnest(['Cam 1', 'Mine']), 1) select name as device, min(c) = 1 as is_custom from v group by 1")
+def u4_devices_with_custom(spark, sf_dir):
+    return views.with_custom(assets(spark, sf_dir), spark.createDataFrame([(" Cam 1 ",), ("Mine",), ("  ",)], "device string"), "device")
+
+
+@query(f"{WITH} d as (select distinct path, contains(path, '/lib/src1/') as network from assets where asset_id % 2 = 0) select path, network from d")
+def k6_deletion_plan(spark, sf_dir):
+    chosen = assets(spark, sf_dir).where("asset_id % 2 = 0").select(F.concat(F.lit(" "), "path").alias("path"))
+    return views.deletion_plan(chosen.unionByName(chosen).unionByName(spark.createDataFrame([(" ",)], "path string")), ["/lib/src1/"])
+
+
+@query(f"{WITH} d as (select distinct path from assets where asset_id % 2 = 0) select path, false as network, (select count(*) from d) as total from d order by string_split(path, '/') limit 10")
+def o11_deletion_preview(spark, sf_dir):
+    return views.deletion_preview(views.deletion_plan(assets(spark, sf_dir).where("asset_id % 2 = 0"), []))
+
+
+@query("select event_id as path, value as mtime from events order by value desc, event_id limit 3")
+def o10_newest(spark, sf_dir):
+    return views.newest(table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), F.col("value").alias("mtime")))
+
+
+@query("select event_id as path, case when event_id % 5 = 0 then 'PERMISSION_DENIED' when event_id % 5 = 1 then 'NOT_FOUND' when event_id % 5 = 2 then 'CORRUPTED_FILE' else 'IO_ERROR' end as kind, case when event_id % 5 = 0 then 'Permission denied' when event_id % 5 = 1 then 'File not found' when event_id % 5 = 2 then 'Corrupted file' else 'I/O error' end as label from events where event_id % 5 < 4")
+def g23_failed_files(spark, sf_dir):
+    error = F.element_at(F.array(*[F.lit(x) for x in ("permission denied (13)", "No such file", "corrupt JPEG", "disk on fire", None)]), (F.col("event_id") % 5 + 1).cast("int"))
+    failed = caching.failed_files(table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), error.alias("error")))
+    return failed.withColumn("label", views.failure_label(F.col("kind")))
+
+
+@query("select p_partkey as key, p_size as rows from part where p_partkey = 7 and p_size > 0")
+def j14_cached_result(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    results = p.select(F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit("f"), "p_partkey").alias("fingerprint"), F.col("p_size").alias("rows"), F.lit(3).alias("version"))
+    return caching.cached_result(results, "7", "f7", 3).select(F.col("key").cast("long").alias("key"), "rows")
+
+
+@query("select doc_id as cache_key, n_chars as size_bytes, null::varchar as phash, '' as modified, 0 as width from documents")
+def k4_migrated_cache(spark, sf_dir):
+    old = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("cache_key"), F.col("n_chars").alias("size_bytes"), F.lit("5").alias("phash"))
+    return caching.migrated(old, 2).select(F.col("cache_key").cast("long").alias("cache_key"), "size_bytes", "phash", "modified", "width")
+
+
+@query("select count(*) as n from documents")
+def s15_cache_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+
+
+@query("select md5(string_agg(digest, '' order by part)) as fingerprint from (select line[1:3] as part, md5(string_agg(line, '' order by line)) as digest from (select md5(concat_ws('|', vec_id::varchar, label::varchar)) as line from embeddings) group by 1)")
+def g19_hash_set_fingerprint(spark, sf_dir):
+    return caching.fingerprint(table(spark, sf_dir, "embeddings"), ["vec_id", "label"])
+
+
+@query(f"{GROUPS}, first as ({ELECTED.format(order=RESOLUTION, source='members').replace('select ', 'select modified, ord, ', 1)}), p as (select *, row_number() over (partition by group_id order by modified, ord) as place, min(modified) over (partition by group_id) as began from first) select group_id, asset_id, place, dense_rank() over (order by began, group_id) as group_place from p")
+def g5_final_order(spark, sf_dir):
+    return duplicates.final_order(elected(spark, sf_dir)).select("group_id", "asset_id", "place", "group_place")
+
+
+@query(f"{WITH} c as (select asset_id, case when asset_id % 3 = 0 then (asset_id % 5)::int else 0 end as w from assets where asset_id % 2 = 0) select asset_id, case when w > 0 then w else width end as width, case when asset_id % 2 = 0 and asset_id % 3 = 0 then 'late' else modified end as modified from assets left join c using (asset_id)")
+def j3_corrected(spark, sf_dir):
+    a, i = assets(spark, sf_dir), F.col("asset_id")
+    late = a.where(i % 2 == 0).select("asset_id", F.when(i % 3 == 0, i % 5).otherwise(0).alias("width"), F.lit(0).alias("height"), F.when(i % 3 == 0, "late").alias("modified"))
+    return duplicates.corrected(a, late).select("asset_id", "width", "modified")
+
+
+@query("select event_id, concat('2021-08-28T13:29:', lpad((event_id % 60)::varchar, 2, '0')) as iso, concat('28/08/2021 13:29:', lpad((event_id % 60)::varchar, 2, '0')) as shown, concat('2021-08-28T13:29:', lpad((event_id % 60)::varchar, 2, '0')) as field, concat('2021:08:28 13:29:', lpad((event_id % 60)::varchar, 2, '0')) as exif, round(event_id * 100.0 / 100000)::int as percent from events")
+def d16_date_notations(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("2021:08:28 13:29:"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0")).alias("exif"))
+    iso = dates.exif_to_iso(F.col("exif"))
+    return e.select("event_id", iso.alias("iso"), dates.format_date(iso).alias("shown"), dates.datetime_local(F.concat(iso, F.lit("Z"))).alias("field"), dates.iso_to_exif(F.concat(iso, F.lit("Z"))).alias("exif"), values.progress_percent(F.col("event_id"), F.lit(100000)).alias("percent"))
+
+
+@query(f"{WITH} k as (select asset_id, lower(path) as cache_key, case when regexp_matches(lower(path), '[.]jpg$') then 'image/jpeg' when regexp_matches(lower(path), '[.]png$') then 'image/png' else 'image/heic' end as mime, starts_with(path, '/lib/src2') or starts_with(path, '/net') as network, concat_ws('@@', 'a|b', '90', 'fast', 'cross') as history from assets) select asset_id, cache_key, mime, network, history from k")
+def t16_keys_and_types(spark, sf_dir):
+    p = F.col("path")
+    key = paths.history_key(F.array(F.lit("b"), F.lit("a")), F.lit(90), F.lit("fast"), F.lit("cross"))
+    return assets(spark, sf_dir).select("asset_id", paths.cache_key(p).alias("cache_key"), paths.mime_type(p).alias("mime"), paths.under_root(p, ["/net", "/lib/src2"]).alias("network"), key.alias("history"))
+
+
+@query("select user_id, n, case when secs >= 1 and gone > 0 and total - last > 0 and eta between 2 and 3600 then eta end as eta from (select *, round((total - last) * secs / gone)::bigint as eta from (select user_id, count(*) as n, max(event_id) - min(event_id) as gone, max(event_id) as last, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e9 as secs, 200000 as total from events group by 1))")
+def w4_eta(spark, sf_dir):
+    from prismlake.streaming.progress import eta_seconds
+
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"), ((F.max(at) - F.min(at)) / F.lit(1e9)).alias("secs"))
+    return e.select("user_id", "n", eta_seconds(F.col("first"), F.col("last"), F.col("secs"), F.lit(200000)).alias("eta"))
+
+
+@query("select p_partkey, case when p_size % 4 = 0 then 'ok' when p_size % 4 = 3 then 'missing' else 'partial' end as status from part")
 def g24_folder_status(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    there = F.when(F.col("p_size") % 4 == 0, F.array(F.lit(True), F.lit(True))).when(F.col("p_size") % 4 == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False), F.lit(False)))
+    there = F.when(F.col("p_size") % 4 == 0, F.array(F.lit(True), F.lit(True))).when(F.col("p_size") % 4 == 1, F.array(F.lit(True), F.lit(False))).when(F.col("p_size") % 4 == 2, F.array(F.lit(False), F.lit(False))).otherwise(F.array(F.lit(False)))
     return caching.folder_status(p.select(F.col("p_partkey").alias("key"), F.explode(there).alias("there"))).withColumnRenamed("key", "p_partkey")

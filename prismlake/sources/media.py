@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.functions import dates, paths
-from prismlake.functions.imaging import exif
+from prismlake.functions.imaging import exif, header_facts, picture_features
+
+
+def _plain(path: str) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
     """(path, size_bytes, modified) of all files below folders, each once; contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path", "length", "modificationTime")
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    return rows.select(plain.alias("path"), F.col("length").alias("size_bytes"), dates.modified_text(F.col("modificationTime")).alias("modified")).dropDuplicates(["path"])
+    return rows.select(_plain("path").alias("path"), F.col("length").alias("size_bytes"), dates.modified_text(F.col("modificationTime")).alias("modified")).dropDuplicates(["path"])
 
 
 def collect_images(spark: SparkSession, folders: list[str]) -> DataFrame:
@@ -34,13 +37,32 @@ def in_given_order(listing: DataFrame, chosen: DataFrame) -> DataFrame:
     return both.groupBy(*listing.columns).agg(F.min("ord").alias("ord")).orderBy("ord", F.split("path", "/"))
 
 
-def features(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """Records of pictures: sizes, content and header hashes, name tags, embedded dates; one read of each content."""
+def features(spark: SparkSession, folders: list[str], decode: bool = True) -> DataFrame:
+    """Records of pictures: sizes, hashes of content and header, name tags, dates, and, with decode, phash and blur_score.
+
+    Contents are read once for headers and hashes, and once more by the image source,
+    which decodes what the JVM knows (JPEG, PNG, GIF, BMP); others have null hashes.
+    modified is the name's date, else the embedded one, else the file's time.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    base = rows.select(plain.alias("path"), F.col("length").alias("size_bytes"), "modificationTime", "content").where(paths.is_image(F.col("path"))).dropDuplicates(["path"])
-    tagged = base.withColumn("_exif", exif(F.col("content"))).withColumn("ts_tag", dates.timestamp_tag(paths.stem(F.col("path"))))
-    return tagged.select("path", "size_bytes", F.sha2("content", 256).alias("content_hash"), F.sha2(F.expr("substring(content, 1, 4096)"), 256).alias("header_hash"), "ts_tag", F.coalesce("_exif.date_taken", dates.modified_text(F.col("modificationTime"))).alias("modified"), F.col("_exif.date_taken").alias("date_taken"), F.col("_exif.orientation").alias("orientation"))
+    base = rows.select(_plain("path").alias("path"), F.col("length").alias("size_bytes"), "modificationTime", "content").where(paths.is_image(F.col("path"))).dropDuplicates(["path"])
+    tagged = base.withColumn("_exif", exif(F.col("content"))).withColumn("_size", header_facts(F.col("content"))).withColumn("ts_tag", dates.timestamp_tag(paths.stem(F.col("path"))))
+    mtime = dates.modified_text(F.col("modificationTime"))
+    found = tagged.select(
+        "path", "size_bytes", F.sha2("content", 256).alias("content_hash"), F.sha2(F.substring("content", 1, 4096), 256).alias("header_hash"), "ts_tag",
+        dates.capture_date(F.col("ts_tag"), F.col("_exif.date_taken"), mtime).alias("modified"), mtime.alias("mtime"), F.col("_exif.date_taken").alias("date_taken"), F.col("_exif.orientation").alias("orientation"), "_size.*",
+    )
+    if not decode:
+        return found
+    pictures = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(folders)
+    seen = pictures.select(_plain("image.origin").alias("path"), picture_features(F.col("image")).alias("_seen")).dropDuplicates(["path"])
+    return found.join(seen, "path", "left").select(*found.columns, "_seen.*")
+
+
+def header_hashes(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(path, header_hash) of pictures, by a reader that asks for no other column."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path", "content")
+    return rows.select(_plain("path").alias("path"), F.sha2(F.substring("content", 1, 4096), 256).alias("header_hash")).where(paths.is_image(F.col("path")))
 
 
 def paths_exist(chosen: DataFrame, listing: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismlake.operators.caching import upsert
@@ -14,10 +14,10 @@ def rolling_progress(rows: DataFrame, key: str, at: str, span: int) -> DataFrame
     return rows.withColumn("n", F.count("*").over(window)).withColumn("since", F.min(at).over(window))
 
 
-def eta_seconds(scanned_first, scanned_last, seconds, total):
-    """Remaining seconds at the window's rate; null for windows under a second and for less than 2 or more than 3600 left."""
-    left = (total - scanned_last) * seconds / (scanned_last - scanned_first)
-    return F.when((seconds >= 1) & (scanned_last > scanned_first) & left.between(2, 3600), left)
+def eta_seconds(scanned_first: Column, scanned_last: Column, seconds: Column, total: Column) -> Column:
+    """Remaining seconds at a window's rate, rounded; null for windows under a second or without progress, with nothing left, and for less than 2 or more than 3600 left."""
+    left = F.round((total - scanned_last) * seconds / F.nullif(scanned_last - scanned_first, F.lit(0))).cast("long")
+    return F.when((seconds >= 1) & (scanned_last > scanned_first) & (total > scanned_last) & left.between(2, 3600), left)
 
 
 def segments(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
