@@ -113,7 +113,8 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     best = None
     for radius in range(WIDTH + 1):
         probes = open_.mapInArrow(*_probe(held, radius))
-        met = probes.join(lists, ["s", "v", "chunk"]).withColumn("differ", F.col("query").bitwiseXOR(F.col("code")))
+        # Merged, as probes are small on disk but not in memory.
+        met = probes.join(lists.hint("merge"), ["s", "v", "chunk"]).withColumn("differ", F.col("query").bitwiseXOR(F.col("code")))
         # A code is met once for each of its near segments; only the nearest, the first of equals, counts.
         far = F.array(*[F.bit_count(_segment(F.col("differ"), i)) for i in range(SEGMENTS)])
         met = met.where((F.array_min(far) == radius) & (F.array_position(far, F.lit(radius)) == F.col("s") + 1))
