@@ -15,7 +15,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -33,20 +33,42 @@ TOKENIZER = "byte_bpe_50k.json"
 #: The same vocabulary as ranks: encodes single words about five times as fast.
 RANKS = "byte_bpe_50k.tiktoken"
 END_ID = 0
-#: Encoded chunks that a worker remembers.
-REMEMBERED = 200_000
+#: Encoded chunks that a worker remembers at most, and how many of the first ones, which hold the common words, it never forgets.
+REMEMBERED, CORE = 250_000, 100_000
+#: Longer chunks (in signs) are not remembered, so that the memory is bounded: under 100 MB.
+LONGEST_REMEMBERED = 64
+#: White space of ASCII other than space and line feed, as Python and the tokenizer see it.
+OTHER_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 # Where a text may be cut so that byte-level BPE gives the same tokens: before a lone space or line feed between other signs.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
 
 
+class Memory(dict):
+    """Ids of chunks after a space, by the chunk without it, or of chunks that begin with a line feed, by themselves; what is missing is encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+        self.core: dict[str, bytes] | None = None
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.encode(key if key[:1] == "\n" else " " + key)
+        if len(key) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+                self.update(self.core or {})
+            self[key] = ids
+            if self.core is None and len(self) >= CORE:
+                self.core = dict(self)
+        return ids
+
+
 class Encoder:
     """Token ids as little-endian 32-bit bytes; equal chunks are encoded once."""
 
     def __init__(self, path: str):
         self.path = path
-        self.known: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = None
         if path == public_tokenizers.path(TOKENIZER):
@@ -54,42 +76,42 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.words = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             del self.tokenizer  # made again for a text that needs it
+        self.memory = Memory(self._chunk)
 
     @functools.cached_property
     def tokenizer(self) -> Tokenizer:
         return Tokenizer.from_file(self.path)
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
+    def _chunk(self, chunk: str) -> bytes:
         if self.words:
-            for chunk in new:
-                self.known[chunk] = array("I", self.words.encode_ordinary(chunk)).tobytes()
-            return
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(found.ids, "<u4").tobytes()
+            return array("I", self.words.encode_ordinary(chunk)).tobytes()
+        return self._whole(chunk)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; special tokens' strings are found as the tokenizer finds them."""
+        known = self.memory.__getitem__
         for text in texts:
             if any(s in text for s in self.special):
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            if _UNEVEN.search(text):
-                chunks = _CUT.split(text)
+                yield self._whole(text)
+            elif not text:
+                yield b""
+            elif _is_even(text):
+                # The cuts of _CUT, faster: chunks after a space lose it, those after a line feed keep that.
+                first, *rest = text.replace("\n", " \n").split(" ")
+                yield self._chunk(first) + b"".join(map(known, rest))
             else:
-                # The same cuts, faster: each chunk but the first keeps its space or line feed.
-                chunks = text.replace("\n", " \n").split(" ")
-                chunks = [chunks[0], *[c if c[0] == "\n" else " " + c for c in chunks[1:]]] if text else []
-            get = self.known.get
-            found = [get(c) for c in chunks]
-            if None in found:
-                self._learn({c for c, x in zip(chunks, found, strict=True) if x is None})
-                if any(c not in self.known for c in chunks):  # the memory was emptied
-                    self._learn(set(chunks))
-                found = [self.known[c] for c in chunks]
-            yield b"".join(found)
+                first, *rest = _CUT.split(text)
+                yield self._chunk(first) + b"".join(known(c[1:] if c[0] == " " else c) for c in rest)
+
+
+def _is_even(text: str) -> bool:
+    """Whether white space in a text is single and inside."""
+    if text.isascii() and not any(c in text for c in OTHER_SPACES):
+        return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text)
+    return not _UNEVEN.search(text)
 
 
 _encoders: dict[str, Encoder] = {}

@@ -483,6 +483,25 @@ def test_packing(docs, rows, empty):
     encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ["", " a", "a  b", "a\n\nb", "\n", "a \n b ", "é à\tb", "<|endoftext|> x", "a\r\nb c", "  ", "it's 12 3,4!!", "x y  z", "日本 語\x1c q"]:
         assert list(encoder.encode([text]))[0] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    import prismlake.llm.packing as packing
+
+    alphabet = ["a", "Wörd", "x1", "\n", "\n", " ", " ", " ", "\t", "é", "'s", "日本", "\x1c", "!!", "\u2003", "0"]
+    draw = random.Random(14)
+    odd = ["".join(draw.choices(alphabet, k=draw.randrange(1, 40))) for _ in range(400)]
+    packing.REMEMBERED, packing.CORE, packing.LONGEST_REMEMBERED, before = 30, 10, 5, (packing.REMEMBERED, packing.CORE, packing.LONGEST_REMEMBERED)
+    try:
+        small = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+        for text, own in zip(odd, small.encode(odd), strict=True):
+            assert own == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        assert len(small.memory) <= 30 and len(small.memory.core) == 10
+    finally:
+        packing.REMEMBERED, packing.CORE, packing.LONGEST_REMEMBERED = before
+    # Whole ids are read back from the packed sequences, and no packing can use fewer than all ids need.
+    told = {r["sequence_id"]: r["ids"] for r in sequences(docs).collect()}
+    assert all(zlib.crc32(told[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])]) == r["ids_crc32"] for r in found)
+    every = [x for xs in ids.values() for x in xs]
+    assert sum(map(len, told.values())) == 4 * sum(map(len, every))
+    assert len(told) <= -(-sum(map(len, every)) // 2048) + 1
     draw = random.Random(6)
     for capacity in (8, 50, 300):
         counts = collections.Counter(draw.randrange(1, capacity + 1) for _ in range(500))
