@@ -145,7 +145,11 @@ def _cut(path: str, capacity: int, with_ids: bool):
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32, and ids as bytes if asked for. Only the first may be shorter."""
+    """Pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32, and ids as bytes if asked for. Only the first may be shorter.
+
+    Null and empty texts are one piece, the end; repeated rows and null ids give pieces
+    of their own; extra columns are left out; an empty table gives an empty one.
+    """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(path, capacity, with_ids), ddl)
@@ -283,7 +287,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
 
 def sequences(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids (little-endian unsigned 32-bit), n_tokens. A group is one sequence, at most capacity tokens."""
+    """The packed sequences themselves: sequence_id, ids (little-endian unsigned 32-bit), n_tokens. A group is one sequence, at most capacity tokens.
+
+    Pieces are joined to their places by doc_id (null ones too), number and checksum, so
+    that each of several equal pieces finds the same ids. Extra columns are left out; an
+    empty table gives an empty one.
+    """
     key = ["doc_id", "piece", "ids_crc32"]
     own = pieces(docs, capacity, tokenizer, with_ids=True).select(*key, "ids").dropDuplicates(key)
     placed = pack(docs, capacity, tokenizer)

@@ -238,6 +238,12 @@ def test_url_filter(spark):
     shown = judge_urls(spark.range(6000).selectExpr("id as page_id", "concat('http://www.h', id, '.com/p') as url"), many)
     assert shown.where("(verdict = 'block') <> (page_id < 3000)").count() == 0
     assert judge_urls(pages, listed.limit(0)).where("verdict <> 'allow'").count() == 0
+    assert judge_urls(pages.limit(0), listed).count() == 0
+    clashing = pages.unionByName(pages).selectExpr("*", "'x' as host", "1 as rule", "2 as best", "3 as verdict")
+    again = judge_urls(clashing, listed).collect()
+    assert len(again) == 2 * len(urls) and all(found[r["page_id"]] == (r["host"], r["path"], r["rule"], r["verdict"]) for r in again)
+    long = spark.createDataFrame([(1, "http://net/" + "a" * 300_000), (2, "http://" + "a." * 2000 + "org/fr/x"), (None, "http://net/")], "page_id long, url string")
+    assert sorted((r["page_id"] or 0, r["rule"]) for r in judge_urls(long, listed).collect()) == [(0, "net/"), (1, "net/"), (2, "org/fr/")]
 
 
 def test_html_extraction(spark):
@@ -410,6 +416,12 @@ def test_toxicity(spark, empty):
     for i in range(0, 400, 4):
         assert [rows[i][1][s["start"] : s["end"]].lower()[:9] for s in found[i]["spans"]] == ["scoundrel"]
     assert toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0 and toxicity(empty, labels).count() == 0
+    # A word far into a long text, repeated rows, ids and names that clash.
+    odd = [(1000, " ".join(draw.choices(clean, k=40_000)) + " scoundrels!"), (1000, " ".join(draw.choices(clean, k=40_000))), (0, rows[0][1]), (0, rows[0][1]), (1001, ""), (1002, " ,;")]
+    table = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "1 as toxic", "2.0 as score", "3 as spans")
+    told = toxicity(docs.select("doc_id", "text").unionByName(table.select("doc_id", "text")).selectExpr("*", "1 as toxic", "2.0 as score", "3 as features"), labels).where("doc_id >= 1000 or doc_id = 0").collect()
+    marked = sorted((r["doc_id"], r["predicted"]) for r in told)
+    assert marked == [(0, 1), (0, 1), (0, 1), (1000, 0), (1000, 1), (1001, 0), (1002, 0)]
 
 
 def test_crf_marginals_equal_enumeration():
