@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LONGEST_SIDE = 256
+THUMBNAIL_SIDE = 180
 
 
 def laplacian(luma: np.ndarray) -> float:
@@ -136,6 +138,35 @@ def orient(picture: np.ndarray, orientation: int) -> np.ndarray:
     return picture[:, ::-1] if orientation in (2, 4, 5, 7) else picture
 
 
+def png_of(pixels: np.ndarray) -> bytes:
+    """A PNG file of rows of red, green and blue bytes."""
+    height, width, _ = pixels.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), pixels.astype(np.uint8).reshape(height, -1)], axis=1)
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def thumbnail_of(data: bytes, height: int, width: int, channels: int, orientation: int) -> bytes:
+    """A picture, turned as its orientation says, at most THUMBNAIL_SIDE a side, as PNG; smaller ones keep their size."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    colours = pixels[:, :, [0, 0, 0]] if channels == 1 else pixels[:, :, 2::-1]
+    turned = orient(colours, orientation)
+    scale = min(1.0, THUMBNAIL_SIDE / max(turned.shape[:2]))
+    return png_of(nearest(turned, *(max(1, round(n * scale)) for n in turned.shape[:2])))
+
+
+def thumbnail(image: Column, orientation: Column) -> Column:
+    """thumbnail_of() decoded pictures, as the image source gives them; null for null."""
+
+    @F.pandas_udf("binary")
+    def run(images: pd.DataFrame, turns: pd.Series) -> pd.Series:
+        rows = zip(images["data"], images["height"], images["width"], images["nChannels"], turns, strict=True)
+        return pd.Series([None if data is None or not height or height < 0 else thumbnail_of(bytes(data), int(height), int(width), int(channels), 1 if pd.isna(turn) else int(turn)) for data, height, width, channels, turn in rows], dtype=object)
+
+    return run(image, orientation)
+
+
 # Fixed values of EXIF: tags by number.
 ORIENTATION, EXIF_IFD, DATE_ORIGINAL, THUMBNAIL_AT, THUMBNAIL_SIZE = 0x0112, 0x8769, 0x9003, 0x0201, 0x0202
 

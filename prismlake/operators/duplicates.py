@@ -260,6 +260,13 @@ def corrected(assets: DataFrame, corrections: DataFrame) -> DataFrame:
     return assets.join(late, "asset_id", "left").select(*[better[c].alias(c) if c in better else F.col(c) for c in assets.columns])
 
 
+def resolved_hashes(assets: DataFrame, corrections: DataFrame, decoded: DataFrame) -> DataFrame:
+    """assets (asset_id, phash, ...) with null hashes filled from corrections, then from pictures decoded on demand (both: asset_id, phash)."""
+    late, last = (t.select("asset_id", F.col("phash").alias(n)) for t, n in ((corrections, "_late"), (decoded, "_last")))
+    joined = assets.join(late, "asset_id", "left").join(last, "asset_id", "left")
+    return joined.select(*[F.coalesce("phash", "_late", "_last").alias("phash") if c == "phash" else F.col(c) for c in assets.columns])
+
+
 def final_order(members: DataFrame) -> DataFrame:
     """members (group_id, modified, ord, ...) with `place` in their group, by time, and `group_place`, their group's by its first member's time; both by ranges."""
     placed = running_before(members, ["group_id"], [F.asc("modified"), F.asc("ord")], F.lit(1), "place")

@@ -195,3 +195,8 @@ def common_values(rows: DataFrame, keys: list[str], columns: list[str], zero_is_
     """Per key, each column's one value, or a mark where rows differ."""
     value = lambda c: F.nullif(F.col(c), F.lit(0)) if c in zero_is_none else F.col(c)
     return rows.groupBy(*keys).agg(*[mixed_value(value(c)).alias(c) for c in columns])
+
+
+def error_message(message: Column, text: Column) -> Column:
+    """What is shown of an error: its message, else its text, else that it is unknown."""
+    return F.coalesce(message, text, F.lit("Unknown error"))

@@ -725,6 +725,14 @@ def j3_corrected(spark, sf_dir):
     return duplicates.corrected(a, late).select("asset_id", "width", "modified")
 
 
+@query("select vec_id as asset_id, case when vec_id % 3 = 0 then 1 when vec_id % 3 = 1 then 2 else 3 end as source, coalesce(vec_id % 4 = 0, false) as known from embeddings where vec_id % 3 < 2 or vec_id % 5 = 0")
+def m20_resolved_hashes(spark, sf_dir):
+    i = F.col("asset_id")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), F.when(F.col("vec_id") % 3 == 0, F.lit(1)).cast("long").alias("phash"), (F.col("vec_id") % 4 == 0).alias("known"))
+    late, last = rows.where(i % 3 == 1).withColumn("phash", F.lit(2).cast("long")), rows.where(i % 5 == 0).withColumn("phash", F.lit(3).cast("long"))
+    return duplicates.resolved_hashes(rows, late, last).where("phash is not null").select("asset_id", F.col("phash").cast("int").alias("source"), "known")
+
+
 @query("select event_id, concat('2021-08-28T13:29:', lpad((event_id % 60)::varchar, 2, '0')) as iso, concat('28/08/2021 13:29:', lpad((event_id % 60)::varchar, 2, '0')) as shown, concat('2021-08-28T13:29:', lpad((event_id % 60)::varchar, 2, '0')) as field, concat('2021:08:28 13:29:', lpad((event_id % 60)::varchar, 2, '0')) as exif, round(event_id * 100.0 / 100000)::int as percent from events")
 def d16_date_notations(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("2021:08:28 13:29:"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0")).alias("exif"))

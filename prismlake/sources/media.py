@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.functions import dates, paths
-from prismlake.functions.imaging import exif, header_facts, picture_features
+from prismlake.functions.imaging import exif, header_facts, picture_features, thumbnail
 
 
 def _plain(path: str) -> Column:
@@ -69,3 +69,20 @@ def paths_exist(chosen: DataFrame, listing: DataFrame) -> DataFrame:
     """chosen (path) with `there`."""
     seen = listing.select("path").distinct().withColumn("there", F.lit(True))
     return chosen.join(seen, "path", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def thumbnails(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(path, key, uri): small upright pictures as data URIs, in PNG; key is the first 16 digits of the content's hash, under which a cache may keep them. Pictures that cannot be decoded have none."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select(_plain("path").alias("path"), "content")
+    known = rows.where(paths.is_image(F.col("path"))).select("path", F.substring(F.sha2("content", 256), 1, 16).alias("key"), exif(F.col("content"))["orientation"].alias("orientation"))
+    pictures = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(folders).select(_plain("image.origin").alias("path"), "image")
+    made = pictures.join(known, "path").select("path", "key", thumbnail(F.col("image"), F.col("orientation")).alias("png"))
+    return made.select("path", "key", paths.data_uri(F.lit("image/png"), F.col("png")).alias("uri"))
+
+
+def read_tags(spark: SparkSession, path: str) -> DataFrame:
+    """(tags): the objects of JSON files as a tag reader writes them, each file an array or a line an object; each as its own text."""
+    texts = spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
+    arrays = texts.where(F.trim("text").startswith("[")).select(F.explode(F.from_json("text", "array<string>")).alias("tags"))
+    lines = texts.where(~F.trim("text").startswith("[")).select(F.explode(F.split("text", "\n")).alias("tags"))
+    return arrays.unionByName(lines.where(F.trim("tags") != ""))

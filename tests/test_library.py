@@ -100,6 +100,8 @@ def test_scalars(spark):
         (views.kind_label(lit("sameDate")), "Same date"),
         (views.kind_label(lit("other")), "other"),
         (views.failure_label(lit("X")), "Unknown error"),
+        (views.error_message(lit(None).cast("string"), lit("t")), "t"),
+        (views.error_message(lit(None).cast("string"), lit(None).cast("string")), "Unknown error"),
         (dates.format_duration(lit(-1)), "cancelled"),
         (dates.format_duration(lit(499)), None),
         (dates.format_duration(lit(80000)), "1m 20s"),
@@ -178,8 +180,36 @@ def test_files(spark, tmp_path):
 
 
 def test_orientation():
-    picture = np.arange(6).reshape(2, 3)
-    assert imaging.orient(picture, 6).tolist() == [[3, 0], [4, 1], [5, 2]] and imaging.orient(picture, 2).tolist() == [[2, 1, 0], [5, 4, 3]]
+    p = np.arange(6).reshape(2, 3)
+    turned = {1: p, 2: p[:, ::-1], 3: p[::-1, ::-1], 4: p[::-1], 5: p.T, 6: p[::-1].T, 7: p[::-1, ::-1].T, 8: p.T[::-1]}
+    for orientation, expected in turned.items():
+        assert imaging.orient(p, orientation).tolist() == expected.tolist(), orientation
+
+
+def test_thumbnails_and_tags(spark, tmp_path):
+    import base64
+    import json
+
+    from prismlake.plans import metadata
+    from prismlake.sources import media
+
+    wide = np.zeros((90, 360, 3), np.uint8)
+    wide[:, :180] = (255, 0, 9)
+    (tmp_path / "a.png").write_bytes(imaging.png_of(wide))
+    (tmp_path / "b.png").write_bytes(b"none")
+    (row,) = media.thumbnails(spark, [str(tmp_path)]).collect()
+    content = base64.b64decode(row["uri"].removeprefix("data:image/png;base64,"))
+    assert imaging.dimensions_of(content) == (180, 45) and len(row["key"]) == 16
+    assert imaging.thumbnail_of(wide[:, :, ::-1].tobytes(), 90, 360, 3, 6) == imaging.png_of(imaging.nearest(np.rot90(wide, -1), 180, 45))
+    objects = [{"SourceFile": "/x\\a.png", "Make": " M ", "GPSLatitude": 1.5, "ISO": "100 x"}, {"Make": "none"}, {"SourceFile": "/x/b.jpg", "Nested": {"k": [1]}}]
+    (tmp_path / "t1.json").write_text(json.dumps(objects[:2], indent=1))
+    (tmp_path / "t2.json").write_text(json.dumps(objects[2]) + "\n")
+    tags = media.read_tags(spark, str(tmp_path / "*.json"))
+    assert sorted((json.loads(r["tags"]) for r in tags.collect()), key=str) == sorted(objects, key=str)
+    assets = spark.createDataFrame([("/x/a.png", 7), ("/x/c.gif", 8)], "path string, size_bytes long")
+    read = {r["path"]: r for r in metadata.read_metadata(assets, tags).collect()}
+    assert (read["/x/a.png"]["make"], read["/x/a.png"]["iso_speed"], read["/x/a.png"]["gps_latitude"], read["/x/a.png"]["format"]) == ("M", 100, 1.5, "PNG")
+    assert (read["/x/c.gif"]["make"], read["/x/c.gif"]["file_size"], read["/x/c.gif"]["width"]) == (None, 8, 0)
 
 
 def test_entry(spark):
