@@ -646,7 +646,7 @@ def j8_preview_join(spark, sf_dir):
     return organize.preview_of(f.select("ord", "path"), plan).select("ord", "date_used")
 
 
-@query(f"{WITH} f as (select asset_id, path, case when asset_id % 4 = 0 then '' when asset_id % 4 = 1 then 'Cam 1' when asset_id % 4 = 2 then 'New Model X' end as dev from assets) select path, case when asset_id % 2 = 0 then 'Ann' end as artist, case when asset_id % 4 = 2 then 'New' end as make, case when asset_id % 4 = 2 then 'Model X' end as model, coalesce(asset_id % 4 = 0, false) as delete_device, case when asset_id % 3 = 0 then 40.5 end as gps_latitude, case when asset_id % 3 = 0 then -3.25 end as gps_longitude from f where asset_id % 3 < 2")
+@query(f"{WITH} f as (select asset_id, path, case when asset_id % 4 = 0 then '' when asset_id % 4 = 1 then 'Cam 1' when asset_id % 4 = 2 then 'New Model X' end as dev from assets) select path, case when asset_id % 2 = 0 then 'Ann' end as artist, case when asset_id % 4 = 2 then 'New' end as make, case when asset_id % 4 = 2 then 'Model X' end as model, coalesce(asset_id % 4 = 0, false) as delete_device, case when asset_id % 3 = 0 then 40.5::double end as gps_latitude, case when asset_id % 3 = 0 then (-3.25)::double end as gps_longitude from f where asset_id % 3 < 2")
 def k15_patch_of_form(spark, sf_dir):
     i = F.col("asset_id")
     empty = [F.lit("").alias(c) for c in ("date_taken", "description", "copyright")]
