@@ -34,7 +34,7 @@ PREFIXES = (0, 4, 5, 6)
 #: A word or beginning marks toxic tokens if at most this share of the documents that have it are clean ...
 MOST_CLEAN = 0.05
 #: ... and chance would hardly give it to so many toxic ones: nats against the share of toxic documents.
-LEAST_NATS = 13.0
+LEAST_NATS = 11.0
 STEPS = 40
 RATE = 0.5
 RIDGE = 1e-4
