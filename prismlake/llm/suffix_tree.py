@@ -49,6 +49,8 @@ FEW, AT_ONCE = 8, 3
 HOT_SHARE, HOT_BITS = 1 / 4096, 1 << 18
 #: Places that a task collects before it sends them, and that a task receives, about.
 SENT, RECEIVED = 1 << 19, 1 << 19
+#: Bytes of text that a task works on at a time: each word takes some hundred bytes of arrays.
+LOT = 1 << 19
 #: Texts that a task remembers, to score a copied one once.
 REMEMBERED = 200_000
 PSEUDO = 0.1
@@ -226,7 +228,7 @@ def _send_contexts(states: np.ndarray, levels: range, folds: int, hot: np.ndarra
             return _send(rows)
 
         for batch in batches:
-            for texts in word_slices(_training(batch, folds).column("text")):
+            for texts in word_slices(_training(batch, folds).column("text"), size=LOT):
                 for n, (_, context, prior, entry, salted) in enumerate(_levels(texts, states, levels.stop - 1, hot, levels.start), 1):
                     if n not in held:
                         continue
@@ -451,7 +453,7 @@ def _ask(vocabulary: Vocabulary, tree: Tree, common: tuple[np.ndarray, np.ndarra
                 seen.add(key)
             batch = batch.filter(pa.array(fresh, pa.bool_()))
             text_keys = batch.column("key").to_numpy().view(np.uint64)
-            for texts in word_slices(batch.column("text")):
+            for texts in word_slices(batch.column("text"), size=LOT):
                 n = texts.last - texts.first
                 sizes = np.diff(texts.offsets) + 1
                 owner = np.repeat(np.arange(n), sizes)

@@ -62,8 +62,8 @@ class Slice(NamedTuple):
     offsets: np.ndarray
 
 
-def raw_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, bytes, starts) of slices of a string column; null counts as empty."""
+def raw_slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, starts) of slices of a string column, of about so many bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -73,7 +73,7 @@ def raw_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
     i, n = 0, len(column)
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1))
+        j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1))
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
@@ -97,9 +97,9 @@ def hash_runs(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(product, at - at[0]))
 
 
-def word_slices(column: pa.Array, fold: bool = True) -> Iterator[Slice]:
+def word_slices(column: pa.Array, fold: bool = True, size: int = SLICE) -> Iterator[Slice]:
     """Slices with the hashes of all words in order; fold: A-Z count as a-z."""
-    for i, j, data, starts in raw_slices(column):
+    for i, j, data, starts in raw_slices(column, size):
         at = runs((~_IS_SPACE[data]).astype(np.uint8), starts)
         yield Slice(i, j, data, starts, hash_runs((_FOLDED if fold else _PLAIN)[data], at), np.searchsorted(at, starts))
 
