@@ -86,6 +86,11 @@ def settled(build: Callable[[], DataFrame]) -> DataFrame:
     return table
 
 
+def sweep() -> None:
+    """Delete all tables that durable() has written in this process and nobody has deleted; for when results have been written elsewhere."""
+    discard(*list(_written.values()))
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle has by default."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -448,3 +448,27 @@ def test_nulls_ties_and_empty_tables(spark):
     assert [r["device"] for r in names.orderBy(views.natural_key(F.col("device"))).collect()] == ["Cam 2", "cám 9", "CAM 9b", "Cam 10"]
     shown = retention.prune_deleted(members.withColumn("width", F.lit(1)).withColumn("height", F.lit(1)), members.where("path = '/a.jpg'"))
     assert shown.count() == 0
+
+
+def test_tables_are_swept(spark):
+    import os
+
+    from prismlake import session
+
+    made = session.settled(lambda: session.durable(spark.range(3)).where("id > 0"))
+    path = made.durable_path.removeprefix("file:")
+    assert made.count() == 2 and os.path.exists(path)
+    session.sweep()
+    assert not os.path.exists(path) and not session._written
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from prismlake import session
+
+    fake = lambda master, found: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: found))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(fake("spark://host:7077", None))
+    assert session.shared_dir(fake("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert session.shared_dir(fake("local[2]", None)).startswith("file:")
