@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismlake.llm.memory import lean
+from prismlake.llm.memory import give_back, lean
 from prismlake.llm.words import BASE, GOLDEN, M1, Slice, mix, word_slices
 from prismlake.session import discard, durable, partitions
 
@@ -408,6 +408,7 @@ def learn(docs: DataFrame, folds: int = 10) -> tuple[Vocabulary, Tree, DataFrame
             states, entries = _mark(states, level.states, "context"), _mark(entries, level.entries, "key")
             parent = level.entries.select(F.col("key").alias("prior"), F.col("p").alias("before"), F.col("context").alias("parent"))
         discard(*counted_parts)
+        give_back()
     return Vocabulary(words, counts, total, distinct, ends, hot), Tree(levels, states, entries, counted, total, distinct), counted
 
 
@@ -424,11 +425,22 @@ def _send_values(kind: int, part: int, parts: int, buckets: int):
     """Rows (key, value) of this part as blobs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> pa.RecordBatch:
+            route, keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return _send(_deal(route, buckets, kind, 0, keys, values))
+
         for batch in batches:
             keys = batch.column(0).to_numpy().view(np.uint64)
             route = mix(keys)
             mine = _mine(route, part, parts)
-            yield _send(_deal(route[mine], buckets, kind, 0, keys[mine], batch.column(1).to_numpy().astype(_VALUE)[mine]))
+            held.append((route[mine], keys[mine], batch.column(1).to_numpy().astype(_VALUE)[mine]))
+            if sum(len(x[0]) for x in held) >= SENT:
+                yield packed()
+        if held:
+            yield packed()
 
     return lean(run)
 
@@ -444,6 +456,13 @@ def _ask(vocabulary: Vocabulary, tree: Tree, common: tuple[np.ndarray, np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, done, seen = TaskContext.get().partitionId(), 0, set()
+        asked: list[tuple[list, list]] = [([], []), ([], [])]
+
+        def packed(kind: int) -> list[tuple]:
+            keys, at = (np.concatenate(x) for x in asked[kind])
+            asked[kind] = [], []
+            return _deal(mix(keys), buckets, kind, src, keys, at)
+
         for batch in batches:
             fresh = []
             for key in batch.column("key").to_pylist():
@@ -457,9 +476,8 @@ def _ask(vocabulary: Vocabulary, tree: Tree, common: tuple[np.ndarray, np.ndarra
                 n = texts.last - texts.first
                 sizes = np.diff(texts.offsets) + 1
                 owner = np.repeat(np.arange(n), sizes)
-                asked: list[tuple[list, list]] = [([], []), ([], [])]
 
-                def look(kind: int, table: tuple, keys: np.ndarray, at: np.ndarray, asked=asked) -> tuple[np.ndarray, ...]:
+                def look(kind: int, table: tuple, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
                     """(value, is known, text) of this part's keys; the others are asked for."""
                     mine = _mine(mix(keys), part, parts)
                     keys, at = keys[mine], at[mine]
@@ -483,10 +501,13 @@ def _ask(vocabulary: Vocabulary, tree: Tree, common: tuple[np.ndarray, np.ndarra
                         gain += np.bincount(at, value, n)
                 rows = [(src % buckets, TEXTS, src, _pack(text_keys[texts.first : texts.last], tokens, n_known, flat, gain, np.arange(done, done + n, dtype=_COUNT)))]
                 for kind in (ASK_WORD, ASK_VALUE):
-                    keys, at = (np.concatenate(x) for x in asked[kind]) if asked[kind][0] else (np.zeros(0, _KEY), np.zeros(0, _COUNT))
-                    rows += _deal(mix(keys), buckets, kind, src, keys, at)
+                    if sum(map(len, asked[kind][0])) >= SENT:
+                        rows += packed(kind)
                 done += n
                 yield _send(rows)
+        rows = [row for kind in (ASK_WORD, ASK_VALUE) if asked[kind][0] for row in packed(kind)]
+        if rows:
+            yield _send(rows)
 
     return lean(run)
 
@@ -542,17 +563,18 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(gain)], names=["key", "n_tokens", "n_known", "base", "gain"])
 
 
-def suffix_tree_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, folds: int = 10, learned: tuple[Vocabulary, Tree, DataFrame] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words (A-Z lower-cased) and an end. Null and empty texts are an end
     alone; a null doc_id counts as the empty text, whose remainder is 0. A text is
     scored once however many rows have it (texts are equal when their 64-bit hashes
-    are), and each row gets its own. Without training rows every token is unknown and
+    are), and each row gets its own. learned: what learn() gave for these or other
+    texts; without it docs are learnt from. Without training rows every token is unknown and
     the scores are those of an empty count. Extra columns are left out; an empty table
     gives an empty one.
     """
-    vocabulary, tree, counted = learn(docs, folds)
+    vocabulary, tree, counted = learned or learn(docs, folds)
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
     places = -(-vocabulary.tokens // SCORE_PARTS)
     buckets = _buckets(docs, places)

@@ -164,9 +164,10 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     # The word after "a b" is another than after "c b", and depends on the word before "a b".
     rows = [(i, " ".join(f"{x} a b {x}{x} c b z" for x in draw.choices("klmnopqr", k=12))) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    _, tree, _ = learn(docs)
+    learned = learn(docs)
+    tree = learned[1]
     assert len(tree.levels) >= 3 and np.allclose((10**tree.log10).sum(axis=1), 1)
-    assert all(r["score"] > r["base_score"] for r in suffix_tree_scores(docs).collect())
+    assert all(r["score"] > r["base_score"] for r in suffix_tree_scores(docs, learned=learned).collect())
 
 
 def test_suffix_tree_scores_equal_brute_force(spark):
@@ -213,10 +214,11 @@ def test_suffix_tree_scores_equal_brute_force(spark):
         return total
 
     assert n > 3
+    learned = suffix_tree.learn(docs)
     for most in (suffix_tree.COMMON_VALUES, 40, 0):
         suffix_tree.COMMON_VALUES, before = most, suffix_tree.COMMON_VALUES
         try:
-            found = {r["doc_id"]: r["score"] for r in suffix_tree.suffix_tree_scores(docs).collect()}
+            found = {r["doc_id"]: r["score"] for r in suffix_tree.suffix_tree_scores(docs, learned=learned).collect()}
         finally:
             suffix_tree.COMMON_VALUES = before
         assert all(math.isclose(found[i], score(x), abs_tol=1e-6) for i, x in lines.items())
