@@ -36,6 +36,8 @@ MOST_CLEAN = 0.05
 #: ... and chance would hardly give it to so many toxic ones: nats against the share of toxic documents.
 LEAST_NATS = 11.0
 STEPS = 40
+#: While training, tasks get weights in steps of one in so many.
+SCALE = 1024
 RATE = 0.5
 RIDGE = 1e-4
 SPAN = 0.5
@@ -229,7 +231,12 @@ def _rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slopes(marks: np.ndarray, theta: np.ndarray):
+    # Small enough (under a megabyte) that Spark sends it with the task and leaves no broadcast files of each step.
+    rounded, rest = np.round(np.clip(theta[:-4], -31, 31) * SCALE).astype(np.int16), theta[-4:]
+    packed = np.packbits(marks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta, marks = np.append(rounded / SCALE, rest), np.unpackbits(packed).astype(bool)
         total = np.zeros(len(theta))
         for texts in _read(batches):
             total += slope(texts, marks, theta)
