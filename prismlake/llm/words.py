@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; a longer text is a slice of its own.
 SLICE = 2 << 20
+#: Bytes whose runs are hashed at a time; a longer run is a block of its own.
+BLOCK = 1 << 18
 #: White space.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -91,10 +93,17 @@ def hash_runs(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash for each run; values are 0 outside runs that count."""
     if not len(at):
         return np.zeros(0, np.uint64)
-    lengths = np.diff(np.append(at, len(values)))
-    place = np.arange(at[0], len(values), dtype=np.int64) - np.repeat(at, lengths)
-    product = values[at[0] :] * _power(int(lengths.max()))[place]
-    return mix(np.add.reduceat(product, at - at[0]))
+    ends = np.append(at, len(values))
+    found = np.empty(len(at), np.uint64)
+    i = 0
+    # By blocks of whole runs, as places and products take several times the text's memory.
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, "right")) - 1)
+        begins, lengths = ends[i:j] - ends[i], np.diff(ends[i : j + 1])
+        place = np.arange(ends[j] - ends[i]) - np.repeat(begins, lengths)
+        found[i:j] = np.add.reduceat(values[ends[i] : ends[j]] * _power(int(lengths.max()))[place], begins)
+        i = j
+    return mix(found)
 
 
 def word_slices(column: pa.Array, fold: bool = True, size: int = SLICE) -> Iterator[Slice]:
