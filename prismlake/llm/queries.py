@@ -11,6 +11,7 @@ from prismlake.llm.importance import resample
 from prismlake.llm.jaccard import jaccard_components
 from prismlake.llm.mixing import mix
 from prismlake.llm.packing import pack
+from prismlake.llm.quantiles import money_streams, quantiles
 from prismlake.llm.suffix_tree import suffix_tree_scores
 from prismlake.llm.templates import extract_pages
 from prismlake.llm.urls import judge_urls
@@ -69,7 +70,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_quality_classifier, op4_lm_scoring, op5_url_filter, op6_html_extraction, op7_quality_rules, op8_topk_search, op9_toxicity, op10_best_fit_packing)}
+def op12_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles(money_streams(*[table(spark, sf_dir, name) for name in ("clicks", "sale_lines", "items")]))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_quality_classifier, op4_lm_scoring, op5_url_filter, op6_html_extraction, op7_quality_rules, op8_topk_search, op9_toxicity, op10_best_fit_packing, op12_quantile_summaries)}
 
 ORACLE_SQL = {
     "op1_mixing": r"""
