@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prismlake.llm.compression import compression_rules
 from prismlake.llm.crf import toxicity
+from prismlake.llm.fm_index import digested, leaks
 from prismlake.llm.hamming import hamming_top_k, sign_codes
 from prismlake.llm.importance import resample
 from prismlake.llm.jaccard import jaccard_components
+from prismlake.llm.lexical import search
 from prismlake.llm.mixing import mix
 from prismlake.llm.packing import pack
 from prismlake.llm.quantiles import money_streams, quantiles
@@ -20,6 +22,7 @@ from prismlake.llm.urls import judge_urls
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 NEIGHBOURS = 10
 QUERY_STEP = 50
+RANKED = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +73,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), RANKED)
+
+
 def op12_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles(money_streams(*[table(spark, sf_dir, name) for name in ("clicks", "sale_lines", "items")]))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_quality_classifier, op4_lm_scoring, op5_url_filter, op6_html_extraction, op7_quality_rules, op8_topk_search, op9_toxicity, op10_best_fit_packing, op12_quantile_summaries)}
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digested(leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_quality_classifier, op4_lm_scoring, op5_url_filter, op6_html_extraction, op7_quality_rules, op8_topk_search, op9_toxicity, op10_best_fit_packing, op11_lexical_search, op12_quantile_summaries, op13_decontamination)}
 
 ORACLE_SQL = {
     "op1_mixing": r"""
@@ -141,4 +152,38 @@ met as (
   from codes q join codes n on q.id % 50 = 0 and q.id <> n.id)
 select query_id, neighbor_id, distance, rank::integer as rank
 from (select *, row_number() over (partition by query_id order by distance, neighbor_id) as rank from met) where rank <= 10""",
+    "op11_lexical_search": r"""
+with words as (
+  select doc_id, row_number() over () as d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+sizes as (select d, doc_id, len(w)::bigint as n from words where len(w) > 0),
+corpus as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from sizes),
+asked as (select q, item_id, t, count(*) as r from (select row_number() over () as q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark) group by all),
+held as (select d, t, count(*)::bigint as tf from (select d, unnest(w) as t from words) where t in (select t from asked) group by all),
+weights as (select t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint as w from (select t, count(*) as df from held group by t), corpus),
+scored as (
+  select q, item_id, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms)))))::bigint as score
+  from asked join held using (t) join weights using (t) join sizes using (d), corpus
+  group by q, item_id, d, doc_id)
+select item_id, rank::integer as rank, doc_id, score
+from (select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from scored where score > 0) where rank <= 20""",
+    "op13_decontamination": r"""
+with words as (
+  select doc_id, row_number() over () as d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+asked as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+  select distinct item_id, case when len(w) < 10 then w else w[i : i + 9] end as x
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from asked where len(w) > 0)),
+hashed as (select item_id, len(x) as m, array_to_string(x, ' ') as x from windows),
+lengths as (select distinct m from hashed),
+places as (select d, m, w, unnest(range(1, len(w) - m + 2)) as i from words, lengths where len(w) >= m),
+met as (select p.d, p.i, p.m, h.item_id from places p join hashed h on h.m = p.m and h.x = array_to_string(p.w[p.i : p.i + p.m - 1], ' ')),
+hits as (select d, count(distinct j) as n_hit from (select d, unnest(range(i, i + m)) as j from met) group by d),
+items as (
+  select d, count(*) as n_items, string_agg(item_id, ',' order by item_id) as listed
+  from (select distinct d, item_id::varchar as item_id from met where item_id is not null) group by d)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join hits using (d) left join items using (d)""",
 }

@@ -42,6 +42,10 @@ _FOLD[65:91] += 32
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN) | np.uint64(1)
 _PLAIN = np.where(_IS_SPACE, np.uint64(0), _VALUE)
 _FOLDED = np.where(_IS_SPACE, np.uint64(0), _VALUE[_FOLD])
+# Terms: runs of ASCII letters and digits and of all that is not ASCII.
+_IS_TERM = np.zeros(256, bool)
+_IS_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_TERM = np.where(_IS_TERM, _VALUE[_FOLD], np.uint64(0))
 _powers = np.ones(1, np.uint64)
 
 
@@ -113,7 +117,43 @@ def word_slices(column: pa.Array, fold: bool = True, size: int = SLICE) -> Itera
         yield Slice(i, j, data, starts, hash_runs((_FOLDED if fold else _PLAIN)[data], at), np.searchsorted(at, starts))
 
 
+def term_slices(column: pa.Array, size: int = SLICE) -> Iterator[Slice]:
+    """Slices with the hashes of all terms in order, A-Z counting as a-z: the pattern [^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+."""
+    for i, j, data, starts in raw_slices(column, size):
+        at = runs(_IS_TERM[data].astype(np.uint8), starts)
+        yield Slice(i, j, data, starts, hash_runs(_TERM[data], at), np.searchsorted(at, starts))
+
+
+def term_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the terms of one text's bytes begin and end."""
+    edges = np.diff(np.concatenate([[0], _IS_TERM[data].astype(np.int8), [0]]))
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
 def hash_word(word: str, fold: bool = True) -> int:
     """The hash that word_slices gives a single word, as a signed long."""
     (s,) = word_slices(pa.array([word]), fold)
     return int(s.words.view(np.int64)[0])
+
+
+class Vocabulary:
+    """Distinct word hashes with numbers in their order; most other hashes are turned away by a table of their first bits."""
+
+    BITS = 20
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes.astype(np.uint64))
+        self.seen = np.zeros(1 << self.BITS, bool)
+        self.seen[self.hashes >> np.uint64(64 - self.BITS)] = True
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        found = np.full(len(hashes), -1, np.int32)
+        maybe = np.flatnonzero(self.seen[hashes >> np.uint64(64 - self.BITS)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), max(0, len(self) - 1))
+        good = self.hashes[at] == hashes[maybe] if len(self) else np.zeros(0, bool)
+        found[maybe[good]] = at[good]
+        return found
