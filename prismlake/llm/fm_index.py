@@ -88,7 +88,7 @@ def sorted_suffixes(text: np.ndarray, separator: int) -> np.ndarray:
     """Positions of text's suffixes in order; each separator is a symbol of its own above all others, later ones greater. The last symbol is one."""
     n = len(text)
     width = max(1, int(separator).bit_length())
-    known = 62 // width
+    known = min(62 // width, n)
     key = np.zeros(n, np.int64)
     ended = np.zeros(n, bool)
     for k in range(known):
@@ -326,7 +326,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
         return found.withColumnRenamed("key", "doc_id")
     # At most a row a block meets for each document.
     met = found.groupBy("key").agg(F.max("n_words").alias("n_words"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return numbered.select("doc_id", F.col("row_id").alias("key")).join(met, "key").select("doc_id", "n_words", "spans", "items")
+    return numbered.select(F.col("key").alias("doc_id"), F.col("row_id").alias("key")).join(met, "key").select("doc_id", "n_words", "spans", "items")
 
 
 def digested(found: DataFrame) -> DataFrame:

@@ -83,13 +83,25 @@ def build_index(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_index(vocabulary), INDEX)
 
 
+def _holding(vocabulary: Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for terms, starts in zip(batch.column("terms"), batch.column("starts"), strict=True):
+                own = vocabulary.find(terms.values.to_numpy().view(np.uint64))
+                held[own[own >= 0]] += np.diff(starts.values.to_numpy())[own >= 0]
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[some])], names=["term", "n"])
+
+    return lean(run)
+
+
 def statistics(index: DataFrame, vocabulary: Vocabulary) -> tuple[int, int, np.ndarray]:
     """(documents with a term, all terms, documents that hold each term of the vocabulary). The driver gets a row for each term of the vocabulary at most."""
     total = index.select(F.expr("size(filter(lengths, x -> x > 0))").alias("n"), F.expr("aggregate(lengths, 0L, (s, x) -> s + x)").alias("l")).agg(F.sum("n"), F.sum("l")).first()
-    each = index.select(F.explode(F.expr("transform(terms, (t, i) -> struct(t as term, starts[i + 1] - starts[i] as n))")).alias("x"))
-    rows = each.groupBy("x.term").agg(F.sum("x.n").alias("n")).toArrow()
+    rows = index.select("terms", "starts").mapInArrow(_holding(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     found = np.zeros(len(vocabulary), np.int64)
-    found[vocabulary.find(rows["term"].to_numpy().view(np.uint64))] = rows["n"].to_numpy()
+    found[rows["term"].to_numpy()] = rows["n"].to_numpy()
     return total[0] or 0, total[1] or 0, found
 
 
