@@ -40,7 +40,7 @@ BATCHES = 8
 PARTS = 10
 LEAST_ROWS = 20
 #: Parts of a group that meet in one task.
-FAN = 128
+FAN = 48
 #: Rows or nodes that a task works on at a time.
 LOT = 1 << 18
 #: The batch of a group's merged summary.
