@@ -70,19 +70,32 @@ def hash_for_mode(precise: Column, fast: Column, use_fast: bool) -> Column:
     return fast if use_fast else precise
 
 
-def hundredths(value: Column) -> Column:
-    """A double as hundredths, rounded from its exact binary value, half away from zero.
+def scaled(value: Column, digits: int, even: bool = False) -> Column:
+    """A double times a power of ten as a whole number, rounded from its exact binary value: halves away from zero, or to even.
 
-    The double is split in two halves of 26 bits, whose products with 200 are exact, so
-    that 1.115, which is a little less, gives 111.
+    The double is split in two halves of 26 bits, whose products with twice the power
+    are exact for up to eight digits, so that 1.115, which is a little less, gives 111.
     """
+    power = 10**digits
     x = F.abs(value)
     big = x * F.lit(134217729.0)
     high = big - (big - x)
     low = x - high
-    n = F.floor(x * 100).cast("double")
-    up = (high * 200 - (2 * n + 1)) + low * 200 >= 0
-    return (F.when(value < 0, -1).otherwise(1) * (n + up.cast("int"))).cast("int")
+    n = F.floor(x * power).cast("double")
+    over = (high * (2 * power) - (2 * n + 1)) + low * (2 * power)
+    up = (over > 0) | ((over == 0) & (n % 2 == 1)) if even else over >= 0
+    return F.when(value < 0, -1).otherwise(1).cast("long") * (n.cast("long") + up.cast("long"))
+
+
+def hundredths(value: Column) -> Column:
+    return scaled(value, 2).cast("int")
+
+
+def fixed_text(value: Column, digits: int, even: bool = False) -> Column:
+    """A double with so many decimals; negative ones keep their sign, zero included."""
+    n = F.abs(scaled(value, digits, even))
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.concat(sign, F.call_function("div", n, F.lit(10**digits)).cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
 
 
 def geo_cell(latitude: Column, longitude: Column) -> Column:
@@ -97,41 +110,62 @@ def valid_position(latitude: Column, longitude: Column) -> Column:
     return F.when(latitude.isNotNull() | longitude.isNotNull(), F.coalesce(latitude.between(-90, 90) & longitude.between(-180, 180), F.lit(False)))
 
 
-# The notation: degrees, then optionally minutes, then optionally seconds, then a direction.
-_NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
-_DEGREES = _NUMBER + r"\s*[°d]\s*(?:" + _NUMBER + r"\s*['′]\s*(?:" + _NUMBER + r"\s*[\"″]\s*)?)?"
+#: The signs of degrees, minutes and seconds, and of directions.
+UNITS = {"°": 0, "d": 0, "'": 1, "′": 1, '"': 2, "″": 2}
+SOUTH_WEST, DIRECTIONS = ("S", "W"), ("N", "S", "E", "W")
 
 
-def _degrees(text: Column, pattern: str) -> Column:
-    """Signed decimal degrees of a text that matches the pattern, whose fourth group is the direction."""
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).try_cast("double"), F.lit(0.0))
-    sign = F.when(F.upper(F.regexp_extract(text, pattern, 4)).isin("S", "W"), -1.0).otherwise(1.0)
-    return sign * (part(1) + part(2) / 60 + part(3) / 3600)
+def _decimal(text: Column) -> Column:
+    """A number of plain digits with one point at most, inside; null for any other text."""
+    parts = F.split(text, "[.]")
+    digits = F.forall(parts, lambda x: (x != "") & (F.translate(x, "0123456789", "") == ""))
+    return F.when(digits & (F.size(parts) <= 2), text.try_cast("double"))
+
+
+def _signed(text: Column) -> Column:
+    negative = text.startswith("-")
+    return F.when(negative, -_decimal(F.substr(text, F.lit(2)))).otherwise(_decimal(text))
+
+
+def _angle(text: Column) -> Column:
+    """Signed degrees of a trimmed text of numbers that each have a unit, in the units' order and with none left out, and perhaps a direction last; null for any other text."""
+    mark = "([0-9.]+)\\s*([" + "".join(UNITS) + "])"
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(mark), F.lit(1)), _decimal)
+    units = F.regexp_extract_all(text, F.lit(mark), F.lit(2))
+    rank = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    in_order = F.transform(units, lambda u: F.try_element_at(rank, u)) == F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), F.lit(1), F.size(units))
+    rest = F.regexp_replace(F.regexp_replace(text, mark, ""), "\\s", "")
+    direction = F.upper(rest)
+    ends_well = (rest == "") | (direction.isin(*DIRECTIONS) & (F.right(text, F.lit(1)) == rest))
+    part = lambda i: F.coalesce(F.get(numbers, F.lit(i)), F.lit(0.0))
+    size = part(0) + part(1) / 60 + part(2) / 3600
+    good = (F.size(units) > 0) & in_order & ends_well & F.forall(numbers, lambda x: x.isNotNull())
+    return F.when(good, F.when(direction.isin(*SOUTH_WEST), -size).otherwise(size))
 
 
 def parse_position(text: Column) -> Column:
     """Decimal degrees, or degrees, minutes and seconds with or without a direction; null if neither."""
     trimmed = F.trim(text)
-    pattern = "^" + _DEGREES + "([NSEWnsew])?$"
-    return F.when(trimmed.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), trimmed.try_cast("double")).when(trimmed.rlike(pattern), _degrees(trimmed, pattern))
+    return F.coalesce(_signed(trimmed), _angle(trimmed))
 
 
 def parse_pair(text: Column) -> Column:
     """(latitude, longitude) of a decimal pair in range, or of texts of degrees with directions, which say what is which; the last of each counts. Null if one is missing."""
-    trimmed = F.trim(text)
-    pair = r"^(-?[0-9]+(?:\.[0-9]+)?)\s*[,\s]\s*(-?[0-9]+(?:\.[0-9]+)?)$"
-    lat, lon = (F.nullif(F.regexp_extract(trimmed, pair, i), F.lit("")).try_cast("double") for i in (1, 2))
-    pattern = _DEGREES + "([NSEWnsew])"
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    last = lambda signs: F.get(F.reverse(F.transform(F.filter(found, lambda x: F.upper(F.right(x, F.lit(1))).isin(*signs)), lambda x: _degrees(x, "^" + pattern + "$"))), F.lit(0))
-    north, east = last("NS"), last("EW")
+    words = F.filter(F.split(F.replace(text, F.lit(","), F.lit(" , ")), "\\s+"), lambda x: x != "")
+    two = (F.size(words) == 2) | ((F.size(words) == 3) & (F.get(words, F.lit(1)) == ","))
+    lat, lon = _signed(F.get(words, F.lit(0))), _signed(F.get(words, F.size(words) - 1))
+    # Texts up to each letter of a direction, of which an angle is what begins at the last number of degrees.
+    upto = F.regexp_extract_all(text, F.lit("([^NSEWnsew]*[NSEWnsew])"), F.lit(1))
+    angles = F.transform(upto, lambda x: F.struct(F.upper(F.right(x, F.lit(1))).alias("to"), _angle(F.regexp_extract(x, "([0-9.]+\\s*[°d][^°d]*)$", 1)).alias("at")))
+    last = lambda signs: F.element_at(F.concat(F.array(F.lit(None).cast("double")), F.transform(F.filter(angles, lambda x: x["to"].isin(*signs) & x["at"].isNotNull()), lambda x: x["at"])), -1)
+    north, east = last(("N", "S")), last(("E", "W"))
     made = lambda x, y: F.struct(x.alias("latitude"), y.alias("longitude"))
-    return F.when(trimmed.rlike(pair) & valid_position(lat, lon), made(lat, lon)).when(north.isNotNull() & east.isNotNull(), made(north, east))
+    return F.when(two & lat.isNotNull() & lon.isNotNull() & valid_position(lat, lon), made(lat, lon)).when(north.isNotNull() & east.isNotNull(), made(north, east))
 
 
 def gps_text(latitude: Column, longitude: Column) -> Column:
     """Degrees with five decimals and directions."""
-    part = lambda v, plus, minus: F.concat(F.format_string("%.5f", F.abs(v)), F.lit("° "), F.when(v >= 0, plus).otherwise(minus))
+    part = lambda v, plus, minus: F.concat(fixed_text(F.abs(v), 5), F.lit("° "), F.when(v >= 0, plus).otherwise(minus))
     return F.concat(part(latitude, "N", "S"), F.lit(", "), part(longitude, "E", "W"))
 
 
@@ -176,6 +210,7 @@ def shared_position(latitude: Column, longitude: Column) -> Column:
 
 
 def sign_hash(vector: Column) -> Column:
-    """64 signs of a vector as a long, the first the lowest bit."""
-    bit = lambda i: F.call_function("shiftleft", (F.get(vector, i) > 0).cast("long"), i)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.coalesce(bit(i), F.lit(0).cast("long"))))
+    """64 signs of a vector as a long, the first the lowest bit; elements that are null or missing count as 0, and so does a null vector. The vector is evaluated once."""
+    zero = F.lit(0).cast("long")
+    bits = F.transform(vector, lambda x, i: F.when((x > 0) & (i < 64), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(zero))
+    return F.coalesce(F.aggregate(bits, zero, lambda a, b: a.bitwiseOR(b)), zero)

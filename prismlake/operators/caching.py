@@ -25,6 +25,11 @@ def match_cache(assets: DataFrame, cache: DataFrame, fast: bool = False) -> Data
     return joined.select(*assets.columns, "hit", F.when(F.col("hit"), F.col("content_hash")).alias("content_hash"))
 
 
+def cache_count(cache: DataFrame) -> DataFrame:
+    """n: the entries of a cache; rows without a key are none."""
+    return cache.agg(F.count("cache_key").alias("n"))
+
+
 def hit_stats(matched: DataFrame) -> DataFrame:
     n = F.count("*")
     hits = F.count_if(F.col("hit"))

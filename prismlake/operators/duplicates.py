@@ -6,31 +6,19 @@ which there may be millions, cost their number and not its square.
 
 from __future__ import annotations
 
-from collections import deque
-from itertools import combinations
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.functions.dates import timestamp_tag
 from prismlake.functions.paths import path_order, stem
 from prismlake.functions.values import hamming, similarity_percent
-from prismlake.operators.components import connected_components
+from prismlake.operators.clusters import complete_clusters, stars
+from prismlake.operators.pairs import hash_classes, near, widest
 from prismlake.operators.retention import elect
 from prismlake.operators.running import numbered, running_before
 from prismlake.session import durable
 
 CROSS_DISTANCE = 16
-#: Distinct hashes that meet in one task where an index cannot narrow candidates.
-BLOCK_HASHES = 20_000
-#: Segments of a hash in the index, and their bits.
-SEGMENTS, WIDTH = 4, 16
-#: Up to this distance the index is worth its probes: two bits of a segment may differ.
-INDEX_DISTANCE = 11
-#: Hashes that share a segment's value and stay together; more are dealt to chunks.
-CHUNK_HASHES = 4096
 
 
 def number_assets(assets: DataFrame) -> DataFrame:
@@ -46,127 +34,20 @@ def exact_groups(assets: DataFrame) -> DataFrame:
     return found.select("group_id", F.lit("exact").alias("kind"), F.lit(100).alias("similarity"), "asset_id", F.col("asset_id").alias("ord"))
 
 
-def hash_classes(hashes: DataFrame) -> DataFrame:
-    """(phash, rep, n) of rows (asset_id, phash): each distinct hash with its least asset and how many have it. Null hashes are in no class."""
-    return hashes.where("phash is not null and asset_id is not null").groupBy("phash").agg(F.min("asset_id").alias("rep"), F.count("*").alias("n"))
-
-
-def similar_pairs(hashes: DataFrame, distance: int) -> DataFrame:
-    """(a, b, distance) with a < b: pairs of classes of rows (asset_id, phash) within so many bits, named by their least assets.
-
-    The members of a class are in hash_classes(); pairs within a class have distance 0
-    and are not listed. Up to INDEX_DISTANCE, pairs within d bits differ by at most d / 4
-    in one of four segments, so each hash looks up the values that near its own; lists
-    of a value that many hashes share are dealt to chunks. Beyond, lists would be nearly
-    whole tables; the classes meet in blocks, and only pairs within the distance leave a
-    task: quadratic in the number of distinct hashes.
-    """
-    return _near(hash_classes(hashes), distance)
-
-
-def _near(classes: DataFrame, distance: int) -> DataFrame:
-    """similar_pairs() of rows (phash, rep)."""
-    rows = durable(classes.select("rep", "phash"))
-    if distance <= INDEX_DISTANCE:
-        return _near_by_index(rows, distance)
-    blocks = max(1, -(-rows.count() // BLOCK_HASHES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tiles = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-
-    def near_in_tile(part: pd.DataFrame) -> pd.DataFrame:
-        i, j = part["i"].iloc[0], part["j"].iloc[0]
-        left, right = part[part["block"] == i], part[part["block"] == j]
-        codes, ids = right["phash"].to_numpy().view(np.uint64), right["rep"].to_numpy()
-        out = []
-        for asset, code in zip(left["rep"].to_numpy(), left["phash"].to_numpy().view(np.uint64), strict=True):
-            d = np.bitwise_count(codes ^ code)
-            hit = np.flatnonzero((d <= distance) & (ids > asset if i == j else ids != asset))
-            out.append(np.stack([np.full(len(hit), asset), ids[hit], d[hit].astype(np.int64)], axis=1))
-        found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-        return pd.DataFrame({"a": found[:, :2].min(axis=1) if len(found) else [], "b": found[:, :2].max(axis=1) if len(found) else [], "distance": found[:, 2].astype(np.int32)})
-
-    return tiles.groupBy("i", "j").applyInPandas(near_in_tile, "a long, b long, distance int")
-
-
-def _near_by_index(rows: DataFrame, distance: int) -> DataFrame:
-    radius = distance // SEGMENTS
-    value = lambda h, i: F.shiftrightunsigned(h, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1))
-    parts = rows.withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), value("phash", i).alias("v")) for i in range(SEGMENTS)]))).select("rep", "phash", "s.*")
-    # At most SEGMENTS times 65,536 rows.
-    lists = F.broadcast(durable(parts.groupBy("i", "v").agg(F.ceil(F.count("*") / CHUNK_HASHES).cast("int").alias("chunks"))))
-    index = parts.join(lists, ["i", "v"]).select("i", "v", F.pmod(F.xxhash64("phash"), F.col("chunks")).cast("int").alias("chunk"), F.col("rep").alias("b"), F.col("phash").alias("theirs"))
-    masks = [sum(1 << x for x in chosen) for r in range(radius + 1) for chosen in combinations(range(WIDTH), r)]
-    asked = parts.select(F.col("rep").alias("a"), F.col("phash").alias("mine"), "i", F.explode(F.transform(F.lit(masks), lambda m: F.col("v").bitwiseXOR(m.cast("long")))).alias("v"))
-    probes = asked.join(lists, ["i", "v"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    met = probes.join(index, ["i", "v", "chunk"]).where("a < b")
-    differ = F.col("mine").bitwiseXOR(F.col("theirs"))
-    # The first segment that is near finds the pair, the others pass it by.
-    first = F.coalesce(*[F.when(F.bit_count(value(differ, i)) <= radius, F.lit(i)) for i in range(SEGMENTS)])
-    return met.where((first == F.col("i")) & (F.bit_count(differ) <= distance)).select("a", "b", F.bit_count(differ).alias("distance"))
-
-
-def greedy_clusters(ids: list[int], edges: dict[tuple[int, int], int], many: dict[int, int] | None = None) -> list[tuple[int, list[int], int]]:
-    """(seed, members, greatest distance tried) by ascending seeds; a candidate joins if it is within reach of every member.
-
-    The greatest distance also counts what was measured of candidates that were turned
-    away. many: how many assets a class has; a class of two or more is a cluster even
-    alone. All assets of a class share one fate, as they are equally far from any other.
-    """
-    neighbours: dict[int, list[int]] = {}
-    for a, b in edges:
-        neighbours.setdefault(a, []).append(b)
-        neighbours.setdefault(b, []).append(a)
-    taken: set[int] = set()
-    out = []
-    for seed in sorted(ids):
-        if seed in taken:
-            continue
-        members, most = [seed], 0
-        for candidate in sorted(neighbours.get(seed, ())):
-            if candidate <= seed or candidate in taken:
-                continue
-            fits = True
-            for m in members:
-                d = edges.get((min(m, candidate), max(m, candidate)))
-                if d is None:
-                    fits = False
-                    break
-                most = max(most, d)
-            if fits:
-                members.append(candidate)
-        if len(members) > 1 or (many or {}).get(seed, 1) > 1:
-            taken.update(members)
-            out.append((seed, members, most))
-    return out
-
-
 def similar_groups(hashes: DataFrame, distance: int) -> DataFrame:
     """(group_id, kind, similarity, asset_id, ord): complete-linkage clusters, seeds in ascending order.
 
-    A cluster lies within one connected component of the pairs within distance, so
-    components are clustered apart, with the result of one sequential scan; one task
-    holds a component's classes and pairs. Clusters whose greatest distance is 0 count
-    as exact. Null hashes are in no group.
+    Classes are clustered as one sequential scan of all would; a class of two or more
+    assets that is in no cluster is one. All assets of a class share one fate, as they
+    are equally far from any other. Clusters whose greatest distance is 0 count as
+    exact. Null hashes are in no group.
     """
+    hashes = durable(hashes.where("phash is not null").select("asset_id", "phash"))
     classes = durable(hash_classes(hashes))
-    pairs = durable(_near(classes, distance))
-    parts = connected_components(pairs, "a", "b")
-    sizes = classes.select(F.col("rep"), "n")
-    keyed = pairs.join(parts.withColumnRenamed("vertex", "a"), "a")
-    for end in ("a", "b"):
-        keyed = keyed.join(sizes.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}")), end)
-
-    def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        edges = {(a, b): d for a, b, d in zip(part["a"].tolist(), part["b"].tolist(), part["distance"].tolist(), strict=True)}
-        many = dict(zip(part["a"].tolist(), part["na"].tolist(), strict=True)) | dict(zip(part["b"].tolist(), part["nb"].tolist(), strict=True))
-        found = greedy_clusters(sorted(many), edges, many)
-        return pd.DataFrame([(seed, most, m) for seed, members, most in found for m in members], columns=["group_id", "most", "rep"])
-
-    made = durable(keyed.groupBy("component").applyInPandas(cluster, "group_id long, most int, rep long"))
-    # Classes that nothing is near to.
-    alone = sizes.where("n > 1").join(parts.select(F.col("vertex").alias("rep")), "rep", "left_anti").select(F.col("rep").alias("group_id"), F.lit(0).alias("most"), "rep")
+    made = complete_clusters(near(classes, distance))
+    alone = classes.where("n > 1").join(made.select("rep"), "rep", "left_anti").select(F.col("rep").alias("group_id"), F.lit(0).alias("most"), "rep")
     whole = classes.join(made.unionByName(alone), "rep").select("phash", "group_id", "most")
-    rows = hashes.where("phash is not null").select("asset_id", "phash").join(whole, "phash")
+    rows = hashes.join(whole, "phash")
     return rows.select("group_id", F.when(F.col("most") == 0, "exact").otherwise("similar").alias("kind"), similarity_percent(F.col("most")).alias("similarity"), "asset_id", F.col("asset_id").alias("ord"))
 
 
@@ -175,79 +56,34 @@ def same_time_groups(assets: DataFrame, distance: int = CROSS_DISTANCE) -> DataF
 
     similarity is null unless all members have hashes within distance of one another.
     Of a tag's distinct hashes all are first held against one: where one is farther, so
-    is a pair, and the tag needs no pairs.
+    is a pair, and the tag's greatest distance need not be known.
     """
     tagged = assets.where("ts_tag is not null").select("ts_tag", "asset_id", "phash")
     sizes = tagged.groupBy("ts_tag").agg(F.count("*").alias("n"), F.count("phash").alias("hashed"), F.min("asset_id").alias("group_id"), F.min("phash").alias("anchor")).where("n >= 2")
     members = durable(tagged.join(sizes, "ts_tag"))
     distinct = members.where("n = hashed").select("ts_tag", "phash", "anchor").distinct()
     far = distinct.groupBy("ts_tag").agg(F.max(hamming(F.col("phash"), F.col("anchor"))).alias("far")).where(F.col("far") <= distance)
-    near = durable(distinct.join(far, "ts_tag").select("ts_tag", "phash", "far"))
-    a, b = near.alias("a"), near.alias("b")
-    met = a.join(b, (F.col("a.ts_tag") == F.col("b.ts_tag")) & (F.col("a.phash") < F.col("b.phash")))
-    spread = met.groupBy(F.col("a.ts_tag").alias("ts_tag")).agg(F.max(hamming(F.col("a.phash"), F.col("b.phash"))).alias("most"))
-    known = near.select("ts_tag").distinct().join(spread, "ts_tag", "left").select("ts_tag", F.coalesce("most", F.lit(0)).alias("most"))
+    known = widest(distinct.join(far, "ts_tag").select(F.col("ts_tag").alias("key"), "phash")).withColumnRenamed("key", "ts_tag")
     shown = members.join(known, "ts_tag", "left")
     similarity = F.when(F.col("most") <= distance, similarity_percent(F.col("most")))
     return shown.select("group_id", F.lit("sameDate").alias("kind"), similarity.alias("similarity"), "asset_id", F.col("asset_id").alias("ord"), "ts_tag")
 
 
-def star_clusters(members: list[tuple[str, int, int, int]], near: dict[int, list[int]], phash: dict[int, int]) -> list[tuple[list[int], int]]:
-    """(assets, greatest distance of any two) of members (tag, asset, group, class) in their order; a star takes all later ones of its seed's and near classes that are of other groups."""
-    left: dict[int, dict[int, deque]] = {}
-    members = sorted(members)
-    for m in members:
-        left.setdefault(m[3], {}).setdefault(m[2], deque()).append(m)
-    taken: set[int] = set()
-    out = []
-    for seed in members:
-        _, asset, group, own = seed
-        if asset in taken:
-            continue
-        # What is before a seed is taken or has been a seed itself, so the seed is the first of its list.
-        left[own][group].popleft()
-        found: list[tuple] = []
-        for other in (own, *near.get(own, ())):
-            lists = left.get(other, {})
-            for g in [g for g in lists if g != group]:
-                found += lists.pop(g)
-        if found:
-            star = [seed, *sorted(found)]
-            taken.update(m[1] for m in star)
-            codes = np.array(sorted({phash[m[3]] for m in star}), np.int64).view(np.uint64)
-            most = max(int(np.bitwise_count(codes ^ c).max()) for c in codes)
-            out.append(([m[1] for m in star], most))
-    return out
-
-
 def cross_groups(groups: DataFrame, hashes: DataFrame, distance: int = CROSS_DISTANCE) -> DataFrame:
     """groups (of equal timestamps) after stars across them have taken members out; groups left below two go, others keep their similarity and are named by their least asset.
 
     Stars are sameDate groups with a similarity, named by their seed, whose members come
-    in its order. Seeds go by tag and asset. One task holds a component of classes.
+    in its order. Seeds go by tag and asset.
     """
-    members = durable(groups.join(hashes.select("asset_id", "phash"), "asset_id", "left"))
-    hashed = members.where("phash is not null").select(F.coalesce("ts_tag", F.lit("")).alias("tag"), "asset_id", "phash", "group_id")
+    members = groups.join(hashes.select("asset_id", "phash"), "asset_id", "left")
+    hashed = durable(members.where("phash is not null").select(F.coalesce("ts_tag", F.lit("")).alias("tag"), "asset_id", "phash", "group_id"))
     classes = durable(hash_classes(hashed))
-    pairs = durable(_near(classes, distance))
-    parts = connected_components(pairs, "a", "b")
-    named = classes.join(parts.withColumnRenamed("vertex", "rep"), "rep", "left").select("phash", "rep", F.coalesce("component", "rep").alias("component"))
-    rows = hashed.join(named, "phash")
-    edges = pairs.join(parts.withColumnRenamed("vertex", "a"), "a").select("component", "a", "b")
-
-    def stars(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(theirs["a"].tolist(), theirs["b"].tolist(), strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        flat = list(zip(mine["tag"].tolist(), mine["asset_id"].tolist(), mine["group_id"].tolist(), mine["rep"].tolist(), strict=True))
-        found = star_clusters(flat, near, dict(zip(mine["rep"].tolist(), mine["phash"].tolist(), strict=True)))
-        return pd.DataFrame([(assets[0], most, m, i) for assets, most in found for i, m in enumerate(assets)], columns=["seed", "most", "asset_id", "ord"])
-
-    made = durable(rows.groupBy("component").cogroup(edges.groupBy("component")).applyInPandas(stars, "seed long, most int, asset_id long, ord long"))
+    rows = durable(hashed.join(classes.select("phash", "rep"), "phash"))
+    made = durable(stars(rows.select("tag", "asset_id", "group_id", "rep"), near(classes, distance)))
+    spread = widest(made.join(rows.select("asset_id", "phash"), "asset_id").select(F.col("seed").alias("key"), "phash")).withColumnRenamed("key", "seed")
     left = durable(groups.join(made.select("asset_id"), "asset_id", "left_anti"))
     whole = left.groupBy("group_id").agg(F.count("*").alias("n"), F.min("asset_id").alias("least")).where("n >= 2")
-    new = made.select(F.col("seed").alias("group_id"), F.lit("sameDate").alias("kind"), similarity_percent(F.col("most")).alias("similarity"), "asset_id", "ord")
+    new = made.join(spread, "seed").select(F.col("seed").alias("group_id"), F.lit("sameDate").alias("kind"), similarity_percent(F.col("most")).alias("similarity"), "asset_id", "ord")
     # A seed may have named its old group, so what is left of groups is named by its own least asset.
     return left.join(whole, "group_id").select(F.col("least").alias("group_id"), "kind", "similarity", "asset_id", "ord").unionByName(new)
 

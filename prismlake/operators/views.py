@@ -82,7 +82,9 @@ def order_groups(groups: DataFrame, by: str = "kind", descending: bool = False)
 def natural_key(text: Column) -> Column:
     """A key that compares texts without regard to case and accents, and runs of digits as numbers."""
     parts = F.regexp_extract_all(text, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 30, "0")).otherwise(x))
+    # A number's key begins with its length, so that numbers of any length compare by size.
+    plain = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    padded = F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(plain(x)).cast("string"), 9, "0"), plain(x))).otherwise(x))
     return F.collate(F.array_join(padded, ""), "UNICODE_CI_AI")
 
 
@@ -125,8 +127,14 @@ def extension_histogram(assets: DataFrame) -> DataFrame:
 
 
 def facet(rows: DataFrame, column: str) -> DataFrame:
-    """Distinct values in order, nulls and empty ones aside."""
-    return rows.where(F.coalesce(F.col(column), F.lit("")) != "").select(column).distinct().orderBy(column)
+    """Distinct values with `place`, case and accents aside and digits as numbers, equal ones by code points; nulls and empty ones are left out. By ranges, so no task sorts all."""
+    values = rows.where(F.coalesce(F.col(column), F.lit("")) != "").select(column).distinct()
+    return numbered(values, [natural_key(F.col(column)).asc(), F.col(column).asc()], "place")
+
+
+def location_counts(assets: DataFrame) -> DataFrame:
+    """(location, n): how many assets each location has; those without one, or an empty one, count under NO_LOCATION."""
+    return assets.groupBy(F.coalesce(F.nullif("location", F.lit("")), F.lit(NO_LOCATION)).alias("location")).agg(F.count("*").alias("n"))
 
 
 def with_custom(found: DataFrame, custom: DataFrame, column: str) -> DataFrame:

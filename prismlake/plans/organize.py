@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import dates
 from prismlake.functions.paths import VIDEO_EXTENSIONS, extension, file_name, media_kind, normal_extension
-from prismlake.functions.values import MIXED, device_of, join_device, parse_pair, split_device
+from prismlake.functions.values import MIXED, device_of, fixed_text, join_device, parse_pair, split_device
 from prismlake.operators.running import numbered, running_before
 from prismlake.session import durable
 
@@ -189,9 +189,10 @@ def plan_organize(files: DataFrame, config: OrganizerConfig, existing: DataFrame
 
 
 def preview_of(files: DataFrame, plan: DataFrame) -> DataFrame:
-    """files (path, ...) with new_filename, new_path and date_used of a plan, nulls where it has none; separators count as equal."""
+    """files (path, ...) with new_filename, new_path and date_used of a plan, nulls where it has none; separators count as equal. Of several actions of one path the least new_path stands."""
     norm = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
-    rows = plan.select(norm(F.col("original_path")).alias("_path"), "new_filename", "new_path", "date_used").dropDuplicates(["_path"])
+    rows = plan.select(norm(F.col("original_path")).alias("_path"), "new_filename", "new_path", "date_used")
+    rows = rows.groupBy("_path").agg(F.min(F.struct("new_path", "new_filename", "date_used")).alias("_row")).select("_path", "_row.new_filename", "_row.new_path", "_row.date_used")
     return files.withColumn("_path", norm(F.col("path"))).join(rows, "_path", "left").drop("_path")
 
 
@@ -209,10 +210,10 @@ def media_order(files: DataFrame) -> DataFrame:
 
 
 def media_list(files: DataFrame, tags: DataFrame, priority: str = "exif") -> DataFrame:
-    """files (path) with date_taken, date_source and place: what their tags (source_file, original, created, file_modified) or names say. Files without tags have no date."""
+    """files (path) with date_taken, date_source and place: what their tags (source_file, original, created, file_modified) or names say. Files without tags have no date; of several dates of one file the earliest stands."""
     norm = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
     at = dates.listed_date(file_name(F.col("_key")), F.col("original"), F.col("created"), F.col("file_modified"), priority)
-    known = tags.withColumn("_key", norm(F.col("source_file"))).select("_key", at.alias("_date")).where("_date is not null").dropDuplicates(["_key"])
+    known = tags.withColumn("_key", norm(F.col("source_file"))).select("_key", at.alias("_date")).where("_date is not null").groupBy("_key").agg(F.min("_date").alias("_date"))
     dated = files.withColumn("_key", norm(F.col("path"))).join(known, "_key", "left")
     return media_order(dated.select(*files.columns, F.col("_date.date").alias("date_taken"), F.col("_date.source").alias("date_source")))
 
@@ -256,7 +257,7 @@ def metadata_tags(updates: DataFrame) -> DataFrame:
     rows += [tag(t, F.when(~gone, has(t.lower()))) for t in ("Make", "Model")]
     for c, name, plus, minus in (("gps_latitude", "GPSLatitude", "N", "S"), ("gps_longitude", "GPSLongitude", "E", "W")):
         value = has(c).cast("double")
-        rows.append(tag(name, F.when(value.isNotNull(), F.format_string("%.8f", value))))
+        rows.append(tag(name, F.when(value.isNotNull(), fixed_text(value, 8, even=True))))
         rows.append(tag(name + "Ref", F.when(value >= 0, plus).when(value < 0, minus)))
     return updates.select("path", F.explode(F.array(*rows)).alias("t")).where("t.value is not null").select("path", "t.tag", "t.value")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.functions import dates, paths, values
-from prismlake.operators import caching, duplicates, retention, views
+from prismlake.operators import caching, duplicates, pairs, retention, views
 from prismlake.plans import metadata, organize
 
 QUERIES: dict = {}
@@ -154,7 +154,7 @@ PAIRS = "select * from (select a.rep as a, b.rep as b, len(list_filter(range(1,
 
 @query(f"{SIGNS.format('embedding[i] > 0')} {PAIRS} 16")
 def j4_hamming_pairs(spark, sf_dir):
-    return duplicates.similar_pairs(hashes(spark, sf_dir), 16)
+    return pairs.similar_pairs(hashes(spark, sf_dir), 16)
 
 
 # Signs of eight neighbours each, so that many are near and some are equal.
@@ -168,13 +168,13 @@ def blurred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SIGNS.format(BLURRED)} {PAIRS} 8")
 def j4_near_classes(spark, sf_dir):
-    return duplicates.similar_pairs(blurred(spark, sf_dir), 8)
+    return pairs.similar_pairs(blurred(spark, sf_dir), 8)
 
 
 @query(f"with s as (select vec_id, list_transform(range(1, 65), lambda i: coalesce({BLURRED}, false)) as sign from embeddings) select vec_id as asset_id, min(vec_id) over (partition by sign) as rep, count(*) over (partition by sign) as n from s")
 def j4_hash_classes(spark, sf_dir):
     rows = blurred(spark, sf_dir)
-    return rows.join(duplicates.hash_classes(rows), "phash").select("asset_id", "rep", "n")
+    return rows.join(pairs.hash_classes(rows), "phash").select("asset_id", "rep", "n")
 
 
 @query()
@@ -337,9 +337,9 @@ def m12_positions(spark, sf_dir):
 CELL = "case when abs({0}) * 8 = floor(abs({0}) * 8) then floor(abs({0}) * 100 + 0.5) else replace(printf('%.2f', abs({0})), '.', '')::bigint end::int"
 
 
-@query(f"with c as (select c_custkey, c_acctbal / 100 as lat, c_nationkey / 8.0 as lon from customer where c_custkey % 2 = 0), k as (select c_custkey, {CELL.format('lat')} as a, lat < 0 as below, {CELL.format('lon')} as lon_cell from c) select case when below then -a else a end as lat_cell, lon_cell, concat(case when below then '-' else '' end, a // 100, '.', lpad((a % 100)::varchar, 2, '0'), ',', lon_cell // 100, '.', lpad((lon_cell % 100)::varchar, 2, '0')) as geo_cell, count(*) as n, min(c_custkey) as first_key from k group by all")
+@query(f"with c as (select c_custkey, c_acctbal / 100 as lat, c_nationkey / 8.0 as lon from customer), k as (select c_custkey, {CELL.format('lat')} as a, lat < 0 as below, {CELL.format('lon')} as lon_cell from c) select case when below then -a else a end as lat_cell, lon_cell, concat(case when below then '-' else '' end, a // 100, '.', lpad((a % 100)::varchar, 2, '0'), ',', lon_cell // 100, '.', lpad((lon_cell % 100)::varchar, 2, '0')) as geo_cell, count(*) as n, min(c_custkey) as first_key from k group by all")
 def g15_geo_cells(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.inline(F.array(values.geo_cell(F.col("c_acctbal") / 100, F.col("c_nationkey") / F.lit(8.0)))))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.inline(F.array(values.geo_cell(F.col("c_acctbal") / 100, F.col("c_nationkey") / F.lit(8.0)))))
     return c.groupBy("lat_cell", "lon_cell", "geo_cell").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first_key"))
 
 
@@ -354,10 +354,10 @@ def g14_position_state(spark, sf_dir):
     return assets(spark, sf_dir).groupBy("device", (F.col("asset_id") % 360).alias("o")).agg(values.position_state(lat, lon).alias("state"), values.shared_position(lat, lon).alias("p")).select("device", "o", "state", "p.*")
 
 
-@query(f"{WITH} f as (select * from assets where contains(lower({NAME}), 'photo') and substr(coalesce(date_taken, modified), 1, 10) between '2012-01-01' and '2020-12-31' and coalesce(device, '') = 'Cam 1') select asset_id, location from f where location is not null")
+@query(f"{WITH} f as (select * from assets where contains(lower({NAME}), 'photo') and substr(coalesce(date_taken, modified), 1, 10) between '2012-01-01' and '2020-12-31' and coalesce(device, '') = 'Cam 1') select asset_id, location from f")
 def f5_filter_assets(spark, sf_dir):
     found = views.filter_assets(assets(spark, sf_dir), " Photo ", "2012-01-01", "2020-12-31", device="Cam 1")
-    return found.where("location is not null").select("asset_id", "location")
+    return found.select("asset_id", "location")
 
 
 @query(f"{GROUPS}, hit as (select distinct group_id from members where lower(regexp_extract(path, '([^.]*)$', 1)) = 'jpg'), named as (select distinct group_id from members where contains(lower({NAME}), 'pxl')) select group_id, asset_id from members where group_id in (from hit) and group_id in (from named)")
@@ -433,7 +433,7 @@ def g10_extensions(spark, sf_dir):
     return views.extension_histogram(assets(spark, sf_dir))
 
 
-@query(f"{WITH} d as (select distinct device from assets where coalesce(device, '') <> '') select device from d")
+@query(f"{WITH} d as (select distinct device from assets where coalesce(device, '') <> '') select device, row_number() over (order by lower(strip_accents(regexp_extract(device, '^[^0-9]*'))), try_cast(regexp_extract(device, '[0-9]+$') as bigint), device) as place from d")
 def g12_devices(spark, sf_dir):
     return views.facet(assets(spark, sf_dir), "device")
 
@@ -547,7 +547,7 @@ def m6_laplacian(spark, sf_dir):
 
 @query(f"{WITH} n as (select location, count(*) as n from assets group by 1) select coalesce(location, '__no_location__') as location, n from n")
 def f7_locations(spark, sf_dir):
-    return assets(spark, sf_dir).groupBy(F.coalesce("location", F.lit(values.NO_LOCATION)).alias("location")).agg(F.count("*").alias("n"))
+    return views.location_counts(assets(spark, sf_dir))
 
 
 @query(f"{WITH} f as (select asset_id, coalesce(location, '') = '' as unnamed from assets where coalesce(location, '') = '' or location = 'Town 3') select asset_id, unnamed from f")
@@ -703,9 +703,9 @@ def k4_migrated_cache(spark, sf_dir):
     return caching.migrated(old, 2).select(F.col("cache_key").cast("long").alias("cache_key"), "size_bytes", "phash", "modified", "width")
 
 
-@query("select count(*) as n from documents")
+@query("select count(doc_id) as n from documents")
 def s15_cache_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+    return caching.cache_count(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cache_key")))
 
 
 @query("select md5(string_agg(digest, '' order by part)) as fingerprint from (select line[1:3] as part, md5(string_agg(line, '' order by line)) as digest from (select md5(concat_ws('|', vec_id::varchar, label::varchar)) as line from embeddings) group by 1)")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismlake.functions import dates, imaging, paths, values
-from prismlake.operators import caching, duplicates, retention, views
+from prismlake.operators import caching, clusters, duplicates, pairs, retention, views
 from prismlake.operators.components import connected_components
 from prismlake.plans import registry
 
@@ -142,15 +142,58 @@ def test_cross_groups(spark):
 
 
 def test_pairs_by_bands_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(duplicates, "BLOCK_HASHES", 20)
-    monkeypatch.setattr(duplicates, "CHUNK_HASHES", 2)
+    monkeypatch.setattr(pairs, "BLOCK_HASHES", 20)
+    monkeypatch.setattr(pairs, "CHUNK_HASHES", 2)
     draw = np.random.default_rng(2)
     codes = draw.integers(-(2**63), 2**63, 60)
     codes[30:] = codes[:30] ^ np.array([(1 << int(i)) | (1 << int(j)) for i, j in draw.integers(0, 62, (30, 2))])
     rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes)], "asset_id long, phash long")
     for distance in (0, 3, 7, 11, 30):
         brute = sorted((i, j, int(np.bitwise_count((codes[i] ^ codes[j]).view(np.uint64)))) for j in range(60) for i in range(j) if np.bitwise_count((codes[i] ^ codes[j]).view(np.uint64)) <= distance)
-        assert sorted(map(tuple, duplicates.similar_pairs(rows, distance).collect())) == brute
+        assert sorted(map(tuple, pairs.similar_pairs(rows, distance).collect())) == brute
+
+
+def test_hashes_are_compared_by_segments(monkeypatch):
+    draw = np.random.default_rng(7)
+    codes = draw.integers(-(2**63), 2**63, 6000)
+    codes[3000:] = codes[:3000] ^ (np.int64(1) << draw.integers(0, 63, 3000)) ^ (np.int64(1) << draw.integers(0, 63, 3000))
+    for distance in (0, 2, 5, 12, 13, 14, 15, 16):
+        found = []
+        for limit, tally in ((10**12, None), (0, [])):
+            monkeypatch.setattr(pairs, "COMPARE_ALL", limit)
+            parts = [np.stack([x, y, d.astype(np.int64)]) for x, y, d in pairs.near_codes(codes[:3500], codes[2500:], distance, tally)]
+            rows = np.concatenate([np.zeros((3, 0), np.int64), *parts], axis=1).T.tolist()
+            assert len({tuple(r) for r in rows}) == len(rows)
+            found.append(sorted(rows))
+        assert found[0] == found[1] and sum(tally) < 3500 * 3500 / 10
+    assert [pairs.radii(d) for d in (0, 3, 8, 11, 16)] == [[0, -1, -1, -1], [0, 0, 0, 0], [2, 1, 1, 1], [2, 2, 2, 2], [4, 3, 3, 3]]
+
+
+@pytest.mark.parametrize("distance", [6, 14])
+def test_pairs_are_kept_up_to_date(spark, tmp_path, distance, monkeypatch):
+    monkeypatch.setattr(pairs, "MOST_VERSIONS", 3)
+    draw = np.random.default_rng(3)
+    base = draw.integers(-(2**63), 2**63, 10)
+    pool = [int(base[i % 10] ^ np.bitwise_or.reduce(np.int64(1) << draw.integers(0, 63, 4))) for i in range(80)]
+    folder = str(tmp_path / "pairs")
+    for step, chosen in enumerate((pool[:40], pool[:40], pool[10:60], [], pool[5:30], pool[:80], pool[40:])):
+        rows = spark.createDataFrame([(c,) for c in [*chosen, *chosen[:3], None]], "phash long")
+        if step == 2:  # a run that stopped before its hashes were written
+            spark.createDataFrame([(1, 2, 0)], pairs.PAIRS).write.parquet(f"{folder}/pairs/version=1")
+        got = sorted(map(tuple, pairs.update_pairs(rows, distance, folder).collect()))
+        whole = sorted(set(chosen))
+        want = [(a, b, int(np.bitwise_count(np.uint64((a ^ b) & (2**64 - 1))))) for i, a in enumerate(whole) for b in whole[i + 1 :]]
+        assert got == [w for w in want if w[2] <= distance], step
+        assert got == sorted(map(tuple, pairs.kept_pairs(spark, folder).collect()))
+
+
+def test_widest(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_HASHES", 3)
+    draw = np.random.default_rng(5)
+    rows = [(f"k{k}", int(c)) for k in range(8) for c in draw.integers(-(2**63), 2**63, 1 + k * 2)] + [("one", 5), ("one", 5), ("none", None)]
+    got = {r["key"]: r["most"] for r in pairs.widest(spark.createDataFrame(rows, "key string, phash long")).collect()}
+    of = {k: [c for key, c in rows if key == k and c is not None] for k in {k for k, c in rows if c is not None}}
+    assert got == {k: max(bin((a ^ b) & (2**64 - 1)).count("1") for a in own for b in own) for k, own in of.items()}
 
 
 def test_components(spark):
@@ -283,8 +326,10 @@ def sequential_groups(assets, distance, across=True):
     return groups
 
 
-@pytest.mark.parametrize("distance", [0, 3, 6, 7, 10, 16])
-def test_all_phases_equal_a_sequential_scan(spark, distance):
+@pytest.mark.parametrize(("distance", "task_rows"), [(0, 200_000), (3, 200_000), (6, 200_000), (7, 200_000), (10, 200_000), (16, 200_000), (6, 0), (10, 0), (16, 4)])
+def test_all_phases_equal_a_sequential_scan(spark, distance, task_rows, monkeypatch):
+    # Without room in tasks all components go by rounds.
+    monkeypatch.setattr(clusters, "TASK_ROWS", task_rows)
     draw = np.random.default_rng(distance)
     base = draw.integers(-(2**63), 2**63, 12)
     assets = []
@@ -311,7 +356,7 @@ def test_all_phases_equal_a_sequential_scan(spark, distance):
 
 def test_a_hash_that_many_have_is_one_class(spark):
     many = spark.range(200_000).select(F.col("id").alias("asset_id"), F.when(F.col("id") % 3 == 0, F.lit(5).cast("long")).otherwise(F.xxhash64("id")).alias("phash"))
-    assert duplicates.similar_pairs(many, 6).count() < 1000
+    assert pairs.similar_pairs(many, 6).count() < 1000
     groups = duplicates.similar_groups(many, 6).groupBy("group_id", "kind").count().orderBy(F.desc("count")).first()
     assert tuple(groups) == (0, "exact", 66_667)
     tagged = many.limit(20_000).withColumn("ts_tag", F.lit("20210828_132922"))
