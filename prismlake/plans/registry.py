@@ -177,12 +177,61 @@ def j4_hash_classes(spark, sf_dir):
     return rows.join(pairs.hash_classes(rows), "phash").select("asset_id", "rep", "n")
 
 
-@query()
+BITS = "bit_count(xor({0}, {1}))::int"
+CODE = "list_reduce(list_transform(range(1, 65), lambda i: case when {0} then 1::ubigint << (i - 1)::ubigint else 0::ubigint end), lambda x, y: x | y)"
+PERCENT = "round((64 - {0}) / 64.0 * 100)::int"
+
+
+def clusters_sql(rows: str, distance: int) -> str:
+    """CTEs up to `clustered`: one scan, pair by pair in order, over the classes of rows (asset_id, sign); what it holds is the seed, whether it is still free, its members, all that are taken, and the greatest distance."""
+    return f"""classes as (select sign, min(asset_id) as rep, count(*) as n from {rows} where sign is not null group by sign),
+edges as (select row_number() over (order by a, b) as k, * from (select a.rep as a, b.rep as b, {BITS.format('a.sign', 'b.sign')} as distance from classes a join classes b on a.rep < b.rep) where distance <= {distance}),
+apart as (select map(list(a * 10000000 + b), list(distance)) as d from edges),
+scan(k, seed, free, members, taken, most) as (
+  select 0::bigint, -1::bigint, false, []::bigint[], []::bigint[], 0::int
+  union all
+  select k, a, free, case when fits and len(list_filter(ds, lambda d: d is null)) = 0 then list_append(members, b) else members end, taken,
+    case when fits then greatest(most, coalesce(list_max(ds[1:coalesce(nullif(list_position(list_transform(ds, lambda d: d is null), true), 0), len(ds) + 1) - 1]), 0)) else most end
+  from (
+    select *, free and not list_contains(taken, b) as fits, list_transform(members, lambda x: map_extract_value(d, x * 10000000 + b)) as ds from (
+      select e.k, e.a, e.b, d, tk as taken, case when e.a <> seed then not list_contains(tk, e.a) else free end as free, case when e.a <> seed then [e.a] else members end as members, case when e.a <> seed then 0 else most end as most
+      from (select *, case when free and len(members) > 1 then list_concat(taken, members) else taken end as tk0 from scan) s join edges e on e.k = s.k + 1, apart, lateral (select case when e.a <> s.seed then s.tk0 else s.taken end as tk)))),
+ends as (select seed, members, most from scan where free and len(members) > 1 qualify row_number() over (partition by seed order by k desc) = 1),
+grouped as (select seed as group_id, most, unnest(members) as rep from ends),
+whole as (select * from grouped union all select rep, 0, rep from classes where n > 1 and rep not in (select rep from grouped)),
+clustered as (select group_id, case when most = 0 then 'exact' else 'similar' end as kind, {PERCENT.format('most')} as similarity, asset_id from whole join classes using (rep) join {rows} using (sign))"""
+
+
+def stars_sql(timed: str) -> str:
+    """CTEs up to `crossed`: one scan over members (tag, asset_id, group_id, similarity, sign) of groups of equal timestamps, which takes stars across groups out of them."""
+    return f"""flat as (select row_number() over (order by tag, asset_id) as k, * from {timed} where sign is not null),
+reach as (select a.k, list(b.k order by b.k) filter (b.k is not null) as near from flat a left join flat b on a.k < b.k and a.group_id <> b.group_id and {BITS.format('a.sign', 'b.sign')} <= 16 group by a.k),
+walk(k, star, gone) as (
+  select 0::bigint, []::bigint[], []::bigint[]
+  union all
+  select k, star, case when len(star) > 0 then list_concat(gone, [k], star) else gone end
+  from (select r.k, gone, case when list_contains(gone, r.k) then [] else list_filter(coalesce(near, []), lambda x: not list_contains(gone, x)) end as star from walk w join reach r on r.k = w.k + 1)),
+caught as (select k as seed, unnest(list_concat([k], star)) as k from walk where len(star) > 0),
+starred as (select seed, k, asset_id, sign from caught join flat using (k)),
+spread as (select a.seed, max({BITS.format('a.sign', 'b.sign')}) as most from starred a join starred b using (seed) group by 1),
+kept as (select *, count(*) over g as left_n, min(asset_id) over g as least from {timed} where asset_id not in (select asset_id from starred) window g as (partition by group_id)),
+crossed as (select flat.asset_id as group_id, 'sameDate' as kind, {PERCENT.format('most')} as similarity, starred.asset_id, row_number() over (partition by seed order by starred.k) - 1 as ord from starred join spread using (seed) join flat on flat.k = starred.seed
+  union all select least, 'sameDate', similarity, asset_id, asset_id from kept where left_n >= 2)"""
+
+
+def timed_sql(rows: str) -> str:
+    """CTEs up to `timed`: groups of equal tags of rows (tag, asset_id, sign), with a similarity where all are near one another."""
+    return f"""tags as (select tag, min(asset_id) as group_id, count(*) as n, count(sign) as hashed from {rows} where tag is not null group by 1 having count(*) >= 2),
+farthest as (select a.tag, max({BITS.format('a.sign', 'b.sign')}) as most from {rows} a join {rows} b on a.tag = b.tag group by 1),
+timed as (select tag, group_id, asset_id, sign, case when n = hashed and most <= 16 then {PERCENT.format('most')} end as similarity from tags join farthest using (tag) join {rows} using (tag))"""
+
+
+@query(f"with recursive rows_ as (select vec_id as asset_id, {CODE.format('embedding[i] > 0')} as sign from embeddings), {clusters_sql('rows_', 20)} select *, asset_id as ord from clustered")
 def g2_similar_clusters(spark, sf_dir):
     return duplicates.similar_groups(hashes(spark, sf_dir), 20)
 
 
-@query()
+@query(f"with recursive rows_ as (select vec_id as asset_id, {CODE.format(BLURRED)} as sign from embeddings), {clusters_sql('rows_', 8)} select *, asset_id as ord from clustered")
 def g2_near_clusters(spark, sf_dir):
     return duplicates.similar_groups(blurred(spark, sf_dir), 8)
 
@@ -209,13 +258,25 @@ def g3_similar_timestamps(spark, sf_dir):
     return duplicates.same_time_groups(tagged_hashes(spark, sf_dir)).select("group_id", "asset_id", "similarity")
 
 
-@query()
+@query(f"with recursive rows_ as (select vec_id as asset_id, vec_id // 2 as tag, case when vec_id % 11 > 0 then {CODE.format(BLURRED)} end as sign from embeddings), {timed_sql('rows_')}, {stars_sql('timed')} select group_id, kind, similarity, asset_id from crossed")
 def g4_cross_groups(spark, sf_dir):
     h = tagged_hashes(spark, sf_dir)
-    return duplicates.cross_groups(duplicates.same_time_groups(h), h)
+    return duplicates.cross_groups(duplicates.same_time_groups(h), h).select("group_id", "kind", "similarity", "asset_id")
 
 
-@query()
+@query(
+    f"""{GROUPS.replace('with assets', 'with recursive assets', 1)},
+signs as (select vec_id as asset_id, {CODE.format('embedding[i] > 0')} as sign from embeddings),
+rows_ as (select asset_id, sign, nullif(regexp_extract({STEM}, '([0-9]{{8}}_[0-9]{{6}})', 1), '') as tag from assets left join signs using (asset_id) where asset_id not in (select asset_id from members)),
+{clusters_sql('rows_', 6)},
+later as (select * from rows_ where asset_id not in (select asset_id from clustered)),
+{timed_sql('later')},
+{stars_sql('timed')},
+every_group as (select group_id, kind, similarity, asset_id, asset_id as ord from members union all select *, asset_id from clustered union all from crossed),
+shown as (select g.*, path, modified, size_bytes, width, height, {IS_COPY} as is_copy from every_group g join assets using (asset_id)),
+marked as (select *, row_number() over (partition by group_id order by is_copy, {RESOLUTION}) = 1 as is_original, row_number() over (partition by group_id order by modified, ord) as place, min(modified) over (partition by group_id) as began from shown)
+select group_id, kind, similarity, asset_id, is_original, place, dense_rank() over (order by began, group_id) as group_place from marked"""
+)
 def find_duplicates(spark, sf_dir):
     found = assets(spark, sf_dir).join(hashes(spark, sf_dir), "asset_id", "left")
     return duplicates.find_duplicates(found).select("group_id", "kind", "similarity", "asset_id", "is_original", "place", "group_place")
