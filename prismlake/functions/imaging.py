@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -58,7 +59,7 @@ def gradient_hash(luma: np.ndarray) -> int:
 
 
 def dimensions_of(content: bytes | None) -> tuple[int, int]:
-    """(width, height) from a picture's header: PNG, GIF, BMP, JPEG, WebP, TIFF; (0, 0) for others and for broken ones."""
+    """(width, height) from a picture's header: PNG, GIF, BMP, JPEG, WebP, TIFF, HEIC, AVIF; (0, 0) for others and for broken ones."""
     try:
         return _dimensions(content or b"")
     except (struct.error, IndexError):
@@ -95,7 +96,7 @@ def _dimensions(c: bytes) -> tuple[int, int]:
                 height, width = struct.unpack_from(">HH", c, at + 5)
                 return width, height
             at += 1 if marker == 0xFF else 2 + struct.unpack_from(">H", c, at + 2)[0]
-    return 0, 0
+    return boxed_facts(c)[0]
 
 
 def luma_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -187,10 +188,12 @@ def _directory(tiff: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, i
 
 
 def exif_of(content: bytes | None) -> dict:
-    """date_taken (ISO, wall time), orientation and thumbnail of a JPEG's EXIF; what is missing or broken is left out."""
+    """date_taken (ISO, wall time), orientation and thumbnail of the EXIF of a JPEG, TIFF or HEIC; what is missing or broken is left out."""
     at = 2
+    if content and content[:4] in (b"II*\0", b"MM\0*"):
+        return tiff_facts(content)
     if not content or content[:2] != b"\xff\xd8":
-        return {}
+        return boxed_facts(content)[1]
     while at + 4 <= len(content) and content[at] == 0xFF:
         marker, size = content[at + 1], struct.unpack_from(">H", content, at + 2)[0]
         if marker == 0xE1 and content[at + 4 : at + 10] == b"Exif\0\0":
@@ -201,6 +204,18 @@ def exif_of(content: bytes | None) -> dict:
         at += 2 + size
     else:
         return {}
+    return tiff_facts(tiff)
+
+
+def tiff_facts(tiff: bytes) -> dict:
+    """date_taken, orientation and thumbnail of a TIFF structure's directories, as they are in EXIF blocks and TIFF files; nothing of broken ones."""
+    try:
+        return _tiff_facts(tiff)
+    except struct.error:
+        return {}
+
+
+def _tiff_facts(tiff: bytes) -> dict:
     order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
     if order is None or len(tiff) < 8:
         return {}
@@ -224,6 +239,118 @@ def exif_of(content: bytes | None) -> dict:
     return found
 
 
+def _boxes(c: bytes, at: int, end: int):
+    """(kind, where the body begins, where the box ends) of ISO boxes; a box that says more than there is ends with its parent."""
+    while at + 8 <= end:
+        size, kind = struct.unpack_from(">I4s", c, at)
+        body = at + 8
+        if size == 1 and at + 16 <= end:
+            (size,) = struct.unpack_from(">Q", c, at + 8)
+            body = at + 16
+        stop = end if size == 0 else at + size
+        if stop < body:
+            return
+        yield kind, body, min(stop, end)
+        at = stop
+
+
+def _sized(c: bytes, at: int, size: int) -> tuple[int, int]:
+    """(a big-endian number of so many bytes, what follows it)."""
+    return int.from_bytes(c[at : at + size], "big"), at + size
+
+
+def _items(c: bytes, at: int) -> dict[int, bytes]:
+    """Kinds of items by id, from the body of an `iinf` box."""
+    version = c[at]
+    count, at = _sized(c, at + 4, 2 if version == 0 else 4)
+    found = {}
+    for kind, body, _ in islice(_boxes(c, at, len(c)), count):
+        if kind == b"infe" and c[body] >= 2:
+            own, rest = _sized(c, body + 4, 2 if c[body] == 2 else 4)
+            found[own] = c[rest + 2 : rest + 6]
+    return found
+
+
+def _places(c: bytes, at: int) -> dict[int, list[tuple[int, int]]]:
+    """(offset, length) of items' parts in the file by id, from the body of an `iloc` box; items kept elsewhere are left out."""
+    version = c[at]
+    sizes, more = c[at + 4], c[at + 5]
+    offset_size, length_size, base_size, index_size = sizes >> 4, sizes & 15, more >> 4, more & 15 if version else 0
+    wide = 4 if version == 2 else 2
+    count, at = _sized(c, at + 6, wide)
+    found: dict[int, list[tuple[int, int]]] = {}
+    for _ in range(count):
+        own, at = _sized(c, at, wide)
+        method = 0
+        if version:
+            method, at = _sized(c, at, 2)
+        base, at = _sized(c, at + 2, base_size)
+        parts, at = _sized(c, at, 2)
+        for _ in range(parts):
+            offset, at = _sized(c, at + index_size, offset_size)
+            length, at = _sized(c, at, length_size)
+            if method & 15 == 0:
+                found.setdefault(own, []).append((base + offset, length))
+        if at > len(c):
+            break
+    return found
+
+
+def _linked(c: bytes, at: int) -> dict[int, list[int]]:
+    """Numbers of items' properties, from 1, by id, from the body of an `ipma` box."""
+    version, wide = c[at], c[at + 3] & 1
+    count, at = _sized(c, at + 4, 4)
+    found = {}
+    for _ in range(count):
+        own, at = _sized(c, at, 2 if version == 0 else 4)
+        n, at = _sized(c, at, 1)
+        found[own] = []
+        for _ in range(n):
+            number, at = _sized(c, at, 2 if wide else 1)
+            found[own].append(number & (0x7FFF if wide else 0x7F))
+        if at > len(c):
+            break
+    return found
+
+
+def boxed_facts(content: bytes | None) -> tuple[tuple[int, int], dict]:
+    """((width, height), what tiff_facts() says) of a HEIC or AVIF by its boxes; nothing is decoded.
+
+    The sizes are those of the primary item, turned as it is. Its EXIF block may stand
+    anywhere in the file; where content is only the head and ends before it, there is
+    none. Other and broken files give (0, 0) and nothing.
+    """
+    c = content or b""
+    size, facts = (0, 0), {}
+    if c[4:8] != b"ftyp":
+        return size, facts
+    try:
+        for kind, body, end in _boxes(c, 0, len(c)):
+            if kind != b"meta":
+                continue
+            inner = {k: (b, e) for k, b, e in _boxes(c, body + 4, end)}
+            primary = _sized(c, inner[b"pitm"][0] + 4, 2 if c[inner[b"pitm"][0]] == 0 else 4)[0] if b"pitm" in inner else None
+            if b"iprp" in inner:
+                parts = {k: (b, e) for k, b, e in _boxes(c, *inner[b"iprp"])}
+                known = list(_boxes(c, *parts[b"ipco"]))
+                numbers = _linked(c, parts[b"ipma"][0]).get(primary, [])
+                for own, at, _ in [known[n - 1] for n in numbers if 0 < n <= len(known)]:
+                    if own == b"ispe":
+                        size = struct.unpack_from(">II", c, at + 4)
+                    elif own == b"irot" and c[at] & 1:
+                        size = size[::-1]
+            if b"iinf" in inner and b"iloc" in inner:
+                places = _places(c, inner[b"iloc"][0])
+                for own, name in _items(c[: inner[b"iinf"][1]], inner[b"iinf"][0]).items():
+                    if name == b"Exif" and places.get(own):
+                        block = b"".join(c[a : a + n] for a, n in places[own])
+                        facts = tiff_facts(block[4 + int.from_bytes(block[:4], "big") :])
+            break
+    except (struct.error, IndexError, KeyError):
+        pass
+    return size, facts
+
+
 def exif(content: Column) -> Column:
     """exif_of as a struct (date_taken, orientation, thumbnail)."""
 

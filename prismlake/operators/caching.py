@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismlake.sources.heads import KINDS
+
 
 def usable(fast: bool) -> Column:
     """A cached row serves if it has the mode's hash, or was never hashed in either mode."""
@@ -133,11 +135,9 @@ def place_cache_stats(names: DataFrame) -> DataFrame:
 
 
 def failed_files(results: DataFrame) -> DataFrame:
-    """(path, kind) of rows (path, error) that failed: a name of views.FAILURES where the error says so, else IO_ERROR."""
-    text = F.upper("error")
-    kinds = {"PERMISSION_DENIED": "PERMISSION|ACCESS DENIED", "NOT_FOUND": "NOT.?FOUND|NO SUCH FILE", "UNSUPPORTED_FORMAT": "UNSUPPORTED", "CORRUPTED_FILE": "CORRUPT"}
-    kind = F.coalesce(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in kinds.items()], F.lit("IO_ERROR"))
-    return results.where("error is not null").select("path", kind.alias("kind"))
+    """(path, kind) of rows (path, errno) that failed: the system's number of the error says the kind; null is no failure."""
+    kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return results.where("errno is not null").select("path", F.coalesce(F.try_element_at(kinds, F.col("errno").cast("int")), F.lit("IO_ERROR")).alias("kind"))
 
 
 def patch(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:

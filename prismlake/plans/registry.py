@@ -744,10 +744,10 @@ def o10_newest(spark, sf_dir):
     return views.newest(table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), F.col("value").alias("mtime")))
 
 
-@query("select event_id as path, case when event_id % 5 = 0 then 'PERMISSION_DENIED' when event_id % 5 = 1 then 'NOT_FOUND' when event_id % 5 = 2 then 'CORRUPTED_FILE' else 'IO_ERROR' end as kind, case when event_id % 5 = 0 then 'Permission denied' when event_id % 5 = 1 then 'File not found' when event_id % 5 = 2 then 'Corrupted file' else 'I/O error' end as label from events where event_id % 5 < 4")
+@query("select event_id as path, case when event_id % 5 in (0, 1) then 'PERMISSION_DENIED' when event_id % 5 = 2 then 'NOT_FOUND' else 'IO_ERROR' end as kind, case when event_id % 5 in (0, 1) then 'Permission denied' when event_id % 5 = 2 then 'File not found' else 'I/O error' end as label from events where event_id % 5 < 4")
 def g23_failed_files(spark, sf_dir):
-    error = F.element_at(F.array(*[F.lit(x) for x in ("permission denied (13)", "No such file", "corrupt JPEG", "disk on fire", None)]), (F.col("event_id") % 5 + 1).cast("int"))
-    failed = caching.failed_files(table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), error.alias("error")))
+    number = F.element_at(F.array(*[F.lit(x) for x in (13, 1, 2, 5, None)]), (F.col("event_id") % 5 + 1).cast("int"))
+    failed = caching.failed_files(table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), number.alias("errno")))
     return failed.withColumn("label", views.failure_label(F.col("kind")))
 
 

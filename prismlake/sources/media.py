@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.functions import dates, paths
-from prismlake.functions.imaging import exif, header_facts, picture_features, thumbnail
+from prismlake.functions.imaging import exif, picture_features, thumbnail
+from prismlake.sources.heads import file_heads
 
 
 def _plain(path: str) -> Column:
@@ -37,32 +38,50 @@ def in_given_order(listing: DataFrame, chosen: DataFrame) -> DataFrame:
     return both.groupBy(*listing.columns).agg(F.min("ord").alias("ord")).orderBy("ord", F.split("path", "/"))
 
 
+def scan(spark: SparkSession, folders: list[str], hashed: bool = True) -> DataFrame:
+    """file_heads() of pictures, each once: what could be read, and of what could not its path, kind and error."""
+    return file_heads(spark, folders, extensions=[f".{e}" for e in paths.IMAGE_EXTENSIONS], hashed=hashed).where(paths.is_image(F.col("path")) | F.col("kind").isNotNull()).dropDuplicates(["path"])
+
+
+def failed(scanned: DataFrame) -> DataFrame:
+    """(path, kind) of a scan's rows that could not be read."""
+    return scanned.where("kind is not null").select("path", "kind")
+
+
+def corrections(scanned: DataFrame) -> DataFrame:
+    """(path, width, height, date_taken) of HEIC and its like, by their boxes: what late corrections say, without a converter."""
+    return scanned.where(paths.is_heic(F.col("path")) & F.col("kind").isNull()).select("path", "width", "height", "date_taken")
+
+
 def features(spark: SparkSession, folders: list[str], decode: bool = True) -> DataFrame:
     """Records of pictures: sizes, hashes of content and header, name tags, dates, and, with decode, phash and blur_score.
 
-    Contents are read once for headers and hashes, and once more by the image source,
-    which decodes what the JVM knows (JPEG, PNG, GIF, BMP); others have null hashes.
-    modified is the name's date, else the embedded one, else the file's time.
+    Files that cannot be read are left out; failed() of a scan() has them. Contents are
+    read once for hashes and headers, and once more by the image source, which decodes
+    what the JVM knows (JPEG, PNG, GIF, BMP); others have null hashes. modified is the
+    name's date, else the embedded one, else the file's time.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
-    base = rows.select(_plain("path").alias("path"), F.col("length").alias("size_bytes"), "modificationTime", "content").where(paths.is_image(F.col("path"))).dropDuplicates(["path"])
-    tagged = base.withColumn("_exif", exif(F.col("content"))).withColumn("_size", header_facts(F.col("content"))).withColumn("ts_tag", dates.timestamp_tag(paths.stem(F.col("path"))))
-    mtime = dates.modified_text(F.col("modificationTime"))
-    found = tagged.select(
-        "path", "size_bytes", F.sha2("content", 256).alias("content_hash"), F.sha2(F.substring("content", 1, 4096), 256).alias("header_hash"), "ts_tag",
-        dates.capture_date(F.col("ts_tag"), F.col("_exif.date_taken"), mtime).alias("modified"), mtime.alias("mtime"), F.col("_exif.date_taken").alias("date_taken"), F.col("_exif.orientation").alias("orientation"), "_size.*",
+    scanned = scan(spark, folders).where("kind is null").withColumn("ts_tag", dates.timestamp_tag(paths.stem(F.col("path"))))
+    found = scanned.select(
+        "path", "size_bytes", "content_hash", "header_hash", "ts_tag",
+        dates.capture_date(F.col("ts_tag"), F.col("date_taken"), F.col("mtime")).alias("modified"), "mtime", "date_taken", "orientation", "width", "height",
     )
     if not decode:
         return found
-    pictures = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(folders)
-    seen = pictures.select(_plain("image.origin").alias("path"), picture_features(F.col("image")).alias("_seen")).dropDuplicates(["path"])
+    seen = _pictures(spark, folders).select("path", picture_features(F.col("image")).alias("_seen")).dropDuplicates(["path"])
     return found.join(seen, "path", "left").select(*found.columns, "_seen.*")
 
 
+def _pictures(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(path, image) of what the image source decodes; files that vanish or break meanwhile are passed by."""
+    options = {"recursiveFileLookup": "true", "dropInvalid": "true", "ignoreMissingFiles": "true", "ignoreCorruptFiles": "true"}
+    return spark.read.format("image").options(**options).load(folders).select(_plain("image.origin").alias("path"), "image")
+
+
 def header_hashes(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(path, header_hash) of pictures, by a reader that asks for no other column."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path", "content")
-    return rows.select(_plain("path").alias("path"), F.sha2(F.substring("content", 1, 4096), 256).alias("header_hash")).where(paths.is_image(F.col("path")))
+    """(path, header_hash) of pictures; of each file its first 4 KiB are read."""
+    rows = file_heads(spark, folders, extensions=[f".{e}" for e in paths.IMAGE_EXTENSIONS], facts=False)
+    return rows.where("kind is null").select("path", "header_hash").dropDuplicates(["path"])
 
 
 def paths_exist(chosen: DataFrame, listing: DataFrame) -> DataFrame:
@@ -75,8 +94,7 @@ def thumbnails(spark: SparkSession, folders: list[str]) -> DataFrame:
     """(path, key, uri): small upright pictures as data URIs, in PNG; key is the first 16 digits of the content's hash, under which a cache may keep them. Pictures that cannot be decoded have none."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select(_plain("path").alias("path"), "content")
     known = rows.where(paths.is_image(F.col("path"))).select("path", F.substring(F.sha2("content", 256), 1, 16).alias("key"), exif(F.col("content"))["orientation"].alias("orientation"))
-    pictures = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(folders).select(_plain("image.origin").alias("path"), "image")
-    made = pictures.join(known, "path").select("path", "key", thumbnail(F.col("image"), F.col("orientation")).alias("png"))
+    made = _pictures(spark, folders).join(known, "path").select("path", "key", thumbnail(F.col("image"), F.col("orientation")).alias("png"))
     return made.select("path", "key", paths.data_uri(F.lit("image/png"), F.col("png")).alias("uri"))
 
 

@@ -222,6 +222,103 @@ def test_files(spark, tmp_path):
     assert row["date_taken"] == "2020-01-02T03:04:05Z" and row["orientation"] == 6
 
 
+def heic(width, height, turned, tiff, big=False):
+    """A HEIC file of boxes: a primary item with sizes and a turn, and an EXIF item at its end."""
+    box = lambda kind, body: (struct.pack(">I4sQ", 1, kind, 16 + len(body)) if big else struct.pack(">I4s", 8 + len(body), kind)) + body
+    full = lambda kind, version, body, flags=0: box(kind, struct.pack(">I", version << 24 | flags) + body)
+    infe = lambda own, name: full(b"infe", 2, struct.pack(">HH4s", own, 0, name) + b"\0")
+    block = struct.pack(">I", 6) + b"Exif\0\0" + tiff
+    items = full(b"iinf", 0, struct.pack(">H", 2) + infe(1, b"hvc1") + infe(2, b"Exif"))
+    properties = box(b"iprp", box(b"ipco", full(b"ispe", 0, struct.pack(">II", 7, 7)) + full(b"ispe", 0, struct.pack(">II", width, height)) + box(b"irot", bytes([turned]))) + full(b"ipma", 0, struct.pack(">IHBBB", 1, 1, 2, 2, 0x83)))
+
+    def whole(at):
+        places = full(b"iloc", 1, struct.pack(">BBH", 0x44, 0, 1) + struct.pack(">HHHHII", 2, 0, 0, 1, at, len(block)))
+        meta = full(b"meta", 0, full(b"pitm", 0, struct.pack(">H", 1)) + items + places + properties)
+        return box(b"ftyp", b"heic\0\0\0\0mif1") + meta + box(b"mdat", block)
+
+    return whole(len(whole(0)) - len(block))
+
+
+def tiff_of(order, date=b"2021:03:04 05:06:07\0", orientation=6, size=None):
+    pack = lambda f, *x: struct.pack(order + f, *x)
+    entries = [(0x0100, 4, 1, pack("I", size[0])), (0x0101, 3, 1, pack("HH", size[1], 0))] if size else []
+    entries += [(0x0112, 3, 1, pack("HH", orientation, 0)), (0x8769, 4, 1, None)]
+    end = 8 + 2 + 12 * len(entries) + 4
+    head = (b"II*\0" if order == "<" else b"MM\0*") + pack("I", 8) + pack("H", len(entries))
+    for tag, kind, n, value in entries:
+        head += pack("HHI", tag, kind, n) + (pack("I", end) if value is None else value)
+    return head + pack("I", 0) + pack("H", 1) + pack("HHII", 0x9003, 2, 20, end + 18) + pack("I", 0) + date
+
+
+def test_headers_of_boxes_and_tiff():
+    for big in (False, True):
+        for order in "<>":
+            assert imaging.boxed_facts(heic(4032, 3024, 0, tiff_of(order), big)) == ((4032, 3024), {"orientation": 6, "date_taken": "2021-03-04T05:06:07Z"})
+    assert imaging.dimensions_of(heic(4032, 3024, 1, b"")) == (3024, 4032) and imaging.exif_of(heic(1, 2, 0, b"II")) == {}
+    file = heic(40, 30, 0, tiff_of("<"))
+    for n in range(len(file)):
+        imaging.boxed_facts(file[:n]), imaging.exif_of(file[:n])
+    assert imaging.boxed_facts(file[:-20])[0] == (40, 30)
+    for order in "<>":
+        assert imaging.dimensions_of(tiff_of(order, size=(70000, 300))) == (70000, 300)
+        assert imaging.exif_of(tiff_of(order, size=(7, 3))) == {"orientation": 6, "date_taken": "2021-03-04T05:06:07Z"}
+
+
+def test_files_that_cannot_be_read_are_rows(spark, tmp_path, monkeypatch):
+    from prismlake.sources import heads, media
+
+    for name, content in {"a/b/c.heic": heic(40, 30, 0, tiff_of("<")), "a/x.tif": tiff_of(">", size=(9, 8)), "a/empty.jpg": b"", "note.txt": b"n", "big.png": b"p" * 9000}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "link.png").symlink_to(tmp_path / "big.png")
+    scanned = media.scan(spark, [str(tmp_path), str(tmp_path / "a"), str(tmp_path / "none")])
+    rows = {r["path"].removeprefix(str(tmp_path)): r for r in scanned.collect()}
+    assert set(rows) == {"/a/b/c.heic", "/a/x.tif", "/a/empty.jpg", "/big.png", "/none"}
+    assert (rows["/a/b/c.heic"]["width"], rows["/a/b/c.heic"]["date_taken"], rows["/a/x.tif"]["height"]) == (40, "2021-03-04T05:06:07Z", 8)
+    assert rows["/a/empty.jpg"]["size_bytes"] == 0 and rows["/a/empty.jpg"]["kind"] is None and rows["/a/empty.jpg"]["width"] == 0
+    assert [tuple(r) for r in media.failed(scanned).collect()] == [(str(tmp_path / "none"), "NOT_FOUND")]
+    assert [tuple(r)[1:] for r in media.corrections(scanned).collect()] == [(40, 30, "2021-03-04T05:06:07Z")]
+    chosen = heads.file_heads(spark, paths=[str(tmp_path / n) for n in ("gone.jpg", "a", "big.png")], facts=False)
+    assert sorted((r["path"].rsplit("/", 1)[1], r["kind"]) for r in chosen.collect()) == [("a", "IO_ERROR"), ("big.png", None), ("gone.jpg", "NOT_FOUND")]
+    found = {r["path"].rsplit("/", 1)[1]: r["header_hash"] for r in media.header_hashes(spark, [str(tmp_path)]).collect()}
+    import builtins
+    import hashlib
+
+    assert found["big.png"] == hashlib.sha256(b"p" * 4096).hexdigest() and len(found) == 4
+    asked = []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def read(self, n):
+            asked.append(n)
+            return self.file.read(n)
+
+    monkeypatch.setattr(heads, "open", lambda p, m: Counted(builtins.open(p, m)), raising=False)
+    heads.facts_of(str(tmp_path / "big.png"), False, False)
+    assert asked == [4096]
+
+    def denied(*_):
+        raise PermissionError(13, "no")
+
+    monkeypatch.setattr(heads, "open", denied, raising=False)
+    assert heads.facts_of(str(tmp_path / "big.png"), True)["kind"] == "PERMISSION_DENIED"
+    reader = heads.HeadReader({"folders": f'["{tmp_path}"]', "slices": "5"})
+    parts = reader.partitions()
+    assert sum(isinstance(p, heads.Walk) for p in parts) + sum(isinstance(p, heads.Own) for p in parts) >= 3
+    names = [n for p in parts for n, _ in reader._names(p)]
+    assert len(names) == len(set(names)) == 5
+    monkeypatch.setattr(heads.os, "scandir", denied)
+    assert [kind for p in parts for _, e in reader._names(p) for kind in [heads.kind_of(e)]][0] == "PERMISSION_DENIED"
+
+
 def test_orientation():
     p = np.arange(6).reshape(2, 3)
     turned = {1: p, 2: p[:, ::-1], 3: p[::-1, ::-1], 4: p[::-1], 5: p.T, 6: p[::-1].T, 7: p[::-1, ::-1].T, 8: p.T[::-1]}
