@@ -141,11 +141,17 @@ def plan_organize(files: DataFrame, config: OrganizerConfig, existing: DataFrame
 
     files: ord, path, original, created, media_created, file_modified, make, model,
     product, android. Names count up in input order. A target that exists already
-    (existing: path) or that an earlier file has taken is tried again under ATTEMPTS - 1
-    further names: colliding files get, in input order, that many numbers each after
-    those given so far, and take the first name that is free; names without numbers
-    stay as they are, so of equal targets the first file keeps it. Without an output
+    (existing: path) or that an earlier file has taken is tried again, ATTEMPTS times in
+    all; each try takes the next numbers, so those of all later files move on. A file
+    without a free name has no row, but its tries count too. Names without numbers stay
+    as they are, so of equal targets the first file keeps it. Without an output
     directory or a month a file's new path is its name alone.
+
+    Files do not wait for one another: all are numbered by running sums over the tries
+    that each took, and named; where a name is taken the tries change, and all are
+    numbered again until nothing does. Each round settles one more file that has to try
+    again at least; mostly few rounds are enough, as numbers that have moved are free.
+    Random tokens have no such order: files whose names are taken draw again after all others.
     """
     dated = resolve_dates(files, config).withColumn("file_kind", media_kind(F.col("path"))).where("file_kind is not null").where(F.length("date_used") >= 19)
     step = uid_tokens(config.rename_template)
@@ -154,9 +160,9 @@ def plan_organize(files: DataFrame, config: OrganizerConfig, existing: DataFrame
     output = ["ord", F.col("path").alias("original_path"), "new_filename", "new_path", "date_used", "date_source", "device", "file_kind"]
     random = bool(_CRYPTO.search(config.rename_template or ""))
 
-    def numbered_by(rows: DataFrame, each: int) -> DataFrame:
+    def numbered_by(rows: DataFrame, each: Column) -> DataFrame:
         # One counter over all files, by distributed ranks.
-        counted = running_before(rows.withColumn("_all", F.lit(0)), ["_all"], [F.col("ord")], F.lit(each), "_uid").drop("_all")
+        counted = running_before(rows.withColumn("_all", F.lit(0)), ["_all"], [F.col("ord")], each, "_uid").drop("_all")
         return counted.withColumn("_uid", F.col("_uid").cast("long"))
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -164,28 +170,56 @@ def plan_organize(files: DataFrame, config: OrganizerConfig, existing: DataFrame
         named = rows.withColumn("new_filename", F.concat(stem, F.lit("."), normal_extension(extension(F.col("path")))))
         return named.withColumn("new_path", F.when(target.isNotNull(), F.concat_ws("/", target, "new_filename")).otherwise(F.col("new_filename")))
 
-    def free(rows: DataFrame, *there: DataFrame | None) -> DataFrame:
-        for taken in there:
-            rows = rows if taken is None else rows.join(taken.select(F.col(taken.columns[0]).alias("new_path")).distinct(), "new_path", "left_anti")
-        return rows
-
-    there = None if existing is None else existing.select("path")
-    # Written, as names may be random and are read more than once.
-    tried = durable(placed(numbered_by(dated.withColumn("device", resolve_device(files, config)), step)))
-    kept = free(tried, there).groupBy("new_path").agg(F.min("ord").alias("ord"))
-    done = durable(tried.join(kept, ["new_path", "ord"], "left_semi"))
-    left = tried.join(done.select("ord"), "ord", "left_anti")
-    if not (step or random) or left.isEmpty():
-        return done.select(*output)
-    most = tried.agg(F.max("_uid")).first()[0]
-    again = numbered_by(left.drop("_uid", "new_filename", "new_path"), step * (ATTEMPTS - 1))
-    again = again.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 2)))).withColumn("_uid", F.col("_uid") + most + step + F.col("_try") * step)
-    further = durable(free(durable(placed(again)), there, done.select("new_path")))
-    first = further.groupBy("ord").agg(F.min("_try").alias("_try"))
-    found = durable(further.join(first, ["ord", "_try"], "left_semi"))
-    # Only random names can meet now.
-    found = found.join(found.groupBy("new_path").agg(F.min("ord").alias("ord")), ["new_path", "ord"], "left_semi")
-    return done.select(*output).unionByName(found.select(*output))
+    def first_of_each(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("new_path").agg(F.min("ord").alias("ord")), ["new_path", "ord"], "left_semi")
+
+    rows = durable(dated.withColumn("device", resolve_device(files, config)))
+    there = None if existing is None else existing.select(F.col("path").alias("new_path")).distinct()
+    if random or not step:
+        # Written, as names may be random and are read more than once.
+        tried = durable(placed(numbered_by(rows, F.lit(step))))
+        free = tried if there is None else tried.join(there, "new_path", "left_anti")
+        done = durable(first_of_each(free))
+        left = tried.join(done.select("ord"), "ord", "left_anti")
+        if not random or left.isEmpty():
+            return done.select(*output)
+        most = tried.agg(F.max("_uid")).first()[0]
+        again = numbered_by(left.drop("_uid", "new_filename", "new_path"), F.lit(step * (ATTEMPTS - 1)))
+        again = again.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 2)))).withColumn("_uid", F.col("_uid") + most + step + F.col("_try") * step)
+        further = durable(placed(again)).join(done.select("new_path"), "new_path", "left_anti")
+        further = durable(further if there is None else further.join(there, "new_path", "left_anti"))
+        found = durable(further.join(further.groupBy("ord").agg(F.min("_try").alias("_try")), ["ord", "_try"], "left_semi"))
+        return done.select(*output).unionByName(first_of_each(found).select(*output))
+    taken, tries, before = there, None, None
+    while True:
+        each = rows if tries is None else rows.join(tries, "ord", "left")
+        counted = numbered_by(each, F.lit(step) if tries is None else step * (1 + F.coalesce("_more", F.lit(0))))
+        first = durable(placed(counted.select(*rows.columns, "_uid")))
+        open_ = first if taken is None else first.join(_blocked(first, taken).select("ord"), "ord", "left_anti")
+        again = None
+        if taken is not None:
+            late = first.join(_blocked(first, taken).select("ord"), "ord", "left_semi").withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(ATTEMPTS - 1))))
+            more = durable(placed(late.withColumn("_uid", F.col("_uid") + F.col("_try") * step)))
+            fit = more.join(_blocked(more, taken).select("ord", "_try"), ["ord", "_try"], "left_anti")
+            again = durable(more.join(fit.groupBy("ord").agg(F.min("_try").alias("_try")), ["ord", "_try"], "left_semi"))
+            every = more.select("ord").distinct().join(again.select("ord", "_try"), "ord", "left")
+            tries = durable(every.select("ord", F.coalesce("_try", F.lit(ATTEMPTS - 1)).alias("_more")))
+        chosen = open_ if again is None else open_.unionByName(again.drop("_try"))
+        chosen = durable(chosen)
+        state = chosen.agg(F.count("*"), F.sum(F.xxhash64("ord", "new_path").cast("decimal(38,0)"))).first()
+        if before == state or (before is None and (tries is None or tries.isEmpty()) and chosen.groupBy("new_path").count().where("count > 1").isEmpty()):
+            return chosen.select(*output)
+        before = state
+        # Names count as taken by the first file that has chosen them, for those after it.
+        own = chosen.groupBy("new_path").agg(F.min("ord").alias("_by"))
+        taken = own if there is None else own.join(there, "new_path", "left_anti").unionByName(there.withColumn("_by", F.lit(None).cast(own.schema["_by"].dataType)))
+        taken = durable(taken)
+
+
+def _blocked(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """Rows whose new_path exists, or was chosen by an earlier file."""
+    by = taken if "_by" in taken.columns else taken.withColumn("_by", F.lit(None).cast("long"))
+    return rows.join(by, "new_path").where(F.col("_by").isNull() | (F.col("_by") < F.col("ord")))
 
 
 def preview_of(files: DataFrame, plan: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from prismlake.functions import dates, paths, values
 from prismlake.operators import caching, duplicates, pairs, retention, views
 from prismlake.plans import metadata, organize
+from prismlake.session import durable
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -344,18 +345,28 @@ def d13_best_dates_by_name(spark, sf_dir):
     return organize.resolve_dates(files(spark, sf_dir), config).select("ord", "date_used", "date_source")
 
 
-@query(
-    f"""{DATED}, told as (select *, case when regexp_matches(lower(path), '[.](mp4|mov)$') then 'video' else 'image' end as file_kind,
+ORGANIZED = f"""{DATED}, told as (select *, case when regexp_matches(lower(path), '[.](mp4|mov)$') then 'video' else 'image' end as file_kind,
   coalesce(upper(coalesce(nullif(trim(model), ''), nullif(trim(product), ''), nullif(trim(android), ''))), case when contains(upper(n), '-WA') or contains(upper(n), 'WA-') then 'WHATSAPP' else 'DESCONOCIDO' end) as raw,
   lower(concat_ws(' ', nullif(trim(make), ''), nullif(trim(model), ''))) as wanted, row_number() over (order by ord) - 1 as uid from final),
 placed as (select *, case wanted when 'make pixel 7' then 'Phone' when 'make' then 'Other' else raw end as device,
   concat(case when file_kind = 'video' then 'VID' else 'IMG' end, '_', replace(d[1:10], ':', ''), '_', replace(d[12:19], ':', ''), '_', lpad(upper(hex(uid)), greatest(4, length(hex(uid)))::int, '0'), '.', replace(lower(regexp_extract(n, '[.]([^.]*)$', 1)), 'jpeg', 'jpg')) as new_filename from told)
 select ord, path as original_path, new_filename, concat('/out/', d[1:4], '/', array_to_string(list_filter(list_transform(string_split(upper(translate(device, '\\:*?"<>|', '________')), '/'), lambda x: trim(x)), lambda x: x <> ''), '/'), '/', d[6:7], ' - ', (['ENERO','FEBRERO','MARZO','ABRIL','MAYO','JUNIO','JULIO','AGOSTO','SEPTIEMBRE','OCTUBRE','NOVIEMBRE','DICIEMBRE'])[d[6:7]::int], '/', new_filename) as new_path, d as date_used, date_source, device, file_kind from placed"""
-)
+
+
+@query(ORGANIZED)
 def o_organize_plan(spark, sf_dir):
     return organize.plan_organize(files(spark, sf_dir), CONFIG)
 
 
+@query(ORGANIZED.replace("row_number() over (order by ord) - 1 as uid", "row_number() over (order by ord) + (ord >= 500)::int as uid"))
+def j13_existing_targets(spark, sf_dir):
+    # The first file's name exists, and the name that file 500 gets when numbers have moved by one.
+    plan = durable(organize.plan_organize(files(spark, sf_dir), CONFIG).where("ord in (0, 500)"))
+    moved = F.concat(F.regexp_extract("new_path", "^(.*_)[0-9A-F]+[.][a-z0-9]+$", 1), F.lpad(F.hex(F.conv(F.regexp_extract("new_path", "_([0-9A-F]+)[.][a-z0-9]+$", 1), 16, 10).cast("long") + 1), 4, "0"), F.regexp_extract("new_path", "([.][a-z0-9]+)$", 1))
+    existing = plan.select(F.when(F.col("ord") == 0, F.col("new_path")).otherwise(moved).alias("path"))
+    return organize.plan_organize(files(spark, sf_dir), CONFIG, existing)
+
+
 @query(f"{WITH_FILES} kinds as (select case when regexp_matches(lower(path), '[.](mp4|mov)$') then 'video' else 'image' end as file_kind, lower(regexp_extract({NAME}, '[.]([^.]*)$', 1)) as ext from files) select file_kind, ext, count(*) as n from kinds group by rollup (file_kind, ext)")
 def g11_media_counts(spark, sf_dir):
     return organize.media_counts(files(spark, sf_dir))

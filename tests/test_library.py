@@ -423,7 +423,7 @@ def sequential_groups(assets, distance, across=True):
     return groups
 
 
-@pytest.mark.parametrize(("distance", "task_rows"), [(0, 200_000), (3, 200_000), (6, 200_000), (7, 200_000), (10, 200_000), (16, 200_000), (6, 0), (10, 0), (16, 4)])
+@pytest.mark.parametrize(("distance", "task_rows"), [(0, 200_000), (3, 200_000), (6, 200_000), (7, 200_000), (10, 200_000), (16, 200_000), (6, 0), (16, 4)])
 def test_all_phases_equal_a_sequential_scan(spark, distance, task_rows, monkeypatch):
     # Without room in tasks all components go by rounds.
     monkeypatch.setattr(clusters, "TASK_ROWS", task_rows)
@@ -492,16 +492,47 @@ def test_names_of_plans(spark):
     assert len({n for n, _ in names.values()}) == 3 and all(len(n.split(".")[0]) == 9 and n.split(".")[0].isalnum() for n, _ in names.values())
 
 
+def sequential_names(files, existing, name, step):
+    """One file after the other: up to 16 tries, each of which takes the next numbers."""
+    counter, taken, out = 0, set(existing), {}
+    for i, (path, date) in enumerate(files):
+        for _ in range(16):
+            made = name(date, counter)
+            counter += step
+            if made not in taken:
+                taken.add(made)
+                out[path] = made
+                break
+    return out
+
+
 def test_names_that_exist_are_tried_again(spark):
     day, folder = "2021:08:28 13:29:22", "/out/2021/DESCONOCIDO/08 - AGOSTO/IMG_20210828_132922_"
     files = [(f"/i/{i}.jpg", day) for i in range(4)]
     existing = spark.createDataFrame([(f"{folder}{n:04X}.jpg",) for n in (1, 2, 4)], "path string")
     found = plan_rows(spark, files, {}, existing)
-    assert {k: v[1] for k, v in found.items()} == {f"/i/{i}.jpg": f"{folder}{n:04X}.jpg" for i, n in ((0, 0), (1, 5), (2, 19), (3, 3))}
+    assert {k: v[1] for k, v in found.items()} == {f"/i/{i}.jpg": f"{folder}{n:04X}.jpg" for i, n in ((0, 0), (1, 3), (2, 5), (3, 6))}
     every = spark.createDataFrame([(f"{folder}{n:04X}.jpg",) for n in range(64)], "path string")
     assert plan_rows(spark, files[:1], {}, every) == {}
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_taken_names_move_later_numbers(spark, seed):
+    import random
+
+    draw = random.Random(seed)
+    # One digit of the number only, so that names also meet within the plan: 1 and the next part's 1 make what 11 makes.
+    template = ["{4hex_uid}", "{day}{1hex_uid}", "{1hex_uid}{1hex_uid}"][seed]
+    step = template.count("uid")
+    files = [(f"/i/{i}.jpg", f"2021:08:{draw.choice((1, 11)):02d} 13:29:22") for i in range(12)]
+    digits = lambda n, w: f"{n:0{w}X}"
+    name = {0: lambda d, n: digits(n, 4), 1: lambda d, n: d[8:10] + digits(n, 1), 2: lambda d, n: digits(n, 1) + digits(n + 1, 1)}[seed]
+    path = lambda d, n: f"/o/X/{name(d, n)}.jpg"
+    existing = sorted({path(f"2021:08:{draw.choice((1, 11)):02d} 0", n) for n in draw.sample(range(20), 4)} | {path("2021:08:01 0", n) for n in range(6, 23)})
+    found = plan_rows(spark, files, {"rename_template": template, "output_directory": "/o", "folder_template": "x"}, spark.createDataFrame([(p,) for p in existing], "path string"))
+    assert {k: v[1] for k, v in found.items()} == sequential_names(files, existing, path, step)
+
+
 def test_pictures(spark, tmp_path):
     import zlib
 
