@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismlake.session import discard, durable
 from prismlake.sources.heads import KINDS
 
 
@@ -47,6 +49,79 @@ def evict(cache: DataFrame, deleted: DataFrame, key: str = "cache_key") -> DataF
     return cache.join(deleted.select(key).distinct(), key, "left_anti")
 
 
+#: Buckets of a cache on disk, and manifests that are kept.
+BUCKETS, MANIFESTS = 64, 3
+
+
+def _manifests(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Rows (version, batch, bucket, place) of all manifests, or None without one."""
+    try:
+        return spark.read.schema("batch long, bucket int, place int, version int").parquet(f"{folder}/manifest")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+
+
+def _current(spark: SparkSession, folder: str) -> tuple[int, int, dict[int, int]]:
+    """(version, batch, the version that holds each bucket) of the last manifest: at most BUCKETS rows."""
+    known = _manifests(spark, folder)
+    last = None if known is None else known.agg(F.max("version")).first()[0]
+    if last is None:
+        return -1, -1, {}
+    rows = known.where(F.col("version") == last).collect()
+    return last, rows[0]["batch"], {r["bucket"]: r["place"] for r in rows if r["bucket"] is not None}
+
+
+def stored_cache(spark: SparkSession, folder: str, only: list[int] | None = None) -> DataFrame | None:
+    """The rows of a cache of buckets, or of some of them; None where there are none yet."""
+    _, _, places = _current(spark, folder)
+    paths = [f"{folder}/data/version={v}/bucket={b}" for b, v in sorted(places.items()) if only is None or b in only]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def fold(new: DataFrame, folder: str, batch: int, key: str = "cache_key", deleted: DataFrame | None = None) -> None:
+    """Put rows into a cache of buckets by key, replacing those of equal keys, and take the deleted keys out.
+
+    Only buckets that a row or a deleted key falls into are read and written; a manifest
+    then says which version holds each bucket, so readers see all of a batch or none of
+    it. A batch number that has been folded already changes nothing. Of several new rows
+    of one key one stands. Versions that the last manifests do not name are deleted.
+    """
+    spark = new.sparkSession
+    version, done, places = _current(spark, folder)
+    if batch <= done:
+        return
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    rows = durable(new.dropDuplicates([key]))
+    gone = durable(deleted.select(key).distinct()) if deleted is not None else None
+    keys = rows.select(key) if gone is None else rows.select(key).unionByName(gone)
+    touched = sorted(r["b"] for r in keys.select(bucket.alias("b")).distinct().collect())
+    old = stored_cache(spark, folder, touched)
+    whole = rows if old is None else upsert(old, rows, key)
+    whole = whole if gone is None else evict(whole, gone, key)
+    now = version + 1
+    whole.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/version={now}")
+    full = {r["bucket"] for r in spark.read.parquet(f"{folder}/data/version={now}").select("bucket").distinct().collect()} if touched and not whole.isEmpty() else set()
+    places = {b: v for b, v in places.items() if b not in touched} | dict.fromkeys(full, now)
+    manifest = spark.createDataFrame([(batch, b, v) for b, v in sorted(places.items())] or [(batch, None, None)], "batch long, bucket int, place int")
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/version={now}")
+    discard(*[t for t in (rows, gone) if t is not None])
+    _forget(spark, folder, now)
+
+
+def _forget(spark: SparkSession, folder: str, now: int) -> None:
+    """Delete what the last manifests do not name."""
+    # At most BUCKETS rows for each manifest that is kept, and those of the one that goes.
+    rows = _manifests(spark, folder).collect()
+    kept = {r["place"] for r in rows if r["version"] > now - MANIFESTS}
+    old = [r for r in rows if r["version"] <= now - MANIFESTS]
+    for version in {r["version"] for r in old}:
+        clear(spark, f"{folder}/manifest/version={version}")
+    for place in {r["place"] for r in old} - kept - {None}:
+        clear(spark, f"{folder}/data/version={place}")
+
+
 def keep_slot(cache: DataFrame, fast: bool, new_hash: Column) -> DataFrame:
     """cache with the mode's hash set and the other mode's kept."""
     return cache.withColumn("fast_phash" if fast else "phash", F.coalesce(new_hash, F.col("fast_phash" if fast else "phash")))

@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from prismlake.session import discard, durable, partitions
 
 
+def ranges(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """df with `_part`, the number of the range of group and order that a row is in; written, as a second evaluation may draw other bounds. Rows equal in both are in one range."""
+    written = durable(df)
+    ranged = durable(written.repartitionByRange(partitions(df.sparkSession), *group, *order).withColumn("_part", F.spark_partition_id()))
+    discard(written)
+    return ranged
+
+
+def offsets(totals: DataFrame, group: list[str], value: str) -> DataFrame:
+    """totals (`_part`, group, ...), a row for each range and group, with `_before`: the sum of value over the group's earlier ranges."""
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumn("_before", F.coalesce(F.sum(value).over(earlier), F.lit(0))).drop(value)
+
+
 def running_before(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
     """Add `name`: the sum of value over the rows of the same group that come earlier in order.
 

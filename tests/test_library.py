@@ -603,10 +603,80 @@ def test_streams(spark, tmp_path):
         counts = progress.windowed_counts(stream, "at", "cache_key").writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "counts")).option("checkpointLocation", str(tmp_path / "counting"))
         counts.trigger(availableNow=True).start().awaitTermination()
     assert sorted((r["cache_key"], r["n"]) for r in spark.read.parquet(str(tmp_path / "counts")).collect()) == [("a", 1), ("b", 1)]
-    kept = spark.read.parquet(str(tmp_path / "cache" / "version=2"))
+    kept = caching.stored_cache(spark, str(tmp_path / "cache"))
     assert sorted((r["cache_key"], r["n"]) for r in kept.collect()) == [("a", 2), ("b", 1), ("c", 3)]
 
 
+def test_a_cache_of_buckets(spark, tmp_path):
+    folder, held = str(tmp_path / "cache"), {}
+    draw = np.random.default_rng(1)
+    assert caching.stored_cache(spark, folder) is None
+    for batch in range(6):
+        new = {f"k{i}": batch * 100 + int(i) for i in draw.choice(200, 40 if batch else 150, replace=False)}
+        gone = [f"k{i}" for i in range(batch, 200, 37)] if batch % 2 else []
+        rows = spark.createDataFrame(list(new.items()), "cache_key string, n long")
+        deleted = spark.createDataFrame([(g,) for g in gone], "cache_key string") if gone else None
+        for _ in range(2):  # a repeated batch changes nothing
+            caching.fold(rows, folder, batch, deleted=deleted)
+        held |= new
+        held = {k: v for k, v in held.items() if k not in gone}
+        assert {r["cache_key"]: r["n"] for r in caching.stored_cache(spark, folder).select("cache_key", "n").collect()} == held
+    one = spark.createDataFrame([("k1", 7)], "cache_key string, n long")
+    caching.fold(one, folder, 6)
+    assert len(list((tmp_path / "cache" / "data" / "version=6").glob("bucket=*"))) == 1 and len(list((tmp_path / "cache" / "manifest").iterdir())) == 3
+    caching.fold(one.limit(0), folder, 7, deleted=spark.createDataFrame([(k,) for k in [*held, "k1"]], "cache_key string"))
+    assert caching.stored_cache(spark, folder) is None
+    caching.fold(one, folder, 8)
+    assert [tuple(r)[:2] for r in caching.stored_cache(spark, folder).select("cache_key", "n").collect()] == [("k1", 7)]
+
+
+def test_windows_over_one_key_of_all_rows(spark):
+    from prismlake.streaming import progress
+
+    draw = np.random.default_rng(4)
+    rows = [(i, "hot" if i % 5 else None, int(draw.integers(0, 400)), ["a", "b", None][int(draw.choice(3, p=[0.6, 0.3, 0.1]))]) for i in range(600)] + [(900, "few", 3, "a"), (901, "few", None, "a")]
+    table = spark.createDataFrame(rows, "id long, k string, at long, v string")
+    got = {r["id"]: (r["n"], r["since"]) for r in progress.rolling_progress(table, "k", "at", 10).collect()}
+    for i, k, at, _ in rows:
+        span = [a for _, other, a, _ in rows if other == k and a is not None and at is not None and at - 10 <= a <= at]
+        assert got[i] == ((len(span), min(span)) if k and at is not None else (None, None))
+    got = {r["id"]: r["segment"] for r in progress.segments(table, ["k"], "id", "v").collect()}
+    for key in {r[1] for r in rows}:
+        last, n = object(), 0
+        for i, _, _, v in sorted(r for r in rows if r[1] == key):
+            n += v is None or v != last
+            last = v
+            assert got[i] == n
+    spread = progress.ranges(table.where("k = 'hot'"), ["k"], ["id"]).groupBy("_part").count().count()
+    assert spread == 4
+    assert progress.segments(table.limit(0), ["k"], "id", "v").count() == progress.rolling_progress(table.limit(0), "k", "at", 10).count() == 0
+
+
+def test_progress_is_kept_as_state(spark, tmp_path):
+    from prismlake.streaming import progress
+
+    # Timers ask for batches without data, which would go on for ever here.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    samples = [[("a", 0.0, 0, 1000), ("a", 2.0, 100, 1000), ("b", 0.0, 5, 9)], [("a", 14.0, 400, 1000), ("a", 6.0, 200, 1000)], [("a", 11.0, 350, 1000), ("b", 0.5, 6, 9)]]
+    ring, want = {}, []
+    for i, batch in enumerate(samples):
+        spark.createDataFrame(batch, "key string, at double, scanned long, total long").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+        stream = spark.readStream.schema("key string, at double, scanned long, total long").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        out = []
+        query = progress.progress_stream(stream).writeStream.outputMode("update").foreachBatch(lambda rows, _, out=out: out.extend(rows.collect()))
+        query.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination(60)
+        for key in sorted({r[0] for r in batch}):
+            ring[key] = sorted(set(ring.get(key, [])) | {(at, n) for k, at, n, _ in batch if k == key})
+            ring[key] = [x for x in ring[key] if x[0] >= ring[key][-1][0] - 10]
+            total = batch[0][3] if key == "a" else 9
+            want.append((key, ring[key][-1][0], len(ring[key]), progress.remaining_seconds(ring[key], total if key == "b" else 1000)))
+        assert sorted(map(tuple, out)) == want[-len({r[0] for r in batch}) :]
+    assert [w[3] for w in want if w[0] == "a"] == [18, 24, 24]
+    windows = spark.createDataFrame([(ring[k][0][1], ring[k][-1][1], ring[k][-1][0] - ring[k][0][0], t) for k, t in (("a", 1000), ("b", 9))], "f long, l long, s double, t long")
+    assert [r[0] for r in windows.select(progress.eta_seconds(F.col("f"), F.col("l"), F.col("s"), F.col("t"))).collect()] == [want[-2][3], None]
+
+
 def test_nulls_ties_and_empty_tables(spark):
     assets = spark.createDataFrame([(1, None, None, None, None, None, None), (2, "/a.jpg", "", "", None, None, "x")], "asset_id long, path string, location string, device string, gps_latitude double, gps_longitude double, modified string").withColumn("date_taken", F.lit(None).cast("string"))
     for by in ("date", "location", "device"):
