@@ -54,7 +54,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression_rules(table(spark, sf_dir, "documents"))
+    return compression_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,3 +235,49 @@ def test_money_streams(spark):
     want = [("value", "5", batch(1), x(1.005, batch(1)), 1), ("value", "6", batch(4), x(-2.5, batch(4)), 1), *[("value", "6", batch(None), x(1.0, batch(None)), 1)] * 2, ("price", "B", batch(9), x(10.0, batch(9)), 2), ("price", "B", batch(None), x(10.0, batch(None)), 1)]
     got = [(r["stream"], r["grp"], r["batch"], r["x"], r["n"]) for r in money_streams(clicks, lines, items).collect()]
     assert collections.Counter(got) == collections.Counter(want)
+
+
+def test_limits_are_fitted_to_labelled_good_texts(spark):
+    import zlib
+
+    import zstandard
+
+    from prismlake.llm.compression import BANDS, CHUNK, CHUNK_MARGIN, CHUNK_SHARE, FARTHER, LEVEL, MARGIN, TAIL, compression_rules, keep_clean
+
+    draw = random.Random(8)
+    letters = ["".join(draw.choices("etaoinshrdlu", k=draw.randrange(2, 9))) for _ in range(3000)]
+    texts = [" ".join(draw.choices(letters, k=draw.choice((30, 90, 400, 1500)))) for _ in range(500)]
+    junk = [" ".join(w + draw.choice(("$$$", "***", "%%%")) for w in draw.choices(letters[:300], k=1500)) for _ in range(20)] + ["%030x" % draw.getrandbits(120) + " " + " ".join("%016x" % draw.getrandbits(64) for _ in range(600)) for _ in range(20)]
+    rows = list(enumerate(texts + junk)) + [(None, texts[0]), (900, None), (901, "")]
+    docs = spark.createDataFrame([(i, t, 5, "x") for i, t in rows], "doc_id long, text string, n_bytes int, kept string")
+    labels = spark.createDataFrame([(i, int(i < 500), 3) for i in range(540)] + [(None, 1, 0)], "doc_id long, quality int, kept int")
+    held_out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    pack = zstandard.ZstdCompressor(level=LEVEL)
+    ratio = lambda t: len(pack.compress(t)) / len(t)
+    fit_on = [t.encode() for i, t in enumerate(texts) if not held_out(i) and len(t) >= BANDS[0][0]]
+    at, ratios = np.log2([len(t) for t in fit_on]), np.array([ratio(t) for t in fit_on])
+    curve = np.polyfit(at, ratios, 3)
+
+    def held(size):
+        if size < BANDS[0][0]:
+            return 0, 9
+        x = min(max(np.log2(size), at.min()), at.max())
+        near = (ratios - np.polyval(curve, at))[np.abs(at.astype(int) - int(x)) <= 1]
+        room = FARTHER * max(0, np.log2(size) - at.max())
+        return np.polyval(curve, x) + np.quantile(near, TAIL) - MARGIN - room, np.polyval(curve, x) + np.quantile(near, 1 - TAIL) + MARGIN + room
+
+    def kept(text):
+        t = (text or "").encode()
+        if len(t.split()) < 20:
+            return False
+        low, high = held(len(t))
+        chunks = [t[i : i + CHUNK] for i in range(0, len(t), CHUNK)] if len(t) >= CHUNK else []
+        chunks = [c for c in chunks if len(c) >= BANDS[0][0]]
+        bad = sum(not held(len(c))[0] - CHUNK_MARGIN <= ratio(c) <= held(len(c))[1] + CHUNK_MARGIN for c in chunks)
+        return low <= ratio(t) <= high and bad <= CHUNK_SHARE * len(chunks)
+
+    got = [(r["doc_id"], r["kept"]) for r in compression_rules(docs, labels).where("n_repeat_words = 0").collect()]
+    assert collections.Counter(got) == collections.Counter((i, kept(t)) for i, t in rows)
+    assert not any(k for i, k in got if i is not None and 500 <= i < 540) and sum(not k for i, k in got if i is not None and i < 500) < 25
+    assert keep_clean(docs, labels).count() == sum(k for _, k in got) and keep_clean(docs, labels).columns == docs.columns
+    assert compression_rules(docs, labels.limit(0)).count() == len(rows) and compression_rules(docs.limit(0), labels).count() == 0
