@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from prismlake.session import discard, durable
 from prismlake.sources.heads import KINDS
@@ -122,6 +123,38 @@ def _forget(spark: SparkSession, folder: str, now: int) -> None:
         clear(spark, f"{folder}/data/version={place}")
 
 
+def save_values(new: DataFrame, folder: str, deleted: DataFrame | None = None) -> None:
+    """Keep values (key, value as JSON text): histories, lists, settings; new ones replace those of equal keys, and deleted keys go."""
+    _, done, _ = _current(new.sparkSession, folder)
+    fold(new.select("key", "value"), folder, done + 1, "key", deleted)
+
+
+def load_values(spark: SparkSession, folder: str, keys: list[str] | None = None) -> DataFrame:
+    """(key, value) of what is kept, or of some keys; none where nothing is kept."""
+    if keys is None:
+        only = None
+    else:
+        asked = spark.createDataFrame([(k,) for k in keys], "key string")
+        only = [r[0] for r in asked.select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
+    found = stored_cache(spark, folder, only)
+    if found is None:
+        return spark.createDataFrame([], "key string, value string")
+    return found.select("key", "value") if keys is None else found.where(F.col("key").isin(keys)).select("key", "value")
+
+
+def save_history(entry: DataFrame, folder: str, name: str, cap: int = 5) -> None:
+    """Put an entry (key, id, at, duration, ...) into the history of that name, by recent(); a history is one value, of at most cap entries."""
+    kept = load_history(entry.sparkSession, folder, name, entry.schema)
+    whole = recent(kept, entry, cap).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*entry.columns)))).alias("value"))
+    save_values(whole.select(F.lit(name).alias("key"), "value"), folder)
+
+
+def load_history(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """The entries of the history of that name, as rows of this schema, in no order."""
+    rows = load_values(spark, folder, [name]).select(F.explode(F.from_json("value", ArrayType(schema))).alias("x"))
+    return rows.select("x.*")
+
+
 def keep_slot(cache: DataFrame, fast: bool, new_hash: Column) -> DataFrame:
     """cache with the mode's hash set and the other mode's kept."""
     return cache.withColumn("fast_phash" if fast else "phash", F.coalesce(new_hash, F.col("fast_phash" if fast else "phash")))

@@ -174,6 +174,16 @@ def without_value(rows: DataFrame, column: str, value: str) -> DataFrame:
     return rows.withColumn(column, F.when(~F.col(column).eqNullSafe(F.lit(value)), F.col(column)))
 
 
+def remove_location(name: str, lists: list[DataFrame], assets: DataFrame, names: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """A location taken out everywhere: of lists (location) of found and of custom ones, of assets' location, and of the place cache (geo_cell, name), whose cells are to be looked up again."""
+    return [t.where(~F.col("location").eqNullSafe(F.lit(name))) for t in lists], without_value(assets, "location", name), names.where(~F.col("name").eqNullSafe(F.lit(name)))
+
+
+def remove_device(name: str, lists: list[DataFrame], assets: DataFrame, aliases: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """A device taken out everywhere: of lists (device) of found and of custom ones, of assets' device, and its alias of aliases (device, alias)."""
+    return [t.where(~F.col("device").eqNullSafe(F.lit(name))) for t in lists], without_value(assets, "device", name), aliases.where(~F.col("device").eqNullSafe(F.lit(name)))
+
+
 def newest(assets: DataFrame, n: int = 3) -> DataFrame:
     """The n assets modified last (path, mtime), ties by path."""
     return assets.orderBy(F.desc("mtime"), "path").limit(n)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.functions import dates, paths, values
-from prismlake.operators import caching, duplicates, pairs, retention, views
+from prismlake.operators import caching, duplicates, pairs, places, retention, views
 from prismlake.plans import metadata, organize
 from prismlake.session import durable
 
@@ -629,6 +629,20 @@ def f7_location_filter(spark, sf_dir):
     return none.select("asset_id", F.lit(True).alias("unnamed")).unionByName(one.select("asset_id", F.lit(False).alias("unnamed")))
 
 
+@query(
+    f"""{WITH} p as (select distinct gps_latitude as la, gps_longitude as lo from assets where gps_latitude is not null),
+s as (select s_name as name, (s_suppkey * 7919 % 17977) / 100.0 - 89.5 as la, (s_suppkey * 104729 % 35969) / 100.0 - 179.5 as lo from supplier),
+d as (select p.la, p.lo, s.name, power(cos(radians(p.la)) * cos(radians(p.lo)) - cos(radians(s.la)) * cos(radians(s.lo)), 2) + power(cos(radians(p.la)) * sin(radians(p.lo)) - cos(radians(s.la)) * sin(radians(s.lo)), 2) + power(sin(radians(p.la)) - sin(radians(s.la)), 2) as far from p, s),
+b as (select la, lo, arg_min(name, far) as place, min(far) as far from d group by 1, 2)
+select asset_id, place, case when far is not null then round(2 * 6371.0088 * asin(least(1, sqrt(far) / 2)), 3) end as km from assets left join b on la = gps_latitude and lo = gps_longitude"""
+)
+def s19_nearest_places(spark, sf_dir):
+    k = F.col("s_suppkey")
+    known = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (k * 7919 % 17977 / 100.0 - 89.5).alias("latitude"), (k * 104729 % 35969 / 100.0 - 179.5).alias("longitude"))
+    points = assets(spark, sf_dir).select("asset_id", F.col("gps_latitude").alias("latitude"), F.col("gps_longitude").alias("longitude"))
+    return places.nearest_places(points, known).select("asset_id", "place", F.round("km", 3).alias("km"))
+
+
 # Positions are whole degrees here, so cells are plain.
 WITH_CELLS = WITH + " cells as (select concat(gps_latitude::int, '.00,', gps_longitude::int, '.00') as geo_cell, * from assets where gps_latitude is not null), names as (select distinct geo_cell, concat('Place ', geo_cell) as name from cells where gps_latitude::int % 3 = 0)"
 

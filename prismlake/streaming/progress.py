@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import os
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from prismlake.operators.caching import fold
+from prismlake.functions.paths import cache_key, folder_path
+from prismlake.operators.caching import fold, load_values, save_values
 from prismlake.operators.running import offsets, ranges
 from prismlake.session import durable
+from prismlake.sources import media
 
 
 def rolling_progress(rows: DataFrame, key: str, at: str, span: int) -> DataFrame:
@@ -135,3 +139,39 @@ def maintain_cache(stream: DataFrame, cache_dir: str, checkpoint: str):
         fold(batch, cache_dir, number)
 
     return stream.writeStream.foreachBatch(fold_batch).option("checkpointLocation", checkpoint)
+
+
+def scan_by_segments(spark: SparkSession, folders: list[str], cache_dir: str, tag: str = "scan", stopped: Callable[[], bool] = lambda: False) -> bool:
+    """Scan pictures below folders into a cache, a first-level folder after the other; whether all are done.
+
+    Each segment's features are folded into the cache (caching.fold) and then noted, so
+    a run that stops, by stopped() between segments or by spark.interruptTag(tag) at any
+    time, leaves the whole segments that it has done. The next run passes those by and
+    ends with the full result. clear() of the notes begins anew.
+    """
+    parts = []
+    for folder in folders:
+        with os.scandir(folder) as entries:
+            parts += [f"{e.path}/" for e in entries if e.is_dir(follow_symlinks=False)]
+        parts.append(folder)
+    noted = {r["key"] for r in load_values(spark, f"{cache_dir}/done").collect()}
+    for part in sorted(set(parts)):
+        if part in noted:
+            continue
+        if stopped():
+            return False
+        spark.addTag(tag)
+        try:
+            rows = media.features(spark, [part], decode=False)
+            if not part.endswith("/"):  # a root's own files
+                rows = rows.where(folder_path(F.col("path")) == part.rstrip("/"))
+            found = rows.withColumn("cache_key", cache_key(F.col("path")))
+            fold(found, f"{cache_dir}/files", time.time_ns())
+            save_values(spark.createDataFrame([(part, "true")], "key string, value string"), f"{cache_dir}/done")
+        except Exception as error:  # noqa: BLE001  interrupted jobs fail in one of several ways
+            if "cancel" in str(error).lower() or "interrupt" in str(error).lower():
+                return False
+            raise
+        finally:
+            spark.removeTag(tag)
+    return True

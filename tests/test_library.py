@@ -677,6 +677,75 @@ def test_progress_is_kept_as_state(spark, tmp_path):
     assert [r[0] for r in windows.select(progress.eta_seconds(F.col("f"), F.col("l"), F.col("s"), F.col("t"))).collect()] == [want[-2][3], None]
 
 
+def test_nearest_places(spark):
+    from prismlake.operators.places import RADIUS, nearest_places
+
+    draw = np.random.default_rng(6)
+    known = [(f"p{i}", float(a), float(o)) for i, (a, o) in enumerate(zip(draw.uniform(-90, 90, 60), draw.uniform(-180, 180, 60), strict=True))]
+    known += [(f"c{i}", float(48 + a), float(2 + o)) for i, (a, o) in enumerate(draw.uniform(0, 0.3, (60, 2)))] + [("pole", 90.0, 0.0), ("line", 0.0, 180.0), ("b", 10.0, 10.0), ("a", 10.0, 10.0)]
+    asked = [(i, float(a), float(o)) for i, (a, o) in enumerate(zip(draw.uniform(-90, 90, 80), draw.uniform(-180, 180, 80), strict=True))]
+    asked += [(100, 89.9, -120.0), (101, 0.1, -179.95), (102, 48.1, 2.1), (103, 10.0, 10.0), (104, None, 1.0), (105, 95.0, 0.0), (106, 48.1, 2.1), (107, -90.0, 5.0)]
+    places_ = spark.createDataFrame([*known, ("none", None, 1.0), ("out", 91.0, 0.0)], "name string, latitude double, longitude double")
+    points = spark.createDataFrame(asked, "id int, latitude double, longitude double")
+
+    def far(a, b, c, d):
+        a, b, c, d = map(np.radians, (a, b, c, d))
+        chord = np.array([np.cos(a) * np.cos(b) - np.cos(c) * np.cos(d), np.cos(a) * np.sin(b) - np.cos(c) * np.sin(d), np.sin(a) - np.sin(c)])
+        return 2 * RADIUS * np.arcsin(min(1, np.sqrt((chord**2).sum()) / 2))
+
+    got = {r["id"]: r for r in nearest_places(points, places_).collect()}
+    for i, a, o in asked:
+        if a is None or a > 90:
+            assert got[i]["place"] is None and got[i]["km"] is None
+            continue
+        km, name = min((far(a, o, x, y), n) for n, x, y in known)
+        assert got[i]["place"] == name and abs(got[i]["km"] - km) < 1e-6
+    assert nearest_places(points, places_.limit(0)).where("place is not null").count() == 0 and nearest_places(points.limit(0), places_).count() == 0
+    one = nearest_places(points, places_.where("name = 'pole'")).where("place = 'pole'")
+    assert one.count() == 86
+
+
+def test_values_and_histories_are_kept(spark, tmp_path):
+    folder = str(tmp_path / "values")
+    assert caching.load_values(spark, folder).count() == 0
+    for at, key in enumerate("abcdefab"):
+        entry = spark.createDataFrame([(key, at, at * 10, None, f"r{at}")], "key string, id long, at long, duration long, found string")
+        caching.save_history(entry, folder, "duplicates", 3)
+    caching.save_values(spark.createDataFrame([("settings", '{"n":1}'), ("gone", "1")], "key string, value string"), folder)
+    caching.save_values(spark.createDataFrame([("settings", '{"n":2}')], "key string, value string"), folder, spark.createDataFrame([("gone",)], "key string"))
+    assert [tuple(r) for r in caching.load_values(spark, folder, ["settings", "gone"]).collect()] == [("settings", '{"n":2}')]
+    kept = caching.load_history(spark, folder, "duplicates", entry.schema).orderBy("at").collect()
+    assert [(r["key"], r["id"], r["found"]) for r in kept] == [("f", 5, "r5"), ("a", 6, "r6"), ("b", 7, "r7")]
+
+
+def test_values_are_removed_everywhere(spark):
+    lists = [spark.createDataFrame([("Rome",), ("Oslo",), (None,)], "location string")]
+    rows = spark.createDataFrame([(1, "Rome", "Cam"), (2, None, "Cam 2"), (3, "Oslo", None)], "id int, location string, device string")
+    names = spark.createDataFrame([("1,1", "Rome"), ("2,2", ""), ("3,3", "Oslo")], "geo_cell string, name string")
+    (found,), left, cache = views.remove_location("Rome", lists, rows, names)
+    assert found.count() == 2 and cache.count() == 2 and [r["location"] for r in left.orderBy("id").collect()] == [None, None, "Oslo"]
+    aliases = spark.createDataFrame([("Cam", "x"), ("Cam 2", "y")], "device string, alias string")
+    _, left, kept = views.remove_device("Cam", [], rows, aliases)
+    assert [r["device"] for r in left.orderBy("id").collect()] == [None, "Cam 2", None] and [r["alias"] for r in kept.collect()] == ["y"]
+
+
+def test_a_stopped_scan_goes_on(spark, tmp_path):
+    from prismlake.streaming.progress import scan_by_segments
+
+    for i in range(4):
+        (tmp_path / "in" / f"d{i}" / "deep").mkdir(parents=True)
+        (tmp_path / "in" / f"d{i}" / "deep" / "a.png").write_bytes(bytes([i]) * 10)
+    (tmp_path / "in" / "own.jpg").write_bytes(b"x")
+    asked, cache = [], str(tmp_path / "cache")
+    assert not scan_by_segments(spark, [str(tmp_path / "in")], cache, stopped=lambda: len(asked) == 2 or asked.append(1))
+    part = caching.stored_cache(spark, f"{cache}/files").select("cache_key").collect()
+    assert len(part) == 2
+    scanned = []
+    assert scan_by_segments(spark, [str(tmp_path / "in")], cache, stopped=lambda: bool(scanned.append(1)))
+    assert len(scanned) == 3 and caching.stored_cache(spark, f"{cache}/files").select("cache_key").distinct().count() == 5
+    assert scan_by_segments(spark, [str(tmp_path / "in")], cache, stopped=lambda: True)
+
+
 def test_nulls_ties_and_empty_tables(spark):
     assets = spark.createDataFrame([(1, None, None, None, None, None, None), (2, "/a.jpg", "", "", None, None, "x")], "asset_id long, path string, location string, device string, gps_latitude double, gps_longitude double, modified string").withColumn("date_taken", F.lit(None).cast("string"))
     for by in ("date", "location", "device"):
