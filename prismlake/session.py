@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # The setting is fixed once a session runs, so our own folder is kept here.
         found = _own.setdefault("folder", "") or "file://" + tempfile.mkdtemp(prefix="prismlake-")
