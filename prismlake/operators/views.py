@@ -201,6 +201,7 @@ def deletion_preview(plan: DataFrame, n: int = 10) -> DataFrame:
 
 
 def kind_label(kind: Column) -> Column:
+    # Labels of kinds.
     labels = {"exact": "Exact duplicate", "similar": "Similar", "sameDate": "Same date"}
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in labels.items() for x in p]), kind), kind)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.functions import dates
 from prismlake.functions.paths import extension, path_order
 from prismlake.functions.values import first_number, join_device, tag_text
 from prismlake.operators.running import numbered
+from prismlake.sources import media
 
 # Tags of a picture that are shown as texts, by the fields' names.
 TEXTS = {
@@ -18,7 +19,7 @@ TEXTS = {
 NUMBERS = {"gps_latitude": "GPSLatitude", "gps_longitude": "GPSLongitude", "gps_altitude": "GPSAltitude"}
 #: Formats whose sizes and dates a tag reader may get wrong; corrections replace them.
 CORRECTED = ("heic", "heif", "avif")
-#: What an exposure panel shows, in its order.
+# What an exposure panel shows, in its order.
 EXPOSURE = {"Shutter": "exposure_time", "Aperture": "f_number", "ISO": "iso_speed", "Focal length": "focal_length", "Flash": "flash", "White balance": "white_balance", "Exp. mode": "exposure_mode", "Metering": "metering_mode"}
 
 
@@ -74,6 +75,13 @@ def scan_for_metadata(assets: DataFrame, tags: DataFrame, corrections: DataFrame
     return numbered(found, [path_order(F.col("path"))], "place")
 
 
+def scan_folders(spark: SparkSession, folders: list[str], tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scan_for_metadata() of the pictures below folders, what could not be read as path and kind). Sizes and dates of HEIC and its like come from their own boxes; no content is read whole."""
+    scanned = media.scan(spark, folders, hashed=False)
+    good = scanned.where("kind is null").select("path", "size_bytes", F.col("mtime").alias("modified"))
+    return scan_for_metadata(good, tags, media.corrections(scanned)), media.failed(scanned)
+
+
 def read_metadata(assets: DataFrame, tags: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
     """All fields of each file (path, size_bytes): sizes, format, dates, device, exposure, lens, position, texts, orientation.
 

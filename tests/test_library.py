@@ -278,6 +278,12 @@ def test_files_that_cannot_be_read_are_rows(spark, tmp_path, monkeypatch):
     assert rows["/a/empty.jpg"]["size_bytes"] == 0 and rows["/a/empty.jpg"]["kind"] is None and rows["/a/empty.jpg"]["width"] == 0
     assert [tuple(r) for r in media.failed(scanned).collect()] == [(str(tmp_path / "none"), "NOT_FOUND")]
     assert [tuple(r)[1:] for r in media.corrections(scanned).collect()] == [(40, 30, "2021-03-04T05:06:07Z")]
+    from prismlake.plans import metadata
+
+    tags = spark.createDataFrame([(f'{{"SourceFile":"{tmp_path}/big.png","ImageWidth":5,"Make":"M"}}',)], "tags string")
+    found, failed = metadata.scan_folders(spark, [str(tmp_path), str(tmp_path / "none")], tags)
+    seen = {r["path"].rsplit("/", 1)[1]: (r["width"], r["device"], r["date_taken"]) for r in found.collect()}
+    assert seen == {"big.png": (5, "M", None), "c.heic": (40, None, "2021-03-04T05:06:07Z"), "x.tif": (0, None, None), "empty.jpg": (0, None, None)} and failed.count() == 1
     chosen = heads.file_heads(spark, paths=[str(tmp_path / n) for n in ("gone.jpg", "a", "big.png")], facts=False)
     assert sorted((r["path"].rsplit("/", 1)[1], r["kind"]) for r in chosen.collect()) == [("a", "IO_ERROR"), ("big.png", None), ("gone.jpg", "NOT_FOUND")]
     found = {r["path"].rsplit("/", 1)[1]: r["header_hash"] for r in media.header_hashes(spark, [str(tmp_path)]).collect()}
