@@ -47,9 +47,10 @@ CLOSES_P = BLOCKS - frozenset("body head html caption legend option optgroup sum
 NEVER = frozenset("nav header footer aside form script style noscript template iframe svg math button select textarea input head menu dialog object embed canvas audio video".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 WITHIN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-# Names of classes and ids for what is not main text; STRONG ones count as the first or last part of a name too (`ad-slot`, `site-footer`).
+# Names of classes and ids for what is not main text; STRONG ones count as the last part of a name too (`site-footer`), and as the first before words of LAYOUT or numbers (`ad-slot-2`, but not `ad-hoc` or `comment-on-war`).
 STRONG = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sidebar nav navbar navigation breadcrumb breadcrumbs cookie cookies consent newsletter subscribe popup modal comment comments disqus footer masthead gdpr".split())
 MARKED = STRONG | frozenset("banner promo side-bar menu notice reply replies share sharing social related alert widget login signup toolbar recommended".split())
+LAYOUT = frozenset("area bar block body bottom box button card cell col column container content entry form frame group header inner item items label left link links list main menu outer overlay panel placeholder right row section slot space text thread title top unit widget wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
 # Quotes count only after an equals sign, so that an apostrophe in a bare value ends nothing.
@@ -78,8 +79,8 @@ class Element:
 def _named(value: str) -> bool:
     """Whether a class or id names what is not main text."""
     for name in value.lower().split():
-        parts = _PARTS.split(name)
-        if name in MARKED or parts[0] in STRONG or parts[-1] in STRONG:
+        parts = [p for p in _PARTS.split(name) if p] or [name]
+        if name in MARKED or parts[-1] in STRONG or (parts[0] in STRONG and all(p in LAYOUT or p.isdigit() for p in parts[1:])):
             return True
     return False
 

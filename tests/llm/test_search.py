@@ -281,3 +281,11 @@ def test_limits_are_fitted_to_labelled_good_texts(spark):
     assert not any(k for i, k in got if i is not None and 500 <= i < 540) and sum(not k for i, k in got if i is not None and i < 500) < 25
     assert keep_clean(docs, labels).count() == sum(k for _, k in got) and keep_clean(docs, labels).columns == docs.columns
     assert compression_rules(docs, labels.limit(0)).count() == len(rows) and compression_rules(docs.limit(0), labels).count() == 0
+
+
+def test_class_names_of_furniture():
+    from prismlake.llm.templates import _named
+
+    marked = ("ad", "ad-slot-2", "Site-Footer", "comments_list", "newsletter-box", "x breadcrumb", "promo")
+    kept = ("ad-hoc", "comment-on-war", "popup-culture", "post", "", "nav-by-stars", "modal-logic")
+    assert all(map(_named, marked)) and not any(map(_named, kept))
