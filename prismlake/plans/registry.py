@@ -701,7 +701,7 @@ MISSING = ("exposure_time", "focal_length", "flash", "white_balance", "exposure_
 @query(
     f"""{READ} select path, size_bytes as file_size, width, height, case when event_id % 4 = 0 then 'HEIC' else 'JPG' end as format, case when late then late_date else date end as date_time_original,
 case when tagged and event_id % 2 = 0 then '2022-02-03T04:05:06' end as date_time, case when tagged then (event_id % 800)::int end as iso_speed, case when tagged then (event_id % 8 + 1)::int end as orientation, make, model, case when tagged then '1.8' end as f_number,
-gps_latitude, case when tagged then -0.5 * (event_id % 300) end::double as gps_longitude, case when tagged and event_id % 3 > 0 then 12.5 end::double as gps_altitude,
+gps_latitude, case when tagged then -0.5 * (event_id % 300 + 1) end::double as gps_longitude, case when tagged and event_id % 3 > 0 then 12.5 end::double as gps_altitude,
 {', '.join(f"case when tagged and event_id % {k + 2} > 0 then '{tag} ' || event_id end as {name}" for k, (name, tag) in enumerate(MORE_TAGS.items()))},
 {', '.join(f"null::varchar as {name}" for name in MISSING)} from r"""
 )
@@ -713,7 +713,7 @@ def s12_read_metadata(spark, sf_dir):
     texts = [F.when(k % (i + 2) > 0, x).otherwise(f',"{tag}":"  "') for i, (x, tag) in enumerate(zip(more, MORE_TAGS.values(), strict=True))]
     rest = F.concat(
         *texts, F.when(k % 2 == 0, ',"ModifyDate":"2022:02:03 04:05:06"').otherwise(""), F.lit(',"Orientation":'), (k % 8 + 1).cast("string"),
-        F.lit(',"GPSLongitude":'), (F.lit(-0.5) * (k % 300)).cast("string"), F.when(k % 3 > 0, ',"GPSAltitude":"12.5 m"').otherwise(""), F.lit("}"),
+        F.lit(',"GPSLongitude":'), (F.lit(-0.5) * (k % 300 + 1)).cast("string"), F.when(k % 3 > 0, ',"GPSAltitude":"12.5 m"').otherwise(""), F.lit("}"),
     )
     full = t.select(F.concat(F.regexp_replace("tags", "}$", ""), rest).alias("tags"))
     return metadata.read_metadata(a, full, late)
