@@ -186,7 +186,8 @@ def place_name(city: Column, town: Column, village: Column, municipality: Column
 
 
 def progress_percent(done: Column, total: Column) -> Column:
-    return F.when(total > 0, F.round(done / total * 100).cast("int")).otherwise(F.lit(0))
+    # Multiplied first, as a share may be no exact double where its percentage is one: 14,500 of 100,000 are 14.5.
+    return F.when(total > 0, F.round(done * F.lit(100.0) / total).cast("int")).otherwise(F.lit(0))
 
 
 def mixed_value(column: Column) -> Column:
