@@ -243,12 +243,16 @@ def media_order(files: DataFrame) -> DataFrame:
     return numbered(files, [F.lower(file_name(F.col("path"))).asc(), F.col("path").asc()], "place")
 
 
-def media_list(files: DataFrame, tags: DataFrame, priority: str = "exif") -> DataFrame:
-    """files (path) with date_taken, date_source and place: what their tags (source_file, original, created, file_modified) or names say. Files without tags have no date; of several dates of one file the earliest stands."""
+def media_list(files: DataFrame, tags: DataFrame, priority: str = "exif", by: tuple[str, ...] = ()) -> DataFrame:
+    """files (path) with date_taken, date_source and place: what their tags (source_file, original, created, file_modified) or names say. Files without tags have no date; of several dates of one file the earliest stands.
+
+    Where a path is listed more than once, `by` names columns of both tables that tell
+    its files apart; equal paths then also go by these.
+    """
     norm = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
     at = dates.listed_date(file_name(F.col("_key")), F.col("original"), F.col("created"), F.col("file_modified"), priority)
-    known = tags.withColumn("_key", norm(F.col("source_file"))).select("_key", at.alias("_date")).where("_date is not null").groupBy("_key").agg(F.min("_date").alias("_date"))
-    dated = files.withColumn("_key", norm(F.col("path"))).join(known, "_key", "left")
+    known = tags.withColumn("_key", norm(F.col("source_file"))).select("_key", *by, at.alias("_date")).where("_date is not null").groupBy("_key", *by).agg(F.min("_date").alias("_date"))
+    dated = files.withColumn("_key", norm(F.col("path"))).join(known, ["_key", *by], "left")
     return media_order(dated.select(*files.columns, F.col("_date.date").alias("date_taken"), F.col("_date.source").alias("date_source")))
 
 

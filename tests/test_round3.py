@@ -3,9 +3,18 @@
 from pyspark.sql import functions as F
 
 from prismlake.functions import values
+from prismlake.plans import organize
 
 
 def test_percentages_are_exact_halves(spark):
     rows = spark.createDataFrame([(14500, 15), (28500, 29), (56500, 57), (57500, 58), (1, 0)], "done long, want int")
     got = rows.select("want", values.progress_percent(F.col("done"), F.lit(100000)).alias("got")).collect()
     assert all(r["got"] == r["want"] for r in got)
+
+
+def test_files_of_one_path_keep_their_own_dates(spark):
+    files = spark.createDataFrame([(0, "/a/IMG_20210828_132900.jpg"), (1, "/a/IMG_20210828_132900.jpg"), (2, "/a/IMG_20210828_132900.jpg")], "ord long, path string")
+    tags = spark.createDataFrame([(1, "\\a\\IMG_20210828_132900.jpg", "2020:01:01 00:00:00", None, None), (2, "/a/IMG_20210828_132900.jpg", None, "2019:01:01 00:00:00", None)], "ord long, source_file string, original string, created string, file_modified string")
+    got = {r["ord"]: (r["date_taken"], r["date_source"]) for r in organize.media_list(files, tags, by=("ord",)).collect()}
+    assert got == {0: (None, None), 1: ("2020:01:01 00:00:00", "exif"), 2: ("2019:01:01 00:00:00", "create")}
+    assert {r["date_taken"] for r in organize.media_list(files, tags).collect()} == {"2019:01:01 00:00:00"}
