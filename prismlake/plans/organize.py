@@ -222,12 +222,15 @@ def _blocked(rows: DataFrame, taken: DataFrame) -> DataFrame:
     return rows.join(by, "new_path").where(F.col("_by").isNull() | (F.col("_by") < F.col("ord")))
 
 
-def preview_of(files: DataFrame, plan: DataFrame) -> DataFrame:
-    """files (path, ...) with new_filename, new_path and date_used of a plan, nulls where it has none; separators count as equal. Of several actions of one path the least new_path stands."""
+def preview_of(files: DataFrame, plan: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """files (path, ...) with new_filename, new_path and date_used of a plan, nulls where it has none; separators count as equal. Of several actions of one path the least new_path stands.
+
+    Where a path is listed more than once, `by` names columns of both tables that tell its files apart.
+    """
     norm = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
-    rows = plan.select(norm(F.col("original_path")).alias("_path"), "new_filename", "new_path", "date_used")
-    rows = rows.groupBy("_path").agg(F.min(F.struct("new_path", "new_filename", "date_used")).alias("_row")).select("_path", "_row.new_filename", "_row.new_path", "_row.date_used")
-    return files.withColumn("_path", norm(F.col("path"))).join(rows, "_path", "left").drop("_path")
+    rows = plan.select(norm(F.col("original_path")).alias("_path"), *by, "new_filename", "new_path", "date_used")
+    rows = rows.groupBy("_path", *by).agg(F.min(F.struct("new_path", "new_filename", "date_used")).alias("_row")).select("_path", *by, "_row.new_filename", "_row.new_path", "_row.date_used")
+    return files.withColumn("_path", norm(F.col("path"))).join(rows, ["_path", *by], "left").select(*files.columns, "new_filename", "new_path", "date_used")
 
 
 def organizer_order(files: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
