@@ -21,9 +21,9 @@ from prismlake.session import durable
 CROSS_DISTANCE = 16
 
 
-def number_assets(assets: DataFrame) -> DataFrame:
-    """assets with asset_id: their place in component-wise path order, by distributed ranks."""
-    ranked = running_before(assets.withColumn("_all", F.lit(0)), ["_all"], [path_order(F.col("path"))], F.lit(1), "asset_id")
+def number_assets(assets: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """assets with asset_id: their place in component-wise path order, by distributed ranks; those of one path go by the columns of ties."""
+    ranked = running_before(assets.withColumn("_all", F.lit(0)), ["_all"], [path_order(F.col("path")), *[F.col(c) for c in ties]], F.lit(1), "asset_id")
     return ranked.drop("_all").withColumn("asset_id", F.col("asset_id").cast("long"))
 
 

@@ -88,8 +88,8 @@ def natural_key(text: Column) -> Column:
     return F.collate(F.array_join(padded, ""), "UNICODE_CI_AI")
 
 
-def order_assets(assets: DataFrame, by: str = "date", descending: bool = False) -> DataFrame:
-    """Assets with `place` by date, location or device, by ranges; equal ones go by path.
+def order_assets(assets: DataFrame, by: str = "date", descending: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Assets with `place` by date, location or device, by ranges; equal ones go by path, and those of one path by the columns of ties.
 
     Without a location (null without a position, or empty) or a device an asset comes
     last either way; a position without a name yet comes before names when ascending.
@@ -106,7 +106,7 @@ def order_assets(assets: DataFrame, by: str = "date", descending: bool = False)
         keys = [none.asc(), way(natural_key(F.when(~none, F.col("device"))))]
     else:
         keys = [way(F.coalesce("date_taken", "modified", F.lit("")))]
-    return numbered(assets, [*keys, F.asc("path")], "place")
+    return numbered(assets, [*keys, *[F.asc(c) for c in ("path", *ties)]], "place")
 
 
 def original_first(members: DataFrame) -> DataFrame:

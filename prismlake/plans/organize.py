@@ -233,17 +233,17 @@ def preview_of(files: DataFrame, plan: DataFrame, by: tuple[str, ...] = ()) -> D
     return files.withColumn("_path", norm(F.col("path"))).join(rows, ["_path", *by], "left").select(*files.columns, "new_filename", "new_path", "date_used")
 
 
-def organizer_order(files: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
-    """Files (path, date_taken) with `place`: by type (image before video) or date, then by name, case aside; by ranges, so no task sorts all."""
+def organizer_order(files: DataFrame, by: str = "name", descending: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Files (path, date_taken) with `place`: by type (image before video) or date, then by name, case aside, then paths and the columns of ties; by ranges, so no task sorts all."""
     name = file_name(F.col("path"))
     kind = F.when(F.lower(F.regexp_extract(name, r"([^.]*)$", 1)).isin(VIDEO_EXTENSIONS), "video").otherwise("image")
     keys = {"name": [], "type": [kind], "date": [F.coalesce("date_taken", F.lit(""))]}[by] + [F.lower(name)]
-    return numbered(files, [k.desc() if descending else k.asc() for k in keys] + [F.col("path").asc()], "place")
+    return numbered(files, [k.desc() if descending else k.asc() for k in keys] + [F.col(c).asc() for c in ("path", *ties)], "place")
 
 
-def media_order(files: DataFrame) -> DataFrame:
-    """A media list with `place`: by names, case aside, then paths."""
-    return numbered(files, [F.lower(file_name(F.col("path"))).asc(), F.col("path").asc()], "place")
+def media_order(files: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """A media list with `place`: by names, case aside, then paths, then the columns of ties."""
+    return numbered(files, [F.lower(file_name(F.col("path"))).asc(), *[F.col(c).asc() for c in ("path", *ties)]], "place")
 
 
 def media_list(files: DataFrame, tags: DataFrame, priority: str = "exif", by: tuple[str, ...] = ()) -> DataFrame:
@@ -256,7 +256,7 @@ def media_list(files: DataFrame, tags: DataFrame, priority: str = "exif", by: tu
     at = dates.listed_date(file_name(F.col("_key")), F.col("original"), F.col("created"), F.col("file_modified"), priority)
     known = tags.withColumn("_key", norm(F.col("source_file"))).select("_key", *by, at.alias("_date")).where("_date is not null").groupBy("_key", *by).agg(F.min("_date").alias("_date"))
     dated = files.withColumn("_key", norm(F.col("path"))).join(known, ["_key", *by], "left")
-    return media_order(dated.select(*files.columns, F.col("_date.date").alias("date_taken"), F.col("_date.source").alias("date_source")))
+    return media_order(dated.select(*files.columns, F.col("_date.date").alias("date_taken"), F.col("_date.source").alias("date_source")), by)
 
 
 def plan_date_rewrite(dated: DataFrame) -> DataFrame:

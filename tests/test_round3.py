@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from prismlake.functions import values
+from prismlake.operators import duplicates, views
 from prismlake.plans import organize, registry
 
 
@@ -41,3 +42,15 @@ def test_laplacian_rounds_as_sql_does(spark, tmp_path):
     want = duck.execute(registry.ORACLE_SQL["m6_laplacian"]).fetchall()
     got = registry.QUERIES["m6_laplacian"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_rows_of_one_path_are_placed_by_their_ids(spark):
+    draw = np.random.default_rng(5)
+    rows = [(int(i), "/a/b.jpg", None, None, None, None, None) for i in draw.permutation(400)]
+    assets = spark.createDataFrame(rows, "asset_id long, path string, date_taken string, modified string, location string, gps_latitude double, device string").repartition(7)
+    ties = ("asset_id",)
+    found = [views.order_assets(assets, by, down, ties) for by, down in (("date", True), ("location", False), ("device", True))]
+    found += [organize.media_order(assets, ties), organize.organizer_order(assets, "type", ties=ties), organize.organizer_order(assets, "date", True, ties)]
+    found.append(duplicates.number_assets(assets.withColumnRenamed("asset_id", "id"), ("id",)).select(F.col("id").alias("asset_id"), (F.col("asset_id") + 1).alias("place")))
+    for t in found:
+        assert all(r["place"] == r["asset_id"] + 1 for r in t.collect())
