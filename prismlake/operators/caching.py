@@ -10,6 +10,9 @@ from pyspark.sql.types import ArrayType, StructType
 from prismlake.session import discard, durable
 from prismlake.sources.heads import KINDS
 
+# What the texts of errors without a number hold, in capitals; decoders give such for pictures.
+ERROR_TEXTS = {"PERMISSION_DENIED": "PERMISSION|ACCESS DENIED", "NOT_FOUND": "NOT.?FOUND|NO SUCH FILE", "UNSUPPORTED_FORMAT": "UNSUPPORTED", "CORRUPTED_FILE": "CORRUPT"}
+
 
 def usable(fast: bool) -> Column:
     """A cached row serves if it has the mode's hash, or was never hashed in either mode."""
@@ -243,9 +246,12 @@ def place_cache_stats(names: DataFrame) -> DataFrame:
 
 
 def failed_files(results: DataFrame) -> DataFrame:
-    """(path, kind) of rows (path, errno) that failed: the system's number of the error says the kind; null is no failure."""
+    """(path, kind) of rows (path, errno, perhaps error) that failed: the system's number of the error says the kind, where there is none the error's text; null in both is no failure. What says nothing is an IO_ERROR."""
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    return results.where("errno is not null").select("path", F.coalesce(F.try_element_at(kinds, F.col("errno").cast("int")), F.lit("IO_ERROR")).alias("kind"))
+    number, text = F.col("errno"), F.upper("error") if "error" in results.columns else F.lit(None).cast("string")
+    told = F.coalesce(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in ERROR_TEXTS.items()])
+    kind = F.when(number.isNotNull(), F.try_element_at(kinds, number.cast("int"))).otherwise(told)
+    return results.where(number.isNotNull() | text.isNotNull()).select("path", F.coalesce(kind, F.lit("IO_ERROR")).alias("kind"))
 
 
 def patch(rows: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from prismlake.functions import values
-from prismlake.operators import duplicates, views
+from prismlake.operators import caching, duplicates, views
 from prismlake.plans import organize, registry
 
 
@@ -54,3 +54,22 @@ def test_rows_of_one_path_are_placed_by_their_ids(spark):
     found.append(duplicates.number_assets(assets.withColumnRenamed("asset_id", "id"), ("id",)).select(F.col("id").alias("asset_id"), (F.col("asset_id") + 1).alias("place")))
     for t in found:
         assert all(r["place"] == r["asset_id"] + 1 for r in t.collect())
+
+
+def test_failed_files_by_number_or_by_text(spark):
+    rows = [("a", 13, None), ("b", 5, "corrupt"), ("c", None, "Corrupt JPEG data"), ("d", None, "unsupported"), ("e", None, "no such file"), ("f", None, "?"), ("g", None, None)]
+    found = {r["path"]: r["kind"] for r in caching.failed_files(spark.createDataFrame(rows, "path string, errno int, error string")).collect()}
+    assert found == {"a": "PERMISSION_DENIED", "b": "IO_ERROR", "c": "CORRUPTED_FILE", "d": "UNSUPPORTED_FORMAT", "e": "NOT_FOUND", "f": "IO_ERROR"}
+    assert registry.QUERIES["g23_failed_files"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_tags_are_parsed_once_and_not_made_twice(spark):
+    from prismlake.plans import metadata
+
+    made = spark.range(3).select(F.concat(F.lit('{"SourceFile":"/in/'), F.col("id").cast("string"), F.lit('","Make":" Mk ","ISO":"200 x","FNumber":1.8,"ImageWidth":7}')).alias("tags"))
+    assets = spark.createDataFrame([(f"/in/{i}", 5) for i in range(4)], "path string, size_bytes long")
+    found = metadata.read_metadata(assets, made)
+    got = sorted((r["path"], r["make"], r["iso_speed"], r["f_number"], r["width"], r["height"]) for r in found.collect())
+    assert got == [*[(f"/in/{i}", "Mk", 200, "1.8", 7, 0) for i in range(3)], ("/in/3", None, None, None, 0, 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("json_tuple") == 2
