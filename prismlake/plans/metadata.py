@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import dates
 from prismlake.functions.paths import extension, path_order
-from prismlake.functions.values import first_number, join_device, tag_text
+from prismlake.functions.values import first_number, join_device
 from prismlake.operators.running import numbered
 from prismlake.sources import media
 
@@ -23,8 +23,24 @@ CORRECTED = ("heic", "heif", "avif")
 EXPOSURE = {"Shutter": "exposure_time", "Aperture": "f_number", "ISO": "iso_speed", "Focal length": "focal_length", "Flash": "flash", "White balance": "white_balance", "Exp. mode": "exposure_mode", "Metering": "metering_mode"}
 
 
+# All tags that a field is read from.
+READ = ("FileSize", "ImageWidth", "ImageHeight", "ExifImageWidth", "ExifImageHeight", "FileTypeExtension", "DateTimeOriginal", "ModifyDate", "ISO", "Orientation", *NUMBERS.values(), *TEXTS.values())
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """rows with `t`: the tags that are READ, as texts; each object is parsed once."""
+    rest = [c for c in rows.columns if c != "tags"]
+    texts = rows.select(*rest, F.json_tuple("tags", *READ).alias(*[f"_t{i}" for i in range(len(READ))]))
+    return texts.select(*rest, F.struct(*[F.col(f"_t{i}").alias(name) for i, name in enumerate(READ)]).alias("t"))
+
+
+def _text(tags: Column, name: str) -> Column:
+    """A tag as trimmed text, empty is null."""
+    return F.nullif(F.trim(tags[name]), F.lit(""))
+
+
 def _number(tags: Column, name: str, kind: str = "double") -> Column:
-    return first_number(F.get_json_object(tags, f"$.{name}"), kind)
+    return first_number(tags[name], kind)
 
 
 def _side(tags: Column, name: str) -> Column:
@@ -33,8 +49,9 @@ def _side(tags: Column, name: str) -> Column:
 
 def by_source(tags: DataFrame) -> DataFrame:
     """(source_file, tags) of tag objects, each file once, separators as slashes; objects without a SourceFile are none."""
-    source = F.replace(F.get_json_object("tags", "$.SourceFile"), F.lit("\\"), F.lit("/"))
-    return tags.select(source.alias("source_file"), "tags").where("source_file is not null").groupBy("source_file").agg(F.min("tags").alias("tags"))
+    # By a generator, so that the test for null is not moved down to where tags are made, which would be worked out twice.
+    named = tags.select("tags", F.json_tuple("tags", "SourceFile").alias("_source")).where("_source is not null")
+    return named.select(F.replace("_source", F.lit("\\"), F.lit("/")).alias("source_file"), "tags").groupBy("source_file").agg(F.min("tags").alias("tags"))
 
 
 def with_tags(assets: DataFrame, tags: DataFrame) -> DataFrame:
@@ -59,10 +76,10 @@ def scan_for_metadata(assets: DataFrame, tags: DataFrame, corrections: DataFrame
     replaces the date, and the sizes if it has any; one that knows neither counts for
     nothing. Files without tags are listed with sizes of 0 and nulls.
     """
-    rows = _late(with_tags(assets, tags), corrections)
-    t, w = F.col("tags"), F.col("late_width")
+    rows = parsed(_late(with_tags(assets, tags), corrections))
+    t, w = F.col("t"), F.col("late_width")
     known = F.col("late") & ((w > 0) | F.col("late_date").isNotNull())
-    date = dates.exif_to_iso(tag_text(t, "DateTimeOriginal"))
+    date = dates.exif_to_iso(_text(t, "DateTimeOriginal"))
     found = rows.select(
         "path", "size_bytes",
         F.when(known & (w > 0), w).otherwise(_side(t, "Width")).cast("int").alias("width"),
@@ -70,7 +87,7 @@ def scan_for_metadata(assets: DataFrame, tags: DataFrame, corrections: DataFrame
         "modified",
         F.when(known, F.col("late_date")).otherwise(date).alias("date_taken"),
         *[_number(t, tag).alias(name) for name, tag in NUMBERS.items() if name != "gps_altitude"],
-        join_device(tag_text(t, "Make"), tag_text(t, "Model")).alias("device"),
+        join_device(_text(t, "Make"), _text(t, "Model")).alias("device"),
     )
     return numbered(found, [path_order(F.col("path"))], "place")
 
@@ -89,21 +106,21 @@ def read_metadata(assets: DataFrame, tags: DataFrame, corrections: DataFrame | N
     (path, width, height, date_taken) of HEIC and its like replace the date even by
     null, and the sizes if they have any.
     """
-    rows = _late(with_tags(assets, tags), corrections)
-    t, w = F.col("tags"), F.col("late_width")
-    iso = lambda name: dates.exif_to_iso(tag_text(t, name))
+    rows = parsed(_late(with_tags(assets, tags), corrections))
+    t, w = F.col("t"), F.col("late_width")
+    iso = lambda name: dates.exif_to_iso(_text(t, name))
     return rows.select(
         "path",
         F.coalesce(_number(t, "FileSize", "long"), F.col("size_bytes"), F.lit(0)).alias("file_size"),
         F.when(F.col("late") & (w > 0), w).otherwise(_side(t, "Width")).cast("int").alias("width"),
         F.when(F.col("late") & (w > 0), F.col("late_height")).otherwise(_side(t, "Height")).cast("int").alias("height"),
-        F.upper(F.coalesce(tag_text(t, "FileTypeExtension"), extension(F.col("path")))).alias("format"),
+        F.upper(F.coalesce(_text(t, "FileTypeExtension"), extension(F.col("path")))).alias("format"),
         F.when(F.col("late"), F.col("late_date")).otherwise(iso("DateTimeOriginal")).alias("date_time_original"),
         iso("ModifyDate").alias("date_time"),
         _number(t, "ISO", "long").cast("int").alias("iso_speed"),
         _number(t, "Orientation", "long").cast("int").alias("orientation"),
         *[_number(t, tag).alias(name) for name, tag in NUMBERS.items()],
-        *[tag_text(t, tag).alias(name) for name, tag in TEXTS.items()],
+        *[_text(t, tag).alias(name) for name, tag in TEXTS.items()],
     )
 
 
