@@ -21,11 +21,16 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 
 from prismlake.llm.memory import lean
 from prismlake.llm.words import _IS_SPACE, mix, word_slices
+from prismlake.session import discard, durable
 
 #: Without labels: (from so many bytes, least ratio, greatest ratio); shorter texts are not judged by ratio.
 BANDS = ((256, 0.30, 0.78), (512, 0.28, 0.72), (1024, 0.26, 0.62), (2048, 0.26, 0.528), (2560, 0.26, 0.515), (4096, 0.24, 0.51), (16384, 0.22, 0.50))
-#: With labels: good texts that limits are fitted to at most, and at least, else BANDS hold.
-MOST_LABELLED, LEAST_LABELLED = 20_000, 200
+#: With labels: good texts that limits are fitted to at least, else BANDS hold.
+LEAST_LABELLED = 200
+#: Labelled ids up to which their texts are found by a broadcast; beyond, all texts are measured and the measures joined.
+BROADCAST_IDS = 1_000_000
+#: Lengths are told apart by so many leading bits, distances from the curve by such steps; so what is counted has a bounded size.
+LENGTH_BITS, STEP = 16, 1e-5
 #: Share of good texts that may lie beyond a limit, and what is left free beyond that.
 TAIL, MARGIN = 0.001, 0.01
 #: More room for each octave that a text is longer than the good ones.
@@ -73,18 +78,40 @@ class Fitted(NamedTuple):
         return middle + low - room, middle + high + room
 
 
-def fit(sizes: np.ndarray, ratios: np.ndarray) -> Fitted | None:
-    """Limits for texts like these; None for too few. An octave's tails are those of it and its neighbours together."""
-    long = sizes >= BANDS[0][0]
-    at, ratios = np.log2(sizes[long]), ratios[long]
-    if len(at) < LEAST_LABELLED:
+def quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
+    """The quantile of ascending values that each stand for so many, interpolated as numpy does."""
+    upto = np.cumsum(counts)
+    place = q * (upto[-1] - 1)
+    low, high = (values[np.searchsorted(upto, k, side="right")] for k in (np.floor(place), np.ceil(place)))
+    return float(low + (high - low) * (place - np.floor(place)))
+
+
+def fit(rows: DataFrame) -> Fitted | None:
+    """Limits for all texts of rows (n_bytes, whole_ratio); None for too few. An octave's tails are those of it and its neighbours together.
+
+    Two aggregations over all rows: sums by length for the curve, then counts by octave
+    and distance from it for the tails. Only these, of a bounded number, are collected;
+    sums are of whole numbers, so that runs agree.
+    """
+    long = rows.where(F.col("n_bytes") >= BANDS[0][0])
+    drop = F.greatest(F.floor(F.log2("n_bytes")).cast("int") - (LENGTH_BITS - 1), F.lit(0))
+    length = F.call_function("shiftleft", F.call_function("shiftright", F.col("n_bytes"), drop), drop)
+    sums = long.groupBy(length.alias("length")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("whole_ratio") * 1e9).cast("long")).alias("total")).orderBy("length").toArrow()
+    n = sums["n"].to_numpy()
+    if n.sum() < LEAST_LABELLED:
         return None
-    curve = np.polyfit(at, ratios, 3)
-    apart, octave = ratios - np.polyval(curve, at), at.astype(int)
+    at = np.log2(sums["length"].to_numpy())
+    curve = np.polyfit(at, sums["total"].to_numpy() / 1e9 / n, 3, w=np.sqrt(n))
+    size, middle = F.log2("n_bytes"), F.lit(0.0)
+    for c in map(float, curve):
+        middle = middle * size + F.lit(c)
+    steps = F.round((F.col("whole_ratio") - middle) / STEP).cast("long")
+    found = long.groupBy(F.floor(size).cast("int").alias("octave"), steps.alias("step")).agg(F.count("*").alias("n")).orderBy("step").toArrow()
+    octave, step, n = (found[c].to_numpy() for c in ("octave", "step", "n"))
     tails = []
     for k in range(octave.min(), octave.max() + 1):
-        near = apart[np.abs(octave - k) <= 1]
-        tails.append((float(np.quantile(near, TAIL)) - MARGIN, float(np.quantile(near, 1 - TAIL)) + MARGIN))
+        near = np.abs(octave - k) <= 1
+        tails.append((quantile(step[near] * STEP, n[near], TAIL) - MARGIN, quantile(step[near] * STEP, n[near], 1 - TAIL) + MARGIN))
     return Fitted(tuple(map(float, curve)), float(at.min()), float(at.max()), tuple(tails))
 
 
@@ -156,19 +183,26 @@ def _judged(batches: Iterator[pa.RecordBatch], held: Callable[[int], tuple[float
         yield pa.RecordBatch.from_arrays([*[x for _, x in others], *[pa.array(c, f.type) for c, f in zip(columns, SCHEMA, strict=True)]], names=[*[n for n, _ in others], *SCHEMA.names])
 
 
-def fitted(docs: DataFrame, labels: DataFrame | None, most: int = MOST_LABELLED):
-    """A judge of texts by limits fitted to good ones, at most `most` of those that labels (doc_id, quality) mark, by hash of their ids.
+def fitted(docs: DataFrame, labels: DataFrame | None):
+    """A judge of texts by limits fitted to all good ones that labels (doc_id, quality) mark.
 
     Rows whose crc32(doc_id) mod 3 is 1 are held out. Texts that fail the base rules
-    are not fitted to. With too few good texts, or without labels, BANDS hold.
+    are not fitted to. With too few good texts, or without labels, BANDS hold. Where
+    labels are many, all texts are measured, so that their measures meet the labels and
+    not they themselves.
     """
     if labels is None:
         return _judge(limits)
     good = labels.where("quality = 1 and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-    rows = texts.mapInArrow(_judge(limits), "doc_id long, " + DDL).where("not base_failed").select("n_bytes", "whole_ratio").limit(most).toArrow()
-    found = fit(rows["n_bytes"].to_numpy(), rows["whole_ratio"].to_numpy())
+    good = durable(good)
+    few = good.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    if few:
+        texts = texts.join(F.broadcast(good), "doc_id", "left_semi")
+    rows = texts.mapInArrow(_judge(limits), "doc_id long, " + DDL).where("not base_failed").select("doc_id", "n_bytes", "whole_ratio")
+    rows = durable(rows if few else rows.join(good, "doc_id", "left_semi"))
+    found = fit(rows)
+    discard(rows, good)
     return _judge(limits) if found is None else _judge(found, CHUNK_MARGIN)
 
 

@@ -73,3 +73,26 @@ def test_tags_are_parsed_once_and_not_made_twice(spark):
     assert got == [*[(f"/in/{i}", "Mk", 200, "1.8", 7, 0) for i in range(3)], ("/in/3", None, None, None, 0, 0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "get_json_object" not in plan and plan.count("json_tuple") == 2
+
+
+def test_limits_are_fitted_to_all_labelled_texts(spark, monkeypatch):
+    from prismlake.llm import compression
+
+    assert not hasattr(compression, "MOST_LABELLED")
+    draw = np.random.default_rng(9)
+    sizes = draw.integers(256, 200_000, 25_000)
+    # The tail lies in the last rows, which a bounded number of rows would have missed.
+    ratios = 0.6 - 0.02 * np.log2(sizes) + draw.normal(0, 0.01, 25_000) + (np.arange(25_000) >= 24_000) * 0.2
+    found = compression.fit(spark.createDataFrame([(int(n), float(r)) for n, r in zip(sizes, ratios, strict=True)], "n_bytes long, whole_ratio double"))
+    at = np.log2(sizes)
+    curve = np.polyfit(at, ratios, 3)
+    for size in (300, 5000, 150_000):
+        near = (ratios - np.polyval(curve, at))[np.abs(at.astype(int) - int(np.log2(size))) <= 1]
+        want = [np.polyval(curve, np.log2(size)) + np.quantile(near, q) + m for q, m in ((compression.TAIL, -compression.MARGIN), (1 - compression.TAIL, compression.MARGIN))]
+        assert np.allclose(found(size), want, atol=3e-5)
+    words = ["".join(draw.choice(list("etaoinshrdlu"), 6)) for _ in range(2000)]
+    texts = [(i, " ".join(draw.choice(words, int(draw.integers(60, 400))))) for i in range(450)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, 1) for i, _ in texts], "doc_id long, quality int")
+    before = compression.compression_rules(docs, labels).collect()
+    monkeypatch.setattr(compression, "BROADCAST_IDS", 10)
+    assert sorted(compression.compression_rules(docs, labels).collect()) == sorted(before)
