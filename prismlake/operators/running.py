@@ -22,21 +22,23 @@ def offsets(totals: DataFrame, group: list[str], value: str) -> DataFrame:
     return totals.withColumn("_before", F.coalesce(F.sum(value).over(earlier), F.lit(0))).drop(value)
 
 
-def running_before(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+def running_before(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str, is_written: bool = False) -> DataFrame:
     """Add `name`: the sum of value over the rows of the same group that come earlier in order.
 
     The group columns must not be null. Rows are range-partitioned by group and
     order, so that a hot group spreads over many partitions; each partition's total
     per group (at most partitions + groups rows) gives the offset of the next ones.
     Rows equal in the whole order are interchangeable. The ranged rows are written to
-    the shared folder once, as a second evaluation may draw other bounds.
+    the shared folder once, as a second evaluation may draw other bounds. is_written:
+    df is little more than a table that is written already, and is not written again first.
     """
     n = partitions(df.sparkSession)
     at = f"{name}_part"
     # Written first, as drawing the bounds reads all rows once more.
-    written = durable(df)
+    written = df if is_written else durable(df)
     ranged = durable(written.repartitionByRange(n, *[F.col(c) for c in group], *order).withColumn(at, F.spark_partition_id()).withColumn(f"{name}_value", value))
-    discard(written)
+    if not is_written:
+        discard(written)
     totals = ranged.groupBy(at, *group).agg(F.sum(f"{name}_value").alias(f"{name}_total"))
     earlier = Window.partitionBy(*group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(at, *group, F.coalesce(F.sum(f"{name}_total").over(earlier), F.lit(0)).alias(f"{name}_offset"))

@@ -54,20 +54,22 @@ def resolve_dates(files: DataFrame, config: OrganizerConfig) -> DataFrame:
     name = file_name(F.col("path"))
     tags = dates.oldest_of(F.col("original"), F.col("created"), F.col("media_created"))
     own = F.coalesce(dates.dashed_datetime(name), dates.compact_datetime(name))
-    choice = lambda date, source: F.struct(date.alias("date"), F.lit(source).alias("source"))
+    # A text of the source's first letter and the date, null where there is none: later ones are worked out only where earlier ones are null.
+    choice = lambda date, source: F.concat(F.lit(source[0]), date)
     named, modified = choice(own, "filename"), choice(dates.file_date(F.col("file_modified")), "modify")
     order = [choice(tags, "exif"), modified, named] if config.date_priority == "exif" else [named, choice(tags, "exif"), modified]
     order.append(choice(dates.compact_without_seconds(name), "filename"))
     columns = files.columns
-    found = files.withColumn("_found", F.get(F.filter(F.array(*order), lambda c: c["date"].isNotNull()), F.lit(0)))
+    found = files.withColumn("_found", F.coalesce(*order))
     key = F.coalesce(dates.img_date_key(name), dates.messenger_date_key(name))
     found = durable(found.withColumn("_key", F.when(F.col("_found").isNull(), key)))
     keyed = running_before(found.where("_key is not null"), ["_key"], [F.col("ord")], F.lit(1), "_n")
     whole = keyed.select(*found.columns, F.col("_n").cast("long").alias("_n")).unionByName(found.where("_key is null").withColumn("_n", F.lit(0).cast("long")))
     fallback = F.lit(f"{config.year_if_not_date:04d}:{config.now}")
-    used = F.coalesce("_found.date", F.when(F.col("_key").isNotNull(), dates.key_date(F.col("_key"), F.col("_n"))))
+    used = F.coalesce(F.substring("_found", 2, 100), F.when(F.col("_key").isNotNull(), dates.key_date(F.col("_key"), F.col("_n"))))
     used = F.coalesce(dates.override_year(used, config.year_if_not_date) if config.override_year else used, fallback)
-    source = F.coalesce("_found.source", F.when(F.col("_key").isNotNull(), "filename"), F.lit("fallback"))
+    told = F.substring("_found", 1, 1)
+    source = F.coalesce(F.when(told == "e", "exif").when(told == "m", "modify").when(told == "f", "filename"), F.when(F.col("_key").isNotNull(), "filename"), F.lit("fallback"))
     return whole.select(*columns, used.alias("date_used"), source.alias("date_source"))
 
 
@@ -153,16 +155,26 @@ def plan_organize(files: DataFrame, config: OrganizerConfig, existing: DataFrame
     again at least; mostly few rounds are enough, as numbers that have moved are free.
     Random tokens have no such order: files whose names are taken draw again after all others.
     """
+    return plan_dated(dated_files(files, config), config, existing)
+
+
+def dated_files(files: DataFrame, config: OrganizerConfig) -> DataFrame:
+    """What a plan needs of files (as plan_organize() takes them), written: ord, path, date_used, date_source, device, file_kind of those that can be named. For several plans of the same files."""
     dated = resolve_dates(files, config).withColumn("file_kind", media_kind(F.col("path"))).where("file_kind is not null").where(F.length("date_used") >= 19)
+    return durable(dated.select("ord", "path", "date_used", "date_source", resolve_device(files, config).alias("device"), "file_kind"))
+
+
+def plan_dated(rows: DataFrame, config: OrganizerConfig, existing: DataFrame | None = None) -> DataFrame:
+    """plan_organize() of dated_files()."""
     step = uid_tokens(config.rename_template)
     base = F.regexp_extract("path", r"^(.*)[/\\][^/\\]*$", 1)
     target = base if config.only_rename else folder(config, F.col("date_used"), F.col("device"))
     output = ["ord", F.col("path").alias("original_path"), "new_filename", "new_path", "date_used", "date_source", "device", "file_kind"]
     random = bool(_CRYPTO.search(config.rename_template or ""))
 
-    def numbered_by(rows: DataFrame, each: Column) -> DataFrame:
+    def numbered_by(rows: DataFrame, each: Column, written: bool = False) -> DataFrame:
         # One counter over all files, by distributed ranks.
-        counted = running_before(rows.withColumn("_all", F.lit(0)), ["_all"], [F.col("ord")], each, "_uid").drop("_all")
+        counted = running_before(rows.withColumn("_all", F.lit(0)), ["_all"], [F.col("ord")], each, "_uid", written).drop("_all")
         return counted.withColumn("_uid", F.col("_uid").cast("long"))
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -173,11 +185,10 @@ def plan_organize(files: DataFrame, config: OrganizerConfig, existing: DataFrame
     def first_of_each(rows: DataFrame) -> DataFrame:
         return rows.join(rows.groupBy("new_path").agg(F.min("ord").alias("ord")), ["new_path", "ord"], "left_semi")
 
-    rows = durable(dated.withColumn("device", resolve_device(files, config)))
     there = None if existing is None else existing.select(F.col("path").alias("new_path")).distinct()
     if random or not step:
         # Written, as names may be random and are read more than once.
-        tried = durable(placed(numbered_by(rows, F.lit(step))))
+        tried = durable(placed(numbered_by(rows, F.lit(step), True)))
         free = tried if there is None else tried.join(there, "new_path", "left_anti")
         done = durable(first_of_each(free))
         left = tried.join(done.select("ord"), "ord", "left_anti")
@@ -193,7 +204,7 @@ def plan_organize(files: DataFrame, config: OrganizerConfig, existing: DataFrame
     taken, tries, before = there, None, None
     while True:
         each = rows if tries is None else rows.join(tries, "ord", "left")
-        counted = numbered_by(each, F.lit(step) if tries is None else step * (1 + F.coalesce("_more", F.lit(0))))
+        counted = numbered_by(each, F.lit(step) if tries is None else step * (1 + F.coalesce("_more", F.lit(0))), tries is None)
         first = durable(placed(counted.select(*rows.columns, "_uid")))
         open_ = first if taken is None else first.join(_blocked(first, taken).select("ord"), "ord", "left_anti")
         again = None
@@ -204,8 +215,7 @@ def plan_organize(files: DataFrame, config: OrganizerConfig, existing: DataFrame
             again = durable(more.join(fit.groupBy("ord").agg(F.min("_try").alias("_try")), ["ord", "_try"], "left_semi"))
             every = more.select("ord").distinct().join(again.select("ord", "_try"), "ord", "left")
             tries = durable(every.select("ord", F.coalesce("_try", F.lit(ATTEMPTS - 1)).alias("_more")))
-        chosen = open_ if again is None else open_.unionByName(again.drop("_try"))
-        chosen = durable(chosen)
+        chosen = first if again is None else durable(open_.unionByName(again.drop("_try")))
         state = chosen.agg(F.count("*"), F.sum(F.xxhash64("ord", "new_path").cast("decimal(38,0)"))).first()
         if before == state or (before is None and (tries is None or tries.isEmpty()) and chosen.groupBy("new_path").count().where("count > 1").isEmpty()):
             return chosen.select(*output)

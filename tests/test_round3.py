@@ -96,3 +96,11 @@ def test_limits_are_fitted_to_all_labelled_texts(spark, monkeypatch):
     before = compression.compression_rules(docs, labels).collect()
     monkeypatch.setattr(compression, "BROADCAST_IDS", 10)
     assert sorted(compression.compression_rules(docs, labels).collect()) == sorted(before)
+
+
+def test_plans_of_dated_files_are_those_of_files(spark):
+    files = registry.files(spark, "/root/testdata/sf0.001").where("ord < 60")
+    dated = organize.dated_files(files, registry.CONFIG)
+    assert "original" not in dated.columns
+    existing = organize.plan_dated(dated, registry.CONFIG).where("ord in (0, 20)").select(F.col("new_path").alias("path"))
+    assert sorted(organize.plan_dated(dated, registry.CONFIG, existing).collect()) == sorted(organize.plan_organize(files, registry.CONFIG, existing).collect())
