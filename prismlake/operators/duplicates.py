@@ -44,7 +44,7 @@ def similar_groups(hashes: DataFrame, distance: int) -> DataFrame:
     """
     hashes = durable(hashes.where("phash is not null").select("asset_id", "phash"))
     classes = durable(hash_classes(hashes))
-    made = complete_clusters(near(classes, distance))
+    made = durable(complete_clusters(near(classes, distance), classes, distance))
     alone = classes.where("n > 1").join(made.select("rep"), "rep", "left_anti").select(F.col("rep").alias("group_id"), F.lit(0).alias("most"), "rep")
     whole = classes.join(made.unionByName(alone), "rep").select("phash", "group_id", "most")
     rows = hashes.join(whole, "phash")

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from prismlake.functions.values import hamming
 from prismlake.session import durable
 
-#: Distinct hashes of a block; blocks meet in tasks where an index of rows would meet too many.
-BLOCK_HASHES = 250_000
+#: Distinct hashes of a block; blocks meet in tasks where an index of rows would meet too many. Two of them are compared in about half a second.
+BLOCK_HASHES = 1 << 14
 #: Pairs of hashes up to which a task compares all instead of going by segments.
 COMPARE_ALL = 1_000_000_000
 #: Segments of a hash, and their bits.
@@ -80,10 +80,11 @@ def near_codes(left: np.ndarray, right: np.ndarray, distance: int, tally: list[i
     """(places in left, places in right, distances) of all pairs within distance; tally gets the number of comparisons."""
     left, right = left.view(np.uint64), right.view(np.uint64)
     if len(left) * len(right) <= COMPARE_ALL:
-        step = max(1, (1 << 22) // max(1, len(right)))
+        # What is compared at once stays in a core's cache.
+        step = max(1, (1 << 18) // max(1, len(right)))
         for i in range(0, len(left), step):
             d = np.bitwise_count(left[i : i + step, None] ^ right[None, :])
-            x, y = np.nonzero(d <= distance)
+            x, y = divmod(np.flatnonzero(d <= distance), max(1, len(right)))
             yield x + i, y, d[x, y]
         if tally is not None:
             tally.append(len(left) * len(right))

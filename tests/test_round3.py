@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from prismlake.functions import values
-from prismlake.operators import caching, duplicates, views
+from prismlake.operators import caching, clusters, duplicates, pairs, views
 from prismlake.plans import organize, registry
 
 
@@ -104,3 +104,34 @@ def test_plans_of_dated_files_are_those_of_files(spark):
     assert "original" not in dated.columns
     existing = organize.plan_dated(dated, registry.CONFIG).where("ord in (0, 20)").select(F.col("new_path").alias("path"))
     assert sorted(organize.plan_dated(dated, registry.CONFIG, existing).collect()) == sorted(organize.plan_organize(files, registry.CONFIG, existing).collect())
+
+
+def test_dense_clusters_are_those_of_a_scan_in_few_rounds(spark, monkeypatch):
+    draw = np.random.default_rng(11)
+    codes = draw.choice(1 << 14, 700, replace=False).tolist()
+    near = lambda x, y: (x ^ y).bit_count()
+    taken, want = set(), set()
+    for seed in range(700):
+        members, most = [seed], 0
+        for c in range(seed + 1, 700) if seed not in taken else ():
+            if c in taken or near(codes[seed], codes[c]) > 4:
+                continue
+            for m in members:
+                if near(codes[m], codes[c]) > 4:
+                    break
+                most = max(most, near(codes[m], codes[c]))
+            else:
+                members.append(c)
+        if len(members) > 1:
+            taken.update(members)
+            want |= {(seed, most, m) for m in members}
+    classes = spark.createDataFrame(list(enumerate(codes)), "rep long, phash long")
+    found = pairs.near(classes, 4).localCheckpoint()
+    rounds, without = [], clusters._without
+    monkeypatch.setattr(clusters, "_without", lambda *tables: rounds.append(1) or without(*tables))
+    for task_rows in (10**9, found.count() // 8):
+        rounds.clear()
+        got = [tuple(r) for r in clusters.complete_clusters(found, classes, 4, task_rows).collect()]
+        assert len(got) == len(want) and set(got) == want
+        # Ranges settle one by one at worst.
+        assert len(rounds) <= 9
