@@ -28,8 +28,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the compression bands, fitted to labelled good ones; null and empty texts go."""
-    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that pass the base rules and the compression bands, fitted to all labelled good ones, none held out; null and empty texts go."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), hold_out=False)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,17 +183,20 @@ def _judged(batches: Iterator[pa.RecordBatch], held: Callable[[int], tuple[float
         yield pa.RecordBatch.from_arrays([*[x for _, x in others], *[pa.array(c, f.type) for c, f in zip(columns, SCHEMA, strict=True)]], names=[*[n for n, _ in others], *SCHEMA.names])
 
 
-def fitted(docs: DataFrame, labels: DataFrame | None):
+def fitted(docs: DataFrame, labels: DataFrame | None, hold_out: bool = True):
     """A judge of texts by limits fitted to all good ones that labels (doc_id, quality) mark.
 
-    Rows whose crc32(doc_id) mod 3 is 1 are held out. Texts that fail the base rules
+    With hold_out, rows whose crc32(doc_id) mod 3 is 1 are not fitted to. Texts that fail the base rules
     are not fitted to. With too few good texts, or without labels, BANDS hold. Where
     labels are many, all texts are measured, so that their measures meet the labels and
     not they themselves.
     """
     if labels is None:
         return _judge(limits)
-    good = labels.where("quality = 1 and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rated = labels.where("quality = 1 and doc_id is not null")
+    if hold_out:
+        rated = rated.where("crc32(cast(doc_id as string)) % 3 <> 1")
+    good = rated.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = durable(good)
     few = good.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
@@ -216,8 +219,8 @@ def compression_rules(docs: DataFrame, labels: DataFrame | None = None) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(fitted(docs, labels), "doc_id long, " + DDL)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that pass, with docs' columns, whatever their names.
+def keep_clean(docs: DataFrame, labels: DataFrame | None = None, hold_out: bool = True) -> DataFrame:
+    """The rows of docs that pass, with docs' columns, whatever their names; hold_out as for fitted().
 
     Null and empty texts go as too short; repeated rows and null ids stay or go by
     their text; an empty table gives an empty one.
@@ -225,5 +228,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     hidden = docs.select(whole.alias("row"))
     schema = StructType([hidden.schema["row"], *[StructField(f.name, {pa.int64(): LongType(), pa.float64(): DoubleType(), pa.bool_(): BooleanType()}[f.type]) for f in SCHEMA]])
-    kept = hidden.mapInArrow(fitted(docs, labels), schema).where("kept")
+    kept = hidden.mapInArrow(fitted(docs, labels, hold_out), schema).where("kept")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -21,8 +21,8 @@ from prismlake.session import durable
 
 #: Buckets that n-grams are hashed to: both models' size, whatever the input.
 BUCKETS = 10_000
-#: Labelled target documents to fit on at most, those of the smallest hashes.
-MOST_TARGETS = 50_000
+#: Labelled targets up to which their ids are sent to all tasks; beyond, texts are joined with them by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Mean count that the raw model adds to a bucket of the target's, a quarter of the target's at most.
 PRIOR = 20.0
 SEED = 7
@@ -60,16 +60,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(raw), pa.array(target)], names=["bucket", "raw", "target"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_targets: int = MOST_TARGETS) -> tuple[np.ndarray, int, int]:
+def fit(docs: DataFrame, labels: DataFrame, most_targets: int | None = None) -> tuple[np.ndarray, int, int]:
     """(log ratio of each bucket, labelled documents of quality 1, labelled documents).
 
-    Raw counts cover all of docs; the target's are those of at most most_targets
-    documents with quality 1. BUCKETS rows are collected.
+    Raw counts cover all of docs, the target's all documents with quality 1, or with
+    most_targets at most so many. BUCKETS rows are collected.
     """
     rated = labels.where("doc_id is not null and quality is not null")
     good, every = rated.agg(F.count_if(F.col("quality") == 1), F.count("*")).first()
-    targets = rated.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_targets).withColumn("is_target", F.lit(True))
-    flagged = docs.select("doc_id", "text").join(F.broadcast(targets), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    targets = rated.where("quality = 1").select("doc_id").distinct().withColumn("is_target", F.lit(True))
+    if most_targets is not None:
+        targets = targets.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_targets)
+    flagged = docs.select("doc_id", "text").join(F.broadcast(targets) if good <= BROADCAST_IDS else targets, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     rows = flagged.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows:
@@ -99,7 +101,7 @@ def _score(ratio: np.ndarray):
     return lean(run)
 
 
-def resample(docs: DataFrame, labels: DataFrame, most_targets: int = MOST_TARGETS, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, most_targets: int | None = None, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, n_grams, log_weight, gumbel_key, kept.
 
     k, the number kept, is the labelled share of quality 1 times the number of rows,

@@ -135,3 +135,27 @@ def test_dense_clusters_are_those_of_a_scan_in_few_rounds(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
         # Ranges settle one by one at worst.
         assert len(rounds) <= 9
+
+
+def test_the_pipeline_fits_limits_to_every_labelled_good_text(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from prismlake.llm import compression
+
+    docs = spark.createDataFrame([(i, " ".join(f"word{i * 37 + k * k}" for k in range(60))) for i in range(300)], "doc_id long, text string")
+    spark.createDataFrame([(i, int(i < 240)) for i in range(300)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, fit = [], compression.fit
+    monkeypatch.setattr(compression, "fit", lambda rows: seen.append(rows.count()) or fit(rows))
+    corpus_pipeline.apply_rules(spark, docs, str(tmp_path))
+    assert seen == [240]
+
+
+def test_the_classifier_fits_to_every_labelled_target(spark, monkeypatch):
+    from prismlake.llm import importance
+
+    assert not hasattr(importance, "MOST_TARGETS")
+    docs = spark.createDataFrame([(i, f"word{i % 9} other{i % 5} more{i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(150)], "doc_id long, quality int")
+    whole = importance.fit(docs, labels)
+    monkeypatch.setattr(importance, "BROADCAST_IDS", 10)
+    joined, part = importance.fit(docs, labels), importance.fit(docs, labels, 40)
+    assert (whole[0] == joined[0]).all() and whole[1:] == joined[1:] == (100, 150) and (whole[0] != part[0]).any()
