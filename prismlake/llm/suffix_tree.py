@@ -26,7 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.llm.memory import give_back, lean
@@ -42,7 +42,7 @@ LEAST_NATS = 10.0
 #: Most bits of the filters of states and of their next words, which every stage sends to all executors. Their false hits cost work only, as what is counted or scored is joined with the states.
 FILTER_BITS = 1 << 26
 #: Parts in which all places of the corpus are counted, one after the other, and in which they are scored.
-PARTS, SCORE_PARTS = 3, 2
+PARTS, SCORE_PARTS = 2, 2
 #: Where fewer than one of so many places can still grow, contexts of so many lengths are counted at once.
 FEW, AT_ONCE = 8, 3
 #: Words of more than this share of all tokens are very common, and with them those that share their bits in a filter of this size: their own contexts are spread by next word.
@@ -95,17 +95,43 @@ def _send(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, _BLOBS, strict=True)], schema=_BLOBS)
 
 
-def _deal(route: np.ndarray, buckets: int, kind: int, src: int, *columns: np.ndarray) -> list[tuple]:
+def _pack_counts(context: np.ndarray, prior: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counts of 1, which most are, take no place: those above come first, and how many they are last."""
+    order = np.argsort(counts == 1, kind="stable")
+    more = int(np.count_nonzero(counts > 1))
+    return _pack(context[order], prior[order], counts[order[:more]].astype(_COUNT), np.array([more], _COUNT))
+
+
+def _unpack_counts(blobs: list) -> list[np.ndarray]:
+    """(context, prior, c) of blobs of _pack_counts(), one after the other."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, _KEY)], [np.zeros(0, _KEY)], [np.zeros(0, _COUNT)]]
+    for blob in blobs:
+        data = np.frombuffer(blob.as_buffer(), np.uint8)
+        more = int(data[-4:].view(_COUNT)[0])
+        n = (len(data) - 4 * (more + 1)) // 16
+        counts = np.ones(n, _COUNT)
+        counts[:more] = data[16 * n : -4].view(_COUNT)
+        for column, values in zip(found, (data[: 8 * n].view(_KEY), data[8 * n : 16 * n].view(_KEY), counts), strict=True):
+            column.append(values)
+    return [np.concatenate(x) for x in found]
+
+
+def _deal(route: np.ndarray, buckets: int, kind: int, src: int, *columns: np.ndarray, pack=_pack) -> list[tuple]:
     """Rows of BLOBS: the columns dealt to buckets by mixed hashes."""
     bucket = (route % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     columns = tuple(c[order] for c in columns)
-    return [(b, kind, src, _pack(*(c[cuts[b] : cuts[b + 1]] for c in columns))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+    return [(b, kind, src, pack(*(c[cuts[b] : cuts[b + 1]] for c in columns))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def _mine(keys: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Whether keys, which are mixed hashes, are of a part; _in_part() is the same for columns."""
+    return (keys >> np.uint64(40)) % np.uint64(parts) == part
 
 
-def _mine(route: np.ndarray, part: int, parts: int) -> np.ndarray:
-    return (route >> np.uint64(40)) % np.uint64(parts) == part
+def _in_part(key: str, part: int, parts: int) -> Column:
+    return F.shiftrightunsigned(key, 40) % parts == part
 
 
 def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,7 +250,7 @@ def _send_contexts(states: np.ndarray, levels: range, folds: int, hot: np.ndarra
             for kind in (0, 1):
                 own = salted[first] == bool(kind)
                 at = first[own]
-                rows += _deal(route[at], buckets, kind, n, context[at], prior[at], counts[own].astype(_COUNT))
+                rows += _deal(route[at], buckets, kind, n, context[at], prior[at], counts[own].astype(_COUNT), pack=_pack_counts)
             return _send(rows)
 
         for batch in batches:
@@ -232,9 +258,9 @@ def _send_contexts(states: np.ndarray, levels: range, folds: int, hot: np.ndarra
                 for n, (_, context, prior, entry, salted) in enumerate(_levels(texts, states, levels.stop - 1, hot, levels.start), 1):
                     if n not in held:
                         continue
-                    mixed = mix(context)
-                    mine, route = _mine(mixed, part, parts), np.where(salted, mix(entry), mixed)
-                    held[n].append(tuple(x[mine] for x in (context, prior, entry, salted, route)))
+                    mine = _mine(context, part, parts)
+                    context, prior, entry, salted = (x[mine] for x in (context, prior, entry, salted))
+                    held[n].append((context, prior, entry, salted, np.where(salted, mix(entry), mix(context))))
                     if sum(len(x[0]) for x in held[n]) >= SENT:
                         yield packed(n)
         for n in levels:
@@ -255,7 +281,7 @@ def _sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     none = lambda n: pa.nulls(n, pa.int64())
     names = ["level", "context", "key", "prior", "c", "size", "kinds"]
     for (level, salted), blobs in sent.items():
-        context, prior, c = _unpack(blobs, (_KEY, _KEY, _COUNT))
+        context, prior, c = _unpack_counts(blobs)
         blobs.clear()
         key = _entry(context, prior)
         order, begin, _ = _unique(key)
@@ -311,14 +337,9 @@ class Tree(NamedTuple):
         return np.log10(np.stack(rows))
 
 
-def _exchange(rows: DataFrame, places: int) -> DataFrame:
-    """Blobs by bucket, in partitions of about RECEIVED places."""
-    return rows.repartition(max(partitions(rows.sparkSession), -(-places // RECEIVED)), "bucket")
-
-
 def _buckets(df: DataFrame, places: int) -> int:
-    """Several for each partition, so that partitions are alike."""
-    return 8 * max(partitions(df.sparkSession), -(-places // RECEIVED))
+    """Buckets, which are partitions, of about RECEIVED places; as few as that, since a task sends each a row of its own."""
+    return max(partitions(df.sparkSession), -(-places // RECEIVED))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -327,8 +348,9 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 def _count(texts: DataFrame, states: np.ndarray, levels: range, folds: int, hot: np.ndarray, part: int, parts: int, places: int) -> DataFrame:
     """Counts of a part of the contexts of these lengths, as _sum_contexts() has them."""
-    sent = texts.mapInArrow(_send_contexts(states, levels, folds, hot, part, parts, _buckets(texts, places)), BLOBS)
-    return durable(_exchange(sent, places).mapInArrow(_sum_contexts, "level long, context long, key long, prior long, c long, size long, kinds long"))
+    buckets = _buckets(texts, places)
+    sent = texts.mapInArrow(_send_contexts(states, levels, folds, hot, part, parts, buckets), BLOBS)
+    return durable(sent.repartitionById(buckets, "bucket").mapInArrow(_sum_contexts, "level long, context long, key long, prior long, c long, size long, kinds long"))
 
 
 def _grow(counts: DataFrame, level: int, parent: DataFrame) -> Level:
@@ -391,7 +413,8 @@ def learn(docs: DataFrame, folds: int = 10) -> tuple[Vocabulary, Tree, DataFrame
     bits = min(FILTER_BITS, 1 << max(12, (2 * total).bit_length()))
     states, entries, levels = np.zeros(bits >> 6, np.uint64), np.zeros(bits >> 6, np.uint64), []
     root = F.lit(int(ROOT.view(np.int64)))
-    parent = counted.select(F.col("word").alias("prior"), ((F.col("c") + PSEUDO) / (total + PSEUDO * (distinct + 1))).alias("before"), root.alias("parent"))
+    # A next word met twice in a context was met twice at all.
+    parent = counted.where("c > 1").select(F.col("word").alias("prior"), ((F.col("c") + PSEUDO) / (total + PSEUDO * (distinct + 1))).alias("before"), root.alias("parent"))
     places = total
     while places:
         # What few places can still grow is counted for several lengths at once.
@@ -421,8 +444,8 @@ def _values(tree: Tree) -> DataFrame:
     return _union(parts)
 
 
-def _send_values(kind: int, part: int, parts: int, buckets: int):
-    """Rows (key, value) of this part as blobs."""
+def _send_values(kind: int, buckets: int):
+    """Rows (key, value) as blobs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -434,9 +457,7 @@ def _send_values(kind: int, part: int, parts: int, buckets: int):
 
         for batch in batches:
             keys = batch.column(0).to_numpy().view(np.uint64)
-            route = mix(keys)
-            mine = _mine(route, part, parts)
-            held.append((route[mine], keys[mine], batch.column(1).to_numpy().astype(_VALUE)[mine]))
+            held.append((mix(keys), keys, batch.column(1).to_numpy().astype(_VALUE)))
             if sum(len(x[0]) for x in held) >= SENT:
                 yield packed()
         if held:
@@ -479,7 +500,7 @@ def _ask(vocabulary: Vocabulary, tree: Tree, common: tuple[np.ndarray, np.ndarra
 
                 def look(kind: int, table: tuple, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
                     """(value, is known, text) of this part's keys; the others are asked for."""
-                    mine = _mine(mix(keys), part, parts)
+                    mine = _mine(keys, part, parts)
                     keys, at = keys[mine], at[mine]
                     value, known = _find(*table, keys)
                     asked[kind][0].append(keys[~known])
@@ -582,10 +603,10 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 10, learned: tuple[Vocabula
     keys, own, least = (np.zeros(0, np.uint64), np.zeros(0), 0) if values is None else _commonest(values, "key", "v", "n", COMMON_VALUES)
     sums = []
     for part in range(SCORE_PARTS):
-        sent = [texts.mapInArrow(_ask(vocabulary, tree, (keys, own), part, SCORE_PARTS, buckets), BLOBS), counted.where(F.col("word") != END_KEY).select("word", F.col("c").cast("double")).mapInArrow(_send_values(WORDS, part, SCORE_PARTS, buckets), BLOBS)]
+        sent = [texts.mapInArrow(_ask(vocabulary, tree, (keys, own), part, SCORE_PARTS, buckets), BLOBS), counted.where((F.col("word") != END_KEY) & _in_part("word", part, SCORE_PARTS)).select("word", F.col("c").cast("double")).mapInArrow(_send_values(WORDS, buckets), BLOBS)]
         if values is not None:
-            sent.append(values.where(F.col("n") < least).select("key", "v").mapInArrow(_send_values(VALUES, part, SCORE_PARTS, buckets), BLOBS))
-        answered = _exchange(_union(sent), places).mapInArrow(_answer, BLOBS)
+            sent.append(values.where((F.col("n") < least) & _in_part("key", part, SCORE_PARTS)).select("key", "v").mapInArrow(_send_values(VALUES, buckets), BLOBS))
+        answered = _union(sent).repartitionById(buckets, "bucket").mapInArrow(_answer, BLOBS)
         found = answered.repartition(partitions(docs.sparkSession), "src").mapInArrow(_add_up, "key long, n_tokens long, n_known long, base double, gain double")
         # Several tasks may have scored a copied text, all alike.
         sums.append(durable(found.groupBy("key").agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")])))

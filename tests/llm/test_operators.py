@@ -525,3 +525,20 @@ def test_packing(docs, rows, empty):
             for x in pattern:
                 made[x] += n
         assert made == counts
+
+
+def test_suffix_tree_sends_a_row_for_each_partition_at_most(spark):
+    import pyarrow as pa
+
+    from prismlake.llm import suffix_tree
+    from prismlake.session import partitions
+
+    tasks, n = 3, partitions(spark)
+    texts = spark.createDataFrame([(i, " ".join(f"w{i * 31 + k} x{k}" for k in range(40))) for i in range(300)], "doc_id long, text string").repartition(tasks)
+    none = np.zeros(64, np.uint64)
+    sent = texts.mapInArrow(suffix_tree._send_contexts(none, range(1, 2), 10, none, 0, 1, suffix_tree._buckets(texts, 24_000)), suffix_tree.BLOBS).collect()
+    assert 0 < len(sent) <= tasks * n
+    # What is sent is whole: each training token once.
+    blobs = [pa.scalar(bytes(r["data"]), pa.binary()) for r in sent]
+    context, prior, c = suffix_tree._unpack_counts(blobs)
+    assert len(context) == len(prior) == len(c) and int(c.sum()) == 81 * sum(suffix_tree.is_training(i, 10) for i in range(300)) and c.max() > 1
