@@ -10,9 +10,17 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 
+_settled = False
+
+
 def give_back() -> None:
     """Return to the system what the allocators hold and nobody uses."""
+    global _settled
     gc.collect()
+    if not _settled:
+        # Modules stay as long as the process does; to look through them after each task takes longer than many tasks.
+        gc.freeze()
+        _settled = True
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

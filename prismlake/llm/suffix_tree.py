@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.llm.memory import give_back, lean
-from prismlake.llm.words import BASE, GOLDEN, M1, Slice, mix, word_slices
+from prismlake.llm.words import BASE, GOLDEN, M1, Slice, mix, quick_slices
 from prismlake.session import discard, durable, partitions
 
 #: Words whose counts every task holds, at most; the rest are asked for.
@@ -41,14 +41,16 @@ COMMON_VALUES = 1 << 20
 LEAST_NATS = 10.0
 #: Most bits of the filters of states and of their next words, which every stage sends to all executors. Their false hits cost work only, as what is counted or scored is joined with the states.
 FILTER_BITS = 1 << 26
-#: Parts in which all places of the corpus are counted, one after the other, and in which they are scored.
-PARTS, SCORE_PARTS = 2, 2
+#: Parts in which all places of the corpus are counted, one after the other, and in which the texts are scored.
+PARTS, SCORE_PARTS = 2, 3
 #: Where fewer than one of so many places can still grow, contexts of so many lengths are counted at once.
 FEW, AT_ONCE = 8, 3
 #: Words of more than this share of all tokens are very common, and with them those that share their bits in a filter of this size: their own contexts are spread by next word.
 HOT_SHARE, HOT_BITS = 1 / 4096, 1 << 18
 #: Places that a task collects before it sends them, and that a task receives, about.
 SENT, RECEIVED = 1 << 19, 1 << 19
+#: Buckets of what may become states, at least, if there are as many partitions.
+GROWN_BUCKETS = 24
 #: Bytes of text that a task works on at a time: each word takes some hundred bytes of arrays.
 LOT = 1 << 19
 #: Texts that a task remembers, to score a copied one once.
@@ -56,12 +58,15 @@ REMEMBERED = 200_000
 PSEUDO = 0.1
 #: The end token's key among word hashes; as a context's oldest word it is the start of a text.
 END_KEY = -(2**62) + 12345
-#: Where a key's second bit in a filter is taken from.
-SECOND = np.uint64(30)
+#: Where a key's two bits in a word of a filter are taken from; its low bits choose the word.
+FILTER_SHIFTS = (26, 32)
 ROOT = np.uint64(0x632BE59BD9B4E019)
 BLOBS = "bucket int, kind int, src long, data binary"
 _BLOBS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("src", pa.int64()), ("data", pa.binary())])
 _KEY, _COUNT, _VALUE = np.dtype("<u8"), np.dtype("<u4"), np.dtype("<f8")
+GROWN = "key long, context long, parent long, size long, kinds long, c long, p double, v double"
+# Kinds of blobs of counts: next words met twice or more, sizes of contexts, the parents' entries, next words whose parent is a state.
+ROWS, TOTALS, PARENTS, KNOWN = range(4)
 # Kinds of blobs: words and values asked for, a task's texts, known words, known values; words and values answered.
 ASK_WORD, ASK_VALUE, TEXTS, WORDS, VALUES, WORD_SUMS, VALUE_SUMS = range(7)
 
@@ -136,8 +141,14 @@ def _in_part(key: str, part: int, parts: int) -> Column:
 
 def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order that sorts keys, where in it each distinct one begins, how often it is there); much faster than a stable sort."""
-    order = np.argsort(keys)
+    low = np.uint64((1 << max(1, len(keys).bit_length())) - 1)
+    # Sorting values is several times as fast as ordering them, so the place stands in the low bits.
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
     ranked = keys[order]
+    differ = ranked[1:] ^ ranked[:-1]
+    if np.any((differ <= low) & (differ > 0)):
+        order = np.argsort(keys)
+        ranked = keys[order]
     begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(keys) else order
     return order, begin, np.diff(np.append(begin, len(keys)))
 
@@ -154,7 +165,7 @@ def _count_words(folds: int):
         for batch in batches:
             batch = _training(batch, folds)
             texts += len(batch)
-            for part in word_slices(batch.column("text")):
+            for part in quick_slices(batch.column("text")):
                 held.append(part.words)
                 if sum(map(len, held)) >= SENT:
                     yield counted()
@@ -177,16 +188,25 @@ class Vocabulary(NamedTuple):
     hot: np.ndarray
 
 
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(value or 0, is known) by sorted keys."""
-    if not len(keys):
-        return np.zeros(len(wanted), values.dtype), np.zeros(len(wanted), bool)
-    # Sorted needles are found several times as fast, sorting included.
-    order = np.argsort(wanted)
-    at = np.empty(len(wanted), np.int64)
-    at[order] = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
-    known = keys[at] == wanted
-    return np.where(known, values[at], 0), known
+class Table:
+    """Values of sorted mixed hashes; a search begins where the first bits of a key do, which is next to it."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.cumsum(np.bincount((keys >> self.shift).astype(np.int64) + 1, minlength=(1 << bits) + 1)[: 1 << bits])
+        # Behind the last key no search goes on.
+        self.keys, self.values, self.n = np.append(keys, ~np.uint64(0)), np.append(values, values.dtype.type(0)), len(keys)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value or 0, is known)."""
+        at = self.begin[wanted >> self.shift]
+        low = np.flatnonzero(self.keys[at] < wanted)
+        while len(low):
+            at[low] += 1
+            low = low[self.keys[at[low]] < wanted[low]]
+        known = (self.keys[at] == wanted) & (at < self.n)
+        return np.where(known, self.values[at], 0), known
 
 
 def _extend(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -200,16 +220,14 @@ def _entry(context: np.ndarray, prior: np.ndarray) -> np.ndarray:
 
 
 def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether a filter holds keys: two bits each."""
-    found = np.ones(len(keys), bool)
-    for part in (keys, keys >> SECOND):
-        at = part & np.uint64(len(bits) * 64 - 1)
-        found &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) > 0
-    return found
+    """Whether a filter holds keys: two bits of one word each."""
+    one, (first, second) = np.uint64(1), FILTER_SHIFTS
+    own = one << (keys >> np.uint64(first) & np.uint64(63)) | one << (keys >> np.uint64(second) & np.uint64(63))
+    return bits[keys & np.uint64(len(bits) - 1)] & own == own
 
 
 def _levels(part: Slice, states: np.ndarray, depth: int, hot: np.ndarray, known: int = 1 << 30) -> Iterator[tuple[np.ndarray, ...]]:
-    """(place, context, prior, entry, salted) for contexts of 1 to depth words whose parents may be states; the filter holds those shorter than `known` words.
+    """(place, context, prior, entry, salted, may be a state) for contexts of 1 to depth words whose parents may be states; the filter holds those shorter than `known` words.
 
     Places count each text's words and its end; prior is the entry in the parent;
     salted are contexts of words alone that the filter takes as very common.
@@ -222,15 +240,15 @@ def _levels(part: Slice, states: np.ndarray, depth: int, hot: np.ndarray, known:
     begin = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
     place = np.arange(len(begin))
     context, entry, salted = np.full(len(begin), ROOT), line[1:], np.ones(len(begin), bool)
+    kept = salted
     for n in range(1, depth + 1):
-        more = place + 1 - n >= begin[place]
-        if 1 < n <= known:
-            more &= _may_hold(states, context)
+        more = kept & (place + 1 - n >= begin[place])
         place, prior = place[more], entry[more]
         context = _extend(context[more], line[place + 1 - n])
         salted = salted[more] & common[place + 1 - n]
         entry = _entry(context, prior)
-        yield place, context, prior, entry, salted
+        kept = _may_hold(states, context) if n < known else np.ones(len(context), bool)
+        yield place, context, prior, entry, salted, kept
 
 
 def _send_contexts(states: np.ndarray, levels: range, folds: int, hot: np.ndarray, part: int, parts: int, buckets: int):
@@ -243,24 +261,23 @@ def _send_contexts(states: np.ndarray, levels: range, folds: int, hot: np.ndarra
         held: dict[int, list[tuple[np.ndarray, ...]]] = {n: [] for n in levels}
 
         def packed(n: int) -> pa.RecordBatch:
-            context, prior, entry, salted, route = (np.concatenate(x) for x in zip(*held[n], strict=True))
+            context, prior, entry, salted = (np.concatenate(x) for x in zip(*held[n], strict=True))
             held[n].clear()
             order, begin, counts = _unique(entry)
             first, rows = order[begin], []
             for kind in (0, 1):
                 own = salted[first] == bool(kind)
                 at = first[own]
-                rows += _deal(route[at], buckets, kind, n, context[at], prior[at], counts[own].astype(_COUNT), pack=_pack_counts)
+                rows += _deal(mix(entry[at] if kind else context[at]), buckets, kind, n, context[at], prior[at], counts[own].astype(_COUNT), pack=_pack_counts)
             return _send(rows)
 
         for batch in batches:
-            for texts in word_slices(_training(batch, folds).column("text"), size=LOT):
-                for n, (_, context, prior, entry, salted) in enumerate(_levels(texts, states, levels.stop - 1, hot, levels.start), 1):
+            for texts in quick_slices(_training(batch, folds).column("text"), size=LOT):
+                for n, (_, context, prior, entry, salted, _) in enumerate(_levels(texts, states, levels.stop - 1, hot, levels.start), 1):
                     if n not in held:
                         continue
                     mine = _mine(context, part, parts)
-                    context, prior, entry, salted = (x[mine] for x in (context, prior, entry, salted))
-                    held[n].append((context, prior, entry, salted, np.where(salted, mix(entry), mix(context))))
+                    held[n].append(tuple(x[mine] for x in (context, prior, entry, salted)))
                     if sum(len(x[0]) for x in held[n]) >= SENT:
                         yield packed(n)
         for n in levels:
@@ -270,42 +287,116 @@ def _send_contexts(states: np.ndarray, levels: range, folds: int, hot: np.ndarra
     return lean(run)
 
 
+def _sum_contexts(buckets: int):
+    """Next words met twice or more as blobs of (context, prior, c), dealt by prior, and the size and kinds of their contexts, dealt by context; src is the length. Salted contexts have next words elsewhere, and so several sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for n, kind, blob in zip(batch.column("src").to_pylist(), batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+                sent.setdefault((n, kind), []).append(blob)
+        for (level, salted), blobs in sent.items():
+            context, prior, c = _unpack_counts(blobs)
+            blobs.clear()
+            order, begin, _ = _unique(_entry(context, prior))
+            c = np.add.reduceat(c[order].astype(_KEY), begin)
+            at = order[begin]
+            context, prior = context[at], prior[at]
+            by, begin, kinds = _unique(context)
+            size, twice = np.add.reduceat(c[by], begin), c > 1
+            # Where each next word was met once there is no row, and the context cannot pass.
+            own = np.full(len(begin), True) if salted else np.add.reduceat(twice[by], begin, dtype=np.int64) > 0
+            first = context[by[begin[own]]]
+            yield _send(_deal(mix(first), buckets, TOTALS, level, first, size[own], kinds[own].astype(_KEY)) + _deal(mix(prior[twice]), buckets, ROWS, level, context[twice], prior[twice], c[twice]))
+
+    return lean(run)
+
+
+def _send_parents(buckets: int):
+    """Rows (prior, before, parent) as blobs, dealt by prior."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> pa.RecordBatch:
+            prior, before, parent = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return _send(_deal(mix(prior), buckets, PARENTS, 0, prior, before, parent))
+
+        for batch in batches:
+            held.append((batch.column("prior").to_numpy().view(np.uint64), batch.column("before").to_numpy(), batch.column("parent").to_numpy().view(np.uint64)))
+            if sum(len(x[0]) for x in held) >= SENT:
+                yield packed()
+        if held:
+            yield packed()
+
+    return lean(run)
+
+
+def _join_parents(buckets: int):
+    """(context, key, c, before, parent) of the next words whose parent is a state, dealt by context; sizes are passed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[int, list] = {ROWS: [], TOTALS: [], PARENTS: []}
+        for batch in batches:
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+                sent[kind].append(blob)
+        sizes = _unpack(sent.pop(TOTALS), (_KEY, _KEY, _KEY))
+        if len(sizes[0]):
+            yield _send(_deal(mix(sizes[0]), buckets, TOTALS, 0, *sizes))
+        keys, before, parent = _unpack(sent[PARENTS], (_KEY, _VALUE, _KEY))
+        context, prior, c = _unpack(sent[ROWS], (_KEY, _KEY, _KEY))
+        sent.clear()
+        order = np.argsort(keys)
+        at, known = Table(keys[order], order).find(prior)
+        context, prior, c, at = (x[known] for x in (context, prior, c, at))
+        if len(context):
+            yield _send(_deal(mix(context), buckets, KNOWN, 0, context, _entry(context, prior), c, before[at], parent[at]))
+
+    return lean(run)
+
+
 @lean
-def _sum_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(level, context, key, prior, c, size, kinds) of next words met twice or more. Salted contexts have next words elsewhere; their size and kinds here are in rows without a key."""
-    sent: dict[tuple[int, int], list] = {}
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The states (rows without a key) and their next words among the contexts of a bucket."""
+    sent: dict[int, list] = {TOTALS: [], KNOWN: []}
     for batch in batches:
-        for n, kind, blob in zip(batch.column("src").to_pylist(), batch.column("kind").to_pylist(), batch.column("data"), strict=True):
-            sent.setdefault((n, kind), []).append(blob)
+        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+            sent[kind].append(blob)
+    context, size, kinds = _unpack(sent[TOTALS], (_KEY, _KEY, _KEY))
+    order, begin, _ = _unique(context)
+    totals = context[order[begin]]
+    if not sent[KNOWN]:
+        return
+    size, kinds = (np.add.reduceat(x[order], begin) for x in (size, kinds))
+    context, key, c, before, parent = _unpack(sent[KNOWN], (_KEY, _KEY, _KEY, _VALUE, _KEY))
+    sent.clear()
+    order, begin, twice = _unique(context)
+    context, key, c, before, parent = (x[order] for x in (context, key, c, before, parent))
+    at, _ = Table(totals, np.arange(len(totals))).find(context[begin])
+    size, kinds = size[at], kinds[at]
+    n, k, m = np.repeat(size, twice).astype(float), np.repeat(kinds, twice).astype(float), c.astype(float)
+    # Each occurrence is predicted from the others, with as much weight for the parent as there are different next words.
+    gain = np.add.reduceat(m * np.log((m - 1 + k * before) / (n - 1 + k) / before), begin)
+    gain += (kinds.astype(float) - twice) * np.log(kinds / (size.astype(float) - 1 + kinds))
+    kept = gain >= LEAST_NATS
     signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-    none = lambda n: pa.nulls(n, pa.int64())
-    names = ["level", "context", "key", "prior", "c", "size", "kinds"]
-    for (level, salted), blobs in sent.items():
-        context, prior, c = _unpack_counts(blobs)
-        blobs.clear()
-        key = _entry(context, prior)
-        order, begin, _ = _unique(key)
-        c = np.add.reduceat(c[order].astype(np.int64), begin)
-        at = order[begin]
-        context, prior, key = context[at], prior[at], key[at]
-        by, begin, kinds = _unique(context)
-        size = np.add.reduceat(c[by], begin)
-        if salted:
-            n = len(begin)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, level)), signed(context[by[begin]]), none(n), none(n), none(n), pa.array(size), pa.array(kinds)], names=names)
-        # Where each next word was met once there is no such row, and the context cannot pass.
-        of = np.empty(len(by), np.int64)
-        of[by] = np.repeat(np.arange(len(begin)), kinds)
-        twice = np.flatnonzero(c > 1)
-        whole = (none(len(twice)), none(len(twice))) if salted else (pa.array(size[of[twice]]), pa.array(kinds[of[twice]]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(twice), level)), signed(context[twice]), signed(key[twice]), signed(prior[twice]), pa.array(c[twice]), *whole], names=names)
+    none = lambda x, kind: pa.nulls(len(x), kind)
+    names = [x.split()[0] for x in GROWN.split(", ")]
+    first = begin[kept]
+    yield pa.RecordBatch.from_arrays([none(first, pa.int64()), signed(context[first]), signed(parent[first]), signed(size[kept]), signed(kinds[kept]), none(first, pa.int64()), none(first, pa.float64()), none(first, pa.float64())], names=names)
+    own = np.repeat(kept, twice)
+    context, key, c, before, n, k, m = (x[own] for x in (context, key, c, before, n, k, m))
+    p = (m - 1 + k * before) / n
+    yield pa.RecordBatch.from_arrays([signed(key), signed(context), none(key, pa.int64()), none(key, pa.int64()), none(key, pa.int64()), signed(c), pa.array(p), pa.array(np.log10(p / before) - np.log10(k / n))], names=names)
 
 
 class Level(NamedTuple):
-    """States of one length (context, parent, size, kinds), and their next words met twice or more (key, context, c, p, v); v is what one adds to log10 P."""
+    """States of one length (context, parent, size, kinds), and their next words met twice or more (key, context, c, p, v); v is what one adds to log10 P. grown holds both, states without a key."""
 
     states: DataFrame
     entries: DataFrame
+    grown: DataFrame
 
 
 class Tree(NamedTuple):
@@ -346,39 +437,32 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+def _grown_buckets(texts: DataFrame, places: int) -> int:
+    """Buckets of what _sum_contexts() sends, which is far less than all places; few where these are few, since each task sends each a row."""
+    return max(min(GROWN_BUCKETS, partitions(texts.sparkSession)), -(-places // (4 * RECEIVED)))
+
+
 def _count(texts: DataFrame, states: np.ndarray, levels: range, folds: int, hot: np.ndarray, part: int, parts: int, places: int) -> DataFrame:
-    """Counts of a part of the contexts of these lengths, as _sum_contexts() has them."""
-    buckets = _buckets(texts, places)
+    """Counts of a part of the contexts of these lengths, which have so many places in all, as _sum_contexts() has them."""
+    buckets = _buckets(texts, -(-places // parts))
     sent = texts.mapInArrow(_send_contexts(states, levels, folds, hot, part, parts, buckets), BLOBS)
-    return durable(sent.repartitionById(buckets, "bucket").mapInArrow(_sum_contexts, "level long, context long, key long, prior long, c long, size long, kinds long"))
+    return durable(sent.repartitionById(buckets, "bucket").mapInArrow(_sum_contexts(_grown_buckets(texts, places // parts)), BLOBS))
 
 
-def _grow(counts: DataFrame, level: int, parent: DataFrame) -> Level:
-    """The states of so many words among counted contexts, from the parent's probabilities (prior, before, parent)."""
-    counts = counts.where(F.col("level") == level).drop("level")
-    salted = counts.where("key is null").groupBy("context").agg(F.sum("size").alias("size"), F.sum("kinds").alias("kinds"))
-    rows = counts.where("key is not null and size is not null").unionByName(counts.where("key is not null and size is null").drop("size", "kinds").join(salted, "context"))
+def _grow(counts: DataFrame, level: int, parent: DataFrame, places: int) -> Level:
+    """The states of so many words among counted contexts of so many places, from the parent's probabilities (prior, before, parent)."""
+    buckets = _grown_buckets(counts, places)
     # Contexts below what is no state have no prior among the states' entries and go here.
-    known = durable(rows.join(parent, "prior").drop("prior"))
-    # Each occurrence is predicted from the others, with as much weight for the parent as there are different next words.
-    kinds, size, c, before = (F.col(x) for x in ("kinds", "size", "c", "before"))
-    others = (c - 1 + kinds * before) / (size - 1 + kinds)
-    gains = known.groupBy("context", "parent", "size", "kinds").agg(F.sum(c * F.log(others / before)).alias("gain"), F.count("*").alias("twice"))
-    once = (kinds - F.col("twice")) * F.log(kinds / (size - 1 + kinds))
-    kept = durable(gains.where(F.col("gain") + once >= LEAST_NATS).select("context", "parent", "size", "kinds"))
-    p = (c - 1 + kinds * before) / size
-    v = F.log10(p / before) - F.log10(kinds / size)
-    entries = durable(known.join(kept.select("context"), "context", "left_semi").select("key", "context", "c", p.alias("p"), v.alias("v")))
-    discard(known)
-    return Level(kept, entries)
+    sent = counts.where(F.col("src") == level).unionByName(parent.mapInArrow(_send_parents(buckets), BLOBS))
+    known = sent.repartitionById(buckets, "bucket").mapInArrow(_join_parents(buckets), BLOBS)
+    grown = durable(known.repartitionById(buckets, "bucket").mapInArrow(_decide, GROWN))
+    return Level(grown.where("key is null").select("context", "parent", "size", "kinds"), grown.where("key is not null").select("key", "context", "c", "p", "v"), grown)
 
 
 def _mark(bits: np.ndarray, keys: DataFrame, column: str) -> np.ndarray:
     """The filter with further keys; what is collected is bounded by FILTER_BITS."""
-    both = keys.select(F.explode(F.array(F.col(column), F.shiftrightunsigned(column, int(SECOND)))).alias("part"))
-    at = F.shiftright(F.col("part").bitwiseAND(F.lit(len(bits) * 64 - 1)), 6)
-    one = F.expr("shiftleft(1L, cast(part & 63L as int))")
-    words = both.groupBy(at.alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    own = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned({column}, {n}) & 63L as int))" for n in FILTER_SHIFTS)
+    words = keys.groupBy(F.col(column).bitwiseAND(F.lit(len(bits) - 1)).alias("at")).agg(F.expr(f"bit_or({own})").alias("bits")).toArrow()
     bits = bits.copy()
     bits[words["at"].to_numpy()] |= words["bits"].to_numpy().view(np.uint64)
     return bits
@@ -420,9 +504,11 @@ def learn(docs: DataFrame, folds: int = 10) -> tuple[Vocabulary, Tree, DataFrame
         # What few places can still grow is counted for several lengths at once.
         lengths = range(len(levels) + 1, len(levels) + (1 + AT_ONCE if places * FEW < total else 2))
         parts = -(-PARTS * places // total)
-        counted_parts = [_count(texts, states, lengths, folds, hot, i, parts, -(-places * len(lengths) // parts)) for i in range(parts)]
+        sent = places * len(lengths)
+        counted_parts = [_count(texts, states, lengths, folds, hot, i, parts, sent) for i in range(parts)]
         for n in lengths:
-            grown = [_grow(x, n, parent) for x in counted_parts]
+            # One part after the other, as the disk holds what is dealt of one only.
+            grown = [_grow(x, n, parent, sent // parts) for x in counted_parts]
             level = Level(*(_union(list(x)) for x in zip(*grown, strict=True)))
             places = int(level.states.agg(F.sum("size")).first()[0] or 0)
             if not places:
@@ -437,11 +523,8 @@ def learn(docs: DataFrame, folds: int = 10) -> tuple[Vocabulary, Tree, DataFrame
 
 def _values(tree: Tree) -> DataFrame:
     """(key, v, n): what a state as such (by context) and a next word met twice in it (by entry) add to log10 P; n orders by frequency."""
-    parts = []
-    for states, entries in tree.levels:
-        parts.append(states.select(F.col("context").alias("key"), F.log10(F.col("kinds") / F.col("size")).alias("v"), F.col("size").alias("n")))
-        parts.append(entries.select("key", "v", F.col("c").alias("n")))
-    return _union(parts)
+    own = [F.coalesce(*x) for x in (("key", "context"), ("v", F.log10(F.col("kinds") / F.col("size"))), ("c", "size"))]
+    return _union([x.grown.select(*(c.alias(n) for c, n in zip(own, ("key", "v", "n"), strict=True))) for x in tree.levels])
 
 
 def _send_values(kind: int, buckets: int):
@@ -470,13 +553,14 @@ def _send_values(kind: int, buckets: int):
 _TEXT_COLUMNS = (_KEY, _VALUE, _VALUE, _VALUE, _VALUE, _COUNT)
 
 
-def _ask(vocabulary: Vocabulary, tree: Tree, common: tuple[np.ndarray, np.ndarray], part: int, parts: int, buckets: int):
-    """A task's texts (key, n_tokens, n_known, base, gain) as far as it knows, and the words and values of this part that it must ask for, with the text's number."""
+def _ask(vocabulary: Vocabulary, tree: Tree, common: tuple[np.ndarray, np.ndarray], buckets: int):
+    """A task's texts (key, n_tokens, n_known, base, gain) as far as it knows, and the words and values that it must ask for, with the text's number."""
     v, depth = vocabulary, len(tree.levels)
     base, states, entry_filter = v.tokens + PSEUDO * (v.distinct + 1), tree.filter, tree.entry_filter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src, done, seen = TaskContext.get().partitionId(), 0, set()
+        words, values = Table(v.words, v.counts), Table(*common)
         asked: list[tuple[list, list]] = [([], []), ([], [])]
 
         def packed(kind: int) -> list[tuple]:
@@ -493,34 +577,29 @@ def _ask(vocabulary: Vocabulary, tree: Tree, common: tuple[np.ndarray, np.ndarra
                 seen.add(key)
             batch = batch.filter(pa.array(fresh, pa.bool_()))
             text_keys = batch.column("key").to_numpy().view(np.uint64)
-            for texts in word_slices(batch.column("text"), size=LOT):
+            for texts in quick_slices(batch.column("text"), size=LOT):
                 n = texts.last - texts.first
                 sizes = np.diff(texts.offsets) + 1
                 owner = np.repeat(np.arange(n), sizes)
 
-                def look(kind: int, table: tuple, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-                    """(value, is known, text) of this part's keys; the others are asked for."""
-                    mine = _mine(keys, part, parts)
-                    keys, at = keys[mine], at[mine]
-                    value, known = _find(*table, keys)
+                def look(kind: int, table: Table, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+                    """(value, is known, text) of keys; the others are asked for."""
+                    value, known = table.find(keys)
                     asked[kind][0].append(keys[~known])
                     asked[kind][1].append(at[~known].astype(_COUNT) + np.uint32(done))
                     return value, known, at
 
-                counts, known, at = look(ASK_WORD, (v.words, v.counts), texts.words, np.repeat(np.arange(n), sizes - 1))
+                counts, known, at = look(ASK_WORD, words, texts.words, np.repeat(np.arange(n), sizes - 1))
                 flat = np.bincount(at, np.where(known, np.log10(counts + PSEUDO), math.log10(PSEUDO)), n)
                 n_known = np.bincount(at[known], minlength=n).astype(float)
-                gain, tokens = np.zeros(n), np.zeros(n)
-                if not part:
-                    tokens += sizes
-                    n_known += v.ends > 0
-                    flat += math.log10(v.ends + PSEUDO) - sizes * math.log10(base)
-                for place, context, _, entry, _ in _levels(texts, states, depth, v.hot):
-                    for keys, bits in ((context, states), (entry, entry_filter)):
-                        hit = _may_hold(bits, keys)
-                        value, _, at = look(ASK_VALUE, common, keys[hit], owner[place[hit]])
+                gain = np.zeros(n)
+                n_known += v.ends > 0
+                flat += math.log10(v.ends + PSEUDO) - sizes * math.log10(base)
+                for place, context, _, entry, _, kept in _levels(texts, states, depth, v.hot):
+                    for keys, hit in ((context, kept), (entry, _may_hold(entry_filter, entry))):
+                        value, _, at = look(ASK_VALUE, values, keys[hit], owner[place[hit]])
                         gain += np.bincount(at, value, n)
-                rows = [(src % buckets, TEXTS, src, _pack(text_keys[texts.first : texts.last], tokens, n_known, flat, gain, np.arange(done, done + n, dtype=_COUNT)))]
+                rows = [(src % buckets, TEXTS, src, _pack(text_keys[texts.first : texts.last], sizes.astype(_VALUE), n_known, flat, gain, np.arange(done, done + n, dtype=_COUNT)))]
                 for kind in (ASK_WORD, ASK_VALUE):
                     if sum(map(len, asked[kind][0])) >= SENT:
                         rows += packed(kind)
@@ -550,10 +629,10 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ask, kind in ((ASK_WORD, WORDS), (ASK_VALUE, VALUES)):
         keys, values = _unpack(sent[kind], (_KEY, _VALUE))
         order = np.argsort(keys)
-        tables[ask] = keys[order], values[order]
+        tables[ask] = Table(keys[order], values[order])
     for (kind, src), blobs in asked.items():
         keys, at = _unpack(blobs, (_KEY, _COUNT))
-        value, known = _find(*tables[kind], keys)
+        value, known = tables[kind].find(keys)
         keys, value, at = keys[known], value[known], at[known]
         if len(at):
             texts, back = np.unique(at, return_inverse=True)
@@ -603,14 +682,14 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 10, learned: tuple[Vocabula
     keys, own, least = (np.zeros(0, np.uint64), np.zeros(0), 0) if values is None else _commonest(values, "key", "v", "n", COMMON_VALUES)
     sums = []
     for part in range(SCORE_PARTS):
-        sent = [texts.mapInArrow(_ask(vocabulary, tree, (keys, own), part, SCORE_PARTS, buckets), BLOBS), counted.where((F.col("word") != END_KEY) & _in_part("word", part, SCORE_PARTS)).select("word", F.col("c").cast("double")).mapInArrow(_send_values(WORDS, buckets), BLOBS)]
+        sent = [texts.where(_in_part("key", part, SCORE_PARTS)).mapInArrow(_ask(vocabulary, tree, (keys, own), buckets), BLOBS), counted.where(F.col("word") != END_KEY).select("word", F.col("c").cast("double")).mapInArrow(_send_values(WORDS, buckets), BLOBS)]
         if values is not None:
-            sent.append(values.where((F.col("n") < least) & _in_part("key", part, SCORE_PARTS)).select("key", "v").mapInArrow(_send_values(VALUES, buckets), BLOBS))
+            sent.append(values.where(F.col("n") < least).select("key", "v").mapInArrow(_send_values(VALUES, buckets), BLOBS))
         answered = _union(sent).repartitionById(buckets, "bucket").mapInArrow(_answer, BLOBS)
         found = answered.repartition(partitions(docs.sparkSession), "src").mapInArrow(_add_up, "key long, n_tokens long, n_known long, base double, gain double")
         # Several tasks may have scored a copied text, all alike.
         sums.append(durable(found.groupBy("key").agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")])))
-    scored = _union(sums).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "gain")])
+    scored = _union(sums)
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds)) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).join(scored, "key")
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))

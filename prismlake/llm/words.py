@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 SLICE = 2 << 20
 #: Bytes whose runs are hashed at a time; a longer run is a block of its own.
 BLOCK = 1 << 18
+#: Words of more bytes are hashed byte by byte in quick_slices().
+LONG = 64
 #: White space.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -42,6 +44,8 @@ _FOLD[65:91] += 32
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN) | np.uint64(1)
 _PLAIN = np.where(_IS_SPACE, np.uint64(0), _VALUE)
 _FOLDED = np.where(_IS_SPACE, np.uint64(0), _VALUE[_FOLD])
+_SPACED = np.where(_IS_SPACE, np.uint8(0x20), _FOLD)
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 # Terms: runs of ASCII letters and digits and of all that is not ASCII.
 _IS_TERM = np.zeros(256, bool)
 _IS_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -117,6 +121,35 @@ def word_slices(column: pa.Array, fold: bool = True, size: int = SLICE) -> Itera
         yield Slice(i, j, data, starts, hash_runs((_FOLDED if fold else _PLAIN)[data], at), np.searchsorted(at, starts))
 
 
+def quick_slices(column: pa.Array, size: int = SLICE) -> Iterator[Slice]:
+    """word_slices() with other hashes, made of eight bytes at a time; A-Z count as a-z."""
+    for i, j, data, starts in raw_slices(column, size):
+        n = len(data)
+        padded = np.full(n + 8, 0x20, np.uint8)
+        np.take(_SPACED, data, out=padded[:n], mode="clip")
+        space, edge = padded[: n + 1] == 0x20, np.empty(n + 1, bool)
+        edge[0] = not space[0]
+        np.not_equal(space[1:], space[:-1], out=edge[1:])
+        edges = np.flatnonzero(edge)
+        # Between two texts without white space one word ends and another begins.
+        inner = np.unique(starts[(starts > 0) & (starts < n)])
+        split = np.repeat(inner[~space[inner] & ~space[inner - 1]], 2)
+        edges = np.insert(edges, np.searchsorted(edges, split), split)
+        at, lengths = edges[::2], edges[1::2] - edges[::2]
+        eight = np.ndarray(n + 1, np.dtype("<u8"), padded, strides=(1,))
+        found = mix((eight[at] & _FIRST_BYTES[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * GOLDEN)
+        more, done = np.flatnonzero(lengths > 8), 8
+        while len(more) and done < LONG:
+            found[more] = mix(found[more] * BASE + (eight[at[more] + done] & _FIRST_BYTES[np.minimum(lengths[more] - done, 8)]))
+            done += 8
+            more = more[lengths[more] > done]
+        if len(more):
+            begins = np.cumsum(lengths[more]) - lengths[more]
+            place = np.arange(lengths[more].sum()) + np.repeat(at[more] - begins, lengths[more])
+            found[more] = hash_runs(_FOLDED[padded[place]], begins)
+        yield Slice(i, j, data, starts, found, np.searchsorted(at, starts))
+
+
 def term_slices(column: pa.Array, size: int = SLICE) -> Iterator[Slice]:
     """Slices with the hashes of all terms in order, A-Z counting as a-z: the pattern [^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+."""
     for i, j, data, starts in raw_slices(column, size):

@@ -542,3 +542,60 @@ def test_suffix_tree_sends_a_row_for_each_partition_at_most(spark):
     blobs = [pa.scalar(bytes(r["data"]), pa.binary()) for r in sent]
     context, prior, c = suffix_tree._unpack_counts(blobs)
     assert len(context) == len(prior) == len(c) and int(c.sum()) == 81 * sum(suffix_tree.is_training(i, 10) for i in range(300)) and c.max() > 1
+
+
+def test_quick_slices_tell_the_same_words_apart():
+    import pyarrow as pa
+
+    from prismlake.llm.words import quick_slices, word_slices
+
+    draw = random.Random(11)
+    long = ["x" * n + y for n in (7, 8, 9, 15, 16, 17, 63, 64, 65, 200) for y in ("", "a", "B", "\x00")]
+    texts = ["a B\x0bc", "", "d", " ", " e ", "f\x00", "f", "f\x00\x00", "É é", None, "ends", "begins", " ".join(long), *(" ".join(draw.choices(long, k=9)).upper() for _ in range(9))]
+    for size in (1, 7, 1 << 20):
+        old, new = list(word_slices(pa.array(texts), size=size)), list(quick_slices(pa.array(texts), size=size))
+        assert all((x.first, x.last) == (y.first, y.last) and np.array_equal(x.offsets, y.offsets) for x, y in zip(old, new, strict=True))
+        a, b = (np.concatenate([x.words for x in part]) for part in (old, new))
+        assert len(a) == len(b) > 100 and np.array_equal(a[:, None] == a, b[:, None] == b)
+
+
+def test_suffix_tree_tables_and_groups_are_exact():
+    from prismlake.llm import suffix_tree
+
+    draw = np.random.default_rng(12)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(draw.integers(0, 1 << 64, n, np.uint64))
+        if n == 1000:
+            # The ends of the range, and keys that lie close together.
+            keys = np.unique(np.concatenate([keys, np.uint64(1 << 40) + np.arange(99, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]))
+        known = {k: i + 1 for i, k in enumerate(keys.tolist())}
+        wanted = np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1), np.array([0, 5, (1 << 64) - 1], np.uint64)])
+        value, found = suffix_tree.Table(keys, np.arange(1, len(keys) + 1)).find(wanted)
+        assert value.tolist() == [known.get(k, 0) for k in wanted.tolist()] and found.tolist() == [k in known for k in wanted.tolist()]
+    # Keys that differ in their low bits only, mixed.
+    keys = draw.permutation(np.repeat(np.array([3, 2, 1 << 60, (1 << 60) + 1, 0, (1 << 64) - 1], np.uint64), 50))
+    for x in (keys, keys[:0], np.sort(keys), np.full(9, 7, np.uint64)):
+        order, begin, counts = suffix_tree._unique(x)
+        assert sorted(order.tolist()) == list(range(len(x)))
+        assert list(zip(x[order][begin].tolist(), counts.tolist(), strict=True)) == sorted(collections.Counter(x.tolist()).items())
+
+
+def test_suffix_tree_is_the_same_in_any_number_of_parts(spark):
+    from prismlake.llm import suffix_tree
+
+    # States and next words of a level are what its growth has written.
+    draw = random.Random(13)
+    docs = spark.createDataFrame([(i, " ".join(f"{x} a b {x}{x} c b z" for x in draw.choices("klmn", k=8))) for i in range(80)], "doc_id long, text string")
+    _, tree, _ = suffix_tree.learn(docs)
+    assert len(tree.levels) >= 2
+    for level in tree.levels:
+        states, entries = level.states.collect(), level.entries.collect()
+        assert level.grown.count() == len(states) + len(entries) and len({r["context"] for r in states}) == len(states) and len({r["key"] for r in entries}) == len(entries)
+        assert {r["context"] for r in entries} <= {r["context"] for r in states} and all(r["c"] > 1 for r in entries)
+    suffix_tree.PARTS, before = 5, suffix_tree.PARTS
+    try:
+        again = suffix_tree.learn(docs)[1]
+    finally:
+        suffix_tree.PARTS = before
+    assert [sorted(map(tuple, x.states.collect())) for x in again.levels] == [sorted(map(tuple, x.states.collect())) for x in tree.levels]
+    assert [sorted((r["key"], r["c"], round(r["v"], 9)) for r in x.entries.collect()) for x in again.levels] == [sorted((r["key"], r["c"], round(r["v"], 9)) for r in x.entries.collect()) for x in tree.levels]
