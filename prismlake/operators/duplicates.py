@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from prismlake.functions.dates import timestamp_tag
 from prismlake.functions.paths import path_order, stem
 from prismlake.functions.values import hamming, similarity_percent
-from prismlake.operators.clusters import complete_clusters, stars
-from prismlake.operators.pairs import hash_classes, near, widest
+from prismlake.operators.clusters import complete_clusters, stars, windowed_clusters
+from prismlake.operators.pairs import INDEX_DISTANCE, hash_classes, near, widest
 from prismlake.operators.retention import elect
 from prismlake.operators.running import numbered, running_before
 from prismlake.session import durable
@@ -44,7 +44,7 @@ def similar_groups(hashes: DataFrame, distance: int) -> DataFrame:
     """
     hashes = durable(hashes.where("phash is not null").select("asset_id", "phash"))
     classes = durable(hash_classes(hashes))
-    made = durable(complete_clusters(near(classes, distance), classes, distance))
+    made = durable(complete_clusters(near(classes, distance), classes, distance) if distance <= INDEX_DISTANCE else windowed_clusters(classes, distance))
     alone = classes.where("n > 1").join(made.select("rep"), "rep", "left_anti").select(F.col("rep").alias("group_id"), F.lit(0).alias("most"), "rep")
     whole = classes.join(made.unionByName(alone), "rep").select("phash", "group_id", "most")
     rows = hashes.join(whole, "phash")
